@@ -32,3 +32,25 @@ def latencies(det: DataFrame, key: str = "src_ip", drops: DataFrame | None = Non
         st = st.drop("_dr").join(drops.withColumnRenamed("drop_us", "_dr"), key, "left")
     return st.select(key, (F.col("_fc") - F.col("_fw")).alias("detect_latency_us"),
                      (F.col("_dr") - F.col("_fc")).alias("mitigation_latency_us"))
+
+
+def excluded_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
+    """Raw, clean, excluded packets and percent (0 when raw is empty)."""
+    r = raw.agg(F.count(F.lit(1)).alias("raw_packets"))
+    c = clean.agg(F.count(F.lit(1)).alias("clean_packets"))
+    return (r.crossJoin(c)  # two one-row aggregates
+            .withColumn("excluded", F.col("raw_packets") - F.col("clean_packets"))
+            .withColumn("excluded_pct", F.when(F.col("raw_packets") == 0, F.lit(0.0))
+                        .otherwise(F.col("excluded") * 100.0 / F.col("raw_packets"))))
+
+
+def raw_clean_diff(pk: DataFrame, drops: DataFrame, victim: str, key: str = "protocol") -> DataFrame:
+    """J9 in one pass: flag the rows J5 would exclude and count both sides per key."""
+    d = drops.select(F.col("src_ip").alias("_src"), F.col("drop_us").alias("_d"))
+    cond = ((pk["src_ip"] == d["_src"]) & (pk["ts_us"] >= d["_d"])
+            & (pk["protocol"] == "ICMP") & (pk["dst_ip"] == F.lit(victim)))
+    # several drops of one source may match a row: keep one flag per row
+    flagged = pk.join(d, cond, "left").groupBy("pkt_id", key).agg(F.max(F.col("_d").isNotNull()).alias("_x"))
+    return flagged.groupBy(key).agg(F.count(F.lit(1)).alias("raw_n"),
+                                    F.count_if(~F.col("_x")).alias("clean_n"),
+                                    F.count_if(F.col("_x")).alias("diff"))

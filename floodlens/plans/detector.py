@@ -15,6 +15,7 @@ from floodlens.config import Dims, Thresholds
 from floodlens.functions.numeric import q, q_sql
 from floodlens.operators.detect import detection_state, mitigation_trigger
 from floodlens.operators.rates import packet_rates, session_id
+from floodlens.session import materialize
 from floodlens.sources.adapter import adapter_sql
 
 
@@ -42,9 +43,15 @@ def baseline_slice(pk: DataFrame, dims: Dims) -> DataFrame:
     return s.filter(~F.col("src_ip").isin(dims.watch_ips)) if dims.watchlist else s.limit(0)
 
 
-def detector(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float) -> DataFrame:
+def detector(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, stage: bool = True) -> DataFrame:
+    """Rates, states and triggers of the attack slice.  ``stage`` writes the
+    per-packet rates and the detector rows as tables (lineage cut)."""
     s = attack_slice(pk, dims).withColumn("session_id", session_id())
-    return mitigation_trigger(detection_state(packet_rates(s, "session_id", th, chunk_s), th), th)
+    r = packet_rates(s, "session_id", th, chunk_s)
+    if stage:
+        r = materialize(r, "rates")
+    d = mitigation_trigger(detection_state(r, th), th)
+    return materialize(d, "detector") if stage else d
 
 
 # ------------------------------------------------------------------ SQL side

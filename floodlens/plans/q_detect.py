@@ -10,11 +10,12 @@ from floodlens.operators import detect as D
 from floodlens.operators.rates import packet_rates, running_session_stats
 from floodlens.plans.detector import (attack_slice, detector, flows, sql_detector, sql_flows,
                                       sql_prelude, sql_rates)
-from floodlens.plans.fixture import ALL_SOURCES, CHUNK_S, FIXTURE_TH
+from floodlens.plans.fixture import ALL_SOURCES, CHUNK_S, FIXTURE_TH, WATCHED
 from floodlens.plans.registry import register
 from floodlens.sources.adapter import packets
 
 TH, DIMS = FIXTURE_TH, ALL_SOURCES
+WL = ", ".join(f"'{ip}'" for ip in WATCHED.watch_ips)
 
 
 def W(*ctes) -> str:
@@ -154,12 +155,11 @@ def p15(spark, sf):
 
 
 # ------------------------------------------------------------- F1 / F3 slices
-@register("f01_attack_slice", W(sql_prelude()) + """
+@register("f01_attack_slice", W(sql_prelude()) + f"""
 SELECT src_ip, count(*) AS n FROM pk
-WHERE src_ip IN ('10.0.0.1', '10.0.0.7', '10.0.0.13', '10.0.0.18') AND dst_ip = '10.0.0.25' AND protocol = 'ICMP'
+WHERE src_ip IN ({WL}) AND dst_ip = '10.0.0.25' AND protocol = 'ICMP'
 GROUP BY src_ip""")
 def f01(spark, sf):
-    from floodlens.plans.fixture import WATCHED
     return attack_slice(packets(spark, sf), WATCHED).groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"))
 
 
