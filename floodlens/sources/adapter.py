@@ -61,3 +61,52 @@ def packets_from_events(events: DataFrame, divisor: int = TIME_DIVISOR) -> DataF
 
 def packets(spark: SparkSession, sf_dir: str, divisor: int = TIME_DIVISOR) -> DataFrame:
     return packets_from_events(read_events(spark, sf_dir), divisor)
+
+
+# ----------------------------------------------------------------------------
+# Derived raw views (the driver ships no logs or captures): text event log
+# and packet observations, each with a rule-derived share of malformed values.
+# ----------------------------------------------------------------------------
+def event_text(pk: DataFrame) -> DataFrame:
+    """A text event log as the collector writes it: naive timestamp text,
+    numbers as text, padded / missing strings.  Every 50th timestamp and
+    every 40th rate are unparsable, every 30th source is missing."""
+    pid = F.col("pkt_id")
+    ts_txt = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return pk.select(
+        "pkt_id",
+        F.when(pid % 50 == 0, F.lit("not-a-time")).otherwise(ts_txt).alias("timestamp"),
+        F.when(pid % 40 == 0, F.lit("n/a")).otherwise(F.col("size").cast("string")).alias("packet_rate"),
+        F.when(pid % 30 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit(" "), F.col("src_ip"), F.lit(" "))).alias("src_ip"),
+        F.col("protocol").alias("protocol_name"))
+
+
+EVENT_TEXT_SQL = """et AS (SELECT pkt_id,
+  CASE WHEN pkt_id % 50 = 0 THEN 'not-a-time' ELSE strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S.%f') END
+    AS timestamp,
+  CASE WHEN pkt_id % 40 = 0 THEN 'n/a' ELSE CAST(size AS VARCHAR) END AS packet_rate,
+  CASE WHEN pkt_id % 30 = 0 THEN NULL ELSE ' ' || src_ip || ' ' END AS src_ip,
+  protocol AS protocol_name FROM pk)"""
+
+
+def observations(pk: DataFrame) -> DataFrame:
+    """``PACKET_OBS``-like rows: eth_type (ARP 0x0806, every 19th frame LLDP
+    0x88cc, every 23rd IPv6 0x86dd, else IPv4), ip_proto, icmp_type (every
+    7th ICMP is a reply)."""
+    pid, proto = F.col("pkt_id"), F.col("protocol")
+    eth = (F.when(pid % 19 == 0, 0x88CC).when(proto == "ARP", 0x0806).when(pid % 23 == 0, 0x86DD)
+           .otherwise(0x0800))
+    ipp = F.when(proto == "ICMP", 1).when(proto == "TCP", 6).when(proto == "UDP", 17)
+    return pk.select("pkt_id", "ts_us", "src_ip", "dst_ip", "size", "dpid", eth.alias("eth_type"),
+                     F.when(eth == 0x0800, ipp).alias("ip_proto"),
+                     F.when((eth == 0x0800) & (proto == "ICMP"),
+                            F.when(pid % 7 == 0, 0).otherwise(8)).alias("icmp_type"))
+
+
+OBS_SQL = """ob AS (SELECT pkt_id, ts_us, src_ip, dst_ip, size, dpid, eth_type,
+  CASE WHEN eth_type = 2048 THEN (CASE protocol WHEN 'ICMP' THEN 1 WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 END) END
+    AS ip_proto,
+  CASE WHEN eth_type = 2048 AND protocol = 'ICMP' THEN (CASE WHEN pkt_id % 7 = 0 THEN 0 ELSE 8 END) END AS icmp_type
+FROM (SELECT *, CASE WHEN pkt_id % 19 = 0 THEN 35020 WHEN protocol = 'ARP' THEN 2054 WHEN pkt_id % 23 = 0 THEN 34525
+                     ELSE 2048 END AS eth_type FROM pk) t)"""
