@@ -154,13 +154,6 @@ def p11(spark, sf):
 
 
 # ------------------------------------------------------------------ P19-P23
-@register("p19_feature_rounding", None)
-def p19(spark, sf):
-    feats = tumbling_flow_features(A.packets(spark, sf), FIXTURE_TH, 1.0, chunk_s=CHUNK_S, victim=V)
-    cols = {c: F.col(c) for c in feats.columns}
-    return feats.select(*[v.alias(k) for k, v in C.feature_rounding(cols).items()])
-
-
 @register("p20_time_format", W(PK) + """
 SELECT pkt_id, coalesce(strftime(make_timestamp(t), '%H:%M:%S'), 'N/A') AS hms,
        epoch_us(date_trunc('millisecond', make_timestamp(ts_us))) AS ts_ms_us

@@ -71,7 +71,7 @@ def _sport(pkt_id):
     return (F.lit(40000) + pkt_id % 20000).cast("string")
 
 
-def capture_lines(pk: DataFrame) -> DataFrame:
+def capture_lines(pk: DataFrame, keep: tuple = ()) -> DataFrame:
     """One exported line per packet of the packet view (``value`` + ``pkt_id`` + ``dpid``).
 
     ICMP -> proto 1 with echo request (every 7th is a reply), TCP -> 6 to port
@@ -98,7 +98,7 @@ def capture_lines(pk: DataFrame) -> DataFrame:
     line = F.concat_ws("|", *fields)
     ragged = (proto == "ARP") & (pid % 97 == 0)
     line = F.when(ragged, F.concat_ws("|", *fields[:-1])).otherwise(line)
-    return pk.select("pkt_id", "dpid", line.alias("value"))
+    return pk.select("pkt_id", "dpid", *keep, line.alias("value"))
 
 
 CAPTURE_LINES_SQL = """
@@ -125,3 +125,24 @@ def capture_lines_sql() -> str:
         f"CASE WHEN protocol = 'ICMP' THEN (CASE WHEN pkt_id % 7 = 0 THEN '0' ELSE '8' END) ELSE {e} END",
     ]
     return CAPTURE_LINES_SQL.format(full=" || '|' || ".join(f), ragged=" || '|' || ".join(f[:-1]))
+
+
+def host_captures(pk: DataFrame) -> DataFrame:
+    """Per-host capture lines: every IP packet is seen by its source host's
+    capture and, 1-5 µs later, by its destination host's capture, so the
+    merged capture holds near-duplicates (``capture_host``, ``value``)."""
+    src = pk.select("pkt_id", "ts_us", C.ip_to_host("src_ip").alias("capture_host"))
+    dst = (pk.filter(F.col("protocol") != "ARP")
+           .select("pkt_id", (F.col("ts_us") + 1 + F.col("pkt_id") % 5).alias("ts_us"),
+                   C.ip_to_host("dst_ip").alias("capture_host")))
+    seen = src.unionByName(dst)
+    shifted = pk.drop("ts_us").join(seen, "pkt_id")
+    return capture_lines(shifted, keep=("capture_host",))
+
+
+HOST_CAPTURES_SQL = """hc AS (
+  SELECT p.pkt_id, s.ts_us, p.src_ip, p.dst_ip, p.protocol, p.size, p.dpid, s.capture_host
+  FROM pk p JOIN (
+    SELECT pkt_id, ts_us, {src_host} AS capture_host FROM pk
+    UNION ALL
+    SELECT pkt_id, ts_us + 1 + pkt_id % 5, {dst_host} FROM pk WHERE protocol <> 'ARP') s ON p.pkt_id = s.pkt_id)"""
