@@ -39,14 +39,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def write_table(df, name: str) -> str:
+    """Write ``df`` as parquet under the shared checkpoint folder; returns the path."""
+    import uuid
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/floodlens-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialize(df, name: str):
     """Cut lineage: write ``df`` as parquet under the shared checkpoint folder
     and read it back.  One computation; later stages read a small plan with
     column pruning and filter pushdown, and survive executor loss without
     recomputing the upstream stages."""
-    import uuid
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/floodlens-tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(write_table(df, name))
