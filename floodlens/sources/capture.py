@@ -56,11 +56,14 @@ def read_capture_text(spark: SparkSession, path: str) -> DataFrame:
     return typed_packets(split_fields(spark.read.text(path)))
 
 
-def read_captures(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """All per-host captures of a directory in one read; the host comes from the file path."""
-    lines = (spark.read.text(f"{directory}/{pattern}")
-             .withColumn("capture_host",
-                         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)))
+def read_captures(spark: SparkSession, directory: str, pattern: str | None = None) -> DataFrame:
+    """All per-host captures of a directory in one read.  The host is the
+    ``capture_host=<host>`` folder when the captures are laid out that way,
+    else the file name without its extension."""
+    lines = spark.read.text(f"{directory}/{pattern}" if pattern else directory)
+    if "capture_host" not in lines.columns:
+        lines = lines.withColumn("capture_host",
+                                 F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1))
     return typed_packets(split_fields(lines))
 
 
