@@ -4,10 +4,10 @@ exclusion, pre/post counts (A6, A9, J4-J6, W15, ST3 batch form)."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodlens.operators.sequence import sliced_fold
 from floodlens.config import DEFAULT, SEGMENT_PATTERN, Dims, Thresholds
 
 
@@ -108,37 +108,33 @@ def pre_post_counts(pk: DataFrame, drops: DataFrame, key: str = "src_ip") -> Dat
 CYCLE_SCHEMA = "src_ip string, drop_us long, release_us long, activation int"
 
 
-def mitigation_cycle(rows: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+def mitigation_cycle(rows: DataFrame, th: Thresholds = DEFAULT, slice_s: float = 3600.0) -> DataFrame:
     """ST3 in batch: the full activation / suppression / expiry cycle per source.
 
     Input: detector rows (``src_ip``, ``ts_us``, ``pkt_id``, ``packet_rate``,
-    ``final_prediction``) of one session per source.  After an activation the
-    source's packets are suppressed for the hard timeout, then the detection
-    state restarts from NORMAL (rates keep their history).  This is a greedy
-    chain, so it is folded per source in Arrow batches; the input is first
-    reduced to the hot rows of sources that trigger at least once (cold rows
-    only reset the state, which the fold recovers from gaps in the hot-row
-    sequence via the W13 island id).
-
-    At scale run the same fold as the streaming processor
-    (``floodlens.streaming.mitigation``) with ``Trigger.AvailableNow``: micro-batches
-    bound what one task holds, and the per-source state is a few scalars."""
+    ``final_prediction``, ``_island``) of one session per source.  After an
+    activation the source's packets are suppressed for the hard timeout, then
+    the detection state restarts from NORMAL (rates keep their history).
+    This is a greedy chain, so it is folded per source over event-time slices
+    (``sliced_fold``: one task per source and slice, a five-value state per
+    source carried between slices).  The input is first reduced to the hot rows
+    of sources that trigger at least once: cold rows only reset the state,
+    which the fold recovers from the W13 island id of the next hot row."""
     warn, attack = th.warn, th.attack
     confirm, delay, hard = th.confirm_us, th.delay_us, th.hard_timeout_us
-    # the island id (last cold row, from W13) replaces the cold rows themselves
     x = rows.filter(F.col("packet_rate") >= warn)
     if "trigger" in rows.columns:
         x = x.join(rows.filter(F.col("trigger")).select("src_ip").distinct(), "src_ip", "left_semi")
     x = x.select("src_ip", "ts_us", "pkt_id", "packet_rate", "final_prediction",
                  F.col("_island").alias("_cold_n"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "pkt_id"])
-        ts = pdf["ts_us"].to_numpy(np.int64)
-        rate = pdf["packet_rate"].to_numpy(float)
-        pred = pdf["final_prediction"].to_numpy(np.int64)
-        cold = pdf["_cold_n"].to_numpy(np.int64)
-        out, until, ws, afs, last_cold, k = [], None, None, None, None, 0
+    def fold(src, pdf, st):
+        until, ws, afs, last_cold, k = st if st else (None, None, None, None, 0)
+        out = []
+        ts = pdf["ts_us"].to_numpy(np.int64).tolist()
+        rate = pdf["packet_rate"].to_numpy(float).tolist()
+        pred = pdf["final_prediction"].to_numpy(np.int64).tolist()
+        cold = pdf["_cold_n"].to_numpy(np.int64).tolist()
         for i in range(len(ts)):
             t = ts[i]
             if until is not None:
@@ -155,8 +151,9 @@ def mitigation_cycle(rows: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
                     afs = t
                 if t - afs >= delay:
                     k += 1
-                    out.append((pdf["src_ip"].iloc[0], int(t), int(t + hard), k))
+                    out.append((src, t, t + hard, k))
                     until = t + hard
-        return pd.DataFrame(out, columns=["src_ip", "drop_us", "release_us", "activation"])
+        return out, (until, ws, afs, last_cold, k)
 
-    return x.groupBy("src_ip").applyInPandas(fold, CYCLE_SCHEMA)
+    return sliced_fold(x, "src_ip", int(round(slice_s * 1_000_000)), fold, CYCLE_SCHEMA,
+                       "until long, ws long, afs long, last_cold long, k int", "mitigation-cycle")

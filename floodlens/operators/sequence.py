@@ -90,3 +90,102 @@ def ewma_in_chunks(df: DataFrame, keys: list[str], order: list[str], raw: str, o
             .withColumn(out, F.col("_e") + F.pow(F.lit(beta), F.col("_k").cast("double"))
                         * F.coalesce(F.col("_Sprev"), F.lit(0.0)))
             .drop("_k", "_e", "_Sprev"))
+
+
+def sliced_fold(rows: DataFrame, key: str, slice_us: int, fold, out_schema: str, state_schema: str,
+                name: str, ts: str = "ts_us", order: tuple = ("ts_us", "pkt_id")) -> DataFrame:
+    """A greedy per-key fold (each decision depends on the previous *kept*
+    one, so no window function expresses it) without one task per key.
+
+    Rows are cut into event-time slices of ``slice_us``.  Slices are folded in
+    time order; between slices only a small per-key state table is carried.
+    For each slice the rows and the state rows are hash-partitioned by key and
+    sorted (state first, then ``order``), and ``mapInPandas`` folds the runs of
+    equal keys in each Arrow batch, carrying a key's state across batch
+    boundaries: one task holds one partition of one slice, never a whole key.
+    Each slice's output and state are written to the shared checkpoint folder,
+    so lineage stays one slice deep and a lost executor costs one slice.  Only
+    the slice ids (span / slice width) reach the driver.
+
+    ``fold(key, pdf, state) -> (out_rows, new_state)`` gets consecutive rows of
+    one key sorted by ``order`` and the state tuple (``None`` at first); it may
+    be called several times per key and slice (a left fold composes).
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    from pyspark.sql.types import _parse_datatype_string
+
+    from floodlens.session import write_table
+
+    spark = rows.sparkSession
+    out_t = _parse_datatype_string(out_schema)
+    st_t = _parse_datatype_string(state_schema)
+    st_cols = [f"_st_{f.name}" for f in st_t.fields]
+    out_cols = [f.name for f in out_t.fields]
+    both = T.StructType(list(out_t.fields) + [T.StructField("_key", T.StringType())]
+                        + [T.StructField(c, f.dataType) for c, f in zip(st_cols, st_t.fields)]
+                        + [T.StructField("_kind", T.StringType())])
+    row_cols = [c for c in rows.columns if c != key]
+
+    def run(batches):
+        cur, st, outs, states = None, None, [], []
+
+        def close():
+            if cur is not None:
+                states.append((cur, st))
+
+        for pdf in batches:
+            outs, states = [], []
+            keys = pdf[key].to_numpy()
+            is_state = pdf["_is_state"].to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)]):
+                k = keys[a]
+                if k != cur:
+                    close()
+                    cur, st = k, None
+                if is_state[a]:
+                    st = tuple(None if pd.isna(v) else v for v in pdf[st_cols].iloc[a])
+                    a += 1
+                if b > a:
+                    o, st = fold(k, pdf.iloc[a:b], st)
+                    outs.extend(o)
+            # emit the finished keys of this batch; the last key may continue
+            done = states
+            if outs or done:
+                yield _frame(outs, done)
+            states = []
+        if cur is not None:
+            yield _frame([], [(cur, st)])
+
+    def _frame(out_rows, st_rows):
+        o = pd.DataFrame(out_rows, columns=out_cols)
+        o["_kind"] = "row"
+        s = pd.DataFrame([list(v) if v is not None else [None] * len(st_cols) for _, v in st_rows],
+                         columns=st_cols)
+        s["_key"] = [k for k, _ in st_rows]
+        s["_kind"] = "state"
+        return pd.concat([o, s], ignore_index=True).reindex(columns=both.fieldNames())
+
+    x = rows.withColumn("_slice", F.floor(F.col(ts) / F.lit(slice_us)).cast("long"))
+    src = write_table(x.withColumn(key, F.col(key).cast("string")), f"{name}-input")
+    ids = [r[0] for r in spark.read.parquet(src).select("_slice").distinct().orderBy("_slice").collect()]
+    state = None
+    outs = []
+    for s in ids:
+        part = (spark.read.parquet(src).filter(F.col("_slice") == s).drop("_slice")
+                .withColumn("_is_state", F.lit(False)))
+        part = part.select(key, "_is_state", *row_cols,
+                           *[F.lit(None).cast(f.dataType).alias(c) for c, f in zip(st_cols, st_t.fields)])
+        if state is not None:
+            sr = state.select(F.col("_key").alias(key), F.lit(True).alias("_is_state"),
+                              *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in row_cols], *st_cols)
+            part = part.unionByName(sr)
+        part = part.repartition(key).sortWithinPartitions(key, F.col("_is_state").desc(), *order)
+        p = write_table(part.mapInPandas(run, both), f"{name}-slice")
+        outs.append(p)
+        state = spark.read.parquet(p).filter(F.col("_kind") == "state").select("_key", *st_cols)
+    if not outs:
+        return spark.createDataFrame([], out_t)
+    return spark.read.parquet(*outs).filter(F.col("_kind") == "row").select(*out_cols)

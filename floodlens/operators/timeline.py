@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from floodlens.config import OFPP_FLOOD
 from floodlens.functions.numeric import q
-from floodlens.operators.sequence import CHUNK, add_chunk, chunk_window
+from floodlens.operators.sequence import CHUNK, add_chunk, chunk_window, sliced_fold
 
 
 def dense_bins(df: DataFrame, keys: list[str], width_s: float, how: str = "count",
@@ -116,22 +116,22 @@ def last_seen_port(obs: DataFrame, chunk_s: float = 10.0, flood: int = OFPP_FLOO
 THROTTLE_SCHEMA = "key string, ts_us long, pkt_id long"
 
 
-def throttle(df: DataFrame, key: str, interval_s: float) -> DataFrame:
+def throttle(df: DataFrame, key: str, interval_s: float, slice_s: float = 3600.0) -> DataFrame:
     """Keep an event iff at least ``interval_s`` passed since the last
-    *kept* event of its key.  A greedy chain, folded per key in Arrow batches
-    (each key's events reduced to (ts, id) first)."""
+    *kept* event of its key.  A greedy chain: folded per key over time slices
+    (``sliced_fold``), carrying only the last kept time between slices, so a
+    hot key is split across as many tasks as it has slices."""
     iu = int(round(interval_s * 1_000_000))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "pkt_id"])
-        ts = pdf["ts_us"].to_numpy(np.int64)
-        keep = np.zeros(len(ts), dtype=bool)
-        last = None
-        for i, t in enumerate(ts):
+    def fold(k, pdf, st):
+        last = st[0] if st else None
+        kept = []
+        for t, pid in zip(pdf["ts_us"].to_numpy(np.int64).tolist(), pdf["pkt_id"].to_numpy(np.int64).tolist()):
             if last is None or t - last >= iu:
-                keep[i] = True
+                kept.append((k, t, pid))
                 last = t
-        return pdf[keep]
+        return kept, (last,)
 
     x = df.select(F.col(key).cast("string").alias("key"), "ts_us", "pkt_id")
-    return x.groupBy("key").applyInPandas(fold, THROTTLE_SCHEMA)
+    return sliced_fold(x, "key", int(round(slice_s * 1_000_000)), fold, THROTTLE_SCHEMA, "last_kept long",
+                       "throttle")

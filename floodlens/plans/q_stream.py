@@ -92,7 +92,7 @@ def st03_stream(spark, sf):
 @register("st03_mitigation_cycle")
 def st03_batch(spark, sf):
     """The same cycle in batch: a fold per source over its hot detector rows."""
-    return mitigation_cycle(detector(packets(spark, sf), TH, ALL_SOURCES, CHUNK_S), TH)
+    return mitigation_cycle(detector(packets(spark, sf), TH, ALL_SOURCES, CHUNK_S), TH, slice_s=CHUNK_S)
 
 
 # ------------------------------------------------------------------------ ST4

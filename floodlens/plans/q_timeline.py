@@ -210,7 +210,7 @@ walk(key, rn, ts_us, pkt_id, last_kept, kept) AS (
   FROM walk w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)
 SELECT key, ts_us, pkt_id FROM walk WHERE kept""")
 def w18(spark, sf):
-    return TL.throttle(flows(packets(spark, sf)), "session_id", THROTTLE_S)
+    return TL.throttle(flows(packets(spark, sf)), "session_id", THROTTLE_S, slice_s=CHUNK_S)
 
 
 # ---------------------------------------------------------------------- J7

@@ -130,7 +130,7 @@ def test_throttle_matches_fold(spark, interval_s):
     rnd = random.Random(7)
     rows = [(i, rnd.randint(0, 20_000_000), f"k{rnd.randint(0, 3)}") for i in range(2000)]
     df = spark.createDataFrame(rows, "pkt_id long, ts_us long, src string")
-    got = {(r["key"], r["pkt_id"]) for r in throttle(df, "src", interval_s).collect()}
+    got = {(r["key"], r["pkt_id"]) for r in throttle(df, "src", interval_s, slice_s=3.0).collect()}
     iu = int(round(interval_s * 1e6))
     ref = set()
     for k in {r[2] for r in rows}:

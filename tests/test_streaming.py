@@ -59,7 +59,7 @@ def test_mitigation_cycle_stream_equals_batch(spark, sliced):
     pk = packet_stream(spark, sliced, files_per_trigger=1)
     det = run_available_now(detector_stream(_slice(pk), TH, mitigate=True), "t-st03")
     s = sorted(tuple(r) for r in activations(det, TH).collect())
-    b = sorted(tuple(r) for r in mitigation_cycle(detector(packets(spark, SF), TH, ALL_SOURCES, CHUNK_S), TH)
+    b = sorted(tuple(r) for r in mitigation_cycle(detector(packets(spark, SF), TH, ALL_SOURCES, CHUNK_S), TH, slice_s=CHUNK_S)
                .select("src_ip", "drop_us", "release_us", "activation").collect())
     assert s == b
     assert any(r[3] > 1 for r in s)  # some source is re-activated after expiry
@@ -73,7 +73,7 @@ def test_throttle_stream_equals_batch(spark, sliced):
     fl = pk.filter(F.col("protocol").isin("ICMP", "TCP", "UDP")).withColumn("session_id", session_id())
     s = {tuple(r) for r in run_available_now(throttle_stream(fl, "session_id", 0.5), "t-st06").collect()}
     bpk = packets(spark, SF).filter(F.col("protocol").isin("ICMP", "TCP", "UDP")).withColumn("session_id", session_id())
-    b = {tuple(r) for r in throttle(bpk, "session_id", 0.5).collect()}
+    b = {tuple(r) for r in throttle(bpk, "session_id", 0.5, slice_s=CHUNK_S).collect()}
     assert s == b
 
 
