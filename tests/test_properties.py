@@ -77,7 +77,8 @@ def test_phase_segments_tile_the_span(spark):
 
 def test_empty_input(spark):
     pk = _pk(spark).limit(0)
-    assert packet_summary(pk).first()["packets"] == 0
+    cap = pk.withColumnRenamed("src_ip", "src").withColumnRenamed("dst_ip", "dst")
+    assert packet_summary(cap).first()["packets"] == 0
     assert scenario_summary(pk.withColumn("scenario", F.lit("x")).withColumn("packet_rate", F.lit(1.0))).count() == 0
     assert dense_bins(pk, ["protocol"], 1.0).count() == 0
 
