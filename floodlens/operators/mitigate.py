@@ -43,15 +43,32 @@ def intervals(drops: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
                         (F.col("drop_us") + F.lit(th.hard_timeout_us)).alias("end_us"))
 
 
-def merge_intervals(iv: DataFrame) -> DataFrame:
-    """Merge overlapping intervals into disjoint ones (gaps-and-islands over
-    start order).  The input is one row per activation, a summary table."""
-    w = Window.orderBy("start_us", "end_us")
-    x = (iv.withColumn("_maxend", F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-         .withColumn("_new", F.when(F.col("_maxend").isNull() | (F.col("start_us") > F.col("_maxend")), 1)
-                     .otherwise(0))
-         .withColumn("_grp", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    return x.groupBy("_grp").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("_grp")
+def merge_intervals(iv: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+    """Merge overlapping (or touching) intervals into disjoint ones
+    (gaps-and-islands over start order) without a one-partition window.
+
+    Intervals are bucketed by start time.  Inside a bucket, the running max of
+    the earlier ends is combined with the max end of all earlier buckets (a
+    window over one row per bucket); an interval starting after it opens an
+    island, and each interval's island is the latest opening at or before it,
+    carried across buckets the same way."""
+    bu = int(round(bucket_s * 1_000_000))
+    pre = Window.unboundedPreceding
+    x = iv.select("start_us", "end_us").withColumn("_b", F.floor(F.col("start_us") / F.lit(bu)).cast("long"))
+    w = Window.partitionBy("_b").orderBy("start_us", "end_us")
+    wb = Window.orderBy("_b")  # one row per start bucket: bounded by the span
+    x = x.withColumn("_pm", F.max("end_us").over(w.rowsBetween(pre, -1)))
+    ends = x.groupBy("_b").agg(F.max("end_us").alias("_bm"))
+    ends = ends.select("_b", F.max("_bm").over(wb.rowsBetween(pre, -1)).alias("_cm"))
+    x = (x.join(ends, "_b", "left")
+         .withColumn("_prev", F.greatest("_pm", "_cm"))
+         .withColumn("_open", F.when(F.col("_prev").isNull() | (F.col("start_us") > F.col("_prev")),
+                                     F.col("start_us")))
+         .withColumn("_isl_in", F.max("_open").over(w.rowsBetween(pre, 0))))
+    opens = x.groupBy("_b").agg(F.max("_open").alias("_bo"))
+    opens = opens.select("_b", F.max("_bo").over(wb.rowsBetween(pre, -1)).alias("_co"))
+    x = x.join(opens, "_b", "left").withColumn("_isl", F.coalesce("_isl_in", "_co"))
+    return x.groupBy("_isl").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("_isl")
 
 
 def with_mitigation_active(df: DataFrame, merged: DataFrame, bucket_s: float = 300.0,

@@ -146,7 +146,7 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
            .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     v = F.col(value).cast("double")
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    j = df.join(F.broadcast(qs), by)  # one row per group: bounded by the number of groups
+    j = df.join(qs, by)  # one row per group: AQE broadcasts it when small
     a = j.groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
         F.count_if(~inside).alias("outliers"))
@@ -203,13 +203,13 @@ def claim_checks(ev: DataFrame, drops: DataFrame, clean: DataFrame, dims) -> Dat
                 F.count_if(F.col("detection_status") == "ATTACK_CONFIRMED").alias("confirmed_rows"),
                 F.count_if(to_v & ~watched & (F.col("phase") == "MITIGATED")).alias("baseline_during_mitigation"))
     m2 = drops.agg(F.count(F.lit(1)).alias("drops"))
-    after = (clean.join(F.broadcast(drops), "src_ip")
+    after = (clean.join(drops, "src_ip")
              .filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == F.lit(dims.victim))
                      & (F.col("ts_us") >= F.col("drop_us")))
              .agg(F.count(F.lit(1)).alias("attacker_rows_after_drop")))
     fc = ev.groupBy("src_ip").agg(F.min(F.when(F.col("detection_status") == "ATTACK_CONFIRMED",
                                                   F.col("ts_us"))).alias("_fc"))
-    bad = (fc.join(F.broadcast(drops), "src_ip").filter(F.col("_fc").isNull() | (F.col("drop_us") < F.col("_fc")))
+    bad = (fc.join(drops, "src_ip").filter(F.col("_fc").isNull() | (F.col("drop_us") < F.col("_fc")))
            .agg(F.count(F.lit(1)).alias("inconsistent_timings")))
     m = m1.crossJoin(m2).crossJoin(after).crossJoin(bad)  # one-row aggregates
     return m.select(F.expr(

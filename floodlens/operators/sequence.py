@@ -189,3 +189,21 @@ def sliced_fold(rows: DataFrame, key: str, slice_us: int, fold, out_schema: str,
     if not outs:
         return spark.createDataFrame([], out_t)
     return spark.read.parquet(*outs).filter(F.col("_kind") == "row").select(*out_cols)
+
+
+def global_rank(df: DataFrame, order: list, name: str = "rank", label: str = "ranked") -> DataFrame:
+    """Exact ``row_number()`` over a global order without a one-partition
+    window: the frame is range-partitioned and sorted (``orderBy``), each row
+    is tagged with its partition and position there (written once, so the
+    sampled range bounds are fixed), and a partition's offset is the count of
+    all earlier partitions (one row per partition: a proven small table)."""
+    from floodlens.session import materialize
+
+    t = materialize(df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()), label)
+    counts = t.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    off = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (t.join(F.broadcast(off), "_pid")
+            .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
+            .drop("_pid", "_mid", "_m0", "_off"))

@@ -40,7 +40,7 @@ def attack_slice(pk: DataFrame, dims: Dims) -> DataFrame:
 def baseline_slice(pk: DataFrame, dims: Dims) -> DataFrame:
     """ICMP to the victim from sources not on the watchlist."""
     s = pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == F.lit(dims.victim)))
-    return s.filter(~F.col("src_ip").isin(dims.watch_ips)) if dims.watchlist else s.limit(0)
+    return s.filter(~F.col("src_ip").isin(dims.watch_ips)) if dims.watchlist else s.filter(F.lit(False))
 
 
 def detector(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, stage: bool = True) -> DataFrame:

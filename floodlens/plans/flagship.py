@@ -12,7 +12,7 @@ from floodlens.sources.adapter import packets
 
 
 def flagship(spark: SparkSession, sf_dir: str, th=ENTRY_TH, dims=ALL_SOURCES) -> DataFrame:
-    det = detector(packets(spark, sf_dir), th, dims, CHUNK_S).cache()
+    det = detector(packets(spark, sf_dir), th, dims, CHUNK_S)  # a written table
     stats = attacker_stats(det)
     lat = latencies(det)
     drops = det.filter("trigger").groupBy("src_ip").agg(F.min("ts_us").alias("drop_us"))

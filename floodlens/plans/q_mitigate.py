@@ -78,7 +78,7 @@ def j04(spark, sf):
     st = (ev.filter((F.col("protocol_name") == "ICMP") & (F.col("dst_ip") == V)).groupBy("src_ip")
           .agg(F.min("ts_us").alias("first_seen_us"), F.max("ts_us").alias("last_seen_us"),
                F.count(F.lit(1)).alias("rows")))
-    return st.join(F.broadcast(drops), "src_ip", "left")
+    return st.join(drops, "src_ip", "left")
 
 
 CLEAN = f"""
@@ -106,7 +106,7 @@ def a09(spark, sf):
     pk = packets(spark, sf)
     drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
     atk = pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == V) & F.col("src_ip").isin(DIMS.watch_ips))
-    return pre_post_counts(atk, F.broadcast(drops))
+    return pre_post_counts(atk, drops)
 
 
 @register("a23_pre_post_totals", EV + f"""
@@ -119,7 +119,7 @@ def a23(spark, sf):
     pk = packets(spark, sf)
     drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
     atk = pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == V) & F.col("src_ip").isin(DIMS.watch_ips))
-    j = atk.join(F.broadcast(drops), "src_ip", "left")
+    j = atk.join(drops, "src_ip", "left")
     return j.rollup("src_ip").agg(
         F.count_if(F.col("drop_us").isNull() | (F.col("ts_us") < F.col("drop_us"))).alias("pre_drop"),
         F.count_if(F.col("drop_us").isNotNull() & (F.col("ts_us") >= F.col("drop_us"))).alias("post_drop"))
@@ -133,7 +133,7 @@ def a22(spark, sf):
     from floodlens.operators.report import excluded_summary
     pk = packets(spark, sf)
     drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
-    return excluded_summary(pk, exclude_post_drop(pk, F.broadcast(drops), V))
+    return excluded_summary(pk, exclude_post_drop(pk, drops, V))
 
 
 @register("j09_raw_clean_diff", EV + CLEAN + """
@@ -145,7 +145,7 @@ def j09(spark, sf):
     from floodlens.operators.report import raw_clean_diff
     pk = packets(spark, sf)
     drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
-    return raw_clean_diff(pk, F.broadcast(drops), V)
+    return raw_clean_diff(pk, drops, V)
 
 
 @register("w15_activity_interval", EV + f"""
@@ -158,7 +158,7 @@ def w15(spark, sf):
     drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
     atk = pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == V) & F.col("src_ip").isin(DIMS.watch_ips))
     return (atk.groupBy("src_ip").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
-            .join(F.broadcast(drops), "src_ip", "left"))
+            .join(drops, "src_ip", "left"))
 
 
 @register("f09_pivot_slice", EV + f"""

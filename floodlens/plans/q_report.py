@@ -157,7 +157,7 @@ def a21(spark, sf):
     from floodlens.operators.mitigate import exclude_post_drop
     pk = packets(spark, sf)
     ev, _, drops = eventlog.build(pk, TH, DIMS, CHUNK_S)
-    return R.claim_checks(ev, drops, exclude_post_drop(pk, F.broadcast(drops), V), DIMS)
+    return R.claim_checks(ev, drops, exclude_post_drop(pk, drops, V), DIMS)
 
 
 @register("j08_scenario_alignment", PKS + """
@@ -209,9 +209,9 @@ def t01(spark, sf):
 SELECT dst_ip, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, dst_ip) AS rank
 FROM pk GROUP BY dst_ip""")
 def t02(spark, sf):
+    from floodlens.operators.sequence import global_rank
     c = packets(spark, sf).groupBy("dst_ip").agg(F.count(F.lit(1)).alias("count"))
-    # ranking a per-key aggregate (one row per destination) in one window is bounded by the key count
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), F.asc("dst_ip"))))
+    return global_rank(c, [F.desc("count"), F.asc("dst_ip")])
 
 
 @register("t03_attacker_order", f"""WITH {PK}
@@ -219,6 +219,7 @@ SELECT src_ip, row_number() OVER (ORDER BY src_ip) AS rank
 FROM (SELECT DISTINCT src_ip FROM pk WHERE src_ip IN ({WL})) t""")
 def t03(spark, sf):
     s = packets(spark, sf).filter(F.col("src_ip").isin(DIMS.watch_ips)).select("src_ip").distinct()
+    # at most one row per watchlisted host: one window is bounded by the watchlist
     return s.withColumn("rank", F.row_number().over(Window.orderBy("src_ip")))
 
 

@@ -81,7 +81,7 @@ def w04(spark, sf):
     drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
     to_v = pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == V))
     g = to_v.withColumn("grp", F.when(F.col("src_ip").isin(DIMS.watch_ips), "attacker").otherwise("baseline"))
-    clean = (exclude_post_drop(pk, F.broadcast(drops), V)
+    clean = (exclude_post_drop(pk, drops, V)
              .filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == V) & F.col("src_ip").isin(DIMS.watch_ips))
              .withColumn("grp", F.lit("clean_attacker")))
     return TL.dense_bins(g.select("ts_us", "grp").unionByName(clean.select("ts_us", "grp")), ["grp"], 1.0, "count")
@@ -175,7 +175,7 @@ def w11(spark, sf):
     ev, _, drops = eventlog.build(packets(spark, sf), TH, DIMS, CHUNK_S)
     atk = ev.filter((F.col("protocol_name") == "ICMP") & (F.col("dst_ip") == V) & F.col("src_ip").isin(DIMS.watch_ips))
     st = attacker_stats(atk.withColumnRenamed("packet_rate", "_r").withColumn("packet_rate", F.col("_r")))
-    return TL.lifecycle_segments(st.join(F.broadcast(drops), "src_ip", "left"))
+    return TL.lifecycle_segments(st.join(drops, "src_ip", "left"))
 
 
 # -------------------------------------------------------------------- W16

@@ -89,3 +89,31 @@ def test_single_row_rates(spark):
     r = packet_rates(df, "session_id", Thresholds()).first()
     assert r["pkt_count_1s"] == 1 and r["pkt_size_std"] == 0.0 and r["inter_arrival_std"] == 0.0
     assert abs(r["packet_rate"] - 0.3) < 1e-12
+
+
+def test_merge_intervals_matches_sweep(spark):
+    import random
+    from floodlens.operators.mitigate import merge_intervals
+    rnd = random.Random(5)
+    iv = []
+    for _ in range(300):
+        s = rnd.randint(0, 50_000_000)
+        iv.append((s, s + rnd.randint(1, 3_000_000)))
+    df = spark.createDataFrame(iv, "start_us long, end_us long")
+    got = sorted(tuple(r) for r in merge_intervals(df, bucket_s=4.0).collect())
+    want = []
+    for s, e in sorted(iv):
+        if want and s <= want[-1][1]:
+            want[-1] = (want[-1][0], max(want[-1][1], e))
+        else:
+            want.append((s, e))
+    assert got == want
+
+
+def test_global_rank_matches_sort(spark):
+    from floodlens.operators.sequence import global_rank
+    rows = [(f"k{i % 97}", i % 13) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v int").groupBy("k", "v").count().repartition(7)
+    got = {(r["k"], r["v"]): r["rank"] for r in global_rank(df, [F.desc("count"), F.asc("k"), F.asc("v")]).collect()}
+    order = sorted(((r["k"], r["v"], r["count"]) for r in df.collect()), key=lambda t: (-t[2], t[0], t[1]))
+    assert got == {(k, v): i + 1 for i, (k, v, _) in enumerate(order)}
