@@ -7,9 +7,12 @@ always hot and NORMAL <=> ``rate < warn``.  A cold row resets every
 since-time; an *island* is a cold row and the hot rows that follow it.
 Per island: ``warning_since`` = first hot row, ``alert_first_seen`` = first
 alert row at or before the current row.  The island key is the timestamp of
-the last cold row (a two-level running max), the island values are group
-aggregates joined back, so a long flood island never has to fit in a window
-partition.
+the last cold row.  Every step stays on the rows' ``(session, chunk)``
+partitioning: inside a chunk the island values are window minima over
+``(session, chunk, island)``; an island that began in an earlier chunk gets
+its values from a carry over the per-chunk summaries (one row per chunk),
+joined back on ``(session, chunk)``.  A long flood island is therefore
+spread over its chunks and never has to fit in one task.
 """
 
 from __future__ import annotations
@@ -57,6 +60,27 @@ def phase(status: Column, mitigated: Column) -> Column:
             .when(status.isin("WARNING", "ATTACK_CONFIRMED"), "ATTACK").otherwise("NORMAL"))
 
 
+def _island_carry(summ: DataFrame, key: str, cand: str, out: str) -> DataFrame:
+    """For every chunk, the minimum of ``cand`` over the earlier chunks of the
+    island open at the chunk's start: chunks are grouped into segments that
+    start at a chunk holding a cold row, ``cand`` is the chunk's value after
+    its last cold row (or over the whole chunk when it has none), and the
+    carry is the running minimum of the previous chunk's segment."""
+    wk = Window.partitionBy(key).orderBy(CHUNK)
+    x = summ.withColumn("_seg", F.sum(F.col("_mc").isNotNull().cast("int")).over(
+        wk.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("_run", F.min(cand).over(Window.partitionBy(key, "_seg").orderBy(CHUNK)
+                                              .rowsBetween(Window.unboundedPreceding, 0)))
+    return x.select(key, CHUNK, F.lag("_run").over(wk).alias(out))
+
+
+def _after_last_cold(flag: Column) -> Column:
+    """Per chunk: the first ``ts_us`` of a flagged row after the chunk's last
+    cold row (a struct max over (last cold so far, -ts))."""
+    return F.max(F.when(flag, F.struct(F.coalesce(F.col("_lc_in"), F.lit(NO_ISLAND)).alias("l"),
+                                       (-F.col("ts_us")).alias("t"))))
+
+
 def detection_state(df: DataFrame, th: Thresholds = DEFAULT, key: str = "session_id",
                     rate: str = "packet_rate", model_pred: str | None = None) -> DataFrame:
     """W13 per session.  Adds ``final_prediction``, ``detection_status``,
@@ -66,32 +90,55 @@ def detection_state(df: DataFrame, th: Thresholds = DEFAULT, key: str = "session
     r = F.col(rate)
     hot = r >= F.lit(th.warn)
     pred = prediction_guard(r, th, F.col(model_pred) if model_pred else None)
-    w = chunk_window([key], ["ts_us", "pkt_id"]).rowsBetween(Window.unboundedPreceding, 0)
+    w = chunk_window([key], ["ts_us", "pkt_id"])
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = (df.withColumn("final_prediction", pred)
             .withColumn("_hot", hot)
             .withColumn("_cold_ts", F.when(~hot, F.col("ts_us")))
-            .withColumn("_lc_in", F.max("_cold_ts").over(w)))
-    summ = rows.groupBy(key, CHUNK).agg(F.max("_cold_ts").alias("_mc"))
-    carry = prefix_carry(summ, [key], {"_lc_prev": ("max", "_mc")})
-    rows = (rows.join(carry, [key, CHUNK], "left")
-            .withColumn("_island", F.coalesce(F.greatest("_lc_in", "_lc_prev"), F.lit(NO_ISLAND)))
-            .drop("_cold_ts", "_lc_in", "_lc_prev"))
-    isl = rows.groupBy(key, "_island").agg(F.min(F.when(F.col("_hot"), F.col("ts_us"))).alias("_ws"))
-    rows = rows.join(isl, [key, "_island"], "left")
+            .withColumn("_nx", F.lead("ts_us").over(w))
+            # last cold row so far in the chunk, and the row after it (= the island's first hot row)
+            .withColumn("_lc", F.max(F.when(~hot, F.struct(F.col("ts_us").alias("c"), F.col("_nx").alias("n"))))
+                        .over(run))
+            .withColumn("_lc_in", F.col("_lc.c")))
+    mc = F.coalesce(F.col("_mc"), F.lit(NO_ISLAND))
+
+    # round 1 (input only): last cold row and first hot row of the open island
+    s1 = (rows.groupBy(key, CHUNK)
+          .agg(F.max("_cold_ts").alias("_mc"), F.min(F.when(F.col("_hot"), F.col("ts_us"))).alias("_fh"),
+               F.max("_lc").alias("_last")))
+    s1 = s1.withColumn("_cand", F.when(F.col("_mc").isNull(), F.col("_fh")).otherwise(F.col("_last.n")))
+    c1 = (prefix_carry(s1, [key], {"_lc_prev": ("max", "_mc")})
+          .join(_island_carry(s1, key, "_cand", "_ws_carry"), [key, CHUNK]))
+    rows = (rows.join(c1, [key, CHUNK], "left")
+            .withColumn("_island", F.coalesce(F.greatest("_lc_in", "_lc_prev"), F.lit(NO_ISLAND))))
+    # rows before the chunk's first cold row are all hot: the chunk's first row opens their part
+    ws = F.when(F.col("_lc_in").isNotNull(), F.col("_lc.n")).otherwise(
+        F.coalesce(F.col("_ws_carry"), F.first("ts_us").over(run)))
+    rows = rows.withColumn("_ws", ws)
     alert = F.col("_hot") & ((r > F.lit(th.attack)) |
                              ((F.col("final_prediction") == 1)
                               & (F.col("ts_us") - F.col("_ws") >= F.lit(th.confirm_us))))
     rows = rows.withColumn("_alert", alert)
-    isl2 = rows.groupBy(key, "_island").agg(F.min(F.when(F.col("_alert"), F.col("ts_us"))).alias("_afs"))
-    rows = rows.join(isl2, [key, "_island"], "left")
+
+    # round 2: first alert row of the open island
+    s2 = (rows.groupBy(key, CHUNK)
+          .agg(F.max("_cold_ts").alias("_mc"), F.min(F.when(F.col("_alert"), F.col("ts_us"))).alias("_fa"),
+               _after_last_cold(F.col("_alert")).alias("_aa")))
+    s2 = s2.withColumn("_cand", F.when(F.col("_mc").isNull(), F.col("_fa"))
+                       .when(F.col("_aa.l") == mc, -F.col("_aa.t")))
+    rows = (rows.join(_island_carry(s2, key, "_cand", "_afs_carry"), [key, CHUNK], "left")
+            .withColumn("_fa_run", _after_last_cold(F.col("_alert")).over(run)))
+    lc = F.coalesce(F.col("_lc_in"), F.lit(NO_ISLAND))
+    in_chunk = F.when(F.col("_fa_run.l") == lc, -F.col("_fa_run.t"))
+    afs = F.when(F.col("_lc_in").isNotNull(), in_chunk).otherwise(F.coalesce(F.col("_afs_carry"), in_chunk))
     return (rows
             .withColumn("detection_status",
                         F.when(~F.col("_hot"), "NORMAL").when(F.col("_alert"), "ATTACK_CONFIRMED")
                         .otherwise("WARNING"))
             .withColumn("warning_since_us", F.when(F.col("_hot"), F.col("_ws")))
-            .withColumn("alert_first_seen_us",
-                        F.when(F.col("_hot") & (F.col("_afs") <= F.col("ts_us")), F.col("_afs")))
-            .drop("_hot", "_ws", "_alert", "_afs"))
+            .withColumn("alert_first_seen_us", F.when(F.col("_hot"), afs))
+            .drop("_hot", "_ws", "_alert", "_cold_ts", "_nx", "_lc", "_lc_in", "_lc_prev", "_ws_carry",
+                  "_afs_carry", "_fa_run"))
 
 
 def mitigation_trigger(df: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:

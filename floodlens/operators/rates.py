@@ -80,9 +80,17 @@ def ewma_rate(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,
 
 
 def packet_rates(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,
-                 chunk_s: float = DEFAULT_CHUNK_S) -> DataFrame:
-    """W6 + W7 + W8: per-packet window features and the smoothed ``packet_rate``."""
-    return ewma_rate(trailing_features(df, key, th, chunk_s), key, th, chunk_s=chunk_s)
+                 chunk_s: float = DEFAULT_CHUNK_S, stage: bool = True) -> DataFrame:
+    """W6 + W7 + W8: per-packet window features and the smoothed ``packet_rate``.
+
+    The EWMA's cross-chunk carry joins a per-chunk summary back to the rows;
+    with ``stage`` the window features are written once first, so the summary
+    branch re-scans that table instead of repeating the shuffle and windows."""
+    t = trailing_features(df, key, th, chunk_s)
+    if stage:
+        from floodlens.session import materialize
+        t = materialize(t, "trailing")
+    return ewma_rate(t, key, th, chunk_s=chunk_s)
 
 
 def running_session_stats(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,

@@ -94,11 +94,12 @@ def test_rates_match_fold(spark, seed):
         assert g["packet_rate"] == pytest.approx(ewma, abs=1e-9)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_state_machine_matches_fold(spark, seed):
+@pytest.mark.parametrize("seed,chunk_s", [(3, 2.0), (4, 1.0), (5, 1.0)])
+def test_state_machine_matches_fold(spark, seed, chunk_s):
+    """Bursts last ~2.5 s, so with 1 s chunks an island spans several chunks."""
     rows = _packets(seed)
     df = spark.createDataFrame(rows, "pkt_id long, ts_us long, session_id string, size int")
-    rates = packet_rates(df, "session_id", TH, chunk_s=2.0)
+    rates = packet_rates(df, "session_id", TH, chunk_s=chunk_s)
     det = mitigation_trigger(detection_state(rates, TH), TH).collect()
     by = {}
     for r in det:
