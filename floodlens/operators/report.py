@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodlens.operators.sequence import exact_percentiles
 from floodlens.functions.numeric import q
 
 
@@ -104,6 +105,7 @@ def packet_summary(pk: DataFrame, size: str = "size") -> DataFrame:
     """A10: packets, bytes, duration, pps (0 when duration is 0), mean and
     median size, distinct src / dst."""
     dur = (F.max("ts_us") - F.min("ts_us")) / F.lit(1_000_000.0)
+    # the exact median's state is one count per distinct size: bounded by the size domain (< 65,536)
     a = pk.agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col(size).cast("long")).alias("bytes"),
                dur.alias("_dur"), F.avg(size).alias("_mean"), F.median(F.col(size).cast("double")).alias("_med"),
                F.countDistinct("src").alias("unique_src"), F.countDistinct("dst").alias("unique_dst"))
@@ -114,8 +116,7 @@ def packet_summary(pk: DataFrame, size: str = "size") -> DataFrame:
 
 def five_numbers(df: DataFrame, value: str, by: str) -> DataFrame:
     """Min, p25, median, p75, max (linear interpolation, exact)."""
-    p = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    a = df.groupBy(by).agg(p.alias("_p"))
+    a = exact_percentiles(df, value, [by], [0.0, 0.25, 0.5, 0.75, 1.0])
     names = ["min", "p25", "p50", "p75", "max"]
     return a.select(by, *[q(F.col("_p")[i]).alias(n) for i, n in enumerate(names)])
 
@@ -139,8 +140,7 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (clipped to the data) and outlier count per group."""
-    qs = df.groupBy(by).agg(F.percentile(F.col(value).cast("double"),
-                                         F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    qs = exact_percentiles(df, value, [by], [0.25, 0.5, 0.75], out="_q")
     qs = qs.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     qs = qs.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
            .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))

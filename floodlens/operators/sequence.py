@@ -207,3 +207,50 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", label: str = "ra
     return (t.join(F.broadcast(off), "_pid")
             .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
             .drop("_pid", "_mid", "_m0", "_off"))
+
+
+def exact_percentiles(df: DataFrame, value: str, by: list[str], probs: list[float], out: str = "_p",
+                      buckets: int = 65536) -> DataFrame:
+    """Exact linear-interpolated percentiles per group (the ``percentile`` /
+    ``quantile_cont`` definition) without holding a group's values in one task.
+
+    Needed ranks are ``floor/ceil((n - 1) p)``.  A histogram of ``buckets``
+    equal-width value buckets per group (partial aggregation) locates the
+    bucket of each needed rank; only those buckets' values are then counted by
+    distinct value (again partially aggregated, so one hot value is one row),
+    and the value covering the rank is read off the cumulative counts.
+    Returns ``by`` + ``out`` (array in the order of ``probs``)."""
+    from floodlens.session import materialize
+
+    v = F.col(value).cast("double")
+    # the passes below read the input several times: write the narrow projection once
+    x = materialize(df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull()), "percentile-input")
+    st = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
+    bk = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
+        F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).cast("int")
+    xb = x.join(st, by).withColumn("_bk", bk)  # one row per group: AQE broadcasts it when small
+    hist = xb.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    wb = Window.partitionBy(*by).orderBy("_bk")  # at most `buckets` rows per group
+    hist = hist.withColumn("_cum", F.sum("_c").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    # the ranks each percentile needs (0-based)
+    pos = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
+    need = st.select(*by, "_n", pos.alias("_q")).select(
+        *by, F.col("_q.i").alias("_i"), ((F.col("_n") - 1) * F.col("_q.p")).alias("_h"))
+    ranks = (need.select(*by, "_i", "_h", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))).alias("_k"))
+             .withColumn("_k", F.col("_k").cast("long")))
+    at = (ranks.join(hist, by).filter((F.col("_cum") > F.col("_k")) & (F.col("_cum") - F.col("_c") <= F.col("_k")))
+          .select(*by, "_i", "_h", "_k", "_bk", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_kin")))
+    sel = at.select(*by, "_bk").distinct()
+    vals = (xb.join(sel, [*by, "_bk"], "left_semi").groupBy(*by, "_bk", "_v").agg(F.count(F.lit(1)).alias("_vc")))
+    wv = Window.partitionBy(*by, "_bk").orderBy("_v")  # distinct values of one needed bucket
+    vals = vals.withColumn("_vcum", F.sum("_vc").over(wv.rowsBetween(Window.unboundedPreceding, 0)))
+    kv = (at.join(vals, [*by, "_bk"])
+          .filter((F.col("_vcum") > F.col("_kin")) & (F.col("_vcum") - F.col("_vc") <= F.col("_kin")))
+          .select(*by, "_i", "_h", "_k", "_v"))
+    lo = kv.filter(F.col("_k") == F.floor("_h")).select(*by, "_i", "_h", F.col("_v").alias("_vl"))
+    hi = kv.filter(F.col("_k") == F.ceil("_h")).select(*by, "_i", F.col("_v").alias("_vh"))
+    res = lo.join(hi, [*by, "_i"]).select(
+        *by, "_i", (F.col("_vl") + (F.col("_h") - F.floor("_h")) * (F.col("_vh") - F.col("_vl"))).alias("_x"))
+    return res.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_s")) \
+        .select(*by, F.transform("_s", lambda e: e["_x"]).alias(out))

@@ -117,3 +117,19 @@ def test_global_rank_matches_sort(spark):
     got = {(r["k"], r["v"]): r["rank"] for r in global_rank(df, [F.desc("count"), F.asc("k"), F.asc("v")]).collect()}
     order = sorted(((r["k"], r["v"], r["count"]) for r in df.collect()), key=lambda t: (-t[2], t[0], t[1]))
     assert got == {(k, v): i + 1 for i, (k, v, _) in enumerate(order)}
+
+
+def test_exact_percentiles_match_spark(spark):
+    import random
+    from floodlens.operators.sequence import exact_percentiles
+    rnd = random.Random(9)
+    rows = [("a", rnd.random() * 100) for _ in range(3000)] + [("a", 42.0)] * 2000 \
+        + [("b", float(rnd.randint(0, 5))) for _ in range(501)] + [("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r["g"]: r["_p"] for r in exact_percentiles(df, "v", ["g"], probs, buckets=64).collect()}
+    ref = {r["g"]: r["p"] for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("p")).collect()}
+    assert set(got) == set(ref)
+    for g in ref:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], ref[g])), (g, got[g], ref[g])
