@@ -72,6 +72,14 @@ def stratified_split(df: DataFrame, id_cols: list[str], test_fraction: float = 0
             .drop("_bk", "_cut_h"))
 
 
+# ----------------------------------------------------------------------- M10
+def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    """Balanced weights n / (classes * n_class) per label."""
+    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy()  # over the per-label counts (one row per class)
+    return c.withColumn("weight", q(F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))))
+
+
 # ------------------------------------------------------------------ M5 / M6
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """M5: 2x2 matrix over a fixed spine (empty cells are 0)."""

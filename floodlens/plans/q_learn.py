@@ -210,3 +210,36 @@ def m03(spark, sf):
     rows = [(f, float(m), float(sd)) for f, m, sd in zip(kept, sc.mean.toArray(), sc.std.toArray())]
     return spark.createDataFrame(rows, "feature string, mean double, std double") \
         .select("feature", q("mean").alias("mean"), q("std").alias("std"))
+
+
+@register("m10_class_weights", DS_SQL + f"""
+SELECT label, count(*) AS n,
+       {q_sql('(SELECT count(*) FROM spl WHERE NOT is_test) / (2.0 * count(*))')} AS weight
+FROM spl WHERE NOT is_test GROUP BY label""")
+def m10(spark, sf):
+    """Balanced class weights of the train split, n / (classes * n_class)."""
+    return L.class_weights(split(spark, sf).filter(~F.col("is_test")))
+
+
+@register("m09_constant_features")
+def m09(spark, sf):
+    """M9: features with zero variance on the train split are dropped before
+    scaling (one row per feature: kept or not)."""
+    from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
+    from floodlens.schemas import FEATURE_COLUMNS
+    train = split(spark, sf).filter(~F.col("is_test"))
+    vec = VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="_raw").transform(train)
+    sel = VarianceThresholdSelector(featuresCol="_raw", outputCol="_sel", varianceThreshold=0.0).fit(vec)
+    kept = set(sel.selectedFeatures)  # indices into the 7 feature columns (model metadata)
+    rows = [(f, i in kept) for i, f in enumerate(FEATURE_COLUMNS)]
+    return spark.createDataFrame(rows, "feature string, kept boolean")
+
+
+@register("m07_row_scoring")
+def m07(spark, sf):
+    """M7: every feature row scored by a fitted model (a compact one: 16
+    random features, 10 passes); a row the model cannot score gets 0.
+    Result: rows per (label, prediction)."""
+    sp = materialize(split(spark, sf), "split")
+    model = L.train_classifier(sp.filter(~F.col("is_test")), c_param=10.0, n_components=16, max_iter=10)
+    return L.score(model, sp).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
