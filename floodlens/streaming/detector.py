@@ -148,9 +148,13 @@ def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None):
 
 
 def detector_stream(rows: DataFrame, th: Thresholds = DEFAULT, mitigate: bool = False,
-                    max_age_s: float | None = None, key: str = "session_id") -> DataFrame:
+                    max_age_s: float | None = None, key: str = "session_id", evict_idle: bool = True) -> DataFrame:
     """Per-packet detector rows of a packet stream (needs ``session_id``,
-    ``src_ip``, ``pkt_id``, ``ts_us``, ``size`` and a watermark)."""
+    ``src_ip``, ``pkt_id``, ``ts_us``, ``size`` and a watermark).  Idle
+    sessions are evicted after ``max_age_s`` (default: the thresholds'
+    ``session_max_age_s``) so the state store holds live sessions only."""
+    if max_age_s is None and evict_idle:
+        max_age_s = th.session_max_age_s
     x = rows.select(F.col(key).alias("session_id"), "src_ip", "pkt_id", "ts_us", F.col("size").cast("long"),
                     "event_time")
     timeout = GroupStateTimeout.EventTimeTimeout if max_age_s else GroupStateTimeout.NoTimeout

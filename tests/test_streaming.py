@@ -91,3 +91,23 @@ def test_late_rows_are_not_folded(spark):
     det = run_available_now(detector_stream(_slice(pk), TH), "t-late")
     second_half = _slice(packets(spark, SF_SMALL)).filter(F.col("ts_us") >= mid // 43200)
     assert det.count() == second_half.count()
+
+
+def test_idle_session_is_evicted(spark):
+    """ST4 in the stateful detector: after an idle gap longer than the max age
+    the session starts over (counters from 1, window and EWMA from zero)."""
+    import uuid
+    d = f"{checkpoint_dir(spark).rstrip('/')}/idle-{uuid.uuid4().hex[:8]}"
+    first = [(i, 1_000_000 + i * 100_000, "s", "10.0.0.1", 100) for i in range(1, 6)]
+    later = [(10 + i, 20_000_000 + i * 100_000, "s", "10.0.0.1", 100) for i in range(1, 4)]
+    schema = "pkt_id long, ts_us long, session_id string, src_ip string, size int"
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(d)
+    time.sleep(1.1)
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(d)
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
+         .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", "0 seconds"))
+    out = run_available_now(detector_stream(s, TH, max_age_s=5.0), "t-idle")
+    got = {r["pkt_id"]: (r["packet_count"], r["pkt_count_1s"]) for r in out.collect()}
+    assert got[5] == (5, 5)
+    assert [got[k][0] for k in (11, 12, 13)] == [1, 2, 3]
+    assert got[11][1] == 1
