@@ -80,6 +80,9 @@ def build(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, log_suppres
         F.when(watched_row, F.col("attacker_segment")).otherwise("NORMAL_HOST").alias("attacker_segment"),
         note.alias("event_note"))
     ev = with_switch_name(ev, "dpid", "dpid_name", dims)
+    # the event log is the pipeline's written table: reports read it, never recompute it
+    ev = materialize(ev, "event-log")
+    drops = materialize(drops, "first-drops")
     return ev, mitigation_log(drops, th, dims), drops
 
 
