@@ -82,7 +82,6 @@ def build(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, log_suppres
     ev = with_switch_name(ev, "dpid", "dpid_name", dims)
     # the event log is the pipeline's written table: reports read it, never recompute it
     ev = materialize(ev, "event-log")
-    drops = materialize(drops, "first-drops")
     return ev, mitigation_log(drops, th, dims), drops
 
 
@@ -159,3 +158,12 @@ FROM rl LEFT JOIN sw ON rl.dpid = sw.s_dpid)""",
 def q_sql_(e, d):
     from floodlens.functions.numeric import q_sql
     return q_sql(e, d)
+
+
+def first_drops(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float) -> DataFrame:
+    """The first activation of every watched source, without building the
+    whole event log: a session's rates depend on its own packets only, so the
+    detector over the attack slice alone gives the same triggers."""
+    from floodlens.operators.detect import first_activation
+    from floodlens.plans.detector import detector
+    return first_activation(detector(pk, th, dims, chunk_s))

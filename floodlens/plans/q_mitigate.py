@@ -64,7 +64,7 @@ SELECT d.drop_us AS ts_us, d.src_ip, coalesce(w_host, 'UNKNOWN') AS attacker_hos
        {int(TH.hard_timeout_s)} AS hard_timeout
 FROM drops d LEFT JOIN wl ON d.src_ip = wl.w_ip LEFT JOIN sw ON wl.w_dpid = sw.s_dpid""")
 def s02rows(spark, sf):
-    drops = _build(spark, sf)[2]
+    drops = eventlog.first_drops(packets(spark, sf), TH, DIMS, CHUNK_S)
     return mitigation_log(drops, TH, DIMS, with_release=False)
 
 
@@ -91,7 +91,7 @@ CLEAN = f"""
 SELECT src_ip, protocol, count(*) AS n FROM cl GROUP BY src_ip, protocol""")
 def j05(spark, sf):
     pk = packets(spark, sf)
-    drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
+    drops = eventlog.first_drops(pk, TH, DIMS, CHUNK_S)
     return exclude_post_drop(pk, drops, V).groupBy("src_ip", "protocol").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -104,7 +104,7 @@ WHERE p.protocol = 'ICMP' AND p.dst_ip = '{V}' AND p.src_ip IN ({WL})
 GROUP BY p.src_ip""")
 def a09(spark, sf):
     pk = packets(spark, sf)
-    drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
+    drops = eventlog.first_drops(pk, TH, DIMS, CHUNK_S)
     atk = pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == V) & F.col("src_ip").isin(DIMS.watch_ips))
     return pre_post_counts(atk, drops)
 
@@ -117,7 +117,7 @@ WHERE p.protocol = 'ICMP' AND p.dst_ip = '{V}' AND p.src_ip IN ({WL})
 GROUP BY ROLLUP (p.src_ip)""")
 def a23(spark, sf):
     pk = packets(spark, sf)
-    drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
+    drops = eventlog.first_drops(pk, TH, DIMS, CHUNK_S)
     atk = pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == V) & F.col("src_ip").isin(DIMS.watch_ips))
     j = atk.join(drops, "src_ip", "left")
     return j.rollup("src_ip").agg(
@@ -132,7 +132,7 @@ FROM (SELECT count(*) AS n FROM pk) r, (SELECT count(*) AS n FROM cl) c""")
 def a22(spark, sf):
     from floodlens.operators.report import excluded_summary
     pk = packets(spark, sf)
-    drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
+    drops = eventlog.first_drops(pk, TH, DIMS, CHUNK_S)
     return excluded_summary(pk, exclude_post_drop(pk, drops, V))
 
 
@@ -144,7 +144,7 @@ FULL OUTER JOIN (SELECT protocol, count(*) AS n FROM cl GROUP BY protocol) c ON
 def j09(spark, sf):
     from floodlens.operators.report import raw_clean_diff
     pk = packets(spark, sf)
-    drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
+    drops = eventlog.first_drops(pk, TH, DIMS, CHUNK_S)
     return raw_clean_diff(pk, drops, V)
 
 
@@ -155,7 +155,7 @@ WHERE p.protocol = 'ICMP' AND p.dst_ip = '{V}' AND p.src_ip IN ({WL})
 GROUP BY p.src_ip""")
 def w15(spark, sf):
     pk = packets(spark, sf)
-    drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
+    drops = eventlog.first_drops(pk, TH, DIMS, CHUNK_S)
     atk = pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == V) & F.col("src_ip").isin(DIMS.watch_ips))
     return (atk.groupBy("src_ip").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
             .join(drops, "src_ip", "left"))
@@ -168,7 +168,7 @@ WHERE p.ts_us BETWEEN x.pv - {int(PIVOT_HALF_S * 1e6)} AND x.pv + {int(PIVOT_HAL
 GROUP BY p.src_ip""")
 def f09(spark, sf):
     pk = packets(spark, sf)
-    drops = eventlog.build(pk, TH, DIMS, CHUNK_S)[2]
+    drops = eventlog.first_drops(pk, TH, DIMS, CHUNK_S)
     pv = drops.agg(F.min("drop_us").alias("pivot_us"))
     sl = pivot_slice(pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == V)), pv, PIVOT_HALF_S)
     return sl.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"))

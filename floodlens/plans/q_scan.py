@@ -86,7 +86,7 @@ SELECT src_ip, drop_us AS ts_us FROM drops""")
 def s02scan(spark, sf):
     """The mitigation log (DROP and RELEASE rows) is written as CSV; the S2
     scan keeps the DROP_ICMP rows only."""
-    drops = eventlog.build(A.packets(spark, sf), TH, DIMS, CHUNK_S)[2]
+    drops = eventlog.first_drops(A.packets(spark, sf), TH, DIMS, CHUNK_S)
     log = mitigation_log(drops, TH, DIMS, with_release=True)
     path = _scratch(spark, "mitigation-log")
     IO.append_log(log.select("ts_us", "src_ip", "action"), path)

@@ -130,7 +130,7 @@ SELECT protocol, EXISTS (SELECT 1 FROM iv WHERE pk.ts_us >= iv.start_us AND pk.t
        count(*) AS n
 FROM pk GROUP BY ALL""")
 def st05(spark, sf):
-    drops = eventlog.build(packets(spark, sf), TH, WATCHED, CHUNK_S)[2]
+    drops = eventlog.first_drops(packets(spark, sf), TH, WATCHED, CHUNK_S)
     path = write_table(intervals(drops, TH), "mitigation-intervals")
     pk = packet_stream(spark, sf, "events.parquet").drop("event_time")
     out = run_available_now(pk, "st05", foreach_batch=enrich_batch(spark, path))
