@@ -159,14 +159,22 @@ def sliced_fold(rows: DataFrame, key: str, slice_us: int, fold, out_schema: str,
         if cur is not None:
             yield _frame([], [(cur, st)])
 
+    dtypes = {T.LongType: "Int64", T.IntegerType: "Int32", T.DoubleType: "Float64",
+              T.BooleanType: "boolean", T.StringType: "string"}
+
     def _frame(out_rows, st_rows):
-        o = pd.DataFrame(out_rows, columns=out_cols)
-        o["_kind"] = "row"
-        s = pd.DataFrame([list(v) if v is not None else [None] * len(st_cols) for _, v in st_rows],
-                         columns=st_cols)
-        s["_key"] = [k for k, _ in st_rows]
-        s["_kind"] = "state"
-        return pd.concat([o, s], ignore_index=True).reindex(columns=both.fieldNames())
+        """Rows and state records in one frame, every column with an explicit
+        nullable dtype (no float NaN standing in for a missing long)."""
+        n_o, n_s = len(out_rows), len(st_rows)
+        cols = {}
+        for j, c in enumerate(out_cols):
+            cols[c] = [r[j] for r in out_rows] + [None] * n_s
+        cols["_key"] = [None] * n_o + [k for k, _ in st_rows]
+        for j, c in enumerate(st_cols):
+            cols[c] = [None] * n_o + [(v[j] if v is not None else None) for _, v in st_rows]
+        cols["_kind"] = ["row"] * n_o + ["state"] * n_s
+        return pd.DataFrame({f.name: pd.array(cols[f.name], dtype=dtypes.get(type(f.dataType), object))
+                             for f in both.fields})
 
     x = rows.withColumn("_slice", F.floor(F.col(ts) / F.lit(slice_us)).cast("long"))
     src = write_table(x.withColumn(key, F.col(key).cast("string")), f"{name}-input")

@@ -41,6 +41,9 @@ STATE_SCHEMA = (
     "last_ts long, last_id long, until long, acts int, late long"
 )
 OUT_COLS = [c.strip().split(" ")[0] for c in OUT_SCHEMA.split(",")]
+# explicit nullable dtypes: a missing long stays a null long, never a float NaN
+_DTYPES = {"long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean", "string": "string"}
+OUT_DTYPES = {c.strip().split(" ")[0]: _DTYPES[c.strip().split(" ")[1]] for c in OUT_SCHEMA.split(",")}
 
 
 def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None):
@@ -142,7 +145,7 @@ def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None):
             state.setTimeoutTimestamp(max(last_ts // 1000 + max_age // 1000 + 1,
                                           state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=OUT_COLS)
+            yield pd.DataFrame(out, columns=OUT_COLS).astype(OUT_DTYPES)
 
     return fold
 

@@ -44,7 +44,12 @@ def _slice(pk):
 
 def test_detector_stream_equals_batch(spark, sliced):
     pk = packet_stream(spark, sliced, files_per_trigger=1)
-    det = run_available_now(detector_stream(_slice(pk), TH), "t-st02")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a session's rows in many batches
+    try:
+        det = run_available_now(detector_stream(_slice(pk), TH), "t-st02")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     batch = detector(packets(spark, SF), TH, ALL_SOURCES, CHUNK_S)
     cols = ["pkt_id", "detection_status", "final_prediction", "warning_since_us", "alert_first_seen_us", "trigger"]
     s = {tuple(r) for r in det.select(*cols).collect()}
