@@ -129,33 +129,26 @@ def sliced_fold(rows: DataFrame, key: str, slice_us: int, fold, out_schema: str,
     row_cols = [c for c in rows.columns if c != key]
 
     def run(batches):
-        cur, st, outs, states = None, None, [], []
-
-        def close():
-            if cur is not None:
-                states.append((cur, st))
-
+        cur, st = None, None  # the key being folded and its state (may span batches)
         for pdf in batches:
-            outs, states = [], []
+            outs, finished = [], []
             keys = pdf[key].to_numpy()
             is_state = pdf["_is_state"].to_numpy()
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)]):
                 k = keys[a]
                 if k != cur:
-                    close()
+                    if cur is not None:
+                        finished.append((cur, st))
                     cur, st = k, None
-                if is_state[a]:
+                if is_state[a]:  # a key's carried state sorts before its rows
                     st = tuple(None if pd.isna(v) else v for v in pdf[st_cols].iloc[a])
                     a += 1
                 if b > a:
                     o, st = fold(k, pdf.iloc[a:b], st)
                     outs.extend(o)
-            # emit the finished keys of this batch; the last key may continue
-            done = states
-            if outs or done:
-                yield _frame(outs, done)
-            states = []
+            if outs or finished:
+                yield _frame(outs, finished)
         if cur is not None:
             yield _frame([], [(cur, st)])
 
