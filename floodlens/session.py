@@ -54,3 +54,11 @@ def materialize(df, name: str):
     column pruning and filter pushdown, and survive executor loss without
     recomputing the upstream stages."""
     return df.sparkSession.read.parquet(write_table(df, name))
+
+
+def ensure_utc(spark: SparkSession) -> None:
+    """Event time is epoch µs in UTC throughout the library, and naive text
+    times are converted with an explicit zone (``tz`` arguments).  Casts and
+    formats of timestamps follow the session zone, so it must be UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -37,6 +37,8 @@ def adapter_sql(engine: str = "duckdb", events: str = "events", divisor: int = T
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodlens.session import ensure_utc
+    ensure_utc(spark)
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 

@@ -18,6 +18,8 @@ def event_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
     """``readStream`` over the parquet files of ``directory`` matching ``glob``
     (new files are picked up as they land).  The schema is taken from the
     files' footers, never inferred from rows."""
+    from floodlens.session import ensure_utc
+    ensure_utc(spark)
     schema = spark.read.option("pathGlobFilter", glob).parquet(directory).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_trigger:
