@@ -13,6 +13,7 @@ SAMPLE = [
     "a01_scenario_summary", "a05_attacker_stats", "a08_latency", "a16_size_histogram", "a17_box_stats",
     "w01_dense_mean_rate", "w08_ewma_rate", "w09_flow_features", "w10_phase_segments", "w13_detection_state",
     "w16_near_duplicates", "w18_throttle", "t01_top_sources", "m02_stratified_split", "m08_threshold_sweep",
+    "st02_detector_stream", "s04_capture_text_scan", "m10_class_weights", "t02_sorted_counts",
 ]
 
 
