@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontaminate import find_contamination
 from .url_rules import judge_urls
+from .windows import remove_repeated_windows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +74,22 @@ def op7(spark, sf_dir):
     found = find_contamination(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_TOKENS = "[^\\x20\\x09-\\x0D]+"
+
+
+@register("op6_window_dedup", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_TOKENS}') AS w FROM documents),
+win AS (
+  SELECT rid, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS key
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT key, min(doc_id) AS first_id FROM win GROUP BY key),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM win JOIN firsts USING (key) WHERE first_id < doc_id),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)""")
+def op6(spark, sf_dir):
+    cut = remove_repeated_windows(read(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
