@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import text_bytes
@@ -125,7 +126,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     sent = blocks.groupBy("_block").applyInArrow(_send(cols, width, layout.buckets), "bucket int, block int, payload binary")
     replies = sent.groupBy("bucket").applyInArrow(_count, "bucket int, block int, payload binary")
     out = docs.select(*carry).schema
-    for name, kind in zip(ADDED, ("bigint", "bigint", "array<array<bigint>>", "string")):
+    for name, kind in zip(ADDED, (T.LongType(), T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), T.StringType())):
         out = out.add(name, kind)
     return (blocks.groupBy("_block").cogroup(replies.groupBy("block"))
             .applyInArrow(_remove(cols, width, layout.buckets, to_arrow_schema(out)), out))
