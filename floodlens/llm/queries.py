@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .decontaminate import find_contamination
+from .repeats import remove_repeats
 from .url_rules import judge_urls
 from .windows import remove_repeated_windows
 
@@ -93,3 +94,9 @@ FROM d LEFT JOIN kept USING (rid)""")
 def op6(spark, sf_dir):
     cut = remove_repeated_windows(read(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    cut = remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
