@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import read
+from . import language, toxicity
+from .common import fold_of, read
 from .decontaminate import find_contamination
 from .repeats import remove_repeats
 from .url_rules import judge_urls
@@ -100,3 +101,18 @@ def op6(spark, sf_dir):
 def op5(spark, sf_dir):
     cut = remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op9_toxicity")
+def op9(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", fold_of(F.col("doc_id"), 4) == 2)
+    model = toxicity.train(docs.where("NOT held_out"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
+@register("op3_language_id")
+def op3(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0)
+    classifier = language.train(docs.where("NOT held_out"))
+    return language.identify(docs.drop("lang"), classifier).select("doc_id", "held_out", "lang_pred", "score")
