@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import language, lexicon, toxicity
 from .common import fold_of, read
 from .decontaminate import find_contamination
 from .repeats import remove_repeats
@@ -116,3 +117,11 @@ def op3(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0)
     classifier = language.train(docs.where("NOT held_out"))
     return language.identify(docs.drop("lang"), classifier).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op4_bpe")
+def op4(spark, sf_dir):
+    coded = lexicon.encode(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
