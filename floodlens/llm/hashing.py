@@ -11,7 +11,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: words are runs of bytes other than these
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _powers: dict[int, np.ndarray] = {}
 

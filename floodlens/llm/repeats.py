@@ -28,13 +28,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import text_bytes
-from .exchange import BLOCK_BYTES, BUCKET_KEYS, Layout, id_ranks, pack, pack_sorted, slices, unpack, unpack_sorted
+from .exchange import BLOCK_BYTES, Layout, id_ranks, pack, pack_sorted, slices, unpack, unpack_sorted
 from .hashing import PIECE_BYTES, prefix_hash, rolling_hash, span_hash
 
 #: windows that can share an anchor; the q-grams are ``length - SPAN + 1`` bytes
 SPAN = 31
 ANCHOR_BITS, SEGMENT_BITS = 44, 48
 BYTES_PER_SEGMENT = 14
+#: pairs in a bucket, on average; a bucket takes about 200 bytes of memory for each
+PAIRS = 500_000
 ADDED = ("n_bytes", "n_removed", "spans", "kept")
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())])
 SENT_SQL = "bucket int, block int, payload binary"
@@ -146,7 +148,8 @@ def _settle(table: pa.Table) -> pa.Table:
         anchors.append(unpack_sorted(p[4:4 + n]))
         segments.append(unpack(p[4 + n:]))
     sizes = [len(x) for x in anchors]
-    a, s, block = np.concatenate(anchors), np.concatenate(segments), np.repeat(np.arange(len(sizes)), sizes)
+    a, s, block = np.concatenate(anchors), np.concatenate(segments), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    del anchors, segments
     order = np.lexsort((s, a))
     a, s, block = a[order], s[order], block[order]
     new_a = np.concatenate([[True], a[1:] != a[:-1]])
@@ -195,13 +198,15 @@ def previous_factors(text: np.ndarray, start: np.ndarray, document: np.ndarray,
     smaller document reaches ``length``.  In suffix order (by the first
     ``length`` bytes, then the document) a suffix's previous smaller document
     is the head of its run of equal factors, and no next one is smaller."""
-    windows = np.lib.stride_tricks.sliding_window_view(text, length)[start]
-    keys = np.ascontiguousarray(windows).view(np.dtype((np.void, length))).ravel()
-    order = np.lexsort((document, np.unique(keys, return_inverse=True)[1])) if len(keys) else np.zeros(0, np.int64)
-    ordered = windows[order]
-    common = np.concatenate([[False], (ordered[1:] == ordered[:-1]).all(axis=1)]) if len(keys) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(common, 0, np.arange(len(keys))))
-    reached = np.zeros(len(keys), bool)
+    n, words = len(start), -(-length // 8)
+    padded = np.zeros((n, 8 * words), np.uint8)
+    padded[:, :length] = np.lib.stride_tricks.sliding_window_view(text, length)[start]
+    factors = padded.view(">u8").astype(np.uint64)  # compare as the bytes do
+    order = np.lexsort((document, *factors.T[::-1]))
+    factors = factors[order]
+    common = np.concatenate([[False], (factors[1:] == factors[:-1]).all(axis=1)])[:n]
+    head = np.maximum.accumulate(np.where(common, 0, np.arange(n)))
+    reached = np.zeros(n, bool)
     reached[order] = document[order] > document[order][head]
     return reached
 
@@ -300,7 +305,7 @@ def _merge(first: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: list[str] | None = None,
-                   block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, bucket_keys: int = PAIRS) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default) with ``n_bytes``,
     ``n_removed``, ``spans`` (maximal removed byte runs, [first, end)) and
     ``kept`` (the bytes left, binary: a cut may split a character).

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodlens.llm.common import read, sha256_hex
+from floodlens.llm.hashing import PIECE_BYTES
 from floodlens.llm.queries import QUERIES
 from floodlens.llm.repeats import remove_repeats
 from floodlens.llm.windows import remove_repeated_windows
@@ -109,10 +110,10 @@ def test_words_against_brute_force(spark, rows, block_bytes, bucket_keys):
         assert r.n_removed == sum(b - a for a, b in r.spans)
 
 
-def test_long_text_is_cut_into_overlapping_pieces(spark, monkeypatch):
+def test_long_text_is_cut_into_overlapping_pieces(spark):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefgh ") for _ in range(3 << 20))
-    at = (1 << 20) - 20
+    at = 2 * PIECE_BYTES - 20
     rows = [(1, long), (2, "q" * 30 + long[at:at + 70] + "q" * 30), (3, long[:200] + "!" + long[200:400])]
     got = {r.doc_id: (r.n_removed, r.spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_removed", "spans").collect()}
     assert got == {1: (0, []), 2: (70, [[30, 100]]), 3: (400, [[0, 200], [201, 401]])}
