@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language, lexicon, toxicity
+from . import flat_graph, language, lexicon, toxicity
 from .common import fold_of, read
 from .decontaminate import find_contamination
 from .minhash import near_duplicates
@@ -146,3 +146,19 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM least LEFT JOIN n USING (doc_id)""")
 def op8(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), width=4)
+
+
+@register("op2_flat_graph", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.9 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, b FROM reach JOIN link ON link.a = reach.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN n USING (vec_id)""")
+def op2(spark, sf_dir):
+    return flat_graph.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
