@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import flat_graph, language, lexicon, toxicity
+from . import flat_graph, hmm, language, lexicon, toxicity
 from .common import fold_of, read
 from .decontaminate import find_contamination
 from .minhash import near_duplicates
@@ -162,3 +162,9 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM least LEFT JOIN n USING (vec_id)""")
 def op2(spark, sf_dir):
     return flat_graph.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@register("op1_hmm")
+def op1(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return hmm.score_texts(docs, fold_of(F.col("doc_id"), 10) == 0, carry=["doc_id"])
