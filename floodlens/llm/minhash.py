@@ -79,16 +79,16 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, node, keys): ``node`` names the shingle set (null without
+    """(id, text_hash, n_shingles, node, keys): ``node`` names the shingle set (null without
     words), ``keys`` are the buckets of its bands."""
     def run(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(text_bytes(batch.column("text")), width)
         keys = [band_keys(one_permutation(s, bands * rows), bands).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-        return {"id": batch.column("id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+        return {"id": batch.column("id"), "text_hash": batch.column("text_hash"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), "keys": lists}
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(per_batch(run), "id bigint, n_shingles bigint, node bigint, keys array<bigint>"))
+    return (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+            .mapInArrow(per_batch(run), "id bigint, text_hash bigint, n_shingles bigint, node bigint, keys array<bigint>"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -184,7 +184,8 @@ def _open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(``id_col``, n_shingles, component_id, kept), a row for each row of ``docs``.
+    """(``id_col``, n_shingles, component_id, kept, text_hash), a row for each
+    row of ``docs``; ``text_hash`` (xxhash64 of the text) tells rows of one id apart.
 
     Documents are linked when their sets of ``width``-word shingles have
     100 * intersection >= ``percent`` * union; candidates come from shared
@@ -215,4 +216,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = classes.select(F.col("node").alias("own_node"), F.col("id").alias("own"))
     out = signed.drop("keys").join(moved, "node", "left").join(own, F.col("node") == F.col("own_node"), "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("least", "own", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "text_hash")

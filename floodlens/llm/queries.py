@@ -145,7 +145,7 @@ least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least LEFT JOIN n USING (doc_id)""")
 def op8(spark, sf_dir):
-    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), width=4)
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), width=4).drop("text_hash")
 
 
 @register("op2_flat_graph", """

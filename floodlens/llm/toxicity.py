@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return np.array(kept, np.int64), np.array([model[f] for f in kept]), intercept
 
 
-def _scorer(broadcast, text_col: str):
+def _scorer(broadcast, text_col: str, score_col: str):
     def score(batch: pa.RecordBatch) -> dict:
         features, weights, intercept = broadcast.value
         known = np.zeros(1 << FEATURE_BITS, bool)
@@ -139,14 +139,14 @@ def _scorer(broadcast, text_col: str):
             hit = known[feature]
             both = np.unique(((doc[hit] + first) << FEATURE_BITS) | feature[hit])
             total += np.bincount(both >> FEATURE_BITS, weights[np.searchsorted(features, both & ((1 << FEATURE_BITS) - 1))], len(texts))
-        return {n: batch.column(n) for n in batch.schema.names} | {"score": pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())}
+        return {n: batch.column(n) for n in batch.schema.names} | {score_col: pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())}
     return score
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, from 0 to 1, higher for likelier toxic texts (a
-    column of this name is replaced).  Null and empty texts have no features;
-    their score is the intercept's."""
-    base = docs.drop("score")
-    out = base.withColumn("score", F.lit(0.0)).schema
-    return base.mapInArrow(per_batch(_scorer(docs.sparkSession.sparkContext.broadcast(model), text_col)), out)
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``, from 0 to 1, higher for likelier toxic texts
+    (a column of this name is replaced).  Null and empty texts have no
+    features; their score is the intercept's."""
+    base = docs.drop(score_col)
+    out = base.withColumn(score_col, F.lit(0.0)).schema
+    return base.mapInArrow(per_batch(_scorer(docs.sparkSession.sparkContext.broadcast(model), text_col, score_col)), out)
