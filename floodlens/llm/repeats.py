@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import text_bytes
 from .exchange import BLOCK_BYTES, Layout, id_ranks, pack, pack_sorted, slices, unpack, unpack_sorted
-from .hashing import PIECE_BYTES, prefix_hash, rolling_hash, span_hash
+from .hashing import PIECE_BYTES, mix, prefix_hash, rolling_hash, span_hash
 
 #: windows that can share an anchor; the q-grams are ``length - SPAN + 1`` bytes
 SPAN = 31
@@ -86,7 +86,8 @@ def _segments(part: list[tuple[int, int, bytes]], length: int):
     owner = piece[cut]
     text = np.array([k for k, _, _ in part])[owner]
     first = cut - starts[owner] + np.array([f for _, f, _ in part])[owner]
-    return text, first, end - cut, grams[anchor[cut]] >> np.uint64(64 - ANCHOR_BITS), span_hash(prefix, cut, end + length - 1) >> np.uint64(64 - SEGMENT_BITS)
+    named = mix(grams[anchor[cut]])  # scrambled anew: as smallest hashes they would all be in the first buckets
+    return text, first, end - cut, named >> np.uint64(64 - ANCHOR_BITS), span_hash(prefix, cut, end + length - 1) >> np.uint64(64 - SEGMENT_BITS)
 
 
 class _Block:
