@@ -246,12 +246,15 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
     return rows.select("id", "node"), classes
 
 
+def _directions(vectors: list[list[float]]) -> np.ndarray:
+    x = np.array(vectors)
+    return unit(x / np.abs(x).max(axis=1, keepdims=True))  # no overflow, no underflow to zero
+
+
 def _normal(batch: pa.RecordBatch) -> dict:
-    out = []
-    for v in batch.column("vector").to_pylist():
-        x = np.array(v) / np.max(np.abs(v))  # no overflow, no underflow to zero
-        out.append(x / np.linalg.norm(x))
-    return {n: batch.column(n) for n in batch.schema.names} | {"vector": pa.array(out, pa.list_(pa.float64()))}
+    """The vectors of one length as directions."""
+    out = _directions(batch.column("vector").to_pylist())
+    return {n: batch.column(n) for n in batch.schema.names} | {"vector": pa.array(list(out), pa.list_(pa.float64()))}
 
 
 def _assigner(broadcast):
@@ -320,20 +323,23 @@ def audit_recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id",
     """(links, found, recall) over the rows whose id is divisible by ``every``:
     their links by brute force, in blocks, against the ``n_links`` of ``result``."""
     rows, classes = _classes(vectors, id_col, vector_col)
-    full = rows.join(classes.select("node", "vector"), "node")
-    asked = full.where(F.col("id") % every == 0).select("id", "vector").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
-    spread = full.select("id", "vector", F.explode(F.array(*map(F.lit, range(8)))).alias("block"))
+    full = rows.join(classes.select("node", "vector"), "node").select("id", "vector")
+    parts = max(1, -(-full.count() // SLICE))
+    spread = full.select(F.col("vector").alias("x"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("block"))
+    asked = full.where(F.col("id") % every == 0).select("vector", F.pmod(F.xxhash64("id"), F.lit(-(-parts // every))).cast("int").alias("part"),
+                                                        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("at"))
+    asked = asked.groupBy("part", "at").agg(F.collect_list("vector").alias("queries"))  # of about SLICE queries at most
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, n = left.column("id").to_numpy(), np.zeros(left.num_rows, np.int64)
-        for d in {len(v) for v in left.column("vector").to_pylist()}:
-            a = [k for k, v in enumerate(left.column("vector").to_pylist()) if len(v) == d]
-            b = [v for v in right.column("vector").to_pylist() if len(v) == d]
-            if a and b:
-                q = unit(np.array([left.column("vector")[k].as_py() for k in a]))
-                x = unit(np.array(b))
-                n[a] = sum((q @ x[at:at + 4096].T >= threshold).sum(axis=1) for at in range(0, len(x), 4096)) - 1
-        return pa.table({"id": pa.array(ids), "true_links": pa.array(n)})
-    true = asked.groupBy("block").cogroup(spread.groupBy("block")).applyInArrow(count, "id bigint, true_links bigint")
-    both = true.join(result.select(F.col(id_col).alias("id"), "n_links"), "id")
-    return both.agg(F.sum("true_links").alias("links"), F.sum("n_links").alias("found")).withColumn("recall", F.coalesce(F.col("found") / F.col("links"), F.lit(1.0)))
+        n, base = 0, right.column("x").to_pylist()
+        for queries in left.column("queries").to_pylist():
+            for d in {len(v) for v in queries}:
+                same = [v for v in base if len(v) == d]
+                if same:
+                    n += int((_directions([v for v in queries if len(v) == d]) @ _directions(same).T >= threshold).sum())
+        return pa.table({"links": pa.array([n], pa.int64())})
+    true = asked.groupBy("at").cogroup(spread.groupBy("block")).applyInArrow(count, "links bigint")
+    alone = full.where(F.col("id") % every == 0).agg(F.count("*").alias("itself"))
+    found = result.where(F.col(id_col) % every == 0).agg(F.sum("n_links").alias("found"))
+    both = true.agg(F.sum("links").alias("links")).join(alone).join(found)
+    return both.select((F.col("links") - F.col("itself")).alias("links"), "found").withColumn("recall", F.expr("if(links > 0, found / links, 1.0)"))
