@@ -17,6 +17,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,42 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import text_bytes
 
-#: words in the automaton, and pieces of text between spaces that a worker remembers
-LEXICON_WORDS, MEMORY_PIECES = 50_000, 300_000
+#: the least share of all words of one in the lexicon (so it has at most 1 / LEXICON_SHARE), and pieces of text between spaces that a worker remembers
+LEXICON_SHARE, MEMORY_PIECES = 2e-6, 500_000
 #: texts are encoded in runs of about this many bytes
-RUN_BYTES = 1 << 21
+RUN_BYTES = 6 << 20
+
+
+class PairTable:
+    """Numbers of pairs of token ids, in hash tables: what collides in one stands in the next."""
+
+    SLOTS = 20
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        keys, numbers = first << 32 | second, np.arange(len(first))
+        self.missing, self.tables = len(first), []
+        while len(keys):
+            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * len(self.tables) & 0xFFFFFFFFFFFFFFFF)
+            slot = self._slot(keys, factor)
+            held, number = np.full(1 << self.SLOTS, -1), np.zeros(1 << self.SLOTS, np.int32)
+            held[slot], number[slot] = keys, numbers
+            self.tables.append((factor, held, number))
+            left = held[slot] != keys
+            keys, numbers = keys[left], numbers[left]
+
+    def _slot(self, keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return (keys.astype(np.uint64) * factor >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        keys, out = first << 32 | second, np.full(len(first), self.missing)
+        for factor, held, number in self.tables:
+            slot = self._slot(keys, factor)
+            hit = held[slot] == keys
+            out[hit] = number[slot[hit]]
+        return out
 
 
 class Vocabulary:
@@ -48,51 +79,72 @@ class Vocabulary:
             raise ValueError("this tokenizer file has steps that are not known here")
         self.ids: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.made = np.array([self.ids[a + b] for a, b in merges], np.int64)  # by rank
+        self.rank = PairTable(np.array([self.ids[a] for a, _ in merges], np.int64), np.array([self.ids[b] for _, b in merges], np.int64))
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         other = [b for b in range(256) if b not in set(plain)]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+        self.inner = np.array([self.ids[letters[b]] for b in range(256)])
+        self.last = np.array([self.ids[letters[b] + self.end] for b in range(256)])
 
-    def words(self, piece: str) -> list[str | int]:
+    def words(self, piece: bytes) -> list[str | int]:
         """The normalised words of a piece of text, and special tokens as ids."""
-        if self.specials and "<" in piece:
-            return [w for k, part in enumerate(self.specials.split(piece)) for w in ([self.special[part]] if k % 2 else self._plain(part))]
-        return self._plain(piece)
+        text = piece.decode()
+        if piece.isalpha():  # ASCII letters only
+            return [text.lower()]
+        if piece[:-1].isalpha() and text[-1] in ".,":
+            return [text[:-1].lower(), text[-1]]
+        if self.specials and "<" in text:
+            return [w for k, part in enumerate(self.specials.split(text)) for w in ([self.special[part]] if k % 2 else self._plain(part))]
+        return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case goes by single characters
                 return self.pattern.findall("".join(map(str.lower, text)))
+            lower = text.lower()
+            return [lower] if lower.isalpha() else self.pattern.findall(lower)
         return self.pattern.findall(text.lower())
 
-    def merge(self, word: str) -> list[int]:
-        """The ids of one word, by merges of the lowest rank first."""
-        parts = [self.letters[b] for b in word.encode()]
-        parts[-1] += self.end
-        rank, none = self.rank.get, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank(p, none) for p in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == none:
-                break
-            k = ranks.index(best)
-            a, b = parts[k], parts[k + 1]
-            out = parts[:k]
-            n = len(parts)
-            while k < n:
-                if k + 1 < n and parts[k] == a and parts[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return [self.ids[p] for p in parts]
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words in UTF-8, none empty, by merges of the lowest rank
+        first, from the left.  All words go through each round together."""
+        out: list[list[int]] = [[]] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        part, word = self.inner[data], np.repeat(np.arange(len(words)), size)
+        if len(part):
+            part[np.cumsum(size) - 1] = self.last[data[np.cumsum(size) - 1]]
+        none = len(self.made)
+        while len(part):
+            rank = np.full(len(part), none)
+            inside = np.flatnonzero(word[1:] == word[:-1])
+            rank[inside] = self.rank.find(part[inside], part[inside + 1])
+            head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(rank, head)
+            length = np.diff(np.append(head, len(part)))
+            done = least == none
+            ends = np.repeat(done, length)
+            ids = part[ends].tolist()
+            at = 0
+            for w, n in zip(word[head[done]].tolist(), length[done].tolist()):
+                out[w] = ids[at:at + n]
+                at += n
+            hit = np.flatnonzero((rank == np.repeat(least, length)) & ~ends)
+            # of pairs that overlap (aaa), every second one counts from the left
+            run = np.maximum.accumulate(np.where(np.concatenate([[True], hit[1:] != hit[:-1] + 1]), np.arange(len(hit)), 0)) if len(hit) else hit
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            part[hit] = self.made[rank[hit]]
+            keep = ~ends
+            keep[hit + 1] = False
+            part, word = part[keep], word[keep]
+        return out
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -178,50 +230,67 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes and decodes texts; remembers the pieces between spaces that it has met."""
+    """Encodes and decodes texts.  It remembers the first ``memory`` pieces
+    between spaces that it meets (most frequent ones are among them); others
+    are encoded once a run of texts."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, memory: int = MEMORY_PIECES):
         self.vocabulary, self.lexicon, self.memory = vocabulary, lexicon, memory
-        self._forget()
-
-    def _forget(self) -> None:
         self.code: dict[bytes, int] = {}
         self.pieces: list[list[int]] = []
         self.decoded: list[bytes] = []
-
-    def word(self, word: str) -> list[int]:
-        found = self.lexicon.find(word.encode()) if self.lexicon else None
-        return self.vocabulary.merge(word) if found is None else found
-
-    def piece(self, piece: bytes) -> list[int]:
-        return [i for w in self.vocabulary.words(piece.decode()) for i in ([w] if isinstance(w, int) else self.word(w))]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """Tokens joined by a space, as a tokenizer without a decoder does."""
-        return " ".join(map(self.vocabulary.tokens.__getitem__, ids))
+        self.size, self.held = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.tokens = {i: t.encode() for i, t in vocabulary.tokens.items()}
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of pieces: their words are looked up among the remembered
+        pieces and in the lexicon, and what neither holds is merged."""
+        split = list(map(self.vocabulary.words, pieces))
+        found: dict[str | int, list[int]] = {}
+        unseen = []
+        for word in set(chain.from_iterable(split)):
+            if isinstance(word, int):
+                found[word] = [word]
+                continue
+            data = word.encode()
+            known = self.code.get(data)  # a word by itself is a piece
+            ids = self.pieces[known] if known is not None else self.lexicon.find(data) if self.lexicon else None
+            if ids is None:
+                unseen.append(word)
+            else:
+                found[word] = ids
+        found.update(zip(unseen, self.vocabulary.merge([w.encode() for w in unseen])))
+        return [found[words[0]] if len(words) == 1 else [i for w in words for i in found[w]] for words in split]
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        """Tokens joined by a space, as a tokenizer without a decoder does, in UTF-8."""
+        return b" ".join([self.tokens[i] for i in ids])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(number of ids of each text, all ids in turn, decoded texts)."""
-        if len(self.pieces) > self.memory:
-            self._forget()
         split = [t.split() for t in texts]
-        for piece in set().union(*split).difference(self.code):
-            ids = self.piece(piece)
-            self.code[piece] = len(self.pieces)
-            self.pieces.append(ids)
-            self.decoded.append(self.decode(ids).encode())
-        codes = np.array([self.code[p] for words in split for p in words], np.int64)
-        used, place = np.unique(codes, return_inverse=True)
-        ids = [self.pieces[k] for k in used.tolist()]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.int32)
-        start, n = (np.cumsum(size) - size)[place], size[place]
-        where = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        ends = np.cumsum([len(w) for w in split])
-        total = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])]
-        say, code = self.decoded, self.code
-        decoded = [b" ".join([d for p in words if (d := say[code[p]])]) for words in split]
-        return np.diff(total), flat[where] if len(where) else flat[:0], decoded
+        new = list(set().union(*split).difference(self.code))
+        fresh = self.encode_pieces(new)
+        self.code.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
+        self.pieces += fresh
+        self.decoded += map(self.decode, fresh)
+        codes = [list(map(self.code.__getitem__, words)) for words in split]
+        size = np.concatenate([self.size, np.fromiter(map(len, fresh), np.int32, len(fresh))])
+        held = np.concatenate([self.held, np.fromiter(chain.from_iterable(fresh), np.int32)])
+        place = np.fromiter(chain.from_iterable(codes), np.int64, sum(map(len, codes)))
+        start, n = (np.cumsum(size, dtype=np.int64) - size)[place], size[place]
+        ends = np.cumsum(n, dtype=np.int64)
+        where = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        total = np.concatenate([[0], ends])[np.cumsum([0, *map(len, codes)])]
+        say = self.decoded
+        join = (lambda words: b" ".join([say[k] for k in words])) if size.all() else (lambda words: b" ".join([d for k in words if (d := say[k])]))
+        decoded = list(map(join, codes))
+        keep = min(len(self.pieces), max(self.memory, len(self.size)))
+        for piece in new[keep - len(self.size):]:
+            del self.code[piece]
+        del self.pieces[keep:], self.decoded[keep:]
+        self.size, self.held = size[:keep], held[:size[:keep].sum()]
+        return np.diff(total), held[where], decoded
 
 
 _encoders: dict[str, Encoder] = {}
@@ -254,7 +323,7 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
             for text in text_bytes(part.column(text_col)):
                 pieces.update(text.split())
             for piece, n in pieces.items():
-                for w in shared.value.words(piece.decode()):
+                for w in shared.value.words(piece):
                     if not isinstance(w, int):
                         words[w] += n
             if len(words) > MEMORY_PIECES:
@@ -263,25 +332,27 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
     return docs.select(text_col).mapInArrow(count, "word string, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the ``size`` most frequent words (ties by word)."""
-    top = count_words(docs, vocabulary, text_col).orderBy(F.desc("count"), "word").limit(size).select("word").collect()
-    return compile_lexicon((w, vocabulary.merge(w.decode())) for w in sorted(r.word.encode() for r in top))
+def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", share: float = LEXICON_SHARE) -> bytes:
+    """The compiled lexicon of the words that make up ``share`` or more of all words."""
+    counts = materialize(count_words(docs, vocabulary, text_col), "piece-words")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    words = sorted(r.word.encode() for r in counts.where(F.col("count") >= share * total).select("word").collect())
+    return compile_lexicon(zip(words, vocabulary.merge(words)))
 
 
-def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", carry: list[str] | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", carry: list[str] | None = None, lexicon_share: float = LEXICON_SHARE) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default) with ``ids`` (token
     ids, without added special tokens; special tokens in a text are encoded as
     such) and ``decoded`` (the ids' tokens, special ones too, joined by spaces).
 
     ``vocabulary_path`` is read on the driver and sent to the tasks, as is the
-    lexicon of at most ``lexicon_words`` words.  Null and empty texts have no
+    lexicon of at most ``1 / lexicon_share`` words.  Null and empty texts have no
     ids; columns of ``docs`` with the added names are replaced."""
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = Vocabulary(f.read())
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("ids", "decoded")]
-    shared = spark.sparkContext.broadcast((vocabulary, build_lexicon(docs, vocabulary, text_col, lexicon_words)))
+    shared = spark.sparkContext.broadcast((vocabulary, build_lexicon(docs, vocabulary, text_col, lexicon_share)))
     key = uuid.uuid4().hex
 
     def run(batches):
