@@ -66,7 +66,6 @@ class Thresholds:
     session_max_age_s: float = 300.0
     sweep_s: float = 120.0
     edge_rate: float = 5.0         # training edge cleanup
-    ewma_terms: int = 81           # EWMA truncation (error <= (1-alpha)^terms * max)
 
     def with_(self, **kw) -> "Thresholds":
         return replace(self, **kw)

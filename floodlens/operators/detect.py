@@ -6,8 +6,8 @@ rate and the attack rate is above the warning rate, so an alert row is
 always hot and NORMAL <=> ``rate < warn``.  A cold row resets every
 since-time; an *island* is a cold row and the hot rows that follow it.
 Per island: ``warning_since`` = first hot row, ``alert_first_seen`` = first
-alert row at or before the current row.  The island key is the timestamp of
-the last cold row.  Every step stays on the rows' ``(session, chunk)``
+alert row at or before the current row.  The island key is the place
+(timestamp, packet id) of the last cold row.  Every step stays on the rows' ``(session, chunk)``
 partitioning: inside a chunk the island values are window minima over
 ``(session, chunk, island)``; an island that began in an earlier chunk gets
 its values from a carry over the per-chunk summaries (one row per chunk),
@@ -23,7 +23,14 @@ from pyspark.sql import functions as F
 from floodlens.config import DEFAULT, Thresholds
 from floodlens.operators.sequence import CHUNK, chunk_window, prefix_carry
 
-NO_ISLAND = -(2 ** 63)
+
+def _place(ts: Column, pkt: Column) -> Column:
+    """A place in a session; rows of one timestamp keep their order by ``pkt_id``."""
+    return F.struct(ts.cast("long").alias("c"), pkt.cast("long").alias("i"))
+
+
+def _no_island() -> Column:
+    return _place(F.lit(-(2 ** 63)), F.lit(-(2 ** 63)))
 
 
 def prediction_guard(rate: Column, th: Thresholds = DEFAULT, model_pred: Column | None = None) -> Column:
@@ -77,7 +84,7 @@ def _island_carry(summ: DataFrame, key: str, cand: str, out: str) -> DataFrame:
 def _after_last_cold(flag: Column) -> Column:
     """Per chunk: the first ``ts_us`` of a flagged row after the chunk's last
     cold row (a struct max over (last cold so far, -ts))."""
-    return F.max(F.when(flag, F.struct(F.coalesce(F.col("_lc_in"), F.lit(NO_ISLAND)).alias("l"),
+    return F.max(F.when(flag, F.struct(F.coalesce(F.col("_lc_in"), _no_island()).alias("l"),
                                        (-F.col("ts_us")).alias("t"))))
 
 
@@ -94,23 +101,22 @@ def detection_state(df: DataFrame, th: Thresholds = DEFAULT, key: str = "session
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = (df.withColumn("final_prediction", pred)
             .withColumn("_hot", hot)
-            .withColumn("_cold_ts", F.when(~hot, F.col("ts_us")))
+            .withColumn("_cold", F.when(~hot, _place(F.col("ts_us"), F.col("pkt_id"))))
             .withColumn("_nx", F.lead("ts_us").over(w))
             # last cold row so far in the chunk, and the row after it (= the island's first hot row)
-            .withColumn("_lc", F.max(F.when(~hot, F.struct(F.col("ts_us").alias("c"), F.col("_nx").alias("n"))))
-                        .over(run))
-            .withColumn("_lc_in", F.col("_lc.c")))
-    mc = F.coalesce(F.col("_mc"), F.lit(NO_ISLAND))
+            .withColumn("_lc", F.max(F.when(~hot, F.struct(F.col("_cold").alias("p"), F.col("_nx").alias("n")))).over(run))
+            .withColumn("_lc_in", F.col("_lc.p")))
+    mc = F.coalesce(F.col("_mc"), _no_island())
 
     # round 1 (input only): last cold row and first hot row of the open island
     s1 = (rows.groupBy(key, CHUNK)
-          .agg(F.max("_cold_ts").alias("_mc"), F.min(F.when(F.col("_hot"), F.col("ts_us"))).alias("_fh"),
+          .agg(F.max("_cold").alias("_mc"), F.min(F.when(F.col("_hot"), F.col("ts_us"))).alias("_fh"),
                F.max("_lc").alias("_last")))
     s1 = s1.withColumn("_cand", F.when(F.col("_mc").isNull(), F.col("_fh")).otherwise(F.col("_last.n")))
     c1 = (prefix_carry(s1, [key], {"_lc_prev": ("max", "_mc")})
           .join(_island_carry(s1, key, "_cand", "_ws_carry"), [key, CHUNK]))
     rows = (rows.join(c1, [key, CHUNK], "left")
-            .withColumn("_island", F.coalesce(F.greatest("_lc_in", "_lc_prev"), F.lit(NO_ISLAND))))
+            .withColumn("_island", F.coalesce(F.greatest("_lc_in", "_lc_prev"), _no_island())))
     # rows before the chunk's first cold row are all hot: the chunk's first row opens their part
     ws = F.when(F.col("_lc_in").isNotNull(), F.col("_lc.n")).otherwise(
         F.coalesce(F.col("_ws_carry"), F.first("ts_us").over(run)))
@@ -122,13 +128,13 @@ def detection_state(df: DataFrame, th: Thresholds = DEFAULT, key: str = "session
 
     # round 2: first alert row of the open island
     s2 = (rows.groupBy(key, CHUNK)
-          .agg(F.max("_cold_ts").alias("_mc"), F.min(F.when(F.col("_alert"), F.col("ts_us"))).alias("_fa"),
+          .agg(F.max("_cold").alias("_mc"), F.min(F.when(F.col("_alert"), F.col("ts_us"))).alias("_fa"),
                _after_last_cold(F.col("_alert")).alias("_aa")))
     s2 = s2.withColumn("_cand", F.when(F.col("_mc").isNull(), F.col("_fa"))
                        .when(F.col("_aa.l") == mc, -F.col("_aa.t")))
     rows = (rows.join(_island_carry(s2, key, "_cand", "_afs_carry"), [key, CHUNK], "left")
             .withColumn("_fa_run", _after_last_cold(F.col("_alert")).over(run)))
-    lc = F.coalesce(F.col("_lc_in"), F.lit(NO_ISLAND))
+    lc = F.coalesce(F.col("_lc_in"), _no_island())
     in_chunk = F.when(F.col("_fa_run.l") == lc, -F.col("_fa_run.t"))
     afs = F.when(F.col("_lc_in").isNotNull(), in_chunk).otherwise(F.coalesce(F.col("_afs_carry"), in_chunk))
     return (rows
@@ -137,7 +143,7 @@ def detection_state(df: DataFrame, th: Thresholds = DEFAULT, key: str = "session
                         .otherwise("WARNING"))
             .withColumn("warning_since_us", F.when(F.col("_hot"), F.col("_ws")))
             .withColumn("alert_first_seen_us", F.when(F.col("_hot"), afs))
-            .drop("_hot", "_ws", "_alert", "_cold_ts", "_nx", "_lc", "_lc_in", "_lc_prev", "_ws_carry",
+            .drop("_hot", "_ws", "_alert", "_cold", "_nx", "_lc", "_lc_in", "_lc_prev", "_ws_carry",
                   "_afs_carry", "_fa_run"))
 
 

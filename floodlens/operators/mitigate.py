@@ -143,7 +143,7 @@ def mitigation_cycle(rows: DataFrame, th: Thresholds = DEFAULT, slice_s: float =
     if "trigger" in rows.columns:
         x = x.join(rows.filter(F.col("trigger")).select("src_ip").distinct(), "src_ip", "left_semi")
     x = x.select("src_ip", "ts_us", "pkt_id", "packet_rate", "final_prediction",
-                 F.col("_island").alias("_cold_n"))
+                 F.col("_island").cast("string").alias("_cold_n"))
 
     def fold(src, pdf, st):
         until, ws, afs, last_cold, k = st if st else (None, None, None, None, 0)
@@ -151,7 +151,7 @@ def mitigation_cycle(rows: DataFrame, th: Thresholds = DEFAULT, slice_s: float =
         ts = pdf["ts_us"].to_numpy(np.int64).tolist()
         rate = pdf["packet_rate"].to_numpy(float).tolist()
         pred = pdf["final_prediction"].to_numpy(np.int64).tolist()
-        cold = pdf["_cold_n"].to_numpy(np.int64).tolist()
+        cold = pdf["_cold_n"].tolist()
         for i in range(len(ts)):
             t = ts[i]
             if until is not None:
@@ -173,4 +173,4 @@ def mitigation_cycle(rows: DataFrame, th: Thresholds = DEFAULT, slice_s: float =
         return out, (until, ws, afs, last_cold, k)
 
     return sliced_fold(x, "src_ip", int(round(slice_s * 1_000_000)), fold, CYCLE_SCHEMA,
-                       "until long, ws long, afs long, last_cold long, k int", "mitigation-cycle")
+                       "until long, ws long, afs long, last_cold string, k int", "mitigation-cycle")

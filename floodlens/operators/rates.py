@@ -35,7 +35,13 @@ def _chunk_us(chunk_s: float, th: Thresholds) -> int:
 
 def trailing_features(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,
                       chunk_s: float = DEFAULT_CHUNK_S, size: str = "size") -> DataFrame:
-    """W6 + W7 per packet over the closed trailing window ``[ts - window, ts]``.
+    """W6 + W7 per packet over the closed trailing window ``[ts - window, ts]``,
+    as the sequential detector sees it: packets up to and including this one in
+    (ts, pkt_id) order, so of equal timestamps only the earlier ones count.
+
+    A packet enters the running sums at its time and leaves them after
+    everything at time + window, so the cost is linear in the packets however
+    dense a flood is, and the sums are exact integers.
 
     Adds ``pkt_count_1s`` (long), ``byte_count_1s`` (long), ``avg_pkt_size``,
     ``pkt_size_std`` (population, 0 when n <= 1), ``inter_arrival_std``
@@ -45,29 +51,40 @@ def trailing_features(df: DataFrame, key: str = "session_id", th: Thresholds = D
     cu = _chunk_us(chunk_s, th)
     ctx = with_time_context(df, cu, th.window_us)
     w = chunk_window([key], ["ts_us", "pkt_id"])
-    frame = Window.partitionBy(key, CHUNK).orderBy("ts_us").rangeBetween(-th.window_us, 0)
-    g = F.col("ts_us") - F.lag("ts_us").over(w)
-    t = (ctx.withColumn("_g2", g * g)
-         .withColumn("pkt_count_1s", F.count(F.lit(1)).over(frame))
-         .withColumn("byte_count_1s", F.sum(F.col(size).cast("long")).over(frame))
-         .withColumn("_sz_std", F.stddev_pop(F.col(size).cast("double")).over(frame))
-         .withColumn("_t0", F.min("ts_us").over(frame))
-         .withColumn("_t1", F.max("ts_us").over(frame))
-         .withColumn("_g2sum", F.sum("_g2").over(frame))
-         .withColumn("_g2first", F.first("_g2").over(frame))
-         .filter(~F.col(CTX)).drop(CTX))
-    n = F.col("pkt_count_1s")
-    gaps = (n - 1).cast("double")
-    mean_g = (F.col("_t1") - F.col("_t0")).cast("double") / gaps
-    sum_g2 = (F.coalesce(F.col("_g2sum"), F.lit(0)) - F.coalesce(F.col("_g2first"), F.lit(0))).cast("double")
-    var_g = F.greatest(sum_g2 / gaps - mean_g * mean_g, F.lit(0.0))
+    sz, gap = F.col(size).cast("long"), F.col("ts_us") - F.lag("ts_us").over(w)
+    # a gap counts while both of its packets are in the window
+    rows = (ctx.withColumn("_sz", F.coalesce(sz, F.lit(0)))
+            .withColumn("_known", sz.isNotNull().cast("long"))
+            .withColumn("_gap", F.when(gap <= th.window_us, gap).otherwise(F.lit(0)))
+            .withColumn("_next", F.coalesce(F.lead("_gap").over(w), F.lit(0))))
+
+    def event(at: Column, leaves: int, sign: int, g: Column) -> Column:
+        x = F.lit(sign)
+        return F.struct(at.alias("t"), F.lit(leaves).alias("leaves"), x.cast("long").alias("n"), (x * F.col("_known")).alias("k"),
+                        (x * F.col("_sz")).alias("b"), (x * F.col("_sz") * F.col("_sz")).alias("b2"),
+                        (x * g).alias("g"), (x * g * g).alias("g2"))
+
+    both = F.array(event(F.col("ts_us"), 0, 1, F.col("_gap")),
+                   event(F.col("ts_us") + F.lit(th.window_us), 1, -1, F.col("_next")))
+    ev = rows.withColumn("_ev", F.explode(both)).filter(
+        (F.col("_ev.leaves") == 0) | (F.col("_ev.t") < (F.col(CHUNK) + 1) * F.lit(cu)))
+    run = (Window.partitionBy(key, CHUNK).orderBy("_ev.t", "_ev.leaves", "pkt_id")
+           .rowsBetween(Window.unboundedPreceding, 0))
+    sums = {f"_{c}": F.sum(f"_ev.{c}").over(run) for c in ("n", "k", "b", "b2", "g", "g2")}
+    t = ev.withColumns(sums).filter((F.col("_ev.leaves") == 0) & ~F.col(CTX))
+    n, known, gaps = F.col("_n"), F.col("_k").cast("double"), (F.col("_n") - 1).cast("double")
+    mean, mean_g = F.col("_b") / known, F.col("_g") / gaps
+    var = F.greatest(F.col("_b2") / known - mean * mean, F.lit(0.0))
+    var_g = F.greatest(F.col("_g2") / gaps - mean_g * mean_g, F.lit(0.0))
     return (t
+            .withColumn("pkt_count_1s", n)
+            .withColumn("byte_count_1s", F.when(F.col("_k") > 0, F.col("_b")))
             .withColumn("avg_pkt_size", F.col("byte_count_1s").cast("double") / n)
-            .withColumn("pkt_size_std", F.when(n > 1, F.col("_sz_std")).otherwise(F.lit(0.0)))
+            .withColumn("pkt_size_std", F.when(n > 1, F.when(F.col("_k") > 0, F.sqrt(var))).otherwise(F.lit(0.0)))
             .withColumn("inter_arrival_std",
                         F.when(n > 2, F.sqrt(var_g) / F.lit(1_000_000.0)).otherwise(F.lit(0.0)))
             .withColumn("raw_rate", n.cast("double") / F.lit(float(th.window_s)))
-            .drop("_g2", "_sz_std", "_t0", "_t1", "_g2sum", "_g2first"))
+            .drop(CTX, "_sz", "_known", "_gap", "_next", "_ev", *sums))
 
 
 def ewma_rate(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,
@@ -76,7 +93,7 @@ def ewma_rate(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,
     """W8 per-packet EWMA ``s = alpha*raw + (1-alpha)*prev`` (prev starts at 0)."""
     if CHUNK not in df.columns:
         df = add_chunk(df, _chunk_us(chunk_s, th))
-    return ewma_in_chunks(df, [key], list(order), raw, out, th.alpha, th.ewma_terms)
+    return ewma_in_chunks(df, [key], list(order), raw, out, th.alpha)
 
 
 def packet_rates(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,

@@ -18,6 +18,8 @@ No step groups more than one chunk of one key.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,39 +59,48 @@ def prefix_carry(summary: DataFrame, keys: list[str], aggs: dict) -> DataFrame:
 
 
 def ewma_in_chunks(df: DataFrame, keys: list[str], order: list[str], raw: str, out: str,
-                   alpha: float, terms: int) -> DataFrame:
+                   alpha: float) -> DataFrame:
     """EWMA ``s = alpha*raw + (1-alpha)*s_prev`` (``s_prev`` starts at 0) per key.
 
-    Inside a chunk: the recurrence folded over the last ``terms`` rows of the
-    chunk (``aggregate`` over a bounded ``collect_list`` frame, JVM-side).  Across
-    chunks: ``s = e + beta^k * S_prev`` where ``S_prev`` is the EWMA at the end
-    of the previous non-empty chunk, from a window over the chunk summaries
-    (only the last ``terms`` chunks can contribute more than ``beta^terms``).
-    Truncation error is at most ``beta^terms * max(raw)``.
+    No term is left out.  With ``beta = 1 - alpha``, a chunk's rows are cut into
+    blocks of as many rows as keep ``beta^-rows`` under 1e100; in a block,
+    ``s`` without its past is ``alpha * beta^k * sum(raw_j * beta^-j)``, one
+    running sum.  Blocks follow each other by ``S = E + beta^n * S_prev``,
+    solved the same way over groups of blocks of the key; what lies two groups
+    back weighs under 1e-100, far below a double's last digit.
 
     ``df`` must hold only own rows (no context copies) and a ``_chunk`` column.
     """
     beta = 1.0 - alpha
-    w = chunk_window(keys, order)
-    rows = (df
-            .withColumn("_k", F.row_number().over(w))
-            .withColumn("_e", F.aggregate(
-                F.collect_list(F.col(raw).cast("double")).over(w.rowsBetween(-(terms - 1), 0)),
-                F.lit(0.0), lambda acc, x: F.lit(alpha) * x + F.lit(beta) * acc)))
-    summ = (rows.groupBy(*keys, CHUNK)
-            .agg(F.count(F.lit(1)).alias("_n"),
-                 F.max_by("_e", F.struct(*[F.col(c) for c in order])).alias("_E")))
-    ws = Window.partitionBy(*keys).orderBy(CHUNK)
-    summ = summ.withColumn("_N", F.sum("_n").over(ws.rowsBetween(Window.unboundedPreceding, 0)))
-    hist = F.collect_list(F.struct("_E", "_N")).over(ws.rowsBetween(-(terms - 1), 0))
-    summ = summ.withColumn(
-        "_S", F.aggregate(hist, F.lit(0.0),
-                          lambda acc, x: acc + x["_E"] * F.pow(F.lit(beta), (F.col("_N") - x["_N"]).cast("double"))))
-    carry = summ.select(*keys, CHUNK, F.lag("_S").over(ws).alias("_Sprev"))
+    if beta <= 0.0:
+        return df.withColumn(out, F.col(raw).cast("double"))
+    size = 1_000_000 if beta >= 1.0 else max(1, min(1_000_000, int(100 / -math.log10(beta))))
+    power = lambda k: F.pow(F.lit(beta), k.cast("double"))
+    pre = Window.unboundedPreceding
+    rows = df.withColumn("_k", F.row_number().over(chunk_window(keys, order)) - 1)
+    rows = rows.withColumn("_blk", F.floor(F.col("_k") / size).cast("int")).withColumn("_k", F.col("_k") % size)
+    in_block = Window.partitionBy(*keys, CHUNK, "_blk").orderBy(*order).rowsBetween(pre, 0)
+    rows = rows.withColumn("_e", F.lit(alpha) * power(F.col("_k")) * F.sum(F.col(raw).cast("double") / power(F.col("_k"))).over(in_block))
+    summ = (rows.groupBy(*keys, CHUNK, "_blk")
+            .agg(F.count(F.lit(1)).alias("_n"), F.max_by("_e", "_k").alias("_E")))
+    ws = Window.partitionBy(*keys).orderBy(CHUNK, "_blk")
+    summ = (summ.withColumn("_N", F.sum("_n").over(ws.rowsBetween(pre, 0)))
+            .withColumn("_grp", F.floor(F.col("_N") / size).cast("long"))
+            .withColumn("_at", F.col("_N") - F.col("_grp") * size))
+    wg = Window.partitionBy(*keys, "_grp").orderBy(CHUNK, "_blk").rowsBetween(pre, 0)
+    summ = summ.withColumn("_F", power(F.col("_at")) * F.sum(F.col("_E") / power(F.col("_at"))).over(wg))
+    ends = summ.groupBy(*keys, "_grp").agg(F.max(F.struct("_N", "_F")).alias("_end"))
+    wk = Window.partitionBy(*keys).orderBy("_grp")
+    ends = ends.select(*keys, "_grp", F.lag("_end").over(wk).alias("_p1"), F.lag("_end", 2).over(wk).alias("_p2"))
+    past = lambda p: F.coalesce(F.col(f"{p}._F") * power(F.col("_N") - F.col(f"{p}._N")), F.lit(0.0))
+    summ = (summ.join(ends, [*keys, "_grp"])
+            .withColumn("_S", F.col("_F") + past("_p1") + past("_p2"))
+            .withColumn("_before", F.coalesce(F.lag("_S").over(ws), F.lit(0.0))))
+    # one row a chunk, its blocks' carries in an array: the rows keep their (key, chunk) partitioning
+    carry = (summ.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(F.struct("_blk", "_before"))).alias("_carry")))
     return (rows.join(carry, [*keys, CHUNK], "left")
-            .withColumn(out, F.col("_e") + F.pow(F.lit(beta), F.col("_k").cast("double"))
-                        * F.coalesce(F.col("_Sprev"), F.lit(0.0)))
-            .drop("_k", "_e", "_Sprev"))
+            .withColumn(out, F.col("_e") + power(F.col("_k") + 1) * F.element_at("_carry", F.col("_blk") + 1)["_before"])
+            .drop("_k", "_blk", "_e", "_carry"))
 
 
 def sliced_fold(rows: DataFrame, key: str, slice_us: int, fold, out_schema: str, state_schema: str,
@@ -170,7 +181,7 @@ def sliced_fold(rows: DataFrame, key: str, slice_us: int, fold, out_schema: str,
                              for f in both.fields})
 
     x = rows.withColumn("_slice", F.floor(F.col(ts) / F.lit(slice_us)).cast("long"))
-    src = write_table(x.withColumn(key, F.col(key).cast("string")), f"{name}-input")
+    src = write_table(x.withColumn(key, F.col(key).cast("string")), f"{name}-input", partition_by=("_slice",))
     ids = [r[0] for r in spark.read.parquet(src).select("_slice").distinct().orderBy("_slice").collect()]
     state = None
     outs = []

@@ -65,26 +65,27 @@ def sql_flows() -> str:
 
 
 def sql_rates(th: Thresholds, src: str = "fl", name: str = "rt") -> str:
-    """W6 + W7 + W8 over ``src`` (needs session_id, ts_us, pkt_id, size)."""
+    """W6 + W7 + W8 over ``src`` (needs session_id, ts_us, pkt_id, size), as the
+    sequential rule: packets up to this one in (ts_us, pkt_id) order."""
     a, b = repr(th.alpha), repr(1.0 - th.alpha)
     return f"""
-{name}_f AS (
-  SELECT *, count(*) OVER w AS pkt_count_1s, sum(CAST(size AS BIGINT)) OVER w AS byte_count_1s,
-         stddev_pop(CAST(size AS DOUBLE)) OVER w AS _sz, list(ts_us) OVER w AS _tl
-  FROM {src}
-  WINDOW w AS (PARTITION BY session_id ORDER BY ts_us RANGE BETWEEN {th.window_us} PRECEDING AND CURRENT ROW)),
+{name}_w AS (
+  SELECT p.session_id AS _s, p.pkt_id AS _p, count(*) AS pkt_count_1s, sum(CAST(x.size AS BIGINT)) AS byte_count_1s,
+         stddev_pop(CAST(x.size AS DOUBLE)) AS _sz, list(x.ts_us ORDER BY x.ts_us, x.pkt_id) AS _tl
+  FROM {src} p JOIN {src} x ON x.session_id = p.session_id AND x.ts_us BETWEEN p.ts_us - {th.window_us} AND p.ts_us
+       AND (x.ts_us < p.ts_us OR x.pkt_id <= p.pkt_id)
+  GROUP BY p.session_id, p.pkt_id),
 {name}_g AS (
-  SELECT *, CAST(byte_count_1s AS DOUBLE) / pkt_count_1s AS avg_pkt_size,
+  SELECT {src}.*, pkt_count_1s, byte_count_1s, CAST(byte_count_1s AS DOUBLE) / pkt_count_1s AS avg_pkt_size,
          CASE WHEN pkt_count_1s > 1 THEN _sz ELSE 0.0 END AS pkt_size_std,
          CASE WHEN pkt_count_1s > 2 THEN
-           list_stddev_pop(list_transform(range(1, len(list_sort(_tl))),
-                           lambda i: CAST(list_sort(_tl)[i + 1] - list_sort(_tl)[i] AS DOUBLE))) / 1000000.0
+           list_stddev_pop(list_transform(range(1, len(_tl)), lambda i: CAST(_tl[i + 1] - _tl[i] AS DOUBLE))) / 1000000.0
            ELSE 0.0 END AS inter_arrival_std,
          CAST(pkt_count_1s AS DOUBLE) / CAST({float(th.window_s)!r} AS DOUBLE) AS raw_rate
-  FROM {name}_f),
+  FROM {src} JOIN {name}_w ON session_id = _s AND pkt_id = _p),
 {name} AS (
   SELECT *, list_reduce(list(raw_rate) OVER (PARTITION BY session_id ORDER BY ts_us, pkt_id
-                        ROWS BETWEEN {th.ewma_terms - 1} PRECEDING AND CURRENT ROW),
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                         lambda acc, x: CAST({a} AS DOUBLE) * x + CAST({b} AS DOUBLE) * acc,
                         CAST(0.0 AS DOUBLE)) AS packet_rate
   FROM {name}_g)"""
@@ -105,9 +106,9 @@ d1 AS (
   SELECT *, CASE WHEN packet_rate < {th.warn!r} THEN 0 WHEN packet_rate >= {th.attack!r} THEN 1 ELSE 0 END
               AS final_prediction,
          packet_rate >= {th.warn!r} AS _hot,
-         max(CASE WHEN packet_rate < {th.warn!r} THEN ts_us END)
-           OVER (PARTITION BY session_id ORDER BY ts_us, pkt_id ROWS UNBOUNDED PRECEDING) AS _island
-  FROM {src}),
+         max(CASE WHEN packet_rate < {th.warn!r} THEN _rn END)
+           OVER (PARTITION BY session_id ORDER BY _rn ROWS UNBOUNDED PRECEDING) AS _island
+  FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts_us, pkt_id) AS _rn FROM {src}) t),
 d2 AS (SELECT *, min(CASE WHEN _hot THEN ts_us END) OVER (PARTITION BY session_id, _island) AS _ws FROM d1),
 d3 AS (SELECT *, _hot AND (packet_rate > {th.attack!r}
                   OR (final_prediction = 1 AND ts_us - _ws >= {th.confirm_us})) AS _alert FROM d2),

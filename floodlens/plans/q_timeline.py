@@ -111,7 +111,7 @@ w9c AS (SELECT *, CASE WHEN packet_count_1s >= 2 THEN coalesce(ss, 0.0) ELSE 0.0
           CASE WHEN packet_count_1s >= 3 THEN coalesce(gs, 0.0) ELSE 0.0 END AS inter_arrival_std,
           (win + 1) * 1000000 AS window_end_us, CAST(packet_count_1s AS DOUBLE) / 1.0 AS raw_rate FROM w9b),
 w9 AS (SELECT *, list_reduce(list(raw_rate) OVER (PARTITION BY src_ip, dst_ip ORDER BY win
-          ROWS BETWEEN {TH.ewma_terms - 1} PRECEDING AND CURRENT ROW),
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
           lambda acc, x: CAST({TH.alpha!r} AS DOUBLE) * x + CAST({1 - TH.alpha!r} AS DOUBLE) * acc,
           CAST(0.0 AS DOUBLE)) AS packet_rate_ewma,
           CAST(dst_ip = '{V}' AS INTEGER) AS is_to_victim FROM w9c)

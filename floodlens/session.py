@@ -39,12 +39,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def write_table(df, name: str) -> str:
+def write_table(df, name: str, partition_by: tuple = ()) -> str:
     """Write ``df`` as parquet under the shared checkpoint folder; returns the path."""
     import uuid
     base = checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/floodlens-tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 
 

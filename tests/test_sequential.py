@@ -3,13 +3,14 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from floodlens.config import Thresholds
 from floodlens.operators.detect import detection_state, mitigation_trigger
-from floodlens.operators.rates import packet_rates
+from floodlens.operators.rates import ewma_rate, packet_rates, trailing_features
 from floodlens.operators.timeline import throttle
 
 TH = Thresholds(warn=3.0, attack=6.0, confirm_s=0.5, delay_s=0.8)
@@ -23,8 +24,9 @@ def _packets(seed, sessions=4, n=120, span_us=12_000_000):
         # bursts: squeeze a stretch of packets together to cross the thresholds
         for i in range(40, 70):
             ts[i] = ts[40] + (i - 40) * rnd.randint(50_000, 120_000)
-        ts = sorted(set(ts))
-        for t in ts:
+        ts[80:84] = [ts[80]] * 4  # packets of one timestamp
+        ts[55:58] = [ts[55]] * 3
+        for t in sorted(ts):
             pid += 1
             rows.append((pid, t, f"s{s}", rnd.randint(60, 1500)))
     return rows
@@ -78,12 +80,12 @@ def _ref_states(seq, th):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_rates_match_fold(spark, seed):
-    rows = _packets(seed)
+@pytest.mark.parametrize("seed,alpha", [(1, 0.3), (2, 0.02), (2, 0.9), (1, 0.999), (1, 1.0)])
+def test_rates_match_fold(spark, seed, alpha):
+    rows, th = _packets(seed), TH.with_(alpha=alpha)
     df = spark.createDataFrame(rows, "pkt_id long, ts_us long, session_id string, size int")
-    got = {r["pkt_id"]: r for r in packet_rates(df, "session_id", TH, chunk_s=2.0).collect()}
-    ref = _ref_rates(rows, TH)
+    got = {r["pkt_id"]: r for r in packet_rates(df, "session_id", th, chunk_s=2.0).collect()}
+    ref = _ref_rates(rows, th)
     assert set(got) == set(ref)
     for pid, (n, b, sstd, gstd, ewma) in ref.items():
         g = got[pid]
@@ -114,6 +116,47 @@ def test_state_machine_matches_fold(spark, seed, chunk_s):
     assert any(v[3] for v in ref.values())
 
 
+def test_equal_timestamps_count_in_packet_order(spark):
+    df = spark.createDataFrame([(1, 5, "a", 10), (2, 5, "a", 10), (3, 5, "a", 10)], "pkt_id long, ts_us long, session_id string, size int")
+    assert [r.pkt_count_1s for r in trailing_features(df).orderBy("pkt_id").collect()] == [1, 2, 3]
+
+
+def test_long_smoothing_keeps_every_row(spark):
+    """Small weights reach back over thousands of rows and many chunks."""
+    n = 3000
+    df = spark.range(n).selectExpr("id AS pkt_id", "id * 100000 AS ts_us", "'a' AS session_id", "CAST(100 AS DOUBLE) AS raw_rate")
+    for alpha in (0.02, 0.0005, 0.97):
+        got = ewma_rate(df, th=TH.with_(alpha=alpha), chunk_s=7.0).orderBy("pkt_id").collect()
+        want = 0.0
+        for r in got:
+            want = alpha * 100 + (1 - alpha) * want
+            assert r.packet_rate == pytest.approx(want, rel=1e-9)
+
+
+def test_dense_windows_cost_linear_time(spark):
+    """Four times the packets in one second take about four times as long, not sixteen."""
+    def took(n):
+        df = spark.range(n).selectExpr("id AS pkt_id", f"id * 1000000 DIV {n} AS ts_us", "'a' AS session_id", "CAST(64 AS INT) AS size")
+        best = 1e9
+        for _ in range(2):
+            t = time.time()
+            trailing_features(df).write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - t)
+        return best
+    took(1000)
+    small, large = took(8_000), took(32_000)
+    assert large < 6 * small + 2
+
+
+def test_islands_of_equal_timestamps_at_a_chunk_end(spark):
+    """Two cold rows of one timestamp end a chunk: the next hot row opens the island."""
+    rows = [(1, 9_500_000, "a", 0.0), (2, 9_500_000, "a", 0.0), (3, 11_000_000, "a", 4.0), (4, 11_600_000, "a", 7.0)]
+    df = (spark.createDataFrame(rows, "pkt_id long, ts_us long, session_id string, packet_rate double")
+          .withColumn("_chunk", F.floor(F.col("ts_us") / 10_000_000).cast("long")))
+    got = {r.pkt_id: r.warning_since_us for r in detection_state(df, TH).collect()}
+    assert got == {1: None, 2: None, 3: 11_000_000, 4: 11_000_000}
+
+
 def test_exact_threshold_edges(spark):
     """Q11: warning at rate >= warn, alert at rate > attack; the guard predicts at >= attack."""
     th = Thresholds(warn=20.0, attack=50.0, confirm_s=1.0)
