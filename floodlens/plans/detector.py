@@ -124,10 +124,39 @@ det AS (
   FROM d4)"""
 
 
+def sql_cycle(th: Thresholds, src: str) -> str:
+    """ST3 over rated rows of one session a source: the sequential detector
+    with suppression, release and state reset, row by row.  Produces ``det``
+    (rows under a drop are NORMAL), ``acts`` and ``drops`` (first ones)."""
+    return f"""
+sq AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY ts_us, pkt_id) AS _rn FROM {src}),
+walk(src_ip, _rn, pkt_id, ts_us, until_us, ws, afs, k, dropped, hot, pred, alert, act) AS (
+  SELECT src_ip, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT),
+         0, false, false, 0, false, false FROM sq WHERE _rn = 1
+  UNION ALL
+  SELECT src_ip, _rn, pkt_id, ts_us, CASE WHEN act THEN ts_us + {th.hard_timeout_us} WHEN dropped THEN until_us END,
+         ws, afs, k + CAST(act AS INTEGER), dropped, hot, pred, alert, act
+  FROM (SELECT *, alert AND ts_us - afs >= {th.delay_us} AS act FROM (
+    SELECT * EXCLUDE (old_afs), CASE WHEN dropped OR NOT hot THEN NULL WHEN alert THEN coalesce(old_afs, ts_us) ELSE old_afs END AS afs FROM (
+      SELECT *, NOT dropped AND hot AND (rate > {th.attack!r} OR (pred = 1 AND ts_us - ws >= {th.confirm_us})) AS alert FROM (
+        SELECT s.src_ip, s._rn, s.pkt_id, s.ts_us, w.until_us, w.k, s.packet_rate AS rate,
+               coalesce(s.ts_us < w.until_us, false) AS dropped, s.packet_rate >= {th.warn!r} AS hot,
+               CASE WHEN s.packet_rate >= {th.attack!r} AND s.packet_rate >= {th.warn!r} THEN 1 ELSE 0 END AS pred,
+               CASE WHEN s.ts_us < w.until_us OR s.packet_rate < {th.warn!r} THEN NULL
+                    WHEN w.until_us IS NOT NULL THEN s.ts_us ELSE coalesce(w.ws, s.ts_us) END AS ws,
+               CASE WHEN w.until_us IS NULL THEN w.afs END AS old_afs
+        FROM walk w JOIN sq s ON s.src_ip = w.src_ip AND s._rn = w._rn + 1) a) b) c) d),
+det AS (SELECT sq.*, CASE WHEN w.dropped OR NOT w.hot THEN 'NORMAL' WHEN w.alert THEN 'ATTACK_CONFIRMED' ELSE 'WARNING' END AS detection_status,
+               CASE WHEN w.dropped THEN 0 ELSE w.pred END AS final_prediction, w.act AS trigger
+        FROM sq JOIN walk w ON sq.src_ip = w.src_ip AND sq._rn = w._rn),
+acts AS (SELECT src_ip, ts_us AS drop_us, ts_us + {th.hard_timeout_us} AS release_us, k AS activation FROM walk WHERE act),
+drops AS (SELECT src_ip, min(drop_us) AS drop_us FROM acts GROUP BY src_ip)"""
+
+
 def sql_detector(th: Thresholds, dims: Dims) -> str:
     """WITH-list (without the WITH keyword) ending in CTE ``det``."""
     return ",\n".join([sql_prelude(), sql_attack_slice(dims), sql_rates(th, "sl", "rt"), sql_detect(th, "rt")])
 
 
-__all__ = ["attack_slice", "baseline_slice", "detector", "flows", "q", "q_sql", "sql_detector",
+__all__ = ["attack_slice", "baseline_slice", "detector", "flows", "q", "q_sql", "sql_cycle", "sql_detector",
            "sql_flows", "sql_prelude", "sql_rates"]

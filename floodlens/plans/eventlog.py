@@ -7,13 +7,13 @@ watched source -> the detector row (icmp_normal / rate_warning /
 flood_confirmed), suppressed while its own drop is active (Q2; with
 ``log_suppressed`` a LIMITED / attacker_blocked row is written instead).
 Phase of unwatched rows: MITIGATED while any drop is active (J6).
-The mitigation table here is the first activation of each source (W14)
-lasting the hard timeout.
+The mitigation table holds the full cycle of each source (ST3): a drop lasts
+the hard timeout, then the detection state starts anew and can drop again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodlens.config import Dims, Thresholds
@@ -21,22 +21,41 @@ from floodlens.functions.numeric import q
 from floodlens.operators import detect as D
 from floodlens.operators.detect import detection_state, mitigation_trigger
 from floodlens.operators.dims import with_switch_name, with_watchlist
-from floodlens.operators.mitigate import (intervals, merge_intervals, mitigation_log,
+from floodlens.operators.mitigate import (intervals, merge_intervals, mitigation_cycle, mitigation_log,
                                           with_mitigation_active, with_own_mitigation)
 from floodlens.operators.rates import packet_rates
-from floodlens.plans.detector import flows
+from floodlens.plans.detector import detector, flows
 from floodlens.session import materialize
 
 
+def cycle(det_in: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
+    """(detector rows, activations) of the full mitigation cycle over rated rows
+    of one session a source.  Rows under a drop aren't judged (NORMAL); after
+    the release a new detection state starts, so the rows between two drops
+    are an episode with islands of its own."""
+    det = materialize(mitigation_trigger(detection_state(det_in, th), th), "detector")
+    acts = materialize(mitigation_cycle(det, th), "activations")
+    one = Window.partitionBy("src_ip").orderBy("drop_us")  # activations of a source: its span over the hard timeout
+    again = acts.select(F.col("src_ip").alias("_src"), F.col("release_us").alias("_from"),
+                        F.lead("drop_us", 1, 2 ** 62).over(one).alias("_to"))
+    rows = with_own_mitigation(det_in, intervals(acts, th), "_dropped")
+    held = rows.filter("_dropped").drop("_dropped").withColumns(
+        {"detection_status": F.lit("NORMAL"), "final_prediction": F.lit(0), "trigger": F.lit(False)})
+    cond = (F.col("src_ip") == F.col("_src")) & (F.col("ts_us") >= F.col("_from")) & (F.col("ts_us") <= F.col("_to"))
+    judged = (rows.filter("NOT _dropped").drop("_dropped").join(again, cond, "left")  # episodes don't overlap
+              .withColumn("_episode", F.concat_ws("#", "session_id", F.col("_from").cast("string"))).drop("_src", "_from", "_to"))
+    judged = mitigation_trigger(detection_state(judged, th, key="_episode"), th)
+    return judged.select(*held.columns).unionByName(held), acts
+
+
 def build(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, log_suppressed: bool = False):
     """Returns (event_log, mitigation_log, first_drops)."""
     fl = with_watchlist(flows(pk), "src_ip", dims)
     r = materialize(packet_rates(fl, "session_id", th, chunk_s), "rates")
     to_v = (F.col("protocol") == "ICMP") & (F.col("dst_ip") == F.lit(dims.victim))
-    det_in = r.filter(to_v & F.col("is_watched"))
-    det = materialize(mitigation_trigger(detection_state(det_in, th), th), "detector")
-    drops = det.filter("trigger").groupBy("src_ip").agg(F.min("ts_us").alias("drop_us"))
-    iv = intervals(drops, th)
+    det, acts = cycle(r.filter(to_v & F.col("is_watched")), th)
+    drops = acts.groupBy("src_ip").agg(F.min("drop_us").alias("drop_us"))
+    iv = intervals(acts, th)
     merged = merge_intervals(iv)
     other = r.filter(~(to_v & F.col("is_watched"))).withColumn("detection_status", F.lit("NORMAL")) \
         .withColumn("final_prediction", F.lit(0)).withColumn("trigger", F.lit(False))
@@ -82,7 +101,7 @@ def build(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, log_suppres
     ev = with_switch_name(ev, "dpid", "dpid_name", dims)
     # the event log is the pipeline's written table: reports read it, never recompute it
     ev = materialize(ev, "event-log")
-    return ev, mitigation_log(drops, th, dims), drops
+    return ev, mitigation_log(acts, th, dims), drops
 
 
 # ------------------------------------------------------------------ SQL twin
@@ -99,8 +118,8 @@ def switch_values_sql(dims: Dims) -> str:
 
 
 def sql_ctes(th: Thresholds, dims: Dims) -> str:
-    """CTEs ending in ``ev`` (event log), ``drops`` and ``iv`` (activation intervals)."""
-    from floodlens.plans.detector import sql_detect, sql_flows, sql_prelude, sql_rates
+    """CTEs (of a WITH RECURSIVE) ending in ``ev`` (event log), ``acts``, ``drops`` and ``iv`` (activation intervals)."""
+    from floodlens.plans.detector import sql_cycle, sql_flows, sql_prelude, sql_rates
     v = dims.victim
     H = th.hard_timeout_us
     score = ("CASE WHEN {p} = 0 THEN (CASE WHEN {r} >= 40 THEN 25 WHEN {r} >= 20 THEN 12 ELSE 5 END) "
@@ -110,9 +129,8 @@ def sql_ctes(th: Thresholds, dims: Dims) -> str:
         sql_prelude(), sql_flows(), sql_rates(th, "fl", "rt"), watchlist_values_sql(dims), switch_values_sql(dims),
         "r2 AS (SELECT rt.*, w_ip IS NOT NULL AS is_watched, w_segment FROM rt LEFT JOIN wl ON rt.src_ip = wl.w_ip)",
         f"sl AS (SELECT * FROM r2 WHERE protocol = 'ICMP' AND dst_ip = '{v}' AND is_watched)",
-        sql_detect(th, "sl"),
-        "drops AS (SELECT src_ip, min(ts_us) AS drop_us FROM det WHERE trigger GROUP BY src_ip)",
-        f"iv AS (SELECT src_ip, drop_us AS start_us, drop_us + {H} AS end_us FROM drops)",
+        sql_cycle(th, "sl"),
+        f"iv AS (SELECT src_ip, drop_us AS start_us, drop_us + {H} AS end_us FROM acts)",
         "allr AS (SELECT pkt_id, ts_us, session_id, protocol, src_ip, dst_ip, dpid, packet_rate, is_watched, "
         "w_segment, detection_status, final_prediction FROM det UNION ALL "
         "SELECT pkt_id, ts_us, session_id, protocol, src_ip, dst_ip, dpid, packet_rate, is_watched, w_segment, "
@@ -160,10 +178,14 @@ def q_sql_(e, d):
     return q_sql(e, d)
 
 
-def first_drops(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float) -> DataFrame:
-    """The first activation of every watched source, without building the
-    whole event log: a session's rates depend on its own packets only, so the
+def activations(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float) -> DataFrame:
+    """Every activation of the watched sources, without building the whole
+    event log: a session's rates depend on its own packets only, so the
     detector over the attack slice alone gives the same triggers."""
+    return mitigation_cycle(detector(pk, th, dims, chunk_s), th)
+
+
+def first_drops(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float) -> DataFrame:
+    """The first activation of every watched source."""
     from floodlens.operators.detect import first_activation
-    from floodlens.plans.detector import detector
     return first_activation(detector(pk, th, dims, chunk_s))

@@ -18,7 +18,7 @@ TH, DIMS = FIXTURE_TH, WATCHED
 V = DIMS.victim
 WL = ", ".join(f"'{ip}'" for ip in DIMS.watch_ips)
 PIVOT_HALF_S = 5.0  # the driver's 30 days are compressed to 60 s; +-5 s is the zoom around the first drop
-EV = "WITH " + eventlog.sql_ctes(TH, DIMS) + "\n"
+EV = "WITH RECURSIVE " + eventlog.sql_ctes(TH, DIMS) + "\n"
 
 
 def _build(spark, sf):
@@ -47,14 +47,15 @@ def j06(spark, sf):
 @register("a06_first_drop", EV + "SELECT src_ip, drop_us FROM drops")
 def a06(spark, sf):
     from floodlens.operators.mitigate import first_drops
-    return first_drops(_build(spark, sf)[1])
+    return first_drops(mitigation_log(eventlog.activations(packets(spark, sf), TH, DIMS, CHUNK_S), TH, DIMS))
 
 
 @register("a14_action_distribution", EV + """
-SELECT action, count(*) AS n FROM (SELECT 'DROP_ICMP' AS action FROM drops UNION ALL
-  SELECT 'RELEASE_DROP' FROM drops) t GROUP BY action""")
+SELECT action, count(*) AS n FROM (SELECT 'DROP_ICMP' AS action FROM acts UNION ALL
+  SELECT 'RELEASE_DROP' FROM acts) t GROUP BY action""")
 def a14(spark, sf):
-    return _build(spark, sf)[1].groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    log = mitigation_log(eventlog.activations(packets(spark, sf), TH, DIMS, CHUNK_S), TH, DIMS)
+    return log.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("s02_mitigation_rows", EV + f"""
@@ -62,10 +63,10 @@ SELECT d.drop_us AS ts_us, d.src_ip, coalesce(w_host, 'UNKNOWN') AS attacker_hos
        coalesce(s_name, 'unknown') AS dpid_name, coalesce(w_segment, 'UNKNOWN_SEGMENT') AS segment_description,
        'DROP_ICMP' AS action, 'ATTACK_CONFIRMED_DELAY_PASSED' AS reason, 0 AS idle_timeout,
        {int(TH.hard_timeout_s)} AS hard_timeout
-FROM drops d LEFT JOIN wl ON d.src_ip = wl.w_ip LEFT JOIN sw ON wl.w_dpid = sw.s_dpid""")
+FROM acts d LEFT JOIN wl ON d.src_ip = wl.w_ip LEFT JOIN sw ON wl.w_dpid = sw.s_dpid""")
 def s02rows(spark, sf):
-    drops = eventlog.first_drops(packets(spark, sf), TH, DIMS, CHUNK_S)
-    return mitigation_log(drops, TH, DIMS, with_release=False)
+    acts = eventlog.activations(packets(spark, sf), TH, DIMS, CHUNK_S)
+    return mitigation_log(acts, TH, DIMS, with_release=False)
 
 
 @register("j04_first_drop_enrichment", EV + """

@@ -18,7 +18,7 @@ from floodlens.sources.adapter import packets
 TH, DIMS = FIXTURE_TH, WATCHED
 V = DIMS.victim
 WL = ", ".join(f"'{ip}'" for ip in DIMS.watch_ips)
-EVS = ("WITH " + eventlog.sql_ctes(TH, DIMS) + """,
+EVS = ("WITH RECURSIVE " + eventlog.sql_ctes(TH, DIMS) + """,
 evs AS (SELECT *, CASE WHEN ts_us < (SELECT (min(ts_us) + max(ts_us)) // 2 FROM ev) THEN 'baseline' ELSE 'attack' END
           AS scenario FROM ev)
 """)

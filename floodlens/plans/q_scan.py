@@ -59,13 +59,6 @@ def s01(spark, sf):
             .select("pkt_id", "ts_us", "packet_rate", "src_ip", "protocol_name"))
 
 
-@register("s01_missing_log_scan", "SELECT CAST(0 AS BIGINT) AS n")
-def s01_missing(spark, sf):
-    """S1 on a path that does not exist: an empty table with the log schema."""
-    missing = _scratch(spark, "never-written")
-    return IO.read_event_log(spark, missing).agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("s06_append_sink", W(PK, A.EVENT_TEXT_SQL) + """
 SELECT trim(coalesce(protocol_name, '')) AS protocol_name, count(*) AS n FROM et GROUP BY 1""")
 def s06(spark, sf):
@@ -81,13 +74,13 @@ def s06(spark, sf):
 
 
 # --------------------------------------------------------------------- S2
-@register("s02_mitigation_log_scan", "WITH " + eventlog.sql_ctes(TH, DIMS) + """
-SELECT src_ip, drop_us AS ts_us FROM drops""")
+@register("s02_mitigation_log_scan", "WITH RECURSIVE " + eventlog.sql_ctes(TH, DIMS) + """
+SELECT src_ip, drop_us AS ts_us FROM acts""")
 def s02scan(spark, sf):
     """The mitigation log (DROP and RELEASE rows) is written as CSV; the S2
     scan keeps the DROP_ICMP rows only."""
-    drops = eventlog.first_drops(A.packets(spark, sf), TH, DIMS, CHUNK_S)
-    log = mitigation_log(drops, TH, DIMS, with_release=True)
+    acts = eventlog.activations(A.packets(spark, sf), TH, DIMS, CHUNK_S)
+    log = mitigation_log(acts, TH, DIMS, with_release=True)
     path = _scratch(spark, "mitigation-log")
     IO.append_log(log.select("ts_us", "src_ip", "action"), path)
     got = IO.read_mitigation_log(spark, path, "ts_us string, src_ip string, action string")

@@ -14,7 +14,8 @@ from floodlens.functions.numeric import q, q_sql
 from floodlens.operators.mitigate import intervals, mitigation_cycle
 from floodlens.operators.rates import session_id
 from floodlens.plans import eventlog
-from floodlens.plans.detector import detector, sql_detector, sql_flows, sql_prelude
+from floodlens.plans.detector import (detector, sql_attack_slice, sql_cycle, sql_detector, sql_flows,
+                                      sql_prelude, sql_rates)
 from floodlens.plans.fixture import ALL_SOURCES, CHUNK_S, FIXTURE_TH, WATCHED
 from floodlens.plans.q_timeline import THROTTLE_S, W9_SQL
 from floodlens.plans.registry import register
@@ -82,14 +83,19 @@ def st03_first(spark, sf):
     return activations(det, TH).filter(F.col("activation") == 1).select("src_ip", "drop_us")
 
 
-@register("st03_mitigation_cycle_stream")
+_CYCLE = f"""WITH RECURSIVE {sql_prelude()},
+{sql_attack_slice(ALL_SOURCES)}, {sql_rates(TH, 'sl', 'rt')}, {sql_cycle(TH, 'rt')}
+SELECT src_ip, drop_us, release_us, activation FROM acts"""
+
+
+@register("st03_mitigation_cycle_stream", _CYCLE)
 def st03_stream(spark, sf):
     """Every activation of the full cycle (suppression, expiry, re-activation)."""
     det = run_available_now(detector_stream(_slice_stream(spark, sf), TH, mitigate=True), "st03")
     return activations(det, TH)
 
 
-@register("st03_mitigation_cycle")
+@register("st03_mitigation_cycle", _CYCLE)
 def st03_batch(spark, sf):
     """The same cycle in batch: a fold per source over its hot detector rows."""
     return mitigation_cycle(detector(packets(spark, sf), TH, ALL_SOURCES, CHUNK_S), TH, slice_s=CHUNK_S)
@@ -125,13 +131,13 @@ def st04_stream(spark, sf):
 
 
 # ------------------------------------------------------------------------ ST5
-@register("st05_mitigation_enrichment_stream", "WITH " + eventlog.sql_ctes(TH, WATCHED) + """
+@register("st05_mitigation_enrichment_stream", "WITH RECURSIVE " + eventlog.sql_ctes(TH, WATCHED) + """
 SELECT protocol, EXISTS (SELECT 1 FROM iv WHERE pk.ts_us >= iv.start_us AND pk.ts_us < iv.end_us) AS any_mitigation,
        count(*) AS n
 FROM pk GROUP BY ALL""")
 def st05(spark, sf):
-    drops = eventlog.first_drops(packets(spark, sf), TH, WATCHED, CHUNK_S)
-    path = write_table(intervals(drops, TH), "mitigation-intervals")
+    acts = eventlog.activations(packets(spark, sf), TH, WATCHED, CHUNK_S)
+    path = write_table(intervals(acts, TH), "mitigation-intervals")
     pk = packet_stream(spark, sf, "events.parquet").drop("event_time")
     out = run_available_now(pk, "st05", foreach_batch=enrich_batch(spark, path))
     return out.groupBy("protocol", "any_mitigation").agg(F.count(F.lit(1)).alias("n"))

@@ -24,7 +24,7 @@ from floodlens.sources.adapter import packets
 TH, DIMS = FIXTURE_TH, WATCHED
 V = DIMS.victim
 WL = ", ".join(f"'{ip}'" for ip in DIMS.watch_ips)
-EV = "WITH " + eventlog.sql_ctes(TH, DIMS) + "\n"
+EV = "WITH RECURSIVE " + eventlog.sql_ctes(TH, DIMS) + "\n"
 RATES = f"WITH {PK}, {sql_flows()}, {sql_rates(TH, 'fl', 'rt')}\n"
 PIVOT_HALF_S = 5.0
 
