@@ -103,6 +103,50 @@ def ewma_in_chunks(df: DataFrame, keys: list[str], order: list[str], raw: str, o
             .drop("_k", "_blk", "_e", "_carry"))
 
 
+def map_runs(df: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:
+    """Map every group of ``keys`` (one chunk of one key, so of bounded size)
+    through ``fn(key values, {column: numpy array of the group, in order})``,
+    which returns ``{column: values}`` of its output rows.
+
+    Groups are hash-partitioned and sorted, and a task streams through its
+    partition: many small groups share a call, and a group that spans Arrow
+    batches is put together first."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            cols = {c: table.column(c).to_numpy() for c in table.column_names}
+            at = starts(cols, table.num_rows)
+            if len(at) > 1:
+                yield whole(cols, at)
+            rest = table.slice(at[-1]) if len(at) else table
+        if rest is not None and rest.num_rows:
+            yield whole({c: rest.column(c).to_numpy() for c in rest.column_names}, np.array([0, rest.num_rows]))
+
+    def starts(cols, n):
+        new = np.ones(n, bool)
+        if n:
+            new[1:] = np.any([cols[k][1:] != cols[k][:-1] for k in keys], axis=0)
+        return np.flatnonzero(new)
+
+    def whole(cols, at):
+        made = {f.name: [] for f in out}
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            for c, v in fn(tuple(cols[k][i] for k in keys), {c: v[i:j] for c, v in cols.items()}).items():
+                made[c].extend(v)
+        return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def sliced_fold(rows: DataFrame, key: str, slice_us: int, fold, out_schema: str, state_schema: str,
                 name: str, ts: str = "ts_us", order: tuple = ("ts_us", "pkt_id")) -> DataFrame:
     """A greedy per-key fold (each decision depends on the previous *kept*

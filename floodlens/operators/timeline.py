@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from floodlens.config import OFPP_FLOOD
 from floodlens.functions.numeric import q
-from floodlens.operators.sequence import CHUNK, add_chunk, chunk_window, sliced_fold
+from floodlens.operators.sequence import CHUNK, add_chunk, chunk_window, map_runs
 
 
 def dense_bins(df: DataFrame, keys: list[str], width_s: float, how: str = "count",
@@ -116,22 +116,61 @@ def last_seen_port(obs: DataFrame, chunk_s: float = 10.0, flood: int = OFPP_FLOO
 THROTTLE_SCHEMA = "key string, ts_us long, pkt_id long"
 
 
-def throttle(df: DataFrame, key: str, interval_s: float, slice_s: float = 3600.0) -> DataFrame:
-    """Keep an event iff at least ``interval_s`` passed since the last
-    *kept* event of its key.  A greedy chain: folded per key over time slices
-    (``sliced_fold``), carrying only the last kept time between slices, so a
-    hot key is split across as many tasks as it has slices."""
-    iu = int(round(interval_s * 1_000_000))
+def _jumps(ts: np.ndarray, interval: int) -> np.ndarray:
+    """For each of the sorted times, the place of the first one ``interval`` later (the length, if none)."""
+    return np.append(np.searchsorted(ts, ts + interval), len(ts))
 
-    def fold(k, pdf, st):
-        last = st[0] if st else None
-        kept = []
-        for t, pid in zip(pdf["ts_us"].to_numpy(np.int64).tolist(), pdf["pkt_id"].to_numpy(np.int64).tolist()):
-            if last is None or t - last >= iu:
-                kept.append((k, t, pid))
-                last = t
-        return kept, (last,)
 
+def throttle(df: DataFrame, key: str, interval_s: float, slice_s: float = 60.0) -> DataFrame:
+    """Keep an event iff at least ``interval_s`` passed since the last
+    *kept* event of its key.
+
+    A greedy chain, solved on two levels in one plan.  A (key, slice) is a step
+    function: from the earliest time at which an event may be kept to the last
+    event kept in the slice, whichever slice came before.  Slices compute
+    their functions side by side (jumping pointers, no row loop), the few
+    numbers of each are chained per key, and every slice then marks its chain
+    from the known entry.  A hot key is spread over its slices."""
+    iu = int(round(interval_s * 1_000_000))
     x = df.select(F.col(key).cast("string").alias("key"), "ts_us", "pkt_id")
-    return sliced_fold(x, "key", int(round(slice_s * 1_000_000)), fold, THROTTLE_SCHEMA, "last_kept long",
-                       "throttle")
+    if iu <= 0:
+        return x
+    x = add_chunk(x.filter(F.col("key").isNotNull()), max(1, int(round(slice_s * 1_000_000))))
+    order = ["ts_us", "pkt_id"]
+
+    def step(run, c):
+        ts = c["ts_us"]
+        last = np.minimum(_jumps(ts, iu)[:-1], len(ts))
+        last = np.where(last < len(ts), last, np.arange(len(ts)))  # the end of a chain stays where it is
+        while (last[last] != last).any():
+            last = last[last]
+        leave = ts[last]
+        piece = np.append(leave[1:] != leave[:-1], True)
+        return {"key": [run[0]], CHUNK: [run[1]], "upto": [ts[piece]], "leave": [leave[piece]]}
+
+    steps = map_runs(x, ["key", CHUNK], order, step, f"key string, {CHUNK} long, upto array<long>, leave array<long>")
+
+    def chain(run, c):
+        entry, free = [], np.iinfo(np.int64).min
+        for upto, leave in zip(c["upto"], c["leave"]):
+            entry.append(free)
+            k = int(np.searchsorted(upto, free))
+            if k < len(upto):
+                free = int(leave[k]) + iu
+        return {"key": [run[0]] * len(entry), CHUNK: c[CHUNK], "entry": entry}
+
+    entries = map_runs(steps, ["key"], [CHUNK], chain, f"key string, {CHUNK} long, entry long")
+
+    def mark(run, c):
+        ts = c["ts_us"]
+        jump = _jumps(ts, iu)
+        kept = np.array([np.searchsorted(ts, c["entry"][0])])
+        while True:  # all places that the chain reaches, twice as many jumps each time
+            kept = np.concatenate([kept, jump[kept]])
+            if (jump == len(ts)).all():
+                break
+            jump = jump[jump]
+        kept = np.unique(kept[kept < len(ts)])
+        return {"key": [run[0]] * len(kept), "ts_us": ts[kept], "pkt_id": c["pkt_id"][kept]}
+
+    return map_runs(x.join(entries, ["key", CHUNK]), ["key", CHUNK], order, mark, THROTTLE_SCHEMA)

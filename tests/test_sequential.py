@@ -186,7 +186,7 @@ def test_throttle_matches_fold(spark, interval_s):
     assert got == ref
 
 
-def test_sliced_fold_across_arrow_batches(spark):
+def test_throttle_across_arrow_batches(spark):
     """A key's rows split over many Arrow batches and slices keep one chain."""
     rnd = random.Random(11)
     rows = [(i, rnd.randint(0, 30_000_000), f"k{rnd.randint(0, 2)}") for i in range(1500)]
@@ -206,3 +206,22 @@ def test_sliced_fold_across_arrow_batches(spark):
                 ref.add((k, pid))
                 last = t
     assert got == ref
+
+
+@pytest.mark.parametrize("slice_s", [0.004, 0.5, 100.0])
+def test_throttle_of_a_hot_key(spark, slice_s):
+    """Nine tenths of the rows are of one key, with ties and without a gap to cut at."""
+    rnd = random.Random(13)
+    rows = [(i, rnd.randint(0, 3_000_000) // 3 * 3, "hot" if rnd.random() < 0.9 else f"k{rnd.randint(0, 5)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "pkt_id long, ts_us long, src string")
+    got = {(r["key"], r["ts_us"], r["pkt_id"]) for r in throttle(df, "src", 0.01, slice_s=slice_s).collect()}
+    ref = set()
+    for k in {r[2] for r in rows}:
+        last = None
+        for t, pid in sorted((r[1], r[0]) for r in rows if r[2] == k):
+            if last is None or t - last >= 10_000:
+                ref.add((k, t, pid))
+                last = t
+    assert got == ref
+    assert throttle(df.limit(0), "src", 0.01).count() == 0
+    assert throttle(df, "src", 0.0).count() == len(rows)
