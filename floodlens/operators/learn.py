@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,6 +265,7 @@ def load_model(paths: list[str]):
     for p in paths:
         try:
             return KernelClassifier.load(p)
-        except Exception:  # missing or unreadable: try the next candidate
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # a corrupt model is an error, a missing one is not
+                raise
     return None

@@ -111,14 +111,10 @@ def exclude_post_drop(pk: DataFrame, drops: DataFrame, victim: str) -> DataFrame
 
 def pre_post_counts(pk: DataFrame, drops: DataFrame, key: str = "src_ip") -> DataFrame:
     """A9 after J4: per source packets before / at-or-after the first drop; no drop -> all pre."""
-    x = pk.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("ts_us").alias("first_us"),
-                            F.max("ts_us").alias("last_us"))
-    # counts relative to the drop need the rows: aggregate after a join with the tiny drop table
-    j = pk.join(drops, key, "left")
-    c = j.groupBy(key).agg(
-        F.count_if(F.col("drop_us").isNull() | (F.col("ts_us") < F.col("drop_us"))).alias("pre_drop"),
-        F.count_if(F.col("drop_us").isNotNull() & (F.col("ts_us") >= F.col("drop_us"))).alias("post_drop"))
-    return x.join(c, key).join(drops, key, "left").drop("_n")
+    before = F.col("drop_us").isNull() | (F.col("ts_us") < F.col("drop_us"))
+    return (pk.join(drops, key, "left").groupBy(key)  # at most one drop a source
+            .agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count_if(before).alias("pre_drop"),
+                 F.count_if(~before).alias("post_drop"), F.min("drop_us").alias("drop_us")))
 
 
 # ---------------------------------------------------------------- ST3 batch

@@ -4,6 +4,8 @@ collected to the driver."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +49,11 @@ def excluded_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
 
 def raw_clean_diff(pk: DataFrame, drops: DataFrame, victim: str, key: str = "protocol") -> DataFrame:
     """J9 in one pass: flag the rows J5 would exclude and count both sides per key."""
-    d = drops.select(F.col("src_ip").alias("_src"), F.col("drop_us").alias("_d"))
+    # a row after any drop is after the first one: at most one match a row
+    d = drops.groupBy(F.col("src_ip").alias("_src")).agg(F.min("drop_us").alias("_d"))
     cond = ((pk["src_ip"] == d["_src"]) & (pk["ts_us"] >= d["_d"])
             & (pk["protocol"] == "ICMP") & (pk["dst_ip"] == F.lit(victim)))
-    # several drops of one source may match a row: keep one flag per row
-    flagged = pk.join(d, cond, "left").groupBy("pkt_id", key).agg(F.max(F.col("_d").isNotNull()).alias("_x"))
+    flagged = pk.join(d, cond, "left").withColumn("_x", F.col("_d").isNotNull())
     return flagged.groupBy(key).agg(F.count(F.lit(1)).alias("raw_n"),
                                     F.count_if(~F.col("_x")).alias("clean_n"),
                                     F.count_if(F.col("_x")).alias("diff"))
@@ -80,8 +82,11 @@ def share(df: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
     """A2: counts per key and percent of the total (of each ``by`` group)."""
     by = by or []
     c = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    return c.withColumn("pct", q(F.col("count") * 100.0 / F.sum("count").over(w)))
+    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_t"))
+    # without groups the total is one row; with them, a row a group, which Spark may broadcast when small
+    j = c.join(total.select(*[F.col(b).alias(f"_{b}") for b in by], "_t"),
+               reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])) if by else c.crossJoin(F.broadcast(total))
+    return j.select(*by, key, "count", q(F.col("count") * 100.0 / F.col("_t")).alias("pct"))
 
 
 def state_distribution(ev: DataFrame, states=("NORMAL", "WARNING", "ATTACK_CONFIRMED", "DROP_ACTIVE"),
@@ -105,10 +110,11 @@ def packet_summary(pk: DataFrame, size: str = "size") -> DataFrame:
     """A10: packets, bytes, duration, pps (0 when duration is 0), mean and
     median size, distinct src / dst."""
     dur = (F.max("ts_us") - F.min("ts_us")) / F.lit(1_000_000.0)
-    # the exact median's state is one count per distinct size: bounded by the size domain (< 65,536)
+    median = exact_percentiles(pk.withColumn("_all", F.lit(0)), size, ["_all"], [0.5]).select(F.col("_p")[0].alias("_med"))
     a = pk.agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col(size).cast("long")).alias("bytes"),
-               dur.alias("_dur"), F.avg(size).alias("_mean"), F.median(F.col(size).cast("double")).alias("_med"),
+               dur.alias("_dur"), F.avg(size).alias("_mean"),
                F.countDistinct("src").alias("unique_src"), F.countDistinct("dst").alias("unique_dst"))
+    a = a.join(median, F.lit(True), "left")  # two one-row tables
     return a.select("packets", "bytes", q("_dur").alias("duration_s"),
                     F.when(F.col("_dur") > 0, q(F.col("packets") / F.col("_dur"))).otherwise(0.0).alias("pps"),
                     q("_mean").alias("mean_size"), q("_med").alias("median_size"), "unique_src", "unique_dst")

@@ -13,7 +13,5 @@ from floodlens.sources.adapter import packets
 
 def flagship(spark: SparkSession, sf_dir: str, th=ENTRY_TH, dims=ALL_SOURCES) -> DataFrame:
     det = detector(packets(spark, sf_dir), th, dims, CHUNK_S)  # a written table
-    stats = attacker_stats(det)
-    lat = latencies(det)
-    drops = det.filter("trigger").groupBy("src_ip").agg(F.min("ts_us").alias("drop_us"))
-    return stats.join(drops, "src_ip", "left").join(lat, "src_ip", "left").orderBy("src_ip")
+    drops = det.groupBy("src_ip").agg(F.min(F.when(F.col("trigger"), F.col("ts_us"))).alias("drop_us"))
+    return attacker_stats(det).join(drops, "src_ip", "left").join(latencies(det), "src_ip", "left").orderBy("src_ip")

@@ -3,6 +3,8 @@ metrics, kernel classifier (M1-M10, F6-F8, A11-A13, U1, S3 path, S10)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from floodlens.functions.numeric import q, q_sql
@@ -12,6 +14,7 @@ from floodlens.operators.report import five_numbers, scenario_split
 from floodlens.plans.fixture import FIXTURE_TH, WATCHED
 from floodlens.plans.q_timeline import W9_SQL, _w9
 from floodlens.plans.registry import register
+from floodlens.schemas import FEATURE_COLUMNS
 from floodlens.session import checkpoint_dir, materialize
 
 DIMS = WATCHED
@@ -36,22 +39,22 @@ spl AS (SELECT *, _r <= round(_n * 0.2) AS is_test FROM sp)
 
 def dataset(spark, sf):
     """W9 features of both sessions, labeled (M1), edge-cleaned (F6), unioned."""
-    f = scenario_split(_w9(spark, sf), ts="window_end_us", names=("normal", "attack"))
-    lab = L.label_sessions(f.filter(F.col("scenario") == "normal"), f.filter(F.col("scenario") == "attack"),
-                           DIMS.watch_ips)
-    return edge_cleanup(lab, EDGE_RATE)
+    return edge_cleanup(_labeled(spark, sf), EDGE_RATE)
+
+
+def _labeled(spark, sf):
+    """The feature table is written once: the scenario's midpoint and the two sessions read it."""
+    f = scenario_split(materialize(_w9(spark, sf), "features"), ts="window_end_us", names=("normal", "attack"))
+    return L.label_sessions(f.filter(F.col("scenario") == "normal"), f.filter(F.col("scenario") == "attack"), DIMS.watch_ips)
 
 
 def split(spark, sf):
-    return L.stratified_split(dataset(spark, sf), ID_COLS, 0.2, 42)
+    return L.stratified_split(materialize(dataset(spark, sf), "dataset"), ID_COLS, 0.2, 42)
 
 
 @register("m01_labels", DS_SQL + "SELECT label, count(*) AS n FROM ds0 GROUP BY label")
 def m01(spark, sf):
-    f = scenario_split(_w9(spark, sf), ts="window_end_us", names=("normal", "attack"))
-    lab = L.label_sessions(f.filter(F.col("scenario") == "normal"), f.filter(F.col("scenario") == "attack"),
-                           DIMS.watch_ips)
-    return lab.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return _labeled(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("f06_edge_cleanup", DS_SQL + "SELECT src_ip, label, count(*) AS n FROM ds GROUP BY ALL")
@@ -63,10 +66,7 @@ def f06(spark, sf):
 SELECT CASE WHEN window_end_us < (SELECT m FROM mid) THEN 'normal' ELSE 'attack' END AS session, count(*) AS n
 FROM ds GROUP BY 1""")
 def u01(spark, sf):
-    f = scenario_split(_w9(spark, sf), ts="window_end_us", names=("normal", "attack"))
-    lab = L.label_sessions(f.filter(F.col("scenario") == "normal"), f.filter(F.col("scenario") == "attack"),
-                           DIMS.watch_ips)
-    return (edge_cleanup(lab, EDGE_RATE).groupBy(F.col("scenario").alias("session"))
+    return (dataset(spark, sf).groupBy(F.col("scenario").alias("session"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -186,20 +186,26 @@ def m04(spark, sf):
     sp = materialize(split(spark, sf), "split")
     train = sp.filter(~F.col("is_test"))
     model = L.train_classifier(train, c_param=10.0, balanced=True)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/floodlens-models/kernel-svm"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/floodlens-models/kernel-svm-{uuid.uuid4().hex[:12]}"
     L.save_model(model, path)
     loaded = L.load_model([f"{path}-missing", path])
     scored = L.score(loaded, sp.filter("is_test"))
     return L.confusion(scored)
 
 
-@register("m03_scaler_stats")
+_STATS = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg(CAST({c} AS DOUBLE)) AS mean, stddev_samp(CAST({c} AS DOUBLE)) AS std, min({c}) < max({c}) AS kept "
+    "FROM spl WHERE NOT is_test" for c in FEATURE_COLUMNS)
+
+
+@register("m03_scaler_stats", DS_SQL + f""",
+st AS ({_STATS})
+SELECT feature, {q_sql('mean')} AS mean, {q_sql('std')} AS std FROM st WHERE kept""")
 def m03(spark, sf):
     """M3 + M9: constant features removed, then mean and sample std per kept
     feature as fitted on the train split (one row per feature of the model)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VarianceThresholdSelector, VectorAssembler
-    from floodlens.schemas import FEATURE_COLUMNS
     train = materialize(split(spark, sf), "split").filter(~F.col("is_test"))
     prep = Pipeline(stages=[
         VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="_raw"),
@@ -221,12 +227,13 @@ def m10(spark, sf):
     return L.class_weights(split(spark, sf).filter(~F.col("is_test")))
 
 
-@register("m09_constant_features")
+@register("m09_constant_features", DS_SQL + f""",
+st AS ({_STATS})
+SELECT feature, kept FROM st""")
 def m09(spark, sf):
     """M9: features with zero variance on the train split are dropped before
     scaling (one row per feature: kept or not)."""
     from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
-    from floodlens.schemas import FEATURE_COLUMNS
     train = split(spark, sf).filter(~F.col("is_test"))
     vec = VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="_raw").transform(train)
     sel = VarianceThresholdSelector(featuresCol="_raw", outputCol="_sel", varianceThreshold=0.0).fit(vec)

@@ -29,9 +29,13 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; set one only when unset (tests)."""
+    """The shared checkpoint folder the cluster names.  A temporary one is made
+    only where the driver and the executors are one process; a cluster whose
+    session names none is an error, as its machines would not see the files."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not d:
         d = tempfile.mkdtemp(prefix="floodlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():

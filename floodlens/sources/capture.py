@@ -134,12 +134,10 @@ def host_captures(pk: DataFrame) -> DataFrame:
     """Per-host capture lines: every IP packet is seen by its source host's
     capture and, 1-5 µs later, by its destination host's capture, so the
     merged capture holds near-duplicates (``capture_host``, ``value``)."""
-    src = pk.select("pkt_id", "ts_us", C.ip_to_host("src_ip").alias("capture_host"))
-    dst = (pk.filter(F.col("protocol") != "ARP")
-           .select("pkt_id", (F.col("ts_us") + 1 + F.col("pkt_id") % 5).alias("ts_us"),
-                   C.ip_to_host("dst_ip").alias("capture_host")))
-    seen = src.unionByName(dst)
-    shifted = pk.drop("ts_us").join(seen, "pkt_id")
+    src = F.struct(F.col("ts_us").alias("t"), C.ip_to_host("src_ip").alias("h"))
+    dst = F.struct((F.col("ts_us") + 1 + F.col("pkt_id") % 5).alias("t"), C.ip_to_host("dst_ip").alias("h"))
+    seen = pk.withColumn("_seen", F.explode(F.when(F.col("protocol") == "ARP", F.array(src)).otherwise(F.array(src, dst))))
+    shifted = seen.withColumns({"ts_us": F.col("_seen.t"), "capture_host": F.col("_seen.h")}).drop("_seen")
     return capture_lines(shifted, keep=("capture_host",))
 
 
