@@ -1,10 +1,10 @@
 """Registered queries: the streaming operators (ST1-ST7).
 
-Each query streams the driver's ``events`` table through the packet view
-with ``Trigger.AvailableNow`` into a checkpointed parquet sink and returns
-the sink table.  Where the stream equals a batch operator, the oracle is that
-operator's SQL, cut where the final watermark cuts the stream (windows and
-sessions are emitted once the watermark passes their end)."""
+Each query replays the driver's ``events`` table in time slices, streams them
+through the packet view (several micro-batches, ``Trigger.AvailableNow``) into
+a checkpointed parquet sink and returns the sink table.  Where the stream
+equals a batch operator, the oracle is that operator's SQL, uncut: the closing
+row of the replay flushes windows, sessions and waiting rows."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ from floodlens.sources.adapter import packets
 from floodlens.streaming.detector import activations, detector_stream
 from floodlens.streaming.enrich import enrich_batch
 from floodlens.streaming.features import flow_features_stream, session_windows_stream
-from floodlens.streaming.source import packet_stream, run_available_now
+from floodlens.streaming.source import packet_stream, replay, run_available_now
 from floodlens.streaming.throttle import throttle_stream
 
 TH = FIXTURE_TH
@@ -32,21 +32,26 @@ V = ALL_SOURCES.victim
 # Idle gap that ends a session (reference: 300 s), scaled to the packet view's time
 SESSION_GAP_S = 5.0
 SESSION_GAP_US = int(SESSION_GAP_S * 1_000_000)
-# The final watermark of a stream with zero delay: the max event time in ms
-WM_US = "(SELECT (max(ts_us) // 1000) * 1000 FROM pk)"
+# The packet view's 60 s are streamed in four slices; rows may be this much out of order
+DELAY = "2 seconds"
 
 
 def W(*ctes) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def _packets(spark, sf):
+    path, files = replay(spark, sf)
+    return packet_stream(spark, path, watermark=DELAY, files_per_trigger=files)
+
+
 def _flows_stream(spark, sf):
-    pk = packet_stream(spark, sf, "events.parquet")
+    pk = _packets(spark, sf)
     return pk.filter(F.col("protocol").isin("ICMP", "TCP", "UDP")).withColumn("session_id", session_id())
 
 
 def _slice_stream(spark, sf):
-    pk = packet_stream(spark, sf, "events.parquet")
+    pk = _packets(spark, sf)
     return (pk.filter((F.col("protocol") == "ICMP") & (F.col("dst_ip") == F.lit(V)))
             .withColumn("session_id", session_id()))
 
@@ -55,9 +60,9 @@ def _slice_stream(spark, sf):
 @register("st01_flow_features_stream", W9_SQL + f"""
 SELECT src_ip, dst_ip, window_end_us, packet_count_1s, byte_count_1s, {q_sql('avg_pkt_size')} AS avg_pkt_size,
        {q_sql('pkt_size_std')} AS pkt_size_std, {q_sql('inter_arrival_std', 9)} AS inter_arrival_std
-FROM w9c WHERE window_end_us <= {WM_US}""")
+FROM w9c""")
 def st01(spark, sf):
-    icmp = packet_stream(spark, sf, "events.parquet").filter(F.col("protocol") == "ICMP")
+    icmp = _packets(spark, sf).filter(F.col("protocol") == "ICMP")
     out = run_available_now(flow_features_stream(icmp), "st01")
     return out.select("src_ip", "dst_ip", "window_end_us", "packet_count_1s", "byte_count_1s",
                       q("avg_pkt_size").alias("avg_pkt_size"), q("pkt_size_std").alias("pkt_size_std"),
@@ -124,7 +129,7 @@ def st04(spark, sf):
 
 @register("st04_session_eviction_stream",
           W(sql_prelude(), sql_flows()).rstrip("\n") + _ISLANDS
-          + f"SELECT session_id, start_us, last_us, packets FROM s WHERE last_us + {SESSION_GAP_US} <= {WM_US}")
+          + "SELECT session_id, start_us, last_us, packets FROM s")
 def st04_stream(spark, sf):
     s = session_windows_stream(_flows_stream(spark, sf), f"{SESSION_GAP_US} microseconds")
     return run_available_now(s, "st04")
@@ -138,7 +143,7 @@ FROM pk GROUP BY ALL""")
 def st05(spark, sf):
     acts = eventlog.activations(packets(spark, sf), TH, WATCHED, CHUNK_S)
     path = write_table(intervals(acts, TH), "mitigation-intervals")
-    pk = packet_stream(spark, sf, "events.parquet").drop("event_time")
+    pk = _packets(spark, sf).drop("event_time")
     out = run_available_now(pk, "st05", foreach_batch=enrich_batch(spark, path))
     return out.groupBy("protocol", "any_mitigation").agg(F.count(F.lit(1)).alias("n"))
 

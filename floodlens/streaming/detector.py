@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,8 @@ OUT_SCHEMA = (
 )
 STATE_SCHEMA = (
     "win_ts array<long>, win_sz array<long>, ewma double, ws long, afs long, start_us long, n long, "
-    "last_ts long, last_id long, until long, acts int, late long"
+    "last_ts long, last_id long, until long, acts int, src string, "
+    "wait_ts array<long>, wait_id array<long>, wait_sz array<long>"
 )
 OUT_COLS = [c.strip().split(" ")[0] for c in OUT_SCHEMA.split(",")]
 # explicit nullable dtypes: a missing long stays a null long, never a float NaN
@@ -53,16 +55,28 @@ def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None):
     max_age = int(round(max_age_s * 1_000_000)) if max_age_s else None
 
     def fold(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()  # ST4: idle longer than the max age
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "pkt_id"])
+        wm_ms = state.getCurrentWatermarkMs()
         if state.exists:
-            (wts, wsz, ewma, ws, afs, start, n, last_ts, last_id, until, acts, late) = state.get
+            (wts, wsz, ewma, ws, afs, start, n, last_ts, last_id, until, acts, src, *waiting) = state.get
             win = deque(zip(list(wts), list(wsz)))
+            parts = [[np.array(w, np.int64)] for w in waiting]
         else:
-            win, ewma, ws, afs, start, n, last_ts, last_id, until, acts, late = (
-                deque(), 0.0, None, None, None, 0, None, None, None, 0, 0)
+            win, ewma, ws, afs, start, n, last_ts, last_id, until, acts, src = (
+                deque(), 0.0, None, None, None, 0, None, None, None, 0, None)
+            parts = [[], [], []]
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                src = pdf["src_ip"].iloc[0] if src is None and len(pdf) else src
+                for part, c in zip(parts, ("ts_us", "pkt_id", "size")):
+                    part.append(pdf[c].to_numpy(np.int64))
+        times, ids, sizes = (np.concatenate(part) if part else np.zeros(0, np.int64) for part in parts)
+        order = np.lexsort((ids, times))
+        # a row's place is known once the watermark has passed it; the others wait
+        ready = int(np.searchsorted(times[order], wm_ms * 1000, side="right"))
+        now, later = order[:ready], order[ready:]
+        if state.hasTimedOut and not ready and not len(later):
+            state.remove()  # ST4: idle longer than the max age
+            return
         # running sums over the window: bytes, bytes^2, gaps, gaps^2 (exact integers)
         sb = sum(s for _, s in win)
         sb2 = sum(s * s for _, s in win)
@@ -70,12 +84,7 @@ def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None):
         sg2 = sum((b - a) ** 2 for a, b in zip(ts_list, ts_list[1:]))
         out = []
         sid = key[0]
-        src = pdf["src_ip"].to_numpy()
-        for t, pid, size, sip in zip(pdf["ts_us"].to_numpy().tolist(), pdf["pkt_id"].to_numpy().tolist(),
-                                     pdf["size"].to_numpy().tolist(), src):
-            if last_ts is not None and (t, pid) <= (last_ts, last_id):
-                late += 1
-                continue
+        for t, pid, size in zip(times[now].tolist(), ids[now].tolist(), sizes[now].tolist()):
             if max_age is not None and last_ts is not None and t - last_ts > max_age:
                 win.clear()
                 sb = sb2 = sg2 = 0
@@ -137,13 +146,13 @@ def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None):
                 else:
                     status = "WARNING"
                 row_ws, row_afs = ws, afs
-            out.append((sid, sip, pid, t, k, sb, mean, size_std, gap_std, raw, r, pred, status, row_ws, row_afs,
+            out.append((sid, src, pid, t, k, sb, mean, size_std, gap_std, raw, r, pred, status, row_ws, row_afs,
                         trigger, mitigated, activation, start, n))
         state.update(([x for x, _ in win], [s for _, s in win], ewma, ws, afs, start, n, last_ts, last_id,
-                      until, acts, late))
-        if max_age is not None and last_ts is not None:
-            state.setTimeoutTimestamp(max(last_ts // 1000 + max_age // 1000 + 1,
-                                          state.getCurrentWatermarkMs() + 1))
+                      until, acts, src, times[later].tolist(), ids[later].tolist(), sizes[later].tolist()))
+        wake = times[later[0]] // 1000 if len(later) else (last_ts + max_age) // 1000 if max_age is not None else None
+        if wake is not None:
+            state.setTimeoutTimestamp(int(max(wake, wm_ms)) + 1)
         if out:
             yield pd.DataFrame(out, columns=OUT_COLS).astype(OUT_DTYPES)
 
@@ -160,9 +169,8 @@ def detector_stream(rows: DataFrame, th: Thresholds = DEFAULT, mitigate: bool =
         max_age_s = th.session_max_age_s
     x = rows.select(F.col(key).alias("session_id"), "src_ip", "pkt_id", "ts_us", F.col("size").cast("long"),
                     "event_time")
-    timeout = GroupStateTimeout.EventTimeTimeout if max_age_s else GroupStateTimeout.NoTimeout
     return x.groupBy("session_id").applyInPandasWithState(
-        _fold_fn(th, mitigate, max_age_s), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+        _fold_fn(th, mitigate, max_age_s), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def activations(det: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:

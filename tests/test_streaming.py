@@ -1,40 +1,36 @@
 """Stream = batch: the driver's events are split by time into
-files written one after another and streamed one file per micro-batch."""
+files written one after another and streamed one slice per micro-batch."""
 
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from floodlens.operators.mitigate import mitigation_cycle
-from floodlens.operators.rates import session_id
+from floodlens.operators.rates import running_session_stats, session_id
 from floodlens.plans.detector import detector
 from floodlens.plans.fixture import ALL_SOURCES, CHUNK_S, FIXTURE_TH as TH
 from floodlens.session import checkpoint_dir
 from floodlens.sources.adapter import packets, read_events
 from floodlens.streaming.detector import activations, detector_stream
-from floodlens.streaming.source import packet_stream, run_available_now
+from floodlens.streaming.source import CLOSING_ID, late_rows, packet_stream, replay, run_available_now
 from floodlens.streaming.throttle import throttle_stream
 from floodlens.operators.timeline import throttle
 from tests.conftest import SF_SMALL
 
 SF = "/root/testdata/sf0.01"
-SLICES = 4
 
 
 @pytest.fixture(scope="module")
 def sliced(spark):
-    """Time-ordered event files, one per slice (test data: one file each)."""
-    import uuid
-    d = f"{checkpoint_dir(spark).rstrip('/')}/sliced-{uuid.uuid4().hex[:8]}"
-    ev = read_events(spark, SF).withColumn("_u", F.unix_micros(F.col("ts").cast("timestamp")))
-    lo, hi = ev.agg(F.min("_u"), F.max("_u")).first()
-    step = (hi - lo) // SLICES + 1
-    for k in range(SLICES):
-        part = ev.filter((F.col("_u") >= lo + k * step) & (F.col("_u") < lo + (k + 1) * step)).drop("_u")
-        part.coalesce(1).write.mode("append").parquet(d)
-        time.sleep(1.1)  # distinct modification times keep the files in time order
-    return d
+    """Time-ordered event files, one slice a micro-batch, and a closing row."""
+    return replay(spark, SF)
+
+
+def _stream(spark, sliced):
+    path, files = sliced
+    return packet_stream(spark, path, watermark="2 seconds", files_per_trigger=files)
 
 
 def _slice(pk):
@@ -43,7 +39,7 @@ def _slice(pk):
 
 
 def test_detector_stream_equals_batch(spark, sliced):
-    pk = packet_stream(spark, sliced, files_per_trigger=1)
+    pk = _stream(spark, sliced)
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a session's rows in many batches
     try:
@@ -61,7 +57,7 @@ def test_detector_stream_equals_batch(spark, sliced):
 
 
 def test_mitigation_cycle_stream_equals_batch(spark, sliced):
-    pk = packet_stream(spark, sliced, files_per_trigger=1)
+    pk = _stream(spark, sliced)
     det = run_available_now(detector_stream(_slice(pk), TH, mitigate=True), "t-st03")
     s = sorted(tuple(r) for r in activations(det, TH).collect())
     b = sorted(tuple(r) for r in mitigation_cycle(detector(packets(spark, SF), TH, ALL_SOURCES, CHUNK_S), TH, slice_s=CHUNK_S)
@@ -74,7 +70,7 @@ def test_mitigation_cycle_stream_equals_batch(spark, sliced):
 
 
 def test_throttle_stream_equals_batch(spark, sliced):
-    pk = packet_stream(spark, sliced, files_per_trigger=1)
+    pk = _stream(spark, sliced)
     fl = pk.filter(F.col("protocol").isin("ICMP", "TCP", "UDP")).withColumn("session_id", session_id())
     s = {tuple(r) for r in run_available_now(throttle_stream(fl, "session_id", 0.5), "t-st06").collect()}
     bpk = packets(spark, SF).filter(F.col("protocol").isin("ICMP", "TCP", "UDP")).withColumn("session_id", session_id())
@@ -82,33 +78,55 @@ def test_throttle_stream_equals_batch(spark, sliced):
     assert s == b
 
 
-def test_late_rows_are_not_folded(spark):
-    """A row older than its session's last folded row is skipped."""
-    import uuid
-    d = f"{checkpoint_dir(spark).rstrip('/')}/late-{uuid.uuid4().hex[:8]}"
+def _events_in_parts(spark, conditions):
+    """Event files in the given order, then a row that closes the stream."""
+    d = f"{checkpoint_dir(spark).rstrip('/')}/parts-{uuid.uuid4().hex[:8]}"
     ev = read_events(spark, SF_SMALL)
+    for c in conditions:
+        ev.filter(c).coalesce(1).write.mode("append").parquet(d)
+    ev.limit(1).withColumns({"event_id": F.lit(CLOSING_ID), "ts": F.col("ts") + F.expr("INTERVAL 100 YEARS")}).write.mode("append").parquet(d)
+    return d
+
+
+def test_rows_out_of_order_within_the_delay(spark):
+    """Two interleaved halves, one after the other: the stream waits, sorts and equals the batch."""
+    d = _events_in_parts(spark, [F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1])
+    pk = packet_stream(spark, d, watermark="90 seconds", files_per_trigger=1)
+    cols = ["pkt_id", "detection_status", "packet_count", "pkt_count_1s", "trigger"]
+    det = run_available_now(detector_stream(_slice(pk), TH), "t-order")
+    batch = detector(packets(spark, SF_SMALL), TH, ALL_SOURCES, CHUNK_S)
+    batch = running_session_stats(batch, chunk_s=CHUNK_S)
+    assert {tuple(r) for r in det.select(*cols).collect()} == {tuple(r) for r in batch.select(*cols).collect()}
+
+
+def test_late_rows_are_kept_apart(spark):
+    """Rows that the watermark has passed aren't folded; together with the folded ones they are the input."""
     u = F.unix_micros(F.col("ts").cast("timestamp"))
-    mid = ev.agg(F.percentile_approx(u, 0.5)).first()[0]
-    ev.filter(u >= mid).coalesce(1).write.mode("append").parquet(d)
-    time.sleep(1.1)
-    ev.filter(u < mid).coalesce(1).write.mode("append").parquet(d)  # the earlier half arrives last
-    pk = packet_stream(spark, d, files_per_trigger=1)
+    mid = read_events(spark, SF_SMALL).agg(F.percentile_approx(u, 0.5)).first()[0]
+    odd = F.col("event_id") % 2 == 1
+    # the earlier half arrives last; a watermark drops rows from the second batch after it on
+    d = _events_in_parts(spark, [(u >= mid) & odd, (u >= mid) & ~odd, u < mid])
+    pk = packet_stream(spark, d, watermark="2 seconds", files_per_trigger=1)
     det = run_available_now(detector_stream(_slice(pk), TH), "t-late")
-    second_half = _slice(packets(spark, SF_SMALL)).filter(F.col("ts_us") >= mid // 43200)
-    assert det.count() == second_half.count()
+    every = _slice(packets(spark, SF_SMALL))
+    late = late_rows(every, det)
+    assert det.count() + late.count() == every.count() and late.count() > 0
+    assert late.agg(F.max("ts_us")).first()[0] < mid // 43200
 
 
 def test_idle_session_is_evicted(spark):
     """ST4 in the stateful detector: after an idle gap longer than the max age
     the session starts over (counters from 1, window and EWMA from zero)."""
-    import uuid
     d = f"{checkpoint_dir(spark).rstrip('/')}/idle-{uuid.uuid4().hex[:8]}"
     first = [(i, 1_000_000 + i * 100_000, "s", "10.0.0.1", 100) for i in range(1, 6)]
     later = [(10 + i, 20_000_000 + i * 100_000, "s", "10.0.0.1", 100) for i in range(1, 4)]
+    close = [(99, 90_000_000, "end", "10.0.0.2", 100)]
     schema = "pkt_id long, ts_us long, session_id string, src_ip string, size int"
     spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(d)
     time.sleep(1.1)
     spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(d)
+    time.sleep(1.1)
+    spark.createDataFrame(close, schema).coalesce(1).write.mode("append").parquet(d)
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
          .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", "0 seconds"))
     out = run_available_now(detector_stream(s, TH, max_age_s=5.0), "t-idle")
