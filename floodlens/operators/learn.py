@@ -167,6 +167,28 @@ def rff_columns(n_in: int, n_components: int, gamma: float, seed: int = 42):
     return w, b
 
 
+def require_features(df: DataFrame, features=FEATURE_COLUMNS) -> None:
+    """One error that names every missing feature, before any plan is built."""
+    missing = [c for c in features if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing feature columns: {', '.join(missing)}")
+
+
+def cross_validated_f1(df: DataFrame, id_cols: list[str], fit, folds: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
+    """F1 of class 1 on each fold (rows dealt by a hash of their id and
+    label-blind), of a model that ``fit(train)`` learns from the other folds
+    and that ``score`` can apply; one row a fold, and null without positives."""
+    h = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in id_cols], F.lit(seed)), F.lit(folds)).cast("int")
+    x = df.withColumn("fold", h)
+    out = None
+    for k in range(folds):
+        scored = score(fit(x.filter(F.col("fold") != k).drop("fold")), x.filter(F.col("fold") == k))
+        hit = lambda a, b: F.count_if((F.col(label) == a) & (F.col("prediction") == b))
+        one = scored.agg(F.lit(k).alias("fold"), (2 * hit(1, 1)).alias("_hit"), (2 * hit(1, 1) + hit(0, 1) + hit(1, 0)).alias("_all"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("fold", q(F.try_divide("_hit", "_all"), 4).alias("f1"))
+
+
 class KernelClassifier:
     """Fitted M3/M4 model: preparation pipeline (assembler, constant-feature
     removal, scaler), random Fourier map (W, b) and a LinearSVC."""
@@ -220,6 +242,7 @@ def train_classifier(train: DataFrame, features=FEATURE_COLUMNS, label: str = "l
     from pyspark.ml.feature import StandardScaler, VarianceThresholdSelector, VectorAssembler
 
     feats = list(features)
+    require_features(train, feats)
     stages = [VectorAssembler(inputCols=feats, outputCol="_raw", handleInvalid="keep")]
     col_in = "_raw"
     if drop_constant:

@@ -14,8 +14,12 @@ from floodlens.functions.numeric import q
 
 
 def attacker_stats(det: DataFrame, key: str = "src_ip", rate: str = "packet_rate",
-                   status: str = "detection_status") -> DataFrame:
-    """A5 in one conditional aggregation."""
+                   status: str = "detection_status", watch: list[str] | None = None) -> DataFrame:
+    """A5 in one conditional aggregation.  With a watchlist, a row for each of
+    its sources, null where a source has no rows."""
+    if watch is not None:
+        spine = det.sparkSession.createDataFrame([(w,) for w in watch], f"{key} string")
+        return spine.join(attacker_stats(det, key, rate, status), key, "left")
     return det.groupBy(key).agg(
         F.min("ts_us").alias("first_seen_us"), F.max("ts_us").alias("last_seen_us"),
         F.min(F.when(F.col(status) == "WARNING", F.col("ts_us"))).alias("first_warn_us"),
@@ -144,6 +148,13 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
                     q(F.col("_lo") + F.col("bin") * width).alias("hi"), "count"))
 
 
+def value_markers(df: DataFrame, value: str) -> DataFrame:
+    """The mean and median that mark the histogram."""
+    median = exact_percentiles(df.withColumn("_all", F.lit(0)), value, ["_all"], [0.5]).select(F.col("_p")[0].alias("_med"))
+    mean = df.agg(F.avg(value).alias("_mean"))
+    return mean.join(median, F.lit(True), "left").select(q("_mean").alias("mean"), q("_med").alias("median"))
+
+
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (clipped to the data) and outlier count per group."""
     qs = exact_percentiles(df, value, [by], [0.25, 0.5, 0.75], out="_q")

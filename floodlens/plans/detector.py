@@ -99,12 +99,13 @@ def sql_attack_slice(dims: Dims) -> str:
             f"FROM pk WHERE {cond})")
 
 
-def sql_detect(th: Thresholds, src: str = "rt") -> str:
-    """W13 + W14 over ``src`` (needs packet_rate).  Produces CTE ``det``."""
+def sql_detect(th: Thresholds, src: str = "rt", model: str | None = None) -> str:
+    """W13 + W14 over ``src`` (needs packet_rate).  Produces CTE ``det``.
+    ``model`` is a model's prediction as an expression (P17), else the attack rate decides."""
+    model = model or f"CASE WHEN packet_rate >= {th.attack!r} THEN 1 ELSE 0 END"
     return f"""
 d1 AS (
-  SELECT *, CASE WHEN packet_rate < {th.warn!r} THEN 0 WHEN packet_rate >= {th.attack!r} THEN 1 ELSE 0 END
-              AS final_prediction,
+  SELECT *, CASE WHEN packet_rate < {th.warn!r} THEN 0 ELSE coalesce({model}, 0) END AS final_prediction,
          packet_rate >= {th.warn!r} AS _hot,
          max(CASE WHEN packet_rate < {th.warn!r} THEN _rn END)
            OVER (PARTITION BY session_id ORDER BY _rn ROWS UNBOUNDED PRECEDING) AS _island

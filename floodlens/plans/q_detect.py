@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from floodlens.functions.numeric import q, q_sql
 from floodlens.operators import detect as D
-from floodlens.operators.rates import packet_rates, running_session_stats
-from floodlens.plans.detector import (attack_slice, detector, flows, sql_detector, sql_flows,
-                                      sql_prelude, sql_rates)
+from floodlens.operators.rates import packet_rates, running_session_stats, session_id
+from floodlens.plans.detector import (attack_slice, detector, flows, sql_attack_slice, sql_detect, sql_detector,
+                                      sql_flows, sql_prelude, sql_rates)
 from floodlens.plans.fixture import ALL_SOURCES, CHUNK_S, FIXTURE_TH, WATCHED
 from floodlens.plans.registry import register
+from floodlens.session import materialize
 from floodlens.sources.adapter import packets
 
 TH, DIMS = FIXTURE_TH, ALL_SOURCES
 WL = ", ".join(f"'{ip}'" for ip in WATCHED.watch_ips)
+SILENT = [*WATCHED.watch_ips, "10.0.9.9"]  # a watchlist with a host that never sends
 
 
 def W(*ctes) -> str:
@@ -104,6 +106,20 @@ def w17(spark, sf):
 
 
 # ------------------------------------------------------- scalar ladders on rows
+_RULE = "CASE WHEN packet_rate >= 2.0 AND pkt_count_1s >= 2 THEN 1 WHEN pkt_id % 7 = 0 THEN NULL ELSE 0 END"
+
+
+@register("p17_model_prediction", "WITH " + ",\n".join([sql_prelude(), sql_attack_slice(DIMS), sql_rates(TH, "sl", "rt"), sql_detect(TH, "rt", _RULE)]) + """
+SELECT pkt_id, final_prediction, detection_status, warning_since_us, alert_first_seen_us FROM det""")
+def p17_model(spark, sf):
+    """P17 with a model's predictions in the loop: null ones count as 0, rates
+    below the warning are never alerts, and confirmation follows the model."""
+    sl = attack_slice(packets(spark, sf), DIMS).withColumn("session_id", session_id())
+    r = materialize(packet_rates(sl, "session_id", TH, CHUNK_S), "rates").withColumn("prediction", F.expr(_RULE))
+    return (D.detection_state(r, TH, model_pred="prediction")
+            .select("pkt_id", "final_prediction", "detection_status", "warning_since_us", "alert_first_seen_us"))
+
+
 @register("p17_prediction_guard", DET_SQL + """
 SELECT final_prediction, count(*) AS n FROM det GROUP BY final_prediction""")
 def p17(spark, sf):
@@ -183,6 +199,19 @@ def a05(spark, sf):
     return attacker_stats(_det(spark, sf))
 
 
+@register("a05_watchlist_stats", "WITH " + ",\n".join([sql_prelude(), sql_attack_slice(WATCHED), sql_rates(TH, "sl", "rt"), sql_detect(TH, "rt")]) + f""",
+spine AS (SELECT unnest([{', '.join(repr(ip) for ip in SILENT)}]) AS src_ip)
+SELECT spine.src_ip, min(ts_us) AS first_seen_us, max(ts_us) AS last_seen_us,
+       min(CASE WHEN detection_status = 'WARNING' THEN ts_us END) AS first_warn_us,
+       min(CASE WHEN detection_status = 'ATTACK_CONFIRMED' THEN ts_us END) AS first_conf_us,
+       {q_sql('max(packet_rate)')} AS max_rate, {q_sql('avg(packet_rate)')} AS avg_rate, nullif(count(det.src_ip), 0) AS total_pkts
+FROM spine LEFT JOIN det ON det.src_ip = spine.src_ip GROUP BY spine.src_ip""")
+def a05_watchlist(spark, sf):
+    """A5 for a watchlist, one host of which never sends."""
+    from floodlens.operators.report import attacker_stats
+    return attacker_stats(detector(packets(spark, sf), TH, WATCHED, CHUNK_S), watch=SILENT)
+
+
 @register("a07_global_firsts", DET_SQL + """
 SELECT min(CASE WHEN detection_status = 'WARNING' THEN ts_us END) AS first_warning_us,
        min(CASE WHEN detection_status = 'ATTACK_CONFIRMED' THEN ts_us END) AS first_confirmed_us,

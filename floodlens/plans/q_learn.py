@@ -178,7 +178,25 @@ def m08(spark, sf):
     return L.threshold_sweep(dataset(spark, sf), SWEEP)
 
 
+@register("m08_best_threshold", DS_SQL + f""",
+th AS (SELECT unnest(CAST([{', '.join(repr(t) for t in SWEEP)}] AS DOUBLE[])) AS threshold),
+c AS (SELECT threshold, count_if(label = 1 AND packet_rate_ewma >= threshold) AS tp,
+             count_if(label = 0 AND packet_rate_ewma >= threshold) AS fp,
+             count_if(label = 1 AND NOT (packet_rate_ewma >= threshold)) AS fn FROM th, ds GROUP BY threshold),
+f AS (SELECT threshold, {q_sql('coalesce(CASE WHEN tp = 0 THEN NULL ELSE 2.0 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) END, 0.0)', 4)} AS f1 FROM c)
+SELECT threshold, f1 FROM f ORDER BY f1 DESC, threshold LIMIT 1""")
+def m08_best(spark, sf):
+    return L.best_threshold(L.threshold_sweep(dataset(spark, sf), SWEEP))
+
+
 # ------------------------------------------------- model-based (rows-only checks)
+@register("m10_cross_validated_f1")
+def m10_cv(spark, sf):
+    """F1 of a compact kernel classifier on each of five folds."""
+    ds = materialize(dataset(spark, sf), "dataset")
+    return L.cross_validated_f1(ds, ID_COLS, lambda t: L.train_classifier(t, n_components=16, max_iter=10, balanced=True))
+
+
 @register("m04_kernel_classifier")
 def m04(spark, sf):
     """M3 + M4 + M9 + M10 + M7 + S10: fit on the train split, save, reload,

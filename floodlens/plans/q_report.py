@@ -247,6 +247,12 @@ def a16(spark, sf):
     return R.histogram(_cap(spark, sf), "size", 50)
 
 
+@register("a16_size_markers", f"WITH {PK}, {CAP}, {FIELDS}" + f"""
+SELECT {q_sql('avg(size)')} AS mean, {q_sql('median(CAST(size AS DOUBLE))')} AS median FROM cp""")
+def a16_markers(spark, sf):
+    return R.value_markers(_cap(spark, sf), "size")
+
+
 @register("a17_box_stats", f"WITH {PK}, {CAP}, {FIELDS}" + f""",
 qs AS (SELECT protocol, quantile_cont(CAST(size AS DOUBLE), [0.25, 0.5, 0.75]) AS qq FROM cp GROUP BY protocol),
 b AS (SELECT protocol, qq[1] AS q1, qq[2] AS med, qq[3] AS q3, qq[1] - 1.5 * (qq[3] - qq[1]) AS lo,
