@@ -29,6 +29,31 @@ def session_id(src: str = "src_ip", dst: str = "dst_ip", proto: str = "protocol"
     return F.when(F.col(proto).isin("TCP", "UDP") & (sp != "") & (dp != ""), ported).otherwise(plain)
 
 
+def session_episodes(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,
+                     chunk_s: float = DEFAULT_CHUNK_S, out: str = "_episode") -> DataFrame:
+    """Stale sessions start anew: ``out`` is the session and the start of its
+    episode, which ends where the session was idle longer than
+    ``session_max_age_s``.  Counters, windows, smoothing and detection state
+    keyed by it restart, as they do in the stream.
+
+    Chunks no longer than that age can only begin an episode with their first
+    row, so one row a chunk decides.  Adds ``_chunk`` where it is missing."""
+    age = int(round(th.session_max_age_s * 1_000_000))
+    if CHUNK not in df.columns:
+        df = add_chunk(df, _chunk_us(chunk_s, th))
+    inner = F.floor(F.col("ts_us") / F.lit(max(1, age))).cast("long")  # chunks of the age, unless shorter ones are there
+    part = F.struct(F.col(CHUNK).alias("c"), inner.alias("i")) if _chunk_us(chunk_s, th) > age else F.struct(F.col(CHUNK).alias("c"))
+    rows = df.withColumn("_part", part)
+    spans = rows.groupBy(key, "_part").agg(F.min("ts_us").alias("_first"), F.max("ts_us").alias("_last"))
+    w = Window.partitionBy(key).orderBy("_part")
+    starts = F.when(F.coalesce(F.col("_first") - F.lag("_last").over(w) > F.lit(age), F.lit(True)), F.col("_first"))
+    spans = spans.withColumn("_start", starts).select(
+        F.col(key).alias("_key"), F.col("_part").alias("_p"), F.last("_start", ignorenulls=True).over(w).alias("_start"))
+    on = (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_p"))
+    return (rows.join(spans, on, "left").withColumn(out, F.concat_ws("@", F.col(key), F.col("_start").cast("string")))
+            .drop("_part", "_p", "_key", "_start"))
+
+
 def _chunk_us(chunk_s: float, th: Thresholds) -> int:
     return max(int(round(chunk_s * 1_000_000)), th.window_us)
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from floodlens.config import Dims, Thresholds
 from floodlens.functions.numeric import q, q_sql
 from floodlens.operators.detect import detection_state, mitigation_trigger
-from floodlens.operators.rates import packet_rates, session_id
+from floodlens.operators.rates import packet_rates, session_episodes, session_id
+from floodlens.operators.sequence import CHUNK
 from floodlens.session import materialize
 from floodlens.sources.adapter import adapter_sql
 
@@ -47,10 +48,11 @@ def detector(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, stage: b
     """Rates, states and triggers of the attack slice.  ``stage`` writes the
     per-packet rates and the detector rows as tables (lineage cut)."""
     s = attack_slice(pk, dims).withColumn("session_id", session_id())
-    r = packet_rates(s, "session_id", th, chunk_s)
+    s = session_episodes(s, "session_id", th, chunk_s).drop(CHUNK)
+    r = packet_rates(s, "_episode", th, chunk_s)
     if stage:
         r = materialize(r, "rates")
-    d = mitigation_trigger(detection_state(r, th), th)
+    d = mitigation_trigger(detection_state(r, th, key="_episode"), th).drop("_episode")
     return materialize(d, "detector") if stage else d
 
 

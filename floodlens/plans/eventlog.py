@@ -23,7 +23,8 @@ from floodlens.operators.detect import detection_state, mitigation_trigger
 from floodlens.operators.dims import with_switch_name, with_watchlist
 from floodlens.operators.mitigate import (intervals, merge_intervals, mitigation_cycle, mitigation_log,
                                           with_mitigation_active, with_own_mitigation)
-from floodlens.operators.rates import packet_rates
+from floodlens.operators.rates import packet_rates, session_episodes
+from floodlens.operators.sequence import CHUNK
 from floodlens.plans.detector import detector, flows
 from floodlens.session import materialize
 
@@ -33,7 +34,7 @@ def cycle(det_in: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
     of one session a source.  Rows under a drop aren't judged (NORMAL); after
     the release a new detection state starts, so the rows between two drops
     are an episode with islands of its own."""
-    det = materialize(mitigation_trigger(detection_state(det_in, th), th), "detector")
+    det = materialize(mitigation_trigger(detection_state(det_in, th, key="_episode"), th), "detector")
     acts = materialize(mitigation_cycle(det, th), "activations")
     one = Window.partitionBy("src_ip").orderBy("drop_us")  # activations of a source: its span over the hard timeout
     again = acts.select(F.col("src_ip").alias("_src"), F.col("release_us").alias("_from"),
@@ -43,15 +44,16 @@ def cycle(det_in: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
         {"detection_status": F.lit("NORMAL"), "final_prediction": F.lit(0), "trigger": F.lit(False)})
     cond = (F.col("src_ip") == F.col("_src")) & (F.col("ts_us") >= F.col("_from")) & (F.col("ts_us") <= F.col("_to"))
     judged = (rows.filter("NOT _dropped").drop("_dropped").join(again, cond, "left")  # episodes don't overlap
-              .withColumn("_episode", F.concat_ws("#", "session_id", F.col("_from").cast("string"))).drop("_src", "_from", "_to"))
-    judged = mitigation_trigger(detection_state(judged, th, key="_episode"), th)
+              .withColumn("_turn", F.concat_ws("#", "_episode", F.col("_from").cast("string"))).drop("_src", "_from", "_to"))
+    judged = mitigation_trigger(detection_state(judged, th, key="_turn"), th)
     return judged.select(*held.columns).unionByName(held), acts
 
 
 def build(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, log_suppressed: bool = False):
     """Returns (event_log, mitigation_log, first_drops)."""
     fl = with_watchlist(flows(pk), "src_ip", dims)
-    r = materialize(packet_rates(fl, "session_id", th, chunk_s), "rates")
+    fl = session_episodes(fl, "session_id", th, chunk_s).drop(CHUNK)
+    r = materialize(packet_rates(fl, "_episode", th, chunk_s), "rates")
     to_v = (F.col("protocol") == "ICMP") & (F.col("dst_ip") == F.lit(dims.victim))
     det, acts = cycle(r.filter(to_v & F.col("is_watched")), th)
     drops = acts.groupBy("src_ip").agg(F.min("drop_us").alias("drop_us"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from floodlens.config import Thresholds
 from floodlens.operators.detect import detection_state, mitigation_trigger
-from floodlens.operators.rates import ewma_rate, packet_rates, trailing_features
+from floodlens.operators.rates import ewma_rate, packet_rates, session_episodes, trailing_features
 from floodlens.operators.timeline import throttle
 
 TH = Thresholds(warn=3.0, attack=6.0, confirm_s=0.5, delay_s=0.8)
@@ -157,6 +157,38 @@ def test_islands_of_equal_timestamps_at_a_chunk_end(spark):
     assert got == {1: None, 2: None, 3: 11_000_000, 4: 11_000_000}
 
 
+@pytest.mark.parametrize("chunk_s", [1.0, 2.0, 7.0])
+def test_stale_sessions_start_anew(spark, chunk_s):
+    """Sessions with idle gaps against a fold that forgets them (gaps about the age, ties included)."""
+    th = TH.with_(session_max_age_s=2.0)
+    rnd, rows, pid = random.Random(21), [], 0
+    for s in range(5):
+        t = rnd.randint(0, 3_000_000)
+        for _ in range(120):
+            t += rnd.choice([0, 40_000, 90_000, 400_000, 1_999_999, 2_000_000, 2_000_001, 9_000_000] if rnd.random() < 0.2 else [30_000, 80_000])
+            pid += 1
+            rows.append((pid, t, f"s{s}", rnd.randint(60, 1500)))
+    df = spark.createDataFrame(rows, "pkt_id long, ts_us long, session_id string, size int")
+    r = packet_rates(session_episodes(df, th=th, chunk_s=chunk_s).drop("_chunk"), "_episode", th, chunk_s=chunk_s)
+    det = detection_state(r, th, key="_episode").collect()
+    got = {x.pkt_id: (x.pkt_count_1s, round(x.packet_rate, 9), x.detection_status, x.warning_since_us) for x in det}
+    ref = {}
+    for s in {x[2] for x in rows}:
+        part, last = [], None
+        pieces = []
+        for row in sorted((x for x in rows if x[2] == s), key=lambda x: (x[1], x[0])):
+            if last is not None and row[1] - last > 2_000_000:
+                pieces.append(part)
+                part = []
+            part.append(row)
+            last = row[1]
+        for piece in [*pieces, part]:
+            rates = _ref_rates(piece, th)
+            states = _ref_states([(x[1], x[0], rates[x[0]][4]) for x in piece], th)
+            ref.update({x[0]: (rates[x[0]][0], round(rates[x[0]][4], 9), states[x[0]][0], states[x[0]][1]) for x in piece})
+    assert got == ref
+
+
 def test_exact_threshold_edges(spark):
     """Q11: warning at rate >= warn, alert at rate > attack; the guard predicts at >= attack."""
     th = Thresholds(warn=20.0, attack=50.0, confirm_s=1.0)
