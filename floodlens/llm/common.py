@@ -33,10 +33,10 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
-def per_batch(fn):
-    """Lift ``RecordBatch -> dict of arrays`` into a ``mapInArrow`` function."""
+def per_batch(fn, rows: int = 1_000):
+    """Lift ``RecordBatch -> dict of arrays`` into a ``mapInArrow`` function, which gets at most ``rows`` rows at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(batch))
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pydict(fn(batch.slice(at, rows)))
     return run

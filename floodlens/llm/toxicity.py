@@ -21,7 +21,7 @@ from .hashing import batches, mix, prefix_hash, span_hash
 FEATURE_BITS = 24
 BEGINNINGS = (4, 5)  # bytes of a word's beginnings
 #: labelled rows a shard learns from, on average
-SHARD_ROWS = 8_000
+SHARD_ROWS = 4_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.1, 4
 #: averaged weights below this are dropped; with L1 on every shard this bounds the model
 LEAST_WEIGHT = 1e-3
