@@ -99,7 +99,22 @@ def op6(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@register("op5_suffix_dedup")
+@register("op5_suffix_dedup", """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT rid, doc_id, i, substr(h, 2 * i + 1, 100) AS key
+  FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+firsts AS (SELECT key, min(doc_id) AS first_id FROM win GROUP BY key),
+hit AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM win JOIN firsts USING (key) WHERE first_id < doc_id),
+run AS (SELECT rid, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS k FROM hit),
+span AS (SELECT rid, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY rid, k),
+cut AS (SELECT rid, a, b, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS c FROM span),
+rest AS (
+  SELECT rid, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS s, max(b) AS e, count(*) AS n_spans, sum(b - a) AS n
+  FROM cut JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN e IS NULL THEN h ELSE s || substr(h, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN rest USING (rid)""")
 def op5(spark, sf_dir):
     cut = remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
