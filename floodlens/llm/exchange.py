@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text in a block, and keys in a bucket, on average
 BLOCK_BYTES = 8 << 20
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
+#: smaller inputs are dealt into this many blocks, of a megabyte at least, so that they keep all tasks busy
+LEAST_BLOCKS, LEAST_BYTES = 64, 1 << 20
 
 
 class Layout:
@@ -30,7 +32,7 @@ class Layout:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, bytes_per_key: float, block_bytes: int, bucket_keys: int):
         total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        self.blocks = max(1, math.ceil(total / block_bytes))
+        self.blocks = max(1, math.ceil(total / block_bytes), min(LEAST_BLOCKS, math.ceil(total / LEAST_BYTES)))
         self.buckets = max(1, math.ceil(total / bytes_per_key / bucket_keys))
         bounds: list[int] = []
         if self.blocks > 1:
