@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import text_bytes
+from .hashing import batches as text_batches
 
 #: the least share of all words of one in the lexicon (so it has at most 1 / LEXICON_SHARE), and pieces of text between spaces that a worker remembers
-LEXICON_SHARE, MEMORY_PIECES = 2e-6, 500_000
+LEXICON_SHARE, MEMORY_PIECES = 2e-6, 400_000
 #: texts are encoded in runs of about this many bytes
-RUN_BYTES = 6 << 20
+RUN_BYTES = 4 << 20
 
 
 class PairTable:
@@ -230,81 +231,83 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes and decodes texts.  It remembers the first ``memory`` pieces
-    between spaces that it meets (most frequent ones are among them); others
-    are encoded once a run of texts."""
+    """Encodes and decodes texts.  It remembers the ids of the first ``memory``
+    pieces between spaces that it meets (most frequent ones are among them);
+    others are encoded once a run of texts."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, memory: int = MEMORY_PIECES):
         self.vocabulary, self.lexicon, self.memory = vocabulary, lexicon, memory
         self.code: dict[bytes, int] = {}
-        self.pieces: list[list[int]] = []
-        self.decoded: list[bytes] = []
-        self.size, self.held = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.tokens = {i: t.encode() for i, t in vocabulary.tokens.items()}
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # of the remembered pieces, by code
+        self.token = [vocabulary.tokens[i].encode() if i in vocabulary.tokens else b"" for i in range(max(vocabulary.tokens) + 1)]
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of pieces: their words are looked up among the remembered
         pieces and in the lexicon, and what neither holds is merged."""
-        split = list(map(self.vocabulary.words, pieces))
-        found: dict[str | int, list[int]] = {}
-        unseen = []
-        for word in set(chain.from_iterable(split)):
+        out: list[list[int] | None] = [None] * len(pieces)
+        find = self.lexicon.find if self.lexicon else lambda word: None
+        unseen: dict[bytes, list[int]] = {}  # places that hold the word alone
+        mixed, found = [], {}
+        for k, piece in enumerate(pieces):
+            if piece.isalpha() and piece.islower():  # one word, as it stands
+                out[k] = find(piece)
+                if out[k] is None:
+                    unseen.setdefault(piece, []).append(k)
+            else:
+                mixed.append((k, self.vocabulary.words(piece)))
+        for word in set(chain.from_iterable(words for _, words in mixed)):
             if isinstance(word, int):
                 found[word] = [word]
                 continue
             data = word.encode()
-            known = self.code.get(data)  # a word by itself is a piece
-            ids = self.pieces[known] if known is not None else self.lexicon.find(data) if self.lexicon else None
+            at = self.code.get(data)  # a word by itself is a piece
+            ids = find(data) if at is None else self.ids[self.start[at]:self.start[at + 1]].tolist()
             if ids is None:
-                unseen.append(word)
+                unseen.setdefault(data, [])
             else:
                 found[word] = ids
-        found.update(zip(unseen, self.vocabulary.merge([w.encode() for w in unseen])))
-        return [found[words[0]] if len(words) == 1 else [i for w in words for i in found[w]] for words in split]
+        for (word, places), ids in zip(unseen.items(), self.vocabulary.merge(list(unseen))):
+            for k in places:
+                out[k] = ids
+            found[word.decode()] = ids
+        for k, words in mixed:
+            out[k] = found[words[0]] if len(words) == 1 else [i for w in words for i in found[w]]
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """Tokens joined by a space, as a tokenizer without a decoder does, in UTF-8."""
-        return b" ".join([self.tokens[i] for i in ids])
+        return b" ".join(map(self.token.__getitem__, ids))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(number of ids of each text, all ids in turn, decoded texts)."""
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids in turn)."""
         split = [t.split() for t in texts]
         new = list(set().union(*split).difference(self.code))
         fresh = self.encode_pieces(new)
-        self.code.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
-        self.pieces += fresh
-        self.decoded += map(self.decode, fresh)
-        codes = [list(map(self.code.__getitem__, words)) for words in split]
-        size = np.concatenate([self.size, np.fromiter(map(len, fresh), np.int32, len(fresh))])
-        held = np.concatenate([self.held, np.fromiter(chain.from_iterable(fresh), np.int32)])
-        place = np.fromiter(chain.from_iterable(codes), np.int64, sum(map(len, codes)))
-        start, n = (np.cumsum(size, dtype=np.int64) - size)[place], size[place]
-        ends = np.cumsum(n, dtype=np.int64)
-        where = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        total = np.concatenate([[0], ends])[np.cumsum([0, *map(len, codes)])]
-        say = self.decoded
-        join = (lambda words: b" ".join([say[k] for k in words])) if size.all() else (lambda words: b" ".join([d for k in words if (d := say[k])]))
-        decoded = list(map(join, codes))
-        keep = min(len(self.pieces), max(self.memory, len(self.size)))
-        for piece in new[keep - len(self.size):]:
+        kept = len(self.start) - 1
+        self.code.update(zip(new, range(kept, kept + len(new))))
+        start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))])
+        ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(fresh), np.int32)])
+        words = np.cumsum([0, *map(len, split)])
+        place = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, words[-1])
+        n = start[place + 1] - start[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        where = np.repeat(start[place] - ends[:-1], n) + np.arange(ends[-1])
+        keep = max(0, min(len(new), self.memory - kept))
+        for piece in new[keep:]:
             del self.code[piece]
-        del self.pieces[keep:], self.decoded[keep:]
-        self.size, self.held = size[:keep], held[:size[:keep].sum()]
-        return np.diff(total), held[where], decoded
+        self.start, self.ids = start[:kept + keep + 1], ids[:start[kept + keep]]
+        return np.diff(ends[words]), ids[where]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def _runs(batches: Iterator[pa.RecordBatch], text_col: str):
-    """Parts of batches of about ``RUN_BYTES`` of text."""
+def _runs(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of batches of about ``RUN_BYTES`` of text, and their texts."""
     for batch in batches:
-        sizes = np.cumsum([len(t) + 1 for t in text_bytes(batch.column(text_col))])
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + RUN_BYTES)))
-            yield batch.slice(at, end - at)
-            at = end
+        texts = text_bytes(batch.column(text_col))
+        for first, end in text_batches(texts, RUN_BYTES):
+            yield batch.slice(first, end - first), texts[first:end]
 
 
 def count_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
@@ -312,22 +315,21 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        words: Counter = Counter()
+        pieces: Counter = Counter()
 
         def out():
-            rows = pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "count": pa.array(list(words.values()), pa.int64())})
-            words.clear()
-            return rows
-        for part in _runs(batches, text_col):
-            pieces: Counter = Counter()
-            for text in text_bytes(part.column(text_col)):
-                pieces.update(text.split())
+            words: Counter = Counter()
             for piece, n in pieces.items():
                 for w in shared.value.words(piece):
                     if not isinstance(w, int):
                         words[w] += n
-            if len(words) > MEMORY_PIECES:
-                yield out()
+            pieces.clear()
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "count": pa.array(list(words.values()), pa.int64())})
+        for batch in batches:
+            for text in batch.column(text_col).to_pylist():
+                pieces.update((text or "").encode().split())
+                if len(pieces) > MEMORY_PIECES:
+                    yield out()
         yield out()
     return docs.select(text_col).mapInArrow(count, "word string, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
 
@@ -359,9 +361,12 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", carry:
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = Encoder(shared.value[0], Lexicon(shared.value[1]))
-        for part in _runs(batches, text_col):
-            n, ids, decoded = _encoders[key].encode(text_bytes(part.column(text_col)))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), lists, pa.array(decoded, pa.binary()).cast(pa.string())], [*carry, "ids", "decoded"])
+        encoder = _encoders[key]
+        for part, texts in _runs(batches, text_col):
+            n, ids = encoder.encode(texts)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            decoded = pa.array([encoder.decode(ids[i:j].tolist()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), lists, decoded], [*carry, "ids", "decoded"])
     out = docs.select(*carry, F.array().cast("array<int>").alias("ids"), F.lit("").alias("decoded")).schema
     return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(run, out)
