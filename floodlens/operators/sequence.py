@@ -225,12 +225,14 @@ def sliced_fold(rows: DataFrame, key: str, slice_us: int, fold, out_schema: str,
                              for f in both.fields})
 
     x = rows.withColumn("_slice", F.floor(F.col(ts) / F.lit(slice_us)).cast("long"))
-    src = write_table(x.withColumn(key, F.col(key).cast("string")), f"{name}-input", partition_by=("_slice",))
-    ids = [r[0] for r in spark.read.parquet(src).select("_slice").distinct().orderBy("_slice").collect()]
+    x = x.withColumn(key, F.col(key).cast("string"))
+    path = write_table(x, f"{name}-input", partition_by=("_slice",))
+    src = spark.read.schema(x.schema).parquet(path)  # no rows leave no files to take a schema from
+    ids = [r[0] for r in src.select("_slice").distinct().orderBy("_slice").collect()]
     state = None
     outs = []
     for s in ids:
-        part = (spark.read.parquet(src).filter(F.col("_slice") == s).drop("_slice")
+        part = (src.filter(F.col("_slice") == s).drop("_slice")
                 .withColumn("_is_state", F.lit(False)))
         part = part.select(key, "_is_state", *row_cols,
                            *[F.lit(None).cast(f.dataType).alias(c) for c, f in zip(st_cols, st_t.fields)])
