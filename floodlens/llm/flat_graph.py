@@ -22,8 +22,10 @@ from ..session import materialize
 from .common import per_batch
 from .components import connected_components
 
-#: places in a shard on average, at most in a slice of one on average, shards that a vector is in
+#: places in a shard on average were each vector in OVERLAP of them, at most in a slice of one on average, shards that a vector is in at least
 SHARD, SLICE, OVERLAP = 2_048, 4_096, 3
+#: standard deviations of a pair's offset across two centroids that shards overlap by
+DEVIATIONS = 3.5
 #: vectors that centroids are fitted on, at most about; centroids at most; rounds
 SAMPLE, MAX_CENTROIDS, ROUNDS = 16_384, 4_096, 5
 #: edges of a vertex in one shard, candidates for them (nearest and random), pruning slack
@@ -59,6 +61,33 @@ def fit_centroids(sample: np.ndarray, count: int, apart: float) -> np.ndarray:
     return spread(centres, count)
 
 
+def overlap_reach(sample: np.ndarray, threshold: float) -> float:
+    """How far behind its best centroid, as a share of the distance between the
+    two, another may be for a vector to be in its shard too.
+
+    Vectors of cosine ``threshold`` are ``sqrt(2 - 2 threshold)`` apart.  If
+    each is only in the other shards, their difference, taken along the line
+    between their best centroids, is more than twice the reach; half their
+    distance so is a reach that loses no pair.  Along one line it takes
+    ``1 / sqrt(d)`` of a difference's length on average, where d is the number
+    of dimensions that the sample fills: ``DEVIATIONS`` of that are enough, and
+    with few dimensions the reach is the whole half."""
+    spread = np.linalg.eigvalsh((sample.T @ sample).astype(float) / len(sample))
+    filled = spread.sum() ** 2 / (spread ** 2).sum()
+    return float(np.sqrt(max(0.0, 1 - threshold) / 2) * min(1.0, DEVIATIONS / np.sqrt(filled)))
+
+
+def shards_of(x: np.ndarray, centres: np.ndarray, reach: float) -> list[list[int]]:
+    """The shards of each vector: of its ``OVERLAP`` nearest centroids, and of all within ``reach``."""
+    alike = x @ centres.T
+    best = alike.argmax(axis=1)
+    square = (centres ** 2).sum(axis=1)
+    apart = np.sqrt(np.maximum(0, square[best][:, None] + square - 2 * centres[best] @ centres.T))
+    inside = alike[np.arange(len(x)), best][:, None] - alike <= reach * apart + 1e-6
+    np.put_along_axis(inside, np.argsort(-alike, axis=1, kind="stable")[:, :OVERLAP], True, axis=1)
+    return [np.flatnonzero(row).tolist() for row in inside]
+
+
 def prune(x: np.ndarray, candidates: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     """Robust pruning of every vertex's candidates (a row each, padded by -1):
     the nearest one left is kept, and those that are ``SLACK`` times closer to
@@ -173,20 +202,15 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return data.flatten().to_numpy().reshape(len(data), -1)
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest shard that vectors of ``a`` and of ``b`` (rows of sorted shards, padded by -1) share."""
-    out = np.full((len(a), len(b)), 1 << 30)
-    for k in range(a.shape[1]):
-        shares = (a[:, k][:, None, None] == b).any(axis=2) & (a[:, k] >= 0)[:, None]
-        out = np.where(shares, np.minimum(out, a[:, k][:, None]), out)
-    return out
-
-
-def _homes(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.to_pylist()
-    out = np.full((len(lists), OVERLAP), -1, np.int64)
-    for k, h in enumerate(lists):
-        out[k, :len(h)] = h
+def _earlier(column: pa.ChunkedArray, shard: int) -> np.ndarray:
+    """Which shards before ``shard`` each vector is in, a column each."""
+    lists = column.combine_chunks()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    home = lists.flatten().to_numpy()
+    row, home = row[home < shard], home[home < shard]
+    names, place = np.unique(home, return_inverse=True)
+    out = np.zeros((len(lists), len(names)), np.float32)
+    out[row, place] = 1
     return out
 
 
@@ -219,7 +243,7 @@ def _search(threshold: float):
         near = every.copy()
         for rows, found in range_search(x, x, graph, entry_points(x), threshold - MARGIN):
             near = unite(near, rows, every, found)
-        homes = _homes(table.column("homes"))
+        earlier = _earlier(table.column("homes"), shard)
         links, root = np.zeros(len(node)), every.copy()
         order = np.argsort(near, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
@@ -228,7 +252,7 @@ def _search(threshold: float):
                 linked = exact[rows] @ exact[group].T >= threshold
                 linked &= (rows[:, None] != group) & ((part[rows][:, None] != part[group]) | (i == j))
                 root = unite(root, rows, group, linked)
-                links[rows] += (linked & (_first_shared(homes[rows], homes[group]) == shard)) @ copies[group].astype(float)
+                links[rows] += (linked & (earlier[rows] @ earlier[group].T == 0)) @ copies[group].astype(float)
         some = np.flatnonzero((links > 0) | (root != every))
         return pa.table({"node": pa.array(node[some]), "root": pa.array(node[root[some]]), "links": pa.array(links[some].astype(np.int64))})
     return run
@@ -260,9 +284,8 @@ def _normal(batch: pa.RecordBatch) -> dict:
 def _assigner(broadcast):
     def assign(batch: pa.RecordBatch) -> dict:
         x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
-        alike = x.astype(np.float32) @ broadcast.value.T
-        homes = np.argsort(-alike, axis=1, kind="stable")[:, :OVERLAP]
-        return {n: batch.column(n) for n in batch.schema.names} | {"homes": pa.array([sorted(h) for h in homes.tolist()], pa.list_(pa.int32()))}
+        homes = shards_of(x.astype(np.float32), *broadcast.value)
+        return {n: batch.column(n) for n in batch.schema.names} | {"homes": pa.array(homes, pa.list_(pa.int32()))}
     return assign
 
 
@@ -274,7 +297,7 @@ def _shards(spark: SparkSession, classes: DataFrame, threshold: float) -> DataFr
     drawn = sample.select("vector", draw.alias("draw"), "node").collect()
     drawn = np.array([r.vector for r in sorted(drawn, key=lambda r: (r.draw, r.node))], np.float32)
     centres = fit_centroids(drawn, max(1, min(MAX_CENTROIDS, -(-n * OVERLAP // SHARD))), threshold)
-    shared = spark.sparkContext.broadcast(centres)
+    shared = spark.sparkContext.broadcast((centres, overlap_reach(drawn, threshold)))
     return classes.mapInArrow(per_batch(_assigner(shared)), classes.withColumn("homes", F.array().cast("array<int>")).schema)
 
 

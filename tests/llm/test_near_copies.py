@@ -147,6 +147,33 @@ def test_vectors_against_brute_force(spark, vectors, shard, piece, monkeypatch):
     assert audit_recall(table, got, every=1).first().recall >= 0.9
 
 
+def pairs_apart(n, cosine, size=64, seed=4):
+    """``n`` pairs of the given cosine, of directions without any order."""
+    rng = np.random.default_rng(seed)
+    x, u = flat_graph.unit(rng.normal(size=(n, size))), rng.normal(size=(n, size))
+    u = flat_graph.unit(u - (u * x).sum(axis=1, keepdims=True) * x)
+    return x, cosine * x + np.sqrt(1 - cosine ** 2) * u
+
+
+@pytest.mark.parametrize("count", [76, 1024])
+def test_pairs_at_the_threshold_share_a_shard(count):
+    sample = flat_graph.unit(np.random.default_rng(6).normal(size=(8192, 64))).astype(np.float32)
+    centres, reach = flat_graph.fit_centroids(sample, count, 0.9), flat_graph.overlap_reach(sample, 0.9)
+    x, y = (flat_graph.shards_of(v.astype(np.float32), centres, reach) for v in pairs_apart(2000, 0.9))
+    assert sum(bool(set(a) & set(b)) for a, b in zip(x, y)) >= 1998
+    flat = np.zeros((8192, 64), np.float32)  # three dimensions only: the reach that loses no pair
+    flat[:, :3] = sample[:, :3]
+    assert flat_graph.overlap_reach(flat_graph.unit(flat), 0.9) == pytest.approx(np.sqrt(0.05))
+
+
+def test_pairs_are_linked_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "SHARD", 64)
+    x, y = pairs_apart(2500, 0.901)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.vstack([x, y]))], "vec_id bigint, embedding array<double>")
+    got = audit_recall(table, flat_graph.near_duplicates(table), every=1).first()
+    assert got.links == 5000 and got.recall >= 0.995
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert flat_graph.near_duplicates(none).count() == 0
