@@ -180,12 +180,13 @@ def cross_validated_f1(df: DataFrame, id_cols: list[str], fit, folds: int = 5, s
     and that ``score`` can apply; one row a fold, and null without positives."""
     h = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in id_cols], F.lit(seed)), F.lit(folds)).cast("int")
     x = df.withColumn("fold", h)
-    out = None
+    counts = []  # a row a fold: one plan of all the models' features would fill the driver
     for k in range(folds):
         scored = score(fit(x.filter(F.col("fold") != k).drop("fold")), x.filter(F.col("fold") == k))
         hit = lambda a, b: F.count_if((F.col(label) == a) & (F.col("prediction") == b))
-        one = scored.agg(F.lit(k).alias("fold"), (2 * hit(1, 1)).alias("_hit"), (2 * hit(1, 1) + hit(0, 1) + hit(1, 0)).alias("_all"))
-        out = one if out is None else out.unionByName(one)
+        one = scored.agg((2 * hit(1, 1)).alias("_hit"), (2 * hit(1, 1) + hit(0, 1) + hit(1, 0)).alias("_all")).first()
+        counts.append((k, one["_hit"], one["_all"]))
+    out = df.sparkSession.createDataFrame(counts, "fold int, _hit long, _all long")
     return out.select("fold", q(F.try_divide("_hit", "_all"), 4).alias("f1"))
 
 

@@ -1,6 +1,7 @@
 """The classifier: quality bounds against the threshold rule, folds, missing
 columns, saved models; and the watchlist report."""
 
+import inspect
 import os
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from floodlens.operators import learn as L
 from floodlens.operators.report import attacker_stats
-from floodlens.plans.q_learn import RULE_THRESHOLD, dataset, split
+from floodlens.plans.q_learn import RULE_THRESHOLD, dataset, m04, m07, m10_cv, split
 from floodlens.session import checkpoint_dir, materialize
 from floodlens.sources import io as IO
 
@@ -58,6 +59,28 @@ def test_cross_validation_covers_every_row_once(spark):
     assert sum(seen) == 4 * ds.count()
 
 
+def test_every_model_query_fits_the_same_classifier(spark, monkeypatch):
+    fitted = []
+
+    class Constant:
+        def transform(self, df):
+            return df.withColumn("prediction", F.lit(0.0))
+
+    def fit(train, *args, **kwargs):
+        call = inspect.signature(train_classifier).bind(train, *args, **kwargs)
+        call.apply_defaults()
+        fitted.append({k: v for k, v in call.arguments.items() if k != "train"})
+        return Constant()
+    train_classifier = L.train_classifier
+    monkeypatch.setattr(L, "train_classifier", fit)
+    monkeypatch.setattr(L, "save_model", lambda model, path: path)
+    monkeypatch.setattr(L, "load_model", lambda paths: Constant())
+    for query in (m04, m07, m10_cv):
+        query(spark, SF)
+    assert len(fitted) == 7 and all(f == fitted[0] for f in fitted)
+    assert (fitted[0]["c_param"], fitted[0]["balanced"], fitted[0]["n_components"], fitted[0]["max_iter"]) == (10.0, True, 64, 50)
+
+
 def test_silent_watchlist_sources_have_null_rows(spark):
     det = spark.createDataFrame([("a", 1, "WARNING", 2.0)], "src_ip string, ts_us long, detection_status string, packet_rate double")
     got = {r.src_ip: (r.first_warn_us, r.total_pkts) for r in attacker_stats(det, watch=["a", "b"]).collect()}
