@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from . import flat_graph, hmm, language, lexicon, toxicity
 from .common import fold_of, read
 from .decontaminate import find_contamination
+from .hard_negatives import mine_hard_negatives
 from .minhash import near_duplicates
 from .repeats import remove_repeats
+from .token_counts import count_tokens
 from .url_rules import judge_urls
+from .whitening import whiten
 from .windows import remove_repeated_windows
 
 QUERIES: dict = {}
@@ -183,3 +186,38 @@ def op2(spark, sf_dir):
 def op1(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return hmm.score_texts(docs, fold_of(F.col("doc_id"), 10) == 0, carry=["doc_id"])
+
+
+@register("op11_whitening")
+def op11(spark, sf_dir):
+    return whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@register("op12_hard_negatives", """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE) FOR c IN embedding] AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+a AS (SELECT DISTINCT vec_id, label, x FROM r WHERE vec_id % 100 = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_dot_product(a.x, r.x) AS BIGINT) AS score
+  FROM a JOIN r ON a.vec_id <> r.vec_id),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place
+  FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, place ORDER BY score DESC, other_id) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND place <= 5 AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 10""")
+def op12(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@register("op13_token_counts")
+def op13(spark, sf_dir):
+    counted = count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
