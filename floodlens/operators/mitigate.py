@@ -3,12 +3,12 @@ exclusion, pre/post counts (A6, A9, J4-J6, W15, ST3 batch form)."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodlens.operators.sequence import sliced_fold
 from floodlens.config import DEFAULT, SEGMENT_PATTERN, Dims, Thresholds
+from floodlens.operators.sequence import chain_in_rounds, first_at_or_after
+from floodlens.session import materialize
 
 
 def first_drops(mit: DataFrame, key: str = "src_ip") -> DataFrame:
@@ -118,9 +118,6 @@ def pre_post_counts(pk: DataFrame, drops: DataFrame, key: str = "src_ip") -> Dat
 
 
 # ---------------------------------------------------------------- ST3 batch
-CYCLE_SCHEMA = "src_ip string, drop_us long, release_us long, activation int"
-
-
 def mitigation_cycle(rows: DataFrame, th: Thresholds = DEFAULT, slice_s: float = 3600.0) -> DataFrame:
     """ST3 in batch: the full activation / suppression / expiry cycle per source.
 
@@ -128,45 +125,58 @@ def mitigation_cycle(rows: DataFrame, th: Thresholds = DEFAULT, slice_s: float =
     ``final_prediction``, ``_island``) of one session per source.  After an
     activation the source's packets are suppressed for the hard timeout, then
     the detection state restarts from NORMAL (rates keep their history).
-    This is a greedy chain, so it is folded per source over event-time slices
-    (``sliced_fold``: one task per source and slice, a five-value state per
-    source carried between slices).  The input is first reduced to the hot rows
-    of sources that trigger at least once: cold rows only reset the state,
-    which the fold recovers from the W13 island id of the next hot row."""
-    warn, attack = th.warn, th.attack
-    confirm, delay, hard = th.confirm_us, th.delay_us, th.hard_timeout_us
-    x = rows.filter(F.col("packet_rate") >= warn)
+
+    A drop decides nothing but when the next detection begins: it begins afresh
+    with the first hot row after the timeout.  So every hot row has *one* next
+    activation, the one of a detection that begins with it, and every activation
+    has one successor.  Both are forward searches (``first_at_or_after``) over
+    all hot rows side by side, and the chain of each source's first activation is
+    followed by pointer doubling (``chain_in_rounds``).  ``slice_s`` is the width of
+    the chunks in which a source's rows are searched.  Sources that never trigger
+    and cold rows take no part: a cold row only ends an island (W13)."""
+    cu = max(1, int(round(slice_s * 1_000_000)))
+    least = F.lit(-(2 ** 63))  # an id before all others
+    place = lambda t, i=least: F.struct(t.cast("long").alias("c"), i.cast("long").alias("i"))
+    x = rows.filter(F.col("packet_rate") >= th.warn)
     if "trigger" in rows.columns:
         x = x.join(rows.filter(F.col("trigger")).select("src_ip").distinct(), "src_ip", "left_semi")
-    x = x.select("src_ip", "ts_us", "pkt_id", "packet_rate", "final_prediction",
-                 F.col("_island").cast("string").alias("_cold_n"))
-
-    def fold(src, pdf, st):
-        until, ws, afs, last_cold, k = st if st else (None, None, None, None, 0)
-        out = []
-        ts = pdf["ts_us"].to_numpy(np.int64).tolist()
-        rate = pdf["packet_rate"].to_numpy(float).tolist()
-        pred = pdf["final_prediction"].to_numpy(np.int64).tolist()
-        cold = pdf["_cold_n"].tolist()
-        for i in range(len(ts)):
-            t = ts[i]
-            if until is not None:
-                if t < until:
-                    continue
-                until, ws, afs, last_cold = None, None, None, cold[i]
-            if last_cold is None or cold[i] != last_cold:
-                ws, afs, last_cold = None, None, cold[i]
-            if ws is None:
-                ws = t
-            alert = rate[i] > attack or (pred[i] == 1 and t - ws >= confirm)
-            if alert:
-                if afs is None:
-                    afs = t
-                if t - afs >= delay:
-                    k += 1
-                    out.append((src, t, t + hard, k))
-                    until = t + hard
-        return out, (until, ws, afs, last_cold, k)
-
-    return sliced_fold(x, "src_ip", int(round(slice_s * 1_000_000)), fold, CYCLE_SCHEMA,
-                       "until long, ws long, afs long, last_cold string, k int", "mitigation-cycle")
+    hot = materialize(x.select(
+        "src_ip", place(F.col("ts_us"), F.col("pkt_id")).alias("_at"), F.col("_island").cast("string").alias("_island"),
+        (F.col("packet_rate") > th.attack).alias("_attack"), (F.coalesce("final_prediction", F.lit(0)) == 1).alias("_pred")), "cycle-hot")
+    mark = F.struct("_at", "_island").alias("_mark")
+    attacks = hot.filter("_attack").select("src_ip", "_at", mark)
+    confirmed = hot.filter("_pred").select("src_ip", "_at", mark)
+
+    def search(df: DataFrame, start, marks: DataFrame, out: str) -> DataFrame:
+        """The first mark from ``start`` on that lies in the row's own island."""
+        asked = df.withColumn("_own", F.col("_at")).withColumn("_at", start)
+        got = first_at_or_after(asked, marks, "src_ip", cu, "_hit")
+        return (got.withColumn(out, F.when(F.col("_hit._island") == F.col("_island"), F.col("_hit._at")))
+                .withColumn("_at", F.col("_own")).drop("_own", "_hit"))
+
+    # a detection that begins with this row: an alert is an attack rate, or a confirmed prediction
+    confirm = F.greatest("_at", place(F.col("_at.c") + th.confirm_us))
+    d = hot.select("src_ip", "_at", "_island")
+    d = search(d, F.col("_at"), attacks, "_a")
+    d = search(d, confirm, confirmed, "_p").withColumn("_alert", F.least("_a", "_p")).drop("_a", "_p")
+    # it activates with the first alert from the delay after its first alert on
+    ripe = F.greatest("_alert", place(F.col("_alert.c") + th.delay_us))
+    d = d.filter(F.col("_alert").isNotNull())
+    d = search(d, ripe, attacks, "_a")
+    d = search(d, F.greatest(ripe, confirm), confirmed, "_p").withColumn("_act", F.least("_a", "_p"))
+    own = materialize(d.filter(F.col("_act").isNotNull()).select("src_ip", "_at", "_island", "_act"), "cycle-own")
+    # where the island ends before that, the next islands decide, as they are
+    heads = hot.groupBy("src_ip", "_island").agg(F.min("_at").alias("_at"))
+    open_heads = own.join(heads, ["src_ip", "_island", "_at"], "left_semi").select("src_ip", "_at", F.col("_act").alias("_mark"))
+    begin = hot.select("src_ip", "_at", "_island").join(own, ["src_ip", "_at", "_island"], "left")
+    begin = first_at_or_after(begin, open_heads, "src_ip", cu, "_next").select("src_ip", "_at", F.coalesce("_act", "_next").alias("_act"))
+    begin = materialize(begin.filter(F.col("_act").isNotNull()), "cycle-begin")
+    starts = begin.groupBy("src_ip").agg(F.min_by("_act", "_at").alias("_act"))
+    # an activation's successor is that of the first hot row after its timeout that has any
+    acts = begin.select("src_ip", "_act").distinct()
+    after = F.greatest(place(F.col("_act.c") + th.hard_timeout_us), place(F.col("_act.c"), F.col("_act.i") + 1))
+    asked = acts.withColumn("_at", after)
+    edges = first_at_or_after(asked, begin.select("src_ip", "_at", F.col("_act").alias("_mark")), "src_ip", cu, "_to")
+    chain = chain_in_rounds(edges, starts, "src_ip", "_act", "_to", "cycle")
+    return chain.select("src_ip", F.col("_act.c").alias("drop_us"), (F.col("_act.c") + th.hard_timeout_us).alias("release_us"),
+                        F.col("place").cast("int").alias("activation"))

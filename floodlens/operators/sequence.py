@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,14 +106,15 @@ def ewma_in_chunks(df: DataFrame, keys: list[str], order: list[str], raw: str, o
 
 
 def map_runs(df: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:
-    """Map every group of ``keys`` (one chunk of one key, so of bounded size)
-    through ``fn(key values, {column: numpy array of the group, in order})``,
-    which returns ``{column: values}`` of its output rows.
+    """Map every group of ``keys`` (a chunk of one key, or a bounded number of
+    summaries, so of bounded size) through ``fn(key values, {column: numpy array
+    of the group, in order})``, which returns ``{column: values}`` of its output
+    rows.
 
     Groups are hash-partitioned and sorted, and a task streams through its
-    partition: many small groups share a call, and a group that spans Arrow
-    batches is put together first."""
-    import numpy as np
+    partition: many small groups share a call, and the batches of a group that
+    spans several are kept until it ends and put together once, so the cost is
+    linear in its rows."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -119,25 +122,35 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], fn, schema: str)
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        rest = None
+        open_parts, open_key = [], None  # of the group that may go on in the next batch
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            cols = {c: table.column(c).to_numpy() for c in table.column_names}
-            at = starts(cols, table.num_rows)
+            if not batch.num_rows:
+                continue
+            at = starts(batch)
+            first = tuple(batch.column(k)[0] for k in keys)
+            if open_parts and first != open_key:
+                yield whole(pa.Table.from_batches(open_parts))
+                open_parts = []
+            if open_parts and len(at) > 1:
+                open_parts.append(batch.slice(0, at[1]))
+                yield whole(pa.Table.from_batches(open_parts))
+                open_parts, at = [], at[1:]
             if len(at) > 1:
-                yield whole(cols, at)
-            rest = table.slice(at[-1]) if len(at) else table
-        if rest is not None and rest.num_rows:
-            yield whole({c: rest.column(c).to_numpy() for c in rest.column_names}, np.array([0, rest.num_rows]))
-
-    def starts(cols, n):
-        new = np.ones(n, bool)
-        if n:
-            new[1:] = np.any([cols[k][1:] != cols[k][:-1] for k in keys], axis=0)
+                yield whole(pa.Table.from_batches([batch.slice(at[0], at[-1] - at[0])]))
+            open_parts.append(batch.slice(at[-1]) if not open_parts else batch)
+            open_key = tuple(batch.column(k)[batch.num_rows - 1] for k in keys)
+        if open_parts:
+            yield whole(pa.Table.from_batches(open_parts))
+
+    def starts(table):
+        new = np.ones(table.num_rows, bool)
+        cols = [table.column(k).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(k).to_numpy() for k in keys]
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
         return np.flatnonzero(new)
 
-    def whole(cols, at):
+    def whole(table):
+        cols = {c: table.column(c).to_numpy() for c in table.column_names}
+        at = np.append(starts(table), table.num_rows)
         made = {f.name: [] for f in out}
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
             for c, v in fn(tuple(cols[k][i] for k in keys), {c: v[i:j] for c, v in cols.items()}).items():
@@ -147,106 +160,52 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], fn, schema: str)
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def sliced_fold(rows: DataFrame, key: str, slice_us: int, fold, out_schema: str, state_schema: str,
-                name: str, ts: str = "ts_us", order: tuple = ("ts_us", "pkt_id")) -> DataFrame:
-    """A greedy per-key fold (each decision depends on the previous *kept*
-    one, so no window function expresses it) without one task per key.
-
-    Rows are cut into event-time slices of ``slice_us``.  Slices are folded in
-    time order; between slices only a small per-key state table is carried.
-    For each slice the rows and the state rows are hash-partitioned by key and
-    sorted (state first, then ``order``), and ``mapInPandas`` folds the runs of
-    equal keys in each Arrow batch, carrying a key's state across batch
-    boundaries: one task holds one partition of one slice, never a whole key.
-    Each slice's output and state are written to the shared checkpoint folder,
-    so lineage stays one slice deep and a lost executor costs one slice.  Only
-    the slice ids (span / slice width) reach the driver.
-
-    ``fold(key, pdf, state) -> (out_rows, new_state)`` gets consecutive rows of
-    one key sorted by ``order`` and the state tuple (``None`` at first); it may
-    be called several times per key and slice (a left fold composes).
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-    from pyspark.sql.types import _parse_datatype_string
-
-    from floodlens.session import write_table
-
-    spark = rows.sparkSession
-    out_t = _parse_datatype_string(out_schema)
-    st_t = _parse_datatype_string(state_schema)
-    st_cols = [f"_st_{f.name}" for f in st_t.fields]
-    out_cols = [f.name for f in out_t.fields]
-    both = T.StructType(list(out_t.fields) + [T.StructField("_key", T.StringType())]
-                        + [T.StructField(c, f.dataType) for c, f in zip(st_cols, st_t.fields)]
-                        + [T.StructField("_kind", T.StringType())])
-    row_cols = [c for c in rows.columns if c != key]
+def first_at_or_after(asks: DataFrame, marks: DataFrame, key: str, chunk_us: int, out: str) -> DataFrame:
+    """``asks`` with ``out``: the first of ``marks`` of the same ``key`` whose place
+    ``_at`` (a struct of time and id) isn't before the asking row's; null if there
+    is none.  ``marks`` needs the key, ``_at`` and a non-null ``_mark``.
+
+    A forward as-of join without one task a key: both sides are cut into chunks of
+    event time, a chunk's rows are searched in one running window from its end,
+    and what lies in a later chunk is carried back from one row a chunk."""
+    names = [c for c in asks.columns if c not in (key, "_at")]
+    kind = marks.schema["_mark"].dataType
+    left = asks.select(key, "_at", F.lit(True).alias("_asks"), F.struct(*names).alias("_row"), F.lit(None).cast(kind).alias("_mark"))
+    row_type = left.schema["_row"].dataType
+    right = marks.select(key, "_at", F.lit(False).alias("_asks"), F.lit(None).cast(row_type).alias("_row"), "_mark")
+    both = left.unionByName(right).withColumn(CHUNK, F.floor(F.col("_at.c") / F.lit(chunk_us)).cast("long"))
+    # from the end; of equal places the marks come before the asks
+    w = Window.partitionBy(key, CHUNK).orderBy(F.col("_at").desc(), F.col("_asks").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_in", F.last("_mark", ignorenulls=True).over(w))
+    spans = both.groupBy(key, CHUNK).agg(F.min_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_at"))).alias("_first"))
+    later = Window.partitionBy(key).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(key, CHUNK, F.last("_first", ignorenulls=True).over(later).alias("_later"))
+    return (both.filter("_asks").join(spans, [key, CHUNK], "left")
+            .select(key, "_at", "_row.*", F.coalesce("_in", "_later").alias(out)))
+
+
+def chain_in_rounds(edges: DataFrame, starts: DataFrame, key: str, node: str, to: str, name: str) -> DataFrame:
+    """The nodes that each key's chain visits, with their ``place`` (from 1).
+
+    ``edges`` has each node's one successor (``to``, null at an end), ``starts`` the
+    first node of each key.  Pointer doubling: after round k, the first 2^k nodes
+    of every chain are known, and ``jump`` leads 2^k nodes on.  A round joins the
+    known nodes and the jumps with the jumps, by (key, node), and is written, so a
+    chain of a million nodes takes 20 rounds and no task holds one."""
+    from floodlens.session import materialize
 
-    def run(batches):
-        cur, st = None, None  # the key being folded and its state (may span batches)
-        for pdf in batches:
-            outs, finished = [], []
-            keys = pdf[key].to_numpy()
-            is_state = pdf["_is_state"].to_numpy()
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)]):
-                k = keys[a]
-                if k != cur:
-                    if cur is not None:
-                        finished.append((cur, st))
-                    cur, st = k, None
-                if is_state[a]:  # a key's carried state sorts before its rows
-                    st = tuple(None if pd.isna(v) else v for v in pdf[st_cols].iloc[a])
-                    a += 1
-                if b > a:
-                    o, st = fold(k, pdf.iloc[a:b], st)
-                    outs.extend(o)
-            if outs or finished:
-                yield _frame(outs, finished)
-        if cur is not None:
-            yield _frame([], [(cur, st)])
-
-    dtypes = {T.LongType: "Int64", T.IntegerType: "Int32", T.DoubleType: "Float64",
-              T.BooleanType: "boolean", T.StringType: "string"}
-
-    def _frame(out_rows, st_rows):
-        """Rows and state records in one frame, every column with an explicit
-        nullable dtype (no float NaN standing in for a missing long)."""
-        n_o, n_s = len(out_rows), len(st_rows)
-        cols = {}
-        for j, c in enumerate(out_cols):
-            cols[c] = [r[j] for r in out_rows] + [None] * n_s
-        cols["_key"] = [None] * n_o + [k for k, _ in st_rows]
-        for j, c in enumerate(st_cols):
-            cols[c] = [None] * n_o + [(v[j] if v is not None else None) for _, v in st_rows]
-        cols["_kind"] = ["row"] * n_o + ["state"] * n_s
-        return pd.DataFrame({f.name: pd.array(cols[f.name], dtype=dtypes.get(type(f.dataType), object))
-                             for f in both.fields})
-
-    x = rows.withColumn("_slice", F.floor(F.col(ts) / F.lit(slice_us)).cast("long"))
-    x = x.withColumn(key, F.col(key).cast("string"))
-    path = write_table(x, f"{name}-input", partition_by=("_slice",))
-    src = spark.read.schema(x.schema).parquet(path)  # no rows leave no files to take a schema from
-    ids = [r[0] for r in src.select("_slice").distinct().orderBy("_slice").collect()]
-    state = None
-    outs = []
-    for s in ids:
-        part = (src.filter(F.col("_slice") == s).drop("_slice")
-                .withColumn("_is_state", F.lit(False)))
-        part = part.select(key, "_is_state", *row_cols,
-                           *[F.lit(None).cast(f.dataType).alias(c) for c, f in zip(st_cols, st_t.fields)])
-        if state is not None:
-            sr = state.select(F.col("_key").alias(key), F.lit(True).alias("_is_state"),
-                              *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in row_cols], *st_cols)
-            part = part.unionByName(sr)
-        part = part.repartition(key).sortWithinPartitions(key, F.col("_is_state").desc(), *order)
-        p = write_table(part.mapInPandas(run, both), f"{name}-slice")
-        outs.append(p)
-        state = spark.read.parquet(p).filter(F.col("_kind") == "state").select("_key", *st_cols)
-    if not outs:
-        return spark.createDataFrame([], out_t)
-    return spark.read.parquet(*outs).filter(F.col("_kind") == "row").select(*out_cols)
+    known = materialize(starts.select(key, node, F.lit(1).cast("long").alias("place")), f"{name}-known")
+    jump = materialize(edges.filter(F.col(to).isNotNull()).select(key, node, F.col(to).alias("_to")), f"{name}-jump")
+    step = 1
+    while True:
+        new = known.join(jump, [key, node]).select(key, F.col("_to").alias(node), (F.col("place") + step).alias("place"))
+        grown = materialize(known.unionByName(new), f"{name}-known")
+        step *= 2
+        if grown.filter(F.col("place") > step // 2).isEmpty():  # no chain is longer than what was known
+            return grown
+        known = grown
+        on = jump.select(F.col(key), F.col(node).alias("_to"), F.col("_to").alias("_next"))
+        jump = materialize(jump.join(on, [key, "_to"]).select(key, node, F.col("_next").alias("_to")), f"{name}-jump")
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank", label: str = "ranked") -> DataFrame:
@@ -267,48 +226,69 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", label: str = "ra
             .drop("_pid", "_mid", "_m0", "_off"))
 
 
+def order_key(values: pd.Series) -> pd.Series:
+    """The bits of a double as a long of the same order (null stays null; -0.0 is 0.0)."""
+    v = values.to_numpy(np.float64) + 0.0
+    bits = v.view(np.int64)
+    return pd.Series(bits ^ ((bits >> 63) & np.int64(2 ** 63 - 1)), index=values.index)
+
+
 def exact_percentiles(df: DataFrame, value: str, by: list[str], probs: list[float], out: str = "_p",
-                      buckets: int = 65536) -> DataFrame:
+                      digit_bits: int = 16, few: int = 65_536) -> DataFrame:
     """Exact linear-interpolated percentiles per group (the ``percentile`` /
     ``quantile_cont`` definition) without holding a group's values in one task.
 
-    Needed ranks are ``floor/ceil((n - 1) p)``.  A histogram of ``buckets``
-    equal-width value buckets per group (partial aggregation) locates the
-    bucket of each needed rank; only those buckets' values are then counted by
-    distinct value (again partially aggregated, so one hot value is one row),
-    and the value covering the rank is read off the cumulative counts.
-    Returns ``by`` + ``out`` (array in the order of ``probs``)."""
+    Needed ranks are ``floor/ceil((n - 1) p)``.  Radix selection: the bits of a
+    double, made to order like a number, are read ``digit_bits`` at a time from
+    the top.  A round counts the values that share the prefix found so far by
+    their next digit (partial aggregation), and the cumulative counts name the
+    digit that holds each rank.  So every round cuts the possible values by
+    2^digit_bits whatever their spread; 64 bits are done after four rounds, and
+    sooner when no prefix holds more than ``few`` values, which are then
+    counted by distinct value.  Returns ``by`` + ``out`` (array in the order of
+    ``probs``)."""
     from floodlens.session import materialize
 
     v = F.col(value).cast("double")
-    # the passes below read the input several times: write the narrow projection once
-    x = materialize(df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull()), "percentile-input")
-    st = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    bk = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).cast("int")
-    xb = x.join(st, by).withColumn("_bk", bk)  # one row per group: AQE broadcasts it when small
-    hist = xb.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"))
-    wb = Window.partitionBy(*by).orderBy("_bk")  # at most `buckets` rows per group
-    hist = hist.withColumn("_cum", F.sum("_c").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    # the rounds read the input several times: write the narrow projection once
+    x = materialize(df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull()).withColumn("_bits", F.pandas_udf(order_key, "long")("_v")), "percentile-input")
+    st = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     # the ranks each percentile needs (0-based)
     pos = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
     need = st.select(*by, "_n", pos.alias("_q")).select(
         *by, F.col("_q.i").alias("_i"), ((F.col("_n") - 1) * F.col("_q.p")).alias("_h"))
     ranks = (need.select(*by, "_i", "_h", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))).alias("_k"))
-             .withColumn("_k", F.col("_k").cast("long")))
-    at = (ranks.join(hist, by).filter((F.col("_cum") > F.col("_k")) & (F.col("_cum") - F.col("_c") <= F.col("_k")))
-          .select(*by, "_i", "_h", "_k", "_bk", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_kin")))
-    sel = at.select(*by, "_bk").distinct()
-    vals = (xb.join(sel, [*by, "_bk"], "left_semi").groupBy(*by, "_bk", "_v").agg(F.count(F.lit(1)).alias("_vc")))
-    wv = Window.partitionBy(*by, "_bk").orderBy("_v")  # distinct values of one needed bucket
+             .withColumn("_k", F.col("_k").cast("long")).withColumn("_kin", F.col("_k")).withColumn("_prefix", F.lit(0).cast("long")))
+    shift, found = 64, ranks
+
+    def within(prefix_shift: int):
+        """The values whose top bits are a wanted prefix."""
+        if prefix_shift == 64:
+            return x.withColumn("_prefix", F.lit(0).cast("long"))
+        held = x.withColumn("_prefix", F.shiftright("_bits", prefix_shift))
+        return held.join(found.select(*by, "_prefix").distinct(), [*by, "_prefix"], "left_semi")
+
+    while shift > 0:
+        below = max(0, shift - digit_bits)
+        hist = within(shift).groupBy(*by, "_prefix", F.shiftright("_bits", below).alias("_digit")).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*by, "_prefix").orderBy("_digit")  # at most 2^digit_bits rows
+        hist = hist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        # one row a group and rank
+        found = materialize(
+            found.join(hist, [*by, "_prefix"]).filter((F.col("_cum") > F.col("_kin")) & (F.col("_cum") - F.col("_c") <= F.col("_kin")))
+            .select(*by, "_i", "_h", "_k", (F.col("_kin") - (F.col("_cum") - F.col("_c"))).alias("_kin"), F.col("_digit").alias("_prefix"), "_c"),
+            "percentile-ranks")
+        shift = below
+        if (found.agg(F.max("_c")).first()[0] or 0) <= few:
+            break
+        found = found.drop("_c")
+    vals = within(shift).groupBy(*by, "_prefix", "_v").agg(F.count(F.lit(1)).alias("_vc"))
+    wv = Window.partitionBy(*by, "_prefix").orderBy("_v")  # distinct values of one prefix: few, or one
     vals = vals.withColumn("_vcum", F.sum("_vc").over(wv.rowsBetween(Window.unboundedPreceding, 0)))
-    kv = (at.join(vals, [*by, "_bk"])
+    kv = (found.join(vals, [*by, "_prefix"])
           .filter((F.col("_vcum") > F.col("_kin")) & (F.col("_vcum") - F.col("_vc") <= F.col("_kin")))
           .select(*by, "_i", "_h", "_k", "_v"))
-    lo = kv.filter(F.col("_k") == F.floor("_h")).select(*by, "_i", "_h", F.col("_v").alias("_vl"))
-    hi = kv.filter(F.col("_k") == F.ceil("_h")).select(*by, "_i", F.col("_v").alias("_vh"))
-    res = lo.join(hi, [*by, "_i"]).select(
-        *by, "_i", (F.col("_vl") + (F.col("_h") - F.floor("_h")) * (F.col("_vh") - F.col("_vl"))).alias("_x"))
+    ends = kv.groupBy(*by, "_i", "_h").agg(F.min_by("_v", "_k").alias("_vl"), F.max_by("_v", "_k").alias("_vh"))
+    res = ends.select(*by, "_i", (F.col("_vl") + (F.col("_h") - F.floor("_h")) * (F.col("_vh") - F.col("_vl"))).alias("_x"))
     return res.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_s")) \
         .select(*by, F.transform("_s", lambda e: e["_x"]).alias(out))

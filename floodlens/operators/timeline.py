@@ -4,13 +4,13 @@ lifecycle segments (W11), as-of port lookup (J7) and throttling (W18)."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodlens.config import OFPP_FLOOD
 from floodlens.functions.numeric import q
 from floodlens.operators.sequence import CHUNK, add_chunk, chunk_window, map_runs
+from floodlens.session import materialize
 
 
 def dense_bins(df: DataFrame, keys: list[str], width_s: float, how: str = "count",
@@ -121,22 +121,51 @@ def _jumps(ts: np.ndarray, interval: int) -> np.ndarray:
     return np.append(np.searchsorted(ts, ts + interval), len(ts))
 
 
+#: neighbouring step functions that are composed at a time
+FAN = 64
+
+
+def _merged(upto: np.ndarray, leave: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """A step function with equal neighbours made one, up to the piece that covers entries below ``bound``."""
+    if not len(upto):
+        return upto, leave
+    piece = np.append(leave[1:] != leave[:-1], True)
+    upto, leave = upto[piece], leave[piece]
+    keep = int(np.searchsorted(upto, bound - 1)) + 1
+    return upto[:keep], leave[:keep]
+
+
+def _then(upto: np.ndarray, leave: np.ndarray, upto2: np.ndarray, leave2: np.ndarray, interval: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of one span of time followed by the next one's."""
+    at = np.searchsorted(upto2, leave + interval)
+    hit = at < len(upto2)
+    out = np.where(hit, leave2[np.minimum(at, max(0, len(leave2) - 1))] if len(leave2) else leave, leave)
+    past = np.searchsorted(upto2, upto[-1], side="right") if len(upto) else 0  # entries that pass the first span
+    return np.concatenate([upto, upto2[past:]]), np.concatenate([out, leave2[past:]])
+
+
 def throttle(df: DataFrame, key: str, interval_s: float, slice_s: float = 60.0) -> DataFrame:
     """Keep an event iff at least ``interval_s`` passed since the last
     *kept* event of its key.
 
-    A greedy chain, solved on two levels in one plan.  A (key, slice) is a step
-    function: from the earliest time at which an event may be kept to the last
-    event kept in the slice, whichever slice came before.  Slices compute
-    their functions side by side (jumping pointers, no row loop), the few
-    numbers of each are chained per key, and every slice then marks its chain
-    from the known entry.  A hot key is spread over its slices."""
+    A greedy chain, solved by a tree.  A (key, slice) is a step function: from
+    the earliest time at which an event may be kept to the last event kept in the
+    slice.  Slices compute their functions side by side (jumping pointers, no row
+    loop), and ``FAN`` neighbours at a time are composed into the function of a
+    longer span, level by level, until one is left.  On the way down again each
+    span's entry gives those of its parts, and every slice marks its chain from
+    its known entry.  An entry comes from an event before the span, so it is less
+    than one interval after the span's start: later pieces of a function are
+    never asked for and are left out.  No group holds more than ``FAN`` functions,
+    however many slices a key has."""
     iu = int(round(interval_s * 1_000_000))
+    su = max(1, int(round(slice_s * 1_000_000)))
     x = df.select(F.col(key).cast("string").alias("key"), "ts_us", "pkt_id")
     if iu <= 0:
         return x
-    x = add_chunk(x.filter(F.col("key").isNotNull()), max(1, int(round(slice_s * 1_000_000))))
-    order = ["ts_us", "pkt_id"]
+    x = add_chunk(x.filter(F.col("key").isNotNull()), su)
+    order, node = ["ts_us", "pkt_id"], "_node"
+    schema = f"key string, {node} long, upto array<long>, leave array<long>"
 
     def step(run, c):
         ts = c["ts_us"]
@@ -144,22 +173,41 @@ def throttle(df: DataFrame, key: str, interval_s: float, slice_s: float = 60.0)
         last = np.where(last < len(ts), last, np.arange(len(ts)))  # the end of a chain stays where it is
         while (last[last] != last).any():
             last = last[last]
-        leave = ts[last]
-        piece = np.append(leave[1:] != leave[:-1], True)
-        return {"key": [run[0]], CHUNK: [run[1]], "upto": [ts[piece]], "leave": [leave[piece]]}
-
-    steps = map_runs(x, ["key", CHUNK], order, step, f"key string, {CHUNK} long, upto array<long>, leave array<long>")
-
-    def chain(run, c):
-        entry, free = [], np.iinfo(np.int64).min
+        upto, leave = _merged(ts, ts[last], int(run[1]) * su + iu)
+        return {"key": [run[0]], node: [run[1]], "upto": [upto], "leave": [leave]}
+
+    level = materialize(map_runs(x, ["key", CHUNK], order, step, schema), "throttle-steps")
+    first, end = level.agg(F.min(node), F.max(node)).first()
+    first = first or 0
+    level = level.withColumn(node, F.col(node) - F.lit(first))
+    levels, spans = [], (end or 0) - first + 1
+    while spans > FAN:
+        levels.append(level)
+        width = su * FAN ** len(levels)
+
+        def compose(run, c, width=width):
+            upto, leave = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for u, l in zip(c["upto"], c["leave"]):
+                upto, leave = _merged(*_then(upto, leave, u, l, iu), first * su + int(run[1]) * width + iu)
+            return {"key": [run[0]], node: [run[1]], "upto": [upto], "leave": [leave]}
+
+        parent = level.withColumn("_up", F.floor(F.col(node) / FAN).cast("long"))
+        level = materialize(map_runs(parent, ["key", "_up"], [node], compose, schema), "throttle-steps")
+        spans = -(-spans // FAN)
+
+    def enter(run, c):
+        entry, free = [], int(c["entry"][0])
         for upto, leave in zip(c["upto"], c["leave"]):
             entry.append(free)
             k = int(np.searchsorted(upto, free))
             if k < len(upto):
                 free = int(leave[k]) + iu
-        return {"key": [run[0]] * len(entry), CHUNK: c[CHUNK], "entry": entry}
+        return {"key": [run[0]] * len(entry), node: c[node], "entry": entry}
 
-    entries = map_runs(steps, ["key"], [CHUNK], chain, f"key string, {CHUNK} long, entry long")
+    entries = level.select("key", F.lit(0).cast("long").alias(node), F.lit(np.iinfo(np.int64).min).alias("entry")).distinct()
+    for parts in [level, *reversed(levels)]:
+        parts = parts.withColumn("_up", F.floor(F.col(node) / FAN).cast("long")).join(entries.withColumnRenamed(node, "_up"), ["key", "_up"])
+        entries = map_runs(parts, ["key", "_up"], [node], enter, f"key string, {node} long, entry long")
 
     def mark(run, c):
         ts = c["ts_us"]
@@ -173,4 +221,5 @@ def throttle(df: DataFrame, key: str, interval_s: float, slice_s: float = 60.0)
         kept = np.unique(kept[kept < len(ts)])
         return {"key": [run[0]] * len(kept), "ts_us": ts[kept], "pkt_id": c["pkt_id"][kept]}
 
+    entries = entries.select("key", (F.col(node) + F.lit(first)).alias(CHUNK), "entry")
     return map_runs(x.join(entries, ["key", CHUNK]), ["key", CHUNK], order, mark, THROTTLE_SCHEMA)
