@@ -2,9 +2,9 @@
 (M1-M10, F6-F8, A11-A13, U1, S10).
 
 There is no RBF-kernel SVM in MLlib, so M4 is a random-Fourier-feature map
-(Rahimi & Recht, 2007) written as Spark expressions, followed by
-``LinearSVC``: an approximation of the kernel machine that trains with
-distributed gradient steps.
+(Rahimi & Recht, 2007), a matrix product over Arrow batches, followed by a
+linear machine with squared hinge loss: an approximation of the kernel machine
+whose Newton steps are sums over all rows, for all folds in the same pass.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,100 +176,187 @@ def require_features(df: DataFrame, features=FEATURE_COLUMNS) -> None:
         raise ValueError(f"missing feature columns: {', '.join(missing)}")
 
 
-def cross_validated_f1(df: DataFrame, id_cols: list[str], fit, folds: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
-    """F1 of class 1 on each fold (rows dealt by a hash of their id and
-    label-blind), of a model that ``fit(train)`` learns from the other folds
-    and that ``score`` can apply; one row a fold, and null without positives."""
-    h = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in id_cols], F.lit(seed)), F.lit(folds)).cast("int")
-    x = df.withColumn("fold", h)
-    counts = []  # a row a fold: one plan of all the models' features would fill the driver
-    for k in range(folds):
-        scored = score(fit(x.filter(F.col("fold") != k).drop("fold")), x.filter(F.col("fold") == k))
-        hit = lambda a, b: F.count_if((F.col(label) == a) & (F.col("prediction") == b))
-        one = scored.agg((2 * hit(1, 1)).alias("_hit"), (2 * hit(1, 1) + hit(0, 1) + hit(1, 0)).alias("_all")).first()
-        counts.append((k, one["_hit"], one["_all"]))
-    out = df.sparkSession.createDataFrame(counts, "fold int, _hit long, _all long")
-    return out.select("fold", q(F.try_divide("_hit", "_all"), 4).alias("f1"))
+class KernelClassifier:
+    """Fitted M3/M4 model as small matrices: mean and standard deviation of the
+    kept features, random Fourier map (W, b), weights and intercept.
 
+    A batch of rows is scored by two matrix products, in an Arrow batch of Spark's
+    or in the state of a stream alike (``margins``)."""
 
-class KernelClassifier:
-    """Fitted M3/M4 model: preparation pipeline (assembler, constant-feature
-    removal, scaler), random Fourier map (W, b) and a LinearSVC."""
+    FIELDS = "features array<string>, kept array<int>, mean array<double>, std array<double>, w array<array<double>>, b array<double>, coef array<double>, intercept double"
+
+    def __init__(self, features, kept, mean, std, w, b, coef, intercept):
+        self.features, self.kept = list(features), np.asarray(kept, np.int64)
+        self.mean, self.std, self.b, self.coef = (np.asarray(v, float) for v in (mean, std, b, coef))
+        self.w, self.intercept = np.asarray(w, float).reshape(len(self.b), len(self.kept)), float(intercept)
 
-    def __init__(self, prep, w, b, svc):
-        self.prep, self.w, self.b, self.svc = prep, np.asarray(w), np.asarray(b), svc
+    def features_of(self, x: np.ndarray) -> np.ndarray:
+        """The random Fourier features of rows of ``features`` (in that order)."""
+        return np.sqrt(2.0 / len(self.b)) * np.cos((x[:, self.kept] - self.mean) / self.std @ self.w.T + self.b)
 
-    def _features(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        x = self.prep.transform(df).withColumn("_x", vector_to_array("_scaled"))
-        d, n_in = self.w.shape
-        c = math.sqrt(2.0 / d)
-        z = [F.lit(c) * F.cos(sum((F.lit(float(self.w[i, j])) * F.col("_x")[j] for j in range(n_in)),
-                                  F.lit(float(self.b[i])))) for i in range(d)]
-        return x.withColumn("features", array_to_vector(F.array(*z))).drop("_x", "_raw", "_sel", "_scaled")
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Signed distances from the border; NaN where a feature is missing."""
+        known = np.isfinite(x).all(axis=1)
+        out = np.full(len(x), np.nan)
+        out[known] = self.features_of(x[known]) @ self.coef + self.intercept
+        return out
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """1 beyond the border; 0 also where a row can't be scored."""
+        return (self.margins(x) > 0).astype(np.int64)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.svc.transform(self._features(df))
+        """``df`` with ``margin`` (null where a feature is missing) and ``prediction``."""
+        def margin(x: pd.DataFrame) -> pd.Series:
+            return pd.Series(self.margins(x.to_numpy(float)))
+        row = F.struct(*[F.col(c).cast("double").alias(c) for c in self.features])
+        m = F.pandas_udf(margin, "double")(row)
+        return df.withColumn("margin", m).withColumn("prediction", F.coalesce((F.col("margin") > 0) & ~F.isnan("margin"), F.lit(False)).cast("double"))
 
     def save(self, path: str) -> str:
-        self.prep.write().overwrite().save(f"{path}/prep")
-        self.svc.write().overwrite().save(f"{path}/svc")
         from pyspark.sql import SparkSession
-        ss = SparkSession.getActiveSession()
-        rows = [(i, [float(v) for v in self.w[i]], float(self.b[i])) for i in range(len(self.b))]
-        ss.createDataFrame(rows, "i int, w array<double>, b double").write.mode("overwrite").parquet(f"{path}/rff")
+        row = (self.features, self.kept.tolist(), self.mean.tolist(), self.std.tolist(), self.w.tolist(), self.b.tolist(), self.coef.tolist(), self.intercept)
+        SparkSession.getActiveSession().createDataFrame([row], self.FIELDS).write.mode("overwrite").parquet(f"{path}/rff")
         return path
 
     @classmethod
     def load(cls, path: str) -> "KernelClassifier":
-        from pyspark.ml import PipelineModel
-        from pyspark.ml.classification import LinearSVCModel
         from pyspark.sql import SparkSession
-        ss = SparkSession.getActiveSession()
-        rff = sorted(ss.read.parquet(f"{path}/rff").collect(), key=lambda r: r["i"])  # D rows (model size)
-        return cls(PipelineModel.load(f"{path}/prep"), [r["w"] for r in rff], [r["b"] for r in rff],
-                   LinearSVCModel.load(f"{path}/svc"))
+        names = [f.split(" ")[0] for f in cls.FIELDS.split(", ")]
+        return cls(*SparkSession.getActiveSession().read.parquet(f"{path}/rff").select(*names).first())  # one row
+
+
+def _added(parts: DataFrame, schema: str) -> dict[int, np.ndarray]:
+    """Sums of the ``values`` arrays of each model, in two levels, so that no task
+    and no driver gets an array of every task."""
+    def add(table: pa.Table) -> pa.Table:
+        values = table.column("values").combine_chunks()
+        total = values.flatten().to_numpy().reshape(table.num_rows, -1).sum(0)
+        return pa.table({"model": table.column("model")[:1], "slot": table.column("slot")[:1], "values": pa.array([total], pa.list_(pa.float64()))})
+    first = parts.groupBy("model", "slot").applyInArrow(add, schema)
+    return {r["model"]: np.array(r["values"]) for r in first.withColumn("slot", F.lit(0)).groupBy("model", "slot").applyInArrow(add, schema).collect()}
+
+
+def fit_classifiers(rows: DataFrame, folds: int, features=FEATURE_COLUMNS, label: str = "label", c_param: float = 10.0, n_components: int = 64,
+                    seed: int = 42, balanced: bool = False, drop_constant: bool = True, max_iter: int = 50) -> list[KernelClassifier]:
+    """M3 + M4 (+ M9 constant-feature removal, M10 balanced weights) for each fold
+    of the column ``fold`` at once: model k learns from the rows of all folds but k,
+    and model ``folds`` from all rows.
+
+    Scaling uses the sample standard deviation; gamma is 'scale' (1 / features on
+    standardised data).  The machine minimises ``|w|^2 / 2 + C sum(a max(0, 1 - y f)^2)``
+    (``a`` = class weight) by Newton steps: one pass over the rows adds up
+    gradient, Hessian and loss of every model, a task its rows, Spark the tasks,
+    and only these sums (``n_components`` squared numbers a model) reach the driver.
+    A step that does not lower the loss is halved.  Rows with a missing feature
+    or label teach nothing; models without rows predict 0."""
+    from floodlens.session import materialize
+
+    feats = list(features)
+    require_features(rows, feats)
+    known = F.lit(True)
+    for c in feats:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    x = materialize(rows.where(known & F.col(label).isNotNull()).select(
+        F.col("fold").cast("int").alias("fold"), (F.col(label) == 1).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in feats]), "classifier-rows")
+    stats = x.groupBy("fold", "y").agg(F.count(F.lit(1)), *[f(c) for c in feats for f in (F.avg, F.var_pop)]).collect()  # two rows a fold
+    d = n_components
+
+    models, weights = [], []
+    for k in range(folds + 1):
+        part = [r for r in stats if r[0] != k]
+        n = sum(r[2] for r in part)
+        mean = np.array([sum(r[2] * r[3 + 2 * j] for r in part) / max(n, 1) for j in range(len(feats))])
+        spread = np.array([sum(r[2] * (r[4 + 2 * j] + (r[3 + 2 * j] - mean[j]) ** 2) for r in part) for j in range(len(feats))])
+        std = np.sqrt(spread / max(n - 1, 1))
+        flat = std <= 1e-12 * np.maximum(1.0, np.abs(mean))  # constant but for rounding
+        kept = np.flatnonzero(~flat) if drop_constant else np.arange(len(feats))
+        w, b = rff_columns(max(len(kept), 1), d, 1.0 / max(len(kept), 1), seed)
+        models.append(KernelClassifier(feats, kept, mean[kept], np.where(flat, 1.0, std)[kept], w[:, :len(kept)], b, np.zeros(d), 0.0))
+        of = {y: sum(r[2] for r in part if r[1] == y) for y in (0, 1)}
+        present = sum(c > 0 for c in of.values())
+        weights.append([n / (present * of[y]) if balanced and of[y] else 1.0 for y in (0, 1)])
+
+    schema, size = "model int, slot int, values array<double>", (d + 1) * (d + 1) + d + 3
+
+    def sums(thetas: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        def run(batches):
+            from pyspark import TaskContext
+            totals = {k: np.zeros(size) for k in thetas}
+            for batch in batches:
+                fold, y = batch.column("fold").to_numpy(), 2.0 * batch.column("y").to_numpy() - 1.0
+                rows = np.column_stack([batch.column(c).to_numpy() for c in feats])
+                for k, theta in thetas.items():
+                    use = fold != k
+                    z = np.column_stack([models[k].features_of(rows[use]), np.ones(use.sum())])
+                    sign = y[use]
+                    short = 1.0 - sign * (z @ theta)
+                    active = short > 0
+                    z, sign, short = z[active], sign[active], short[active]
+                    a = np.where(sign > 0, weights[k][1], weights[k][0])
+                    totals[k] += np.concatenate([((z * a[:, None]).T @ z).ravel(), z.T @ (a * sign * short), [a @ short ** 2, len(z)]])
+            slot = TaskContext.get().partitionId() % 64
+            yield pa.RecordBatch.from_pydict({"model": pa.array(list(totals), pa.int32()), "slot": pa.array([slot] * len(totals), pa.int32()),
+                                              "values": pa.array(list(totals.values()), pa.list_(pa.float64()))})
+        return _added(x.mapInArrow(run, schema), schema)
+
+    ridge = np.append(np.ones(d), 0.0)  # the intercept is free
+    base = {k: np.zeros(d + 1) for k in range(folds + 1)}
+    trial, step, best = dict(base), {}, {}
+    for _ in range(max_iter):
+        if not trial:
+            break
+        for k, total in sums(trial).items():
+            theta = trial[k]
+            hessian, pull, loss = total[:(d + 1) ** 2].reshape(d + 1, d + 1), total[(d + 1) ** 2:-2], total[-2]
+            value = ridge @ theta ** 2 / 2 + c_param * loss
+            if k in best and value > best[k] * (1 + 1e-12):
+                step[k] = step[k] / 2
+            else:
+                base[k], best[k] = theta, value
+                slope = ridge * theta - 2 * c_param * pull
+                step[k] = -np.linalg.solve(np.diag(ridge + 1e-12) + 2 * c_param * hessian, slope)
+            trial[k] = base[k] + step[k]
+            if np.abs(step[k]).max() <= 1e-9 * max(1.0, np.abs(base[k]).max()):
+                del trial[k]
+    for k, model in enumerate(models):
+        model.coef, model.intercept = base[k][:d], float(base[k][d])
+    return models
 
 
 def train_classifier(train: DataFrame, features=FEATURE_COLUMNS, label: str = "label", c_param: float = 10.0,
                      n_components: int = 64, seed: int = 42, balanced: bool = False,
                      drop_constant: bool = True, max_iter: int = 50) -> KernelClassifier:
-    """M3 + M4 (+ M9 constant-feature removal, M10 balanced weights).
-
-    VectorAssembler (P18 order) -> VarianceThresholdSelector -> StandardScaler
-    (with mean; MLlib uses the sample std) -> random Fourier features with
-    gamma 'scale' (1 / n_features on standardised data) -> LinearSVC with
-    regParam = 1 / (C * n)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import StandardScaler, VarianceThresholdSelector, VectorAssembler
-
-    feats = list(features)
-    require_features(train, feats)
-    stages = [VectorAssembler(inputCols=feats, outputCol="_raw", handleInvalid="keep")]
-    col_in = "_raw"
-    if drop_constant:
-        stages.append(VarianceThresholdSelector(featuresCol="_raw", outputCol="_sel", varianceThreshold=0.0))
-        col_in = "_sel"
-    stages.append(StandardScaler(inputCol=col_in, outputCol="_scaled", withMean=True, withStd=True))
-    prep = Pipeline(stages=stages).fit(train)
-    n_in = len(prep.stages[1].selectedFeatures) if drop_constant else len(feats)
-    w, b = rff_columns(max(n_in, 1), n_components, 1.0 / max(n_in, 1), seed)
-    model = KernelClassifier(prep, w, b, None)
-    # the optimiser makes one pass per iteration: read the mapped features
-    # from a written table, not through the whole upstream plan
-    from floodlens.session import materialize
-    x = materialize(model._features(train).select(label, "features"), "rff-train")
-    n = x.count()
-    if balanced:
-        counts = x.groupBy(label).count().collect()  # one row per class
-        k = len(counts)
-        cases = " ".join(f"WHEN {label} = {r[label]} THEN {n / (k * r['count'])!r}" for r in counts)
-        x = x.withColumn("_w", F.expr(f"CASE {cases} ELSE 1.0 END"))
-    svc = LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (c_param * max(n, 1)), maxIter=max_iter,
-                    **({"weightCol": "_w"} if balanced else {}))
-    model.svc = svc.fit(x)
-    return model
+    """M4: the classifier of all rows of ``train`` (``fit_classifiers`` without folds)."""
+    return fit_classifiers(train.withColumn("fold", F.lit(-1)), 0, features, label, c_param, n_components, seed, balanced, drop_constant, max_iter)[0]
+
+
+def with_fold(df: DataFrame, id_cols: list[str], folds: int, seed: int = 42) -> DataFrame:
+    """``fold`` of each row, by a hash of its id, blind to the label."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in id_cols], F.lit(seed)), F.lit(folds)).cast("int"))
+
+
+def cross_validated_f1(df: DataFrame, id_cols: list[str], folds: int = 5, seed: int = 42, label: str = "label", **classifier) -> DataFrame:
+    """F1 of class 1 on each fold, by the classifier that learnt from the other
+    folds; one row a fold, and null where there is nothing to count.
+
+    All folds learn in the same passes (``fit_classifiers``), and one pass scores
+    every row by its fold's model."""
+    x = with_fold(df, id_cols, folds, seed)
+    models = fit_classifiers(x, folds, label=label, **classifier)
+    feats = models[0].features
+
+    def predict(fold: pd.Series, rows: pd.DataFrame) -> pd.Series:
+        out, held, data = np.zeros(len(fold), np.int32), fold.to_numpy(), rows.to_numpy(float)
+        for k in np.unique(held):
+            out[held == k] = models[k].predict(data[held == k])
+        return pd.Series(out)
+    row = F.struct(*[F.col(c).cast("double").alias(c) for c in feats])
+    scored = x.withColumn("prediction", F.pandas_udf(predict, "int")("fold", row))
+    hit = lambda a, b: F.count_if((F.col(label) == a) & (F.col("prediction") == b))
+    counts = scored.groupBy("fold").agg((2 * hit(1, 1)).alias("_hit"), (2 * hit(1, 1) + hit(0, 1) + hit(1, 0)).alias("_all"))
+    spine = df.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))
+    return spine.join(counts, "fold", "left").select("fold", q(F.try_divide("_hit", "_all"), 4).alias("f1"))
 
 
 def score(model, df: DataFrame, label_out: str = "prediction") -> DataFrame:

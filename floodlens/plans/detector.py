@@ -44,15 +44,31 @@ def baseline_slice(pk: DataFrame, dims: Dims) -> DataFrame:
     return s.filter(~F.col("src_ip").isin(dims.watch_ips)) if dims.watchlist else s.filter(F.lit(False))
 
 
-def detector(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, stage: bool = True) -> DataFrame:
+def with_model_features(rates: DataFrame, dims: Dims) -> DataFrame:
+    """The classifier's features of rated packets, by their trained names."""
+    return rates.withColumns({"is_to_victim": (F.col("dst_ip") == F.lit(dims.victim)).cast("int"), "packet_rate_ewma": F.col("packet_rate"),
+                              "packet_count_1s": F.col("pkt_count_1s")})
+
+
+def detector(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, stage: bool = True, model=None) -> DataFrame:
     """Rates, states and triggers of the attack slice.  ``stage`` writes the
-    per-packet rates and the detector rows as tables (lineage cut)."""
+    per-packet rates and the detector rows as tables (lineage cut).  ``model`` is a
+    fitted classifier whose predictions the guard takes (P17), or None: the
+    attack rate decides."""
     s = attack_slice(pk, dims).withColumn("session_id", session_id())
     s = session_episodes(s, "session_id", th, chunk_s).drop(CHUNK)
     r = packet_rates(s, "_episode", th, chunk_s)
     if stage:
         r = materialize(r, "rates")
-    d = mitigation_trigger(detection_state(r, th, key="_episode"), th).drop("_episode")
+    predicted = None
+    if model is not None:
+        from floodlens.operators.learn import score
+        added = ["is_to_victim", "packet_rate_ewma", "packet_count_1s", "margin", "prediction"]
+        scored = score(model, with_model_features(r, dims)).withColumn("_predicted", F.col("prediction")).drop(*added)
+        # scored once: the state machine reads its rows several times
+        r, predicted = materialize(scored, "scored") if stage else scored, "_predicted"
+    d = detection_state(r, th, key="_episode", model_pred=predicted).drop("_predicted")
+    d = mitigation_trigger(d, th).drop("_episode")
     return materialize(d, "detector") if stage else d
 
 

@@ -196,7 +196,7 @@ def m08_best(spark, sf):
 def m10_cv(spark, sf):
     """F1 of the kernel classifier of m04 on each of five folds."""
     ds = materialize(dataset(spark, sf), "dataset")
-    return L.cross_validated_f1(ds, ID_COLS, lambda t: L.train_classifier(t, **CLASSIFIER))
+    return L.cross_validated_f1(ds, ID_COLS, **CLASSIFIER)
 
 
 @register("m04_kernel_classifier")

@@ -56,6 +56,34 @@ def test_detector_stream_equals_batch(spark, sliced):
     assert all(abs(rs[k] - rb[k]) < 1e-9 for k in rb)
 
 
+class Rule:
+    """Stands for a fitted classifier: rates and sizes decide, and one feature is unknown to the detector."""
+
+    features = ["is_to_victim", "byte_count_1s", "packet_rate_ewma", "never_heard_of"]
+
+    def predict(self, x):
+        return ((x[:, 0] == 1) & (x[:, 1] > 300) & (x[:, 2] > 1.7) & (x[:, 3] == 0)).astype(int)
+
+    def transform(self, df):
+        hit = (F.col("is_to_victim") == 1) & (F.col("byte_count_1s") > 300) & (F.col("packet_rate_ewma") > 1.7)
+        return df.withColumn("prediction", hit.cast("double"))
+
+
+def test_model_in_the_stream_equals_batch(spark, sliced):
+    """P17 / ST2: the guard takes the model's predictions, in the stream as in batch;
+    no loadable model leaves the threshold rule."""
+    from floodlens.operators.learn import load_model
+    cols = ["pkt_id", "detection_status", "final_prediction", "warning_since_us", "alert_first_seen_us", "trigger"]
+    rows = {}
+    for name, model in (("rule", Rule()), ("none", load_model([f"{checkpoint_dir(spark)}/no-such-model"]))):
+        det = run_available_now(detector_stream(_slice(_stream(spark, sliced)), TH, model=model, victim=ALL_SOURCES.victim), "t-model")
+        rows[name] = {tuple(r) for r in det.select(*cols).collect()}
+        assert rows[name] == {tuple(r) for r in detector(packets(spark, SF), TH, ALL_SOURCES, CHUNK_S, model=model).select(*cols).collect()}
+    assert len(rows["rule"]) == len(rows["none"]) > 1000 and rows["rule"] != rows["none"]
+    other = run_available_now(detector_stream(_slice(_stream(spark, sliced)), TH, model=Rule(), victim="10.9.9.9"), "t-model")
+    assert other.filter("final_prediction = 1").count() == 0  # not the model's victim
+
+
 def test_mitigation_cycle_stream_equals_batch(spark, sliced):
     pk = _stream(spark, sliced)
     det = run_available_now(detector_stream(_slice(pk), TH, mitigate=True), "t-st03")
