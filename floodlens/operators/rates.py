@@ -59,7 +59,7 @@ def _chunk_us(chunk_s: float, th: Thresholds) -> int:
 
 
 def trailing_features(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,
-                      chunk_s: float = DEFAULT_CHUNK_S, size: str = "size") -> DataFrame:
+                      chunk_s: float = DEFAULT_CHUNK_S, size: str = "size", ddof: int = 0) -> DataFrame:
     """W6 + W7 per packet over the closed trailing window ``[ts - window, ts]``,
     as the sequential detector sees it: packets up to and including this one in
     (ts, pkt_id) order, so of equal timestamps only the earlier ones count.
@@ -71,7 +71,8 @@ def trailing_features(df: DataFrame, key: str = "session_id", th: Thresholds = D
     Adds ``pkt_count_1s`` (long), ``byte_count_1s`` (long), ``avg_pkt_size``,
     ``pkt_size_std`` (population, 0 when n <= 1), ``inter_arrival_std``
     (population std of gaps inside the window in seconds, 0 when n <= 2) and
-    ``raw_rate`` = count / window.  Keeps the ``_chunk`` column.
+    ``raw_rate`` = count / window.  Keeps the ``_chunk`` column.  With ``ddof`` = 1
+    both are sample standard deviations (0 as well where there is one value).
     """
     cu = _chunk_us(chunk_s, th)
     ctx = with_time_context(df, cu, th.window_us)
@@ -101,6 +102,8 @@ def trailing_features(df: DataFrame, key: str = "session_id", th: Thresholds = D
     mean, mean_g = F.col("_b") / known, F.col("_g") / gaps
     var = F.greatest(F.col("_b2") / known - mean * mean, F.lit(0.0))
     var_g = F.greatest(F.col("_g2") / gaps - mean_g * mean_g, F.lit(0.0))
+    if ddof:
+        var, var_g = (F.coalesce(F.try_divide(v * m, F.greatest(m - ddof, F.lit(0.0))), F.lit(0.0)) for v, m in ((var, known), (var_g, gaps)))
     return (t
             .withColumn("pkt_count_1s", n)
             .withColumn("byte_count_1s", F.when(F.col("_k") > 0, F.col("_b")))
@@ -154,11 +157,12 @@ def running_session_stats(df: DataFrame, key: str = "session_id", th: Thresholds
 
 def tumbling_flow_features(df: DataFrame, th: Thresholds = DEFAULT, width_s: float = 1.0,
                            keys: tuple = ("src_ip", "dst_ip"), chunk_s: float = DEFAULT_CHUNK_S,
-                           victim: str | None = None) -> DataFrame:
+                           victim: str | None = None, ddof: int = 1) -> DataFrame:
     """One row per (flow, aligned tumbling window) holding packets.
 
     count, bytes, mean size, *sample* std of size (0 when n < 2), *sample*
-    std of gaps between the window's packets in seconds (0 when n < 3), and
+    std of gaps between the window's packets in seconds (0 when n < 3; with
+    ``ddof`` = 0 both are the population's), and
     the EWMA of count/width advanced once per non-empty window.  Output
     ``window_end_us`` is the window end.  Windows are aligned to multiples
     of the width (nothing is lost between sweeps)."""
@@ -168,12 +172,13 @@ def tumbling_flow_features(df: DataFrame, th: Thresholds = DEFAULT, width_s: flo
     x = df.withColumn("_win", win)
     w = Window.partitionBy(*keys, "_win").orderBy("ts_us", "pkt_id")
     x = x.withColumn("_gap", (F.col("ts_us") - F.lag("ts_us").over(w)).cast("double") / F.lit(1_000_000.0))
+    std = F.stddev_samp if ddof else F.stddev_pop
     agg = (x.groupBy(*keys, "_win")
            .agg(F.count(F.lit(1)).alias("packet_count_1s"),
                 F.sum(F.col("size").cast("long")).alias("byte_count_1s"),
                 F.avg(F.col("size").cast("double")).alias("avg_pkt_size"),
-                F.stddev_samp(F.col("size").cast("double")).alias("_ss"),
-                F.stddev_samp("_gap").alias("_gs")))
+                std(F.col("size").cast("double")).alias("_ss"),
+                std("_gap").alias("_gs")))
     n = F.col("packet_count_1s")
     out = (agg
            .withColumn("pkt_size_std", F.when(n >= 2, F.coalesce("_ss", F.lit(0.0))).otherwise(0.0))

@@ -189,8 +189,11 @@ def protocols_string(df: DataFrame, proto: str = "protocol", by: list[str] | Non
     return s.select(*by, F.array_join(F.transform("_l", lambda x: x["p"]), ", ").alias("protocols"))
 
 
-def top_n(df: DataFrame, key: str, n: int, role_dims=None) -> DataFrame:
-    """Top-N keys by rows (ties by key ascending) with percent of all rows."""
+def top_n(df: DataFrame, key: str, n: int, role_dims=None, drop_empties: bool = False) -> DataFrame:
+    """Top-N keys by rows (ties by key ascending) with percent of all rows.
+    With ``drop_empties`` rows whose key is missing or empty don't count (Q8)."""
+    if drop_empties:
+        df = df.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
     c = df.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
     tot = df.agg(F.count(F.lit(1)).alias("_t"))
     top = c.orderBy(F.desc("count"), F.asc(key)).limit(n)

@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     # importing the modules fills the registry
     from floodlens.plans import (q_clean, q_detect, q_learn, q_mitigate, q_model,  # noqa: F401
-                                 q_report, q_scan, q_stream, q_timeline)
+                                 q_options, q_report, q_scan, q_stream, q_timeline)
