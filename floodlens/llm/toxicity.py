@@ -9,6 +9,8 @@ texts where they lie, without a shuffle.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,14 +58,15 @@ def _features(texts: list[bytes]):
     return np.concatenate(docs), (np.concatenate(keys) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, feature), each once, sorted."""
-    found = [np.zeros(0, np.int64)]
+def _distinct(texts: list[bytes]) -> list[np.ndarray]:
+    """The features of each text, each once, sorted, in 32 bits."""
+    out: list[np.ndarray] = []
     for first, end in batches(texts):
         doc, feature = _features(texts[first:end])
-        found.append(np.unique(((doc + first) << FEATURE_BITS) | feature))
-    both = np.concatenate(found)
-    return both >> FEATURE_BITS, both & ((1 << FEATURE_BITS) - 1)
+        both = np.unique((doc << FEATURE_BITS) | feature)
+        bounds = np.searchsorted(both, np.arange(1, end - first) << FEATURE_BITS)
+        out += np.split((both & ((1 << FEATURE_BITS) - 1)).astype(np.uint32), bounds)
+    return out
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int) -> tuple[np.ndarray, float]:
@@ -89,13 +92,16 @@ def _learn(table: pa.Table) -> pa.Table:
     """One shard's weights (times its rows), and its rows at the intercept."""
     table = table.sort_by([("_turn", "ascending"), ("_id", "ascending"), ("_text", "ascending")])
     labels = table.column("_label").to_numpy().astype(float)
-    doc, feature = _distinct(text_bytes(table.column("_text").combine_chunks()))
-    names, number, seen = np.unique(feature, return_inverse=True, return_counts=True)
-    common = seen > 1  # a feature of one text can't outweigh L1 in its first epochs and says nothing of others
-    number = np.where(common[number], np.cumsum(common)[number] - 1, -1)
-    names = names[common]
-    doc, number = doc[number >= 0], number[number >= 0]
-    rows = np.split(number, np.searchsorted(doc, np.arange(1, len(labels))))
+    rows = _distinct(text_bytes(table.column("_text").combine_chunks()))
+    once, common = np.zeros(1 << FEATURE_BITS, bool), np.zeros(1 << FEATURE_BITS, bool)
+    for x in rows:
+        common[x] |= once[x]
+        once[x] = True
+    del once
+    # a feature of one text can't outweigh L1 in its first epochs and says nothing of others
+    names = np.flatnonzero(common)
+    rows = [np.searchsorted(names, x[common[x]]).astype(np.int32) for x in rows]
+    del common
     weights, intercept = ftrl(rows, labels, len(names))
     some = np.flatnonzero(weights)
     n = len(labels)
@@ -127,11 +133,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return np.array(kept, np.int64), np.array([model[f] for f in kept]), intercept
 
 
+_known: dict[str, np.ndarray] = {}  # a worker's table of the features that its model weighs
+
+
 def _scorer(broadcast, text_col: str, score_col: str):
+    key = uuid.uuid4().hex
+
     def score(batch: pa.RecordBatch) -> dict:
         features, weights, intercept = broadcast.value
-        known = np.zeros(1 << FEATURE_BITS, bool)
-        known[features] = True
+        if key not in _known:
+            _known.clear()
+            _known[key] = np.zeros(1 << FEATURE_BITS, bool)
+            _known[key][features] = True
+        known = _known[key]
         texts = text_bytes(batch.column(text_col))
         total = np.full(len(texts), intercept)
         for first, end in batches(texts):
