@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import text_bytes
 from .hashing import batches as text_batches
+from .token_counts import TransitionTable
 
 #: the least share of all words of one in the lexicon (so it has at most 1 / LEXICON_SHARE), and pieces of text between spaces that a worker remembers
 LEXICON_SHARE, MEMORY_PIECES = 2e-6, 400_000
@@ -215,9 +216,43 @@ class Lexicon:
             views.append(numbers[at:at + n])
             at += n
         self.target, self.before, self.first, self.ends, self.ids = views
+        self.arcs: TransitionTable | None = None
         self.labels = 4 * at
         self.finals = self.labels + n_labels
 
+    def find_all(self, words: list[bytes]) -> list[list[int] | None]:
+        """``find`` of many words: they go through the automaton together, a byte a
+        step, and those that have no arc for theirs drop out."""
+        if not words:
+            return []
+        if self.arcs is None:
+            self.arcs = TransitionTable(18)
+            first = np.frombuffer(self.first, np.int32).astype(np.int64)
+            state = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            label = np.frombuffer(self.map, np.uint8, len(state), self.labels)
+            self.arcs.add(state << 8 | label, np.arange(len(state)))
+        target, before, ends = (np.frombuffer(x, np.int32) for x in (self.target, self.before, self.ends))
+        final = np.frombuffer(self.map, np.uint8, offset=self.finals)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        on, held = np.arange(len(words)), np.zeros(len(words), bool)
+        step = 0
+        while len(on):
+            done = size[on] == step
+            held[on[done]] = final[state[on[done]]] > 0
+            on = on[~done]
+            arc = self.arcs.find(state[on] << 8 | data[start[on] + step])
+            on, arc = on[arc >= 0], arc[arc >= 0]
+            number[on] += before[arc]
+            state[on] = target[arc]
+            step += 1
+        out: list[list[int] | None] = [None] * len(words)
+        some = np.flatnonzero(held)
+        for k, i, j in zip(some.tolist(), ends[number[some]].tolist(), ends[number[some] + 1].tolist()):
+            out[k] = self.ids[i:j].tolist()
+        return out
+
     def find(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None if the lexicon doesn't hold it."""
         state, number, find, base = self.root, 0, self.map.find, self.labels
@@ -245,23 +280,30 @@ class Encoder:
         """The ids of pieces: their words are looked up among the remembered
         pieces and in the lexicon, and what neither holds is merged."""
         out: list[list[int] | None] = [None] * len(pieces)
-        find = self.lexicon.find if self.lexicon else lambda word: None
+        find_all = self.lexicon.find_all if self.lexicon else lambda words: [None] * len(words)
         unseen: dict[bytes, list[int]] = {}  # places that hold the word alone
-        mixed, found = [], {}
+        mixed, found, alone = [], {}, []
         for k, piece in enumerate(pieces):
             if piece.isalpha() and piece.islower():  # one word, as it stands
-                out[k] = find(piece)
-                if out[k] is None:
-                    unseen.setdefault(piece, []).append(k)
+                alone.append(k)
             else:
                 mixed.append((k, self.vocabulary.words(piece)))
+        for k, ids in zip(alone, find_all([pieces[k] for k in alone])):
+            out[k] = ids
+            if ids is None:
+                unseen.setdefault(pieces[k], []).append(k)
+        ask: list[str] = []
         for word in set(chain.from_iterable(words for _, words in mixed)):
             if isinstance(word, int):
                 found[word] = [word]
                 continue
-            data = word.encode()
-            at = self.code.get(data)  # a word by itself is a piece
-            ids = find(data) if at is None else self.ids[self.start[at]:self.start[at + 1]].tolist()
+            at = self.code.get(word.encode())  # a word by itself is a piece
+            if at is None:
+                ask.append(word)
+            else:
+                found[word] = self.ids[self.start[at]:self.start[at + 1]].tolist()
+        asked = [word.encode() for word in ask]
+        for word, data, ids in zip(ask, asked, find_all(asked)):
             if ids is None:
                 unseen.setdefault(data, [])
             else:

@@ -100,7 +100,7 @@ def _learn(table: pa.Table) -> pa.Table:
     del once
     # a feature of one text can't outweigh L1 in its first epochs and says nothing of others
     names = np.flatnonzero(common)
-    rows = [np.searchsorted(names, x[common[x]]).astype(np.int32) for x in rows]
+    rows = [np.searchsorted(names, x[common[x]]) for x in rows]
     del common
     weights, intercept = ftrl(rows, labels, len(names))
     some = np.flatnonzero(weights)

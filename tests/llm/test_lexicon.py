@@ -53,6 +53,7 @@ def test_transducer_random_words():
     lexicon = Lexicon(compile_lexicon(held.items()))
     for w in words:
         assert lexicon.find(w) == held.get(w)
+    assert lexicon.find_all(words) == [held.get(w) for w in words] and lexicon.find_all([]) == []
 
 
 @pytest.mark.parametrize("memory", [1, 1000])
