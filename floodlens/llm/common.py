@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -33,10 +35,20 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return to the system what this worker's Arrow pool and allocator hold but no
+    longer use: workers live on through the stages of a job, and a stage's peak
+    would otherwise stay with them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_batch(fn, rows: int = 1_000):
     """Lift ``RecordBatch -> dict of arrays`` into a ``mapInArrow`` function, which gets at most ``rows`` rows at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield pa.RecordBatch.from_pydict(fn(batch.slice(at, rows)))
+        give_back()
     return run

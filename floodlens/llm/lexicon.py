@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_bytes
+from .common import give_back, text_bytes
 from .hashing import batches as text_batches
 from .token_counts import TransitionTable
 
@@ -373,6 +373,7 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
                 if len(pieces) > MEMORY_PIECES:
                     yield out()
         yield out()
+        give_back()
     return docs.select(text_col).mapInArrow(count, "word string, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
 
 
@@ -405,6 +406,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", carry:
             _encoders[key] = Encoder(shared.value[0], Lexicon(shared.value[1]))
         encoder = _encoders[key]
         for part, texts in _runs(batches, text_col):
+            give_back()
             n, ids = encoder.encode(texts)
             ends = np.concatenate([[0], np.cumsum(n)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))

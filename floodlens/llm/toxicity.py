@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, text_bytes
+from .common import give_back, per_batch, text_bytes
 from .decontaminate import NORMAL
 from .hashing import batches, mix, prefix_hash, span_hash
 
@@ -105,6 +105,8 @@ def _learn(table: pa.Table) -> pa.Table:
     weights, intercept = ftrl(rows, labels, len(names))
     some = np.flatnonzero(weights)
     n = len(labels)
+    del rows
+    give_back()
     return pa.table({"feature": pa.array(np.append(names[some], INTERCEPT), pa.int64()),
                      "weight": pa.array(np.append(weights[some], intercept) * n, pa.float64()),
                      "rows": pa.array(np.append(np.zeros(len(some), np.int64), n), pa.int64())})
