@@ -1,9 +1,10 @@
-"""Operator 5, suffix-array dedup over bytes.
+"""Operator 5, dedup over bytes by sorted suffixes of a fixed length.
 
 A byte goes when a ``length``-byte string over it also starts in a document of
-smaller id: where the longest-previous-factor (LPF) array, taken over earlier
-documents, reaches ``length``.  A suffix array of all bytes would move every
-suffix's context, so the suffixes are first cut down, without loss:
+smaller id: where a longest-previous-factor (LPF) array, taken over earlier
+documents, would reach ``length``.  No factor lengths are built, only that
+yes or no.  A suffix array of all bytes would move every suffix's context, so
+the suffixes are first cut down, without loss:
 
 1. Every window of ``length`` bytes picks the smallest hash of the q-grams in
    it as its anchor.  Windows that follow each other with one anchor form a
@@ -13,8 +14,8 @@ suffix's context, so the suffixes are first cut down, without loss:
    that stands whole in an earlier block repeats in all its windows; an anchor
    whose segments are all equal is settled with that.
 3. What is left, segments of an anchor that differ, is sent as bytes.  Each
-   bucket sorts the suffixes of its segments and builds the LPF array from the
-   previous and next smaller document in suffix order.
+   bucket sorts the first ``length`` bytes of the suffixes of its segments, with
+   their documents, and compares each with the head of its run of equal ones.
 """
 
 from __future__ import annotations
