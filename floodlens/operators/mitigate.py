@@ -11,6 +11,11 @@ from floodlens.operators.sequence import chain_in_rounds, first_at_or_after
 from floodlens.session import materialize
 
 
+# Notes of the mitigation log
+DROP_NOTE = "DROP rule installed \u2014 ICMP + ARP from %s blocked at switch level"
+RELEASE_NOTE = "DROP rule expired \u2014 network returned to NORMAL phase"
+
+
 def first_drops(mit: DataFrame, key: str = "src_ip") -> DataFrame:
     """First DROP_ICMP per source from a mitigation log (``ts_us``, ``action``)."""
     return (mit.filter(F.col("action").contains("DROP_ICMP")).groupBy(key)
@@ -29,11 +34,12 @@ def mitigation_log(drops: DataFrame, th: Thresholds = DEFAULT, dims: Dims = Dims
               F.col("dpid_name"), F.col("segment_description"),
               F.lit(0).alias("idle_timeout"), F.lit(int(th.hard_timeout_s)).alias("hard_timeout")]
     drop = d.select(F.col("drop_us").alias("ts_us"), *common, F.lit("DROP_ICMP").alias("action"),
-                    F.lit("ATTACK_CONFIRMED_DELAY_PASSED").alias("reason"))
+                    F.lit("ATTACK_CONFIRMED_DELAY_PASSED").alias("reason"), F.format_string(DROP_NOTE, "src_ip").alias("note"))
     if not with_release:
         return drop
     rel = d.select((F.col("drop_us") + F.lit(th.hard_timeout_us)).alias("ts_us"), *common,
-                   F.lit("RELEASE_DROP").alias("action"), F.lit("HARD_TIMEOUT_EXPIRED").alias("reason"))
+                   F.lit("RELEASE_DROP").alias("action"), F.lit("HARD_TIMEOUT_EXPIRED").alias("reason"),
+                   F.lit(RELEASE_NOTE).alias("note"))
     return drop.unionByName(rel)
 
 

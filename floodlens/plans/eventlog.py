@@ -16,17 +16,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodlens.config import Dims, Thresholds
+from floodlens.config import OFPP_FLOOD, Dims, Thresholds
+from floodlens.functions.columns import protocol_from_eth
 from floodlens.functions.numeric import q
 from floodlens.operators import detect as D
+from floodlens.operators.clean import admit_packets
 from floodlens.operators.detect import detection_state, mitigation_trigger
 from floodlens.operators.dims import with_switch_name, with_watchlist
 from floodlens.operators.mitigate import (intervals, merge_intervals, mitigation_cycle, mitigation_log,
                                           with_mitigation_active, with_own_mitigation)
-from floodlens.operators.rates import packet_rates, session_episodes
+from floodlens.operators.rates import packet_rates, running_session_stats, session_episodes, session_id
 from floodlens.operators.sequence import CHUNK
+from floodlens.operators.timeline import last_seen_port
 from floodlens.plans.detector import detector, flows
+from floodlens.schemas import TRAFFIC_EVENT
 from floodlens.session import materialize
+from floodlens.sources.adapter import OBS_SQL, WHOLE_OBS_SQL
 
 
 def cycle(det_in: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
@@ -51,9 +56,46 @@ def cycle(det_in: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
 
 def build(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, log_suppressed: bool = False):
     """Returns (event_log, mitigation_log, first_drops)."""
-    fl = with_watchlist(flows(pk), "src_ip", dims)
+    return _route(flows(pk), th, dims, chunk_s, log_suppressed)
+
+
+#: what a whole event row has beyond the packet view's columns
+LINK_COLUMNS = ("src_port", "dst_port", "src_mac", "dst_mac", "in_port")
+
+
+def build_whole(obs: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, log_suppressed: bool = False):
+    """``build`` over ``PACKET_OBS`` rows: the event log has ports, Ethernet
+    addresses, switch ports and the running packet count of its session too.
+
+    Every frame but LLDP teaches its switch the port of its source (J7); only
+    admitted packets (F5: IPv4, ICMP as echo request) of TCP, UDP and ICMP
+    write rows.  TCP and UDP sessions with both ports are told apart by them
+    (P8).  A suppressed packet counts in its session, as it is counted before
+    it is judged.  Null ports are empty text in the log."""
+    seen = last_seen_port(obs.filter(F.col("eth_type") != 0x88CC), chunk_s).select("pkt_id", "out_port")
+    fl = admit_packets(obs).withColumn("protocol", protocol_from_eth("eth_type", "ip_proto"))
+    fl = fl.filter(F.col("protocol").isin("ICMP", "TCP", "UDP"))
+    fl = fl.withColumn("session_id", session_id(sport="src_port", dport="dst_port"))
+    return _route(fl, th, dims, chunk_s, log_suppressed, seen)
+
+
+def log_text(ev: DataFrame) -> DataFrame:
+    """Whole event rows as the text columns of ``TRAFFIC_EVENT``, in its order."""
+    named = ev.withColumn("timestamp", F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return named.select(*[F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in TRAFFIC_EVENT.names])
+
+
+def _route(fl: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, log_suppressed: bool, seen: DataFrame | None = None):
+    """(event_log, mitigation_log, first_drops) of packets with their ``session_id``;
+    with ``seen`` (the ``out_port`` of each packet) the rows are whole."""
+    fl = with_watchlist(fl, "src_ip", dims)
     fl = session_episodes(fl, "session_id", th, chunk_s).drop(CHUNK)
     r = materialize(packet_rates(fl, "_episode", th, chunk_s), "rates")
+    link: tuple[str, ...] = ()
+    if seen is not None:
+        counted = running_session_stats(r, "_episode", th, chunk_s).drop("start_us", "last_seen_us")
+        r = materialize(counted.join(seen, "pkt_id", "left"), "whole-rates")
+        link = (*LINK_COLUMNS, "out_port", "packet_count")
     to_v = (F.col("protocol") == "ICMP") & (F.col("dst_ip") == F.lit(dims.victim))
     det, acts = cycle(r.filter(to_v & F.col("is_watched")), th)
     drops = acts.groupBy("src_ip").agg(F.min("drop_us").alias("drop_us"))
@@ -91,7 +133,7 @@ def build(pk: DataFrame, th: Thresholds, dims: Dims, chunk_s: float, log_suppres
         "pkt_id", "ts_us", sev.alias("severity"), etype.alias("event_type"),
         status.alias("detection_status"),
         F.when(mit, "DROP_ACTIVE").otherwise("OFF").alias("mitigation_status"), ph.alias("phase"),
-        "session_id", F.col("protocol").alias("protocol_name"), "src_ip", "dst_ip", "dpid",
+        "session_id", F.col("protocol").alias("protocol_name"), "src_ip", "dst_ip", "dpid", *link,
         q(logged_rate, 4).alias("packet_rate"),
         F.when(watched_row, D.threat_score(logged_rate, pred)).otherwise(F.lit(5)).alias("threat_score"),
         F.when(watched_row, D.attack_type(F.col("protocol"), pred, mit))
@@ -119,7 +161,23 @@ def switch_values_sql(dims: Dims) -> str:
     return f"sw AS (SELECT * FROM (VALUES {vals}) t(s_dpid, s_name))"
 
 
-def sql_ctes(th: Thresholds, dims: Dims) -> str:
+def sql_whole_flows() -> str:
+    """``fl`` over whole observations, and ``op``, the port that each frame leaves by."""
+    return f"""{OBS_SQL}, {WHOLE_OBS_SQL},
+pu AS (SELECT dpid, src_mac AS mac, ts_us, pkt_id, 0 AS kind, CAST(in_port AS BIGINT) AS port FROM wo WHERE eth_type <> 35020
+       UNION ALL SELECT dpid, dst_mac, ts_us, pkt_id, 1, CAST(NULL AS BIGINT) FROM wo WHERE eth_type <> 35020),
+op AS (SELECT pkt_id, coalesce(lp, {OFPP_FLOOD}) AS out_port FROM (
+         SELECT *, last_value(port IGNORE NULLS) OVER (PARTITION BY dpid, mac ORDER BY ts_us, pkt_id, kind
+                                                       ROWS UNBOUNDED PRECEDING) AS lp FROM pu) t WHERE kind = 1),
+fl AS (SELECT *, CASE WHEN protocol <> 'ICMP' AND src_port IS NOT NULL AND dst_port IS NOT NULL
+                      THEN src_ip || ':' || src_port || '->' || dst_ip || ':' || dst_port || ':' || protocol
+                      ELSE src_ip || '->' || dst_ip || ':' || protocol END AS session_id
+       FROM (SELECT *, CASE ip_proto WHEN 1 THEN 'ICMP' WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' END AS protocol FROM wo
+             WHERE eth_type = 2048 AND src_ip IS NOT NULL AND (ip_proto <> 1 OR icmp_type = 8)) t
+       WHERE protocol IS NOT NULL)"""
+
+
+def sql_ctes(th: Thresholds, dims: Dims, flows_sql: str | None = None) -> str:
     """CTEs (of a WITH RECURSIVE) ending in ``ev`` (event log), ``acts``, ``drops`` and ``iv`` (activation intervals)."""
     from floodlens.plans.detector import sql_cycle, sql_flows, sql_prelude, sql_rates
     v = dims.victim
@@ -128,7 +186,7 @@ def sql_ctes(th: Thresholds, dims: Dims) -> str:
              "ELSE (CASE WHEN {r} >= 350 THEN 95 WHEN {r} >= 250 THEN 85 WHEN {r} >= 150 THEN 70 "
              "WHEN {r} >= 100 THEN 55 ELSE 40 END) END").format(p="_pred", r="_lrate")
     parts = [
-        sql_prelude(), sql_flows(), sql_rates(th, "fl", "rt"), watchlist_values_sql(dims), switch_values_sql(dims),
+        sql_prelude(), flows_sql or sql_flows(), sql_rates(th, "fl", "rt"), watchlist_values_sql(dims), switch_values_sql(dims),
         "r2 AS (SELECT rt.*, w_ip IS NOT NULL AS is_watched, w_segment FROM rt LEFT JOIN wl ON rt.src_ip = wl.w_ip)",
         f"sl AS (SELECT * FROM r2 WHERE protocol = 'ICMP' AND dst_ip = '{v}' AND is_watched)",
         sql_cycle(th, "sl"),

@@ -3,16 +3,21 @@ A14, A22, A23, W15, F9)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from floodlens.operators import dims as DM
-from floodlens.operators.mitigate import exclude_post_drop, mitigation_log, pre_post_counts
+from floodlens.operators.mitigate import DROP_NOTE, exclude_post_drop, mitigation_log, pre_post_counts
 from floodlens.operators.clean import pivot_slice
 from floodlens.plans import eventlog
 from floodlens.plans.detector import sql_prelude
 from floodlens.plans.fixture import CHUNK_S, FIXTURE_TH, WATCHED
 from floodlens.plans.registry import register
-from floodlens.sources.adapter import packets
+from floodlens.schemas import TRAFFIC_EVENT
+from floodlens.session import checkpoint_dir
+from floodlens.sources.adapter import packets, whole_observations
+from floodlens.sources.io import append_log, read_event_log
 
 TH, DIMS = FIXTURE_TH, WATCHED
 V = DIMS.victim
@@ -35,6 +40,26 @@ def p16(spark, sf):
     return _build(spark, sf)[0].select(*EV_COLS)
 
 
+@register("p16_event_rows", "WITH RECURSIVE " + eventlog.sql_ctes(TH, DIMS, eventlog.sql_whole_flows()) + """,
+pc AS (SELECT pkt_id, src_port, dst_port, src_mac, dst_mac, in_port,
+              count(*) OVER (PARTITION BY session_id ORDER BY ts_us, pkt_id ROWS UNBOUNDED PRECEDING) AS packet_count FROM fl)
+SELECT strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S.%f') AS timestamp, severity, event_type, detection_status,
+       mitigation_status, phase, session_id, protocol_name, src_ip, dst_ip, CAST(src_port AS INTEGER) AS src_port,
+       CAST(dst_port AS INTEGER) AS dst_port, src_mac, dst_mac, CAST(dpid AS INTEGER) AS dpid, dpid_name,
+       CAST(in_port AS INTEGER) AS in_port, out_port, packet_rate, packet_count, threat_score, attack_type,
+       CAST(final_prediction AS INTEGER) AS final_prediction, attacker_segment, event_note
+FROM ev JOIN pc USING (pkt_id) JOIN op USING (pkt_id)""")
+def p16rows(spark, sf):
+    """The whole event row (25 columns): ported sessions, admitted packets only,
+    learned ports, running counts; appended to a text log (S6) and scanned (S1)."""
+    ev = eventlog.build_whole(whole_observations(packets(spark, sf)), TH, DIMS, CHUNK_S)[0]
+    path = f"{checkpoint_dir(spark)}/event-rows-{uuid.uuid4().hex}"
+    append_log(eventlog.log_text(ev), path)
+    types = {"packet_rate": "double", "packet_count": "long", "out_port": "long", "src_port": "int", "dst_port": "int",
+             "dpid": "int", "in_port": "int", "threat_score": "int", "final_prediction": "int"}
+    return read_event_log(spark, path).select(*[F.col(n).cast(types.get(n, "string")).alias(n) for n in TRAFFIC_EVENT.names])
+
+
 @register("j06_mitigation_active", EV + f"""
 SELECT protocol_name, phase, count(*) AS n FROM ev WHERE NOT (protocol_name = 'ICMP' AND dst_ip = '10.0.0.25'
   AND src_ip IN ({WL})) GROUP BY protocol_name, phase""")
@@ -62,7 +87,7 @@ def a14(spark, sf):
 SELECT d.drop_us AS ts_us, d.src_ip, coalesce(w_host, 'UNKNOWN') AS attacker_hostname, w_dpid AS dpid,
        coalesce(s_name, 'unknown') AS dpid_name, coalesce(w_segment, 'UNKNOWN_SEGMENT') AS segment_description,
        'DROP_ICMP' AS action, 'ATTACK_CONFIRMED_DELAY_PASSED' AS reason, 0 AS idle_timeout,
-       {int(TH.hard_timeout_s)} AS hard_timeout
+       {int(TH.hard_timeout_s)} AS hard_timeout, replace('{DROP_NOTE}', '%s', d.src_ip) AS note
 FROM acts d LEFT JOIN wl ON d.src_ip = wl.w_ip LEFT JOIN sw ON wl.w_dpid = sw.s_dpid""")
 def s02rows(spark, sf):
     acts = eventlog.activations(packets(spark, sf), TH, DIMS, CHUNK_S)

@@ -19,7 +19,7 @@ from floodlens.plans.q_clean import FIELDS, HOST, PK, _cap
 from floodlens.plans.registry import register
 from floodlens.session import materialize
 from floodlens.sources import capture as CP
-from floodlens.sources.adapter import packets
+from floodlens.sources.adapter import HOST_MAC_SQL, host_mac_text, packets
 
 TH, DIMS = FIXTURE_TH, WATCHED
 V = DIMS.victim
@@ -217,18 +217,12 @@ def w18(spark, sf):
 
 # ---------------------------------------------------------------------- J7
 def _obs_macs(pk):
-    mac = lambda ip: F.concat(F.lit("00:00:00:00:00:"),
-                              F.lpad(F.lower(F.hex(F.element_at(F.split(ip, r"\."), -1).cast("int"))), 2, "0"))
-    return pk.select("pkt_id", "ts_us", "dpid", mac(F.col("src_ip")).alias("src_mac"),
-                     mac(F.col("dst_ip")).alias("dst_mac"),
+    return pk.select("pkt_id", "ts_us", "dpid", host_mac_text("src_ip").alias("src_mac"), host_mac_text("dst_ip").alias("dst_mac"),
                      (F.element_at(F.split("src_ip", r"\."), -1).cast("int") % 5 + 1).alias("in_port"))
 
 
-_MAC = "'00:00:00:00:00:' || lpad(lower(hex(CAST(string_split({x}, '.')[-1] AS INTEGER))), 2, '0')"
-
-
 @register("j07_asof_port", f"""WITH {PK},
-ob AS (SELECT pkt_id, ts_us, dpid, {_MAC.format(x='src_ip')} AS src_mac, {_MAC.format(x='dst_ip')} AS dst_mac,
+ob AS (SELECT pkt_id, ts_us, dpid, {HOST_MAC_SQL.format(ip='src_ip')} AS src_mac, {HOST_MAC_SQL.format(ip='dst_ip')} AS dst_mac,
               CAST(string_split(src_ip, '.')[-1] AS INTEGER) % 5 + 1 AS in_port FROM pk),
 u AS (SELECT dpid, src_mac AS mac, ts_us, pkt_id, 0 AS kind, CAST(in_port AS BIGINT) AS port FROM ob
       UNION ALL SELECT dpid, dst_mac, ts_us, pkt_id, 1, CAST(NULL AS BIGINT) FROM ob),

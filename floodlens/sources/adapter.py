@@ -112,3 +112,31 @@ OBS_SQL = """ob AS (SELECT pkt_id, ts_us, src_ip, dst_ip, size, dpid, eth_type,
   CASE WHEN eth_type = 2048 AND protocol = 'ICMP' THEN (CASE WHEN pkt_id % 7 = 0 THEN 0 ELSE 8 END) END AS icmp_type
 FROM (SELECT *, CASE WHEN pkt_id % 19 = 0 THEN 35020 WHEN protocol = 'ARP' THEN 2054 WHEN pkt_id % 23 = 0 THEN 34525
                      ELSE 2048 END AS eth_type FROM pk) t)"""
+
+
+def host_mac_text(ip: str):
+    """Ethernet address of a host of the view, from the last octet of its address."""
+    octet = F.element_at(F.split(ip, r"\."), -1).cast("int")
+    return F.concat(F.lit("00:00:00:00:00:"), F.lpad(F.lower(F.hex(octet)), 2, "0"))
+
+
+HOST_MAC_SQL = "'00:00:00:00:00:' || lpad(lower(hex(CAST(string_split({ip}, '.')[-1] AS INTEGER))), 2, '0')"
+
+
+def whole_observations(pk: DataFrame) -> DataFrame:
+    """``PACKET_OBS`` rows: ``observations`` with addresses and ports.  A switch
+    meets a source at the port of its number; TCP goes to port 80 and UDP to
+    53 from one of seven source ports, and every 11th packet shows no ports."""
+    pid, ported = F.col("pkt_id"), F.col("ip_proto").isin(6, 17) & (F.col("pkt_id") % 11 != 0)
+    return observations(pk).withColumns({
+        "src_mac": host_mac_text("src_ip"), "dst_mac": host_mac_text("dst_ip"),
+        "in_port": F.element_at(F.split("src_ip", r"\."), -1).cast("int") % 5 + 1,
+        "src_port": F.when(ported, (1024 + pid % 7).cast("int")),
+        "dst_port": F.when(ported, F.when(F.col("ip_proto") == 6, 80).otherwise(53))})
+
+
+WHOLE_OBS_SQL = f"""wo AS (SELECT *, {HOST_MAC_SQL.format(ip='src_ip')} AS src_mac, {HOST_MAC_SQL.format(ip='dst_ip')} AS dst_mac,
+  CAST(string_split(src_ip, '.')[-1] AS INTEGER) % 5 + 1 AS in_port,
+  CASE WHEN ip_proto IN (6, 17) AND pkt_id % 11 <> 0 THEN 1024 + pkt_id % 7 END AS src_port,
+  CASE WHEN ip_proto IN (6, 17) AND pkt_id % 11 <> 0 THEN CASE ip_proto WHEN 6 THEN 80 ELSE 53 END END AS dst_port
+FROM ob)"""
