@@ -29,7 +29,7 @@ END = np.uint64(0x5A5A0E4D0F70C3A1)  # the key of the token that ends each text
 SMOOTH = 0.1
 #: states, Baum-Welch rounds, the least share of all tokens of a symbol (so there are at most 1 / SHARE of them)
 STATES, ROUNDS, SHARE = 8, 6, 4e-6
-#: training reads longer texts in pieces of this many tokens, each from the initial states; scoring reads them whole
+#: training runs the pieces of longer texts side by side, of this many tokens each, with the states that their neighbours hand over
 PIECE = 1_024
 #: tokens that a task runs through the model together, and symbols of one row of added counts
 TOKENS, CHUNK = 1_000_000, 4_096
@@ -184,14 +184,22 @@ def log_likelihood(sequences: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
-def expected_counts(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected initial states, transitions and emissions (a row a symbol) of sequences, the longest first."""
+def expected_counts(sequences: list[np.ndarray], model: Model, before: np.ndarray | None = None,
+                    after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected initial states, transitions and emissions (a row a symbol) of sequences, the longest first.
+
+    A sequence that goes on with a text has the state of the token before it
+    in ``before`` (zeros: it starts a text), and one that is gone on with the
+    backward message to its last token in ``after`` (ones: it ends a text)."""
     symbols, left = _by_time(sequences)
     ends = np.cumsum(left)
-    states = len(model.start)
+    states, count = len(model.start), len(sequences)
     move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
+    before = np.zeros((count, states), np.float32) if before is None else before.astype(np.float32)
+    after = np.ones((count, states), np.float32) if after is None else after.astype(np.float32)
+    starts = ~before.any(axis=1)
     forward, scales = np.empty((len(symbols), states), np.float32), np.empty((len(symbols), 1), np.float32)
-    state = np.repeat(model.start[None].astype(np.float32), len(sequences), axis=0)
+    state = np.where(starts[:, None], model.start.astype(np.float32), before @ move)
     at = 0
     for t, m in enumerate(left.tolist()):
         state = (state[:m] @ move if t else state[:m]) * emit[symbols[at:at + m]]
@@ -200,22 +208,60 @@ def expected_counts(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarr
         forward[at:at + m] = state
         at += m
     moves = np.zeros((states, states))
-    back = np.ones((left[-1], states), np.float32)
+    back = np.ones((0, states), np.float32)
     for t in range(len(left) - 1, -1, -1):
         m, at = left[t], ends[t] - left[t]
-        if len(back) < m:
-            back = np.vstack([back, np.ones((m - len(back), states), np.float32)])
         here = forward[at:at + m]
-        if t:
-            ahead = back * emit[symbols[at:at + m]] / scales[at:at + m]
-            before = forward[at - left[t - 1]:at - left[t - 1] + m]
-            moves += before.T @ ahead
-            here *= back
-            back = ahead @ move.T
-        else:
-            here *= back
+        if len(back) < m:  # sequences whose last token is here
+            last = after[len(back):m]
+            back = np.vstack([back, last / (here[len(back):] * last).sum(axis=1, keepdims=True)])
+        ahead = back * emit[symbols[at:at + m]] / scales[at:at + m]
+        earlier = forward[at - left[t - 1]:at - left[t - 1] + m] if t else before
+        moves += earlier.T @ ahead
+        here *= back
+        back = ahead @ move.T
     emits = np.stack([np.bincount(symbols, forward[:, s], len(model.emit)) for s in range(states)], axis=1)
-    return forward[:left[0]].sum(axis=0, dtype=float), moves * model.move, emits
+    return forward[:left[0]][starts].sum(axis=0, dtype=float), moves * model.move, emits
+
+
+def _passages(sequences: list[np.ndarray], first: np.ndarray, model: Model) -> np.ndarray:
+    """For each sequence, the longest first, the matrix (up to a factor) that takes the
+    state before it to the state of its last token; ``first`` ones take the initial state."""
+    symbols, left = _by_time(sequences)
+    out = np.where(first[:, None, None], np.eye(len(model.start)), model.move) * model.emit[symbols[:left[0]]][:, None, :]
+    at = int(left[0])
+    for m in left[1:].tolist():
+        out[:m] = (out[:m] @ model.move) * model.emit[symbols[at:at + m]][:, None, :]
+        out[:m] /= out[:m].sum(axis=(1, 2), keepdims=True)
+        at += m
+    return out
+
+
+def pieces_of(texts: list[np.ndarray], model: Model, size: int = PIECE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(pieces of at most ``size`` tokens, their ``before`` and ``after``) of texts.
+
+    The matrices of all pieces are built side by side; the states at the cuts
+    follow from them along each text, so the expected counts of the pieces add
+    up to those of the whole texts."""
+    cuts = [range(0, len(s), size) for s in texts]
+    pieces = [s[i:i + size] for s, cut in zip(texts, cuts) for i in cut]
+    before, after = np.zeros((len(pieces), len(model.start))), np.ones((len(pieces), len(model.start)))
+    ends = np.cumsum([len(c) for c in cuts], dtype=np.int64)
+    firsts = np.isin(np.arange(len(pieces)), ends - [len(c) for c in cuts])
+    several = [k for end, cut in zip(ends.tolist(), cuts) if len(cut) > 1 for k in range(end - len(cut), end)]
+    passage = {}
+    for run in _runs([pieces[k] for k in several]):
+        chosen = [several[k] for k in run]
+        passage.update(zip(chosen, _passages([pieces[k] for k in chosen], firsts[chosen], model)))
+    for end, cut in zip(ends.tolist(), cuts):
+        begin, state = end - len(cut), model.start
+        for k in range(begin + 1, end):
+            state = state @ passage[k - 1]
+            before[k] = state = state / state.sum()
+        for k in range(end - 1, begin, -1):
+            message = passage[k] @ after[k]
+            after[k - 1] = message / message.sum()
+    return pieces, before, after
 
 
 def _sequences(column: pa.Array, wide: bool) -> list[np.ndarray]:
@@ -242,9 +288,9 @@ def _expect(shared, wide: bool):
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
         for batch in parts:
             whole = _sequences(batch.column("_symbols"), wide)
-            pieces = [s[i:i + PIECE] for s in whole for i in range(0, len(s), PIECE)]
+            pieces, before, after = pieces_of(whole, model)
             for chosen in _runs(pieces):
-                a, b, c = expected_counts([pieces[k] for k in chosen], model)
+                a, b, c = expected_counts([pieces[k] for k in chosen], model, before[chosen], after[chosen])
                 start += a
                 move += b
                 emit += c

@@ -65,6 +65,21 @@ def test_expected_counts_against_enumeration():
         assert np.allclose(got, want, atol=1e-5)
 
 
+@pytest.mark.parametrize("size", [1, 7, 1_024])
+def test_pieces_add_up_to_whole_texts(size):
+    """Texts cut anywhere teach what they teach whole: initial states, transitions over the cuts, emissions."""
+    model, rng = some_model(4, 9), np.random.default_rng(2)
+    texts = [rng.integers(0, 9, n) for n in ((5_000, 3, 1_024, 1_025, 1, 2_500) if size > 100 else (40, 1, 7, 8, 15))]
+    whole = expected_counts(sorted(texts, key=len, reverse=True), model)
+    pieces, before, after = hmm.pieces_of(texts, model, size)
+    assert max(map(len, pieces)) <= size and sum(map(len, pieces)) == sum(map(len, texts))
+    order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
+    cut = expected_counts([pieces[k] for k in order], model, before[order], after[order])
+    for got, want in zip(cut, whole):
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+    assert math.isclose(cut[0].sum(), len(texts), rel_tol=1e-4) and math.isclose(cut[1].sum(), sum(len(t) - 1 for t in texts), rel_tol=1e-4)
+
+
 def test_rounds_raise_the_likelihood():
     rng = np.random.default_rng(0)
     sequences = sorted((np.repeat(rng.integers(0, 2), 30) * 3 + rng.integers(0, 3, 30) for _ in range(60)), key=len, reverse=True)
