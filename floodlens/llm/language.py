@@ -23,6 +23,8 @@ HASH_BITS = 16
 #: a training sample of about this many rows, landmarks in all (at least ``LEAST_LANDMARKS`` a language), and the ridge
 SAMPLE_ROWS, LANDMARKS, LEAST_LANDMARKS, RIDGE = 20_000, 128, 4, 1e-4
 SAMPLE_TASKS = 16
+#: rows of the sample that a language gets at least (all its rows, if fewer), and the largest draw
+LEAST_ROWS, MOST_DRAW = 64, (1 << 63) - 1
 UNKNOWN = "und"
 BATCH = 512
 
@@ -119,19 +121,36 @@ def _sums(landmarks: Landmarks, languages: list[str]):
     return run
 
 
+def _bounds(held: dict[str, tuple[int, int]], sample_rows: int) -> dict[str, int]:
+    """The largest draw that is taken of each language that isn't taken whole, from its
+    (rows, least draw); the row of the least draw always is."""
+    quota = max(LEAST_ROWS, sample_rows // max(1, len(held)))
+    spare = max(0, sample_rows - sum(min(n, quota) for n, _ in held.values()))
+    over = sum(max(0, n - quota) for n, _ in held.values())
+    if over <= spare:
+        return {}
+    share = {lang: (quota + spare * (n - quota) / over) / n for lang, (n, _) in held.items() if n > quota}
+    return {lang: max(held[lang][1], int(part * MOST_DRAW)) for lang, part in share.items()}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """A classifier of the languages of ``docs`` (rows of null language or of
     no letter teach nothing), fitted on a sample of about ``sample_rows`` rows
-    (all, if fewer), drawn by a hash of the id.  Landmarks are the rows of the
-    smallest hashes of each language."""
+    (all, if fewer), drawn by a hash of the id and the text.  The languages are those of
+    all rows: each gets an equal quota of the sample, at least ``LEAST_ROWS``
+    (all its rows, if fewer), and what the small ones leave goes to the others
+    by their rows.  Landmarks are the rows of the smallest hashes of each
+    language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    draw = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit("sample"))
-    n = docs.where(F.col(lang_col).isNotNull()).count()
-    if n > sample_rows:
-        rows = rows.where(F.shiftrightunsigned(draw, 1) < F.lit(int(sample_rows / n * (1 << 63))).cast("long"))
-    drawn = rows.withColumn("_draw", draw)
-    languages = sorted(r[0] for r in drawn.select("_lang").distinct().collect())
+    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), "_text"), 1)
+    rows = rows.withColumn("_draw", draw)
+    held = {r["_lang"]: (r["n"], r["least"]) for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.min("_draw").alias("least")).collect()}
+    languages, bounds = sorted(held), _bounds(held, sample_rows)
+    limit = F.lit(MOST_DRAW)
+    for lang, bound in bounds.items():
+        limit = F.when(F.col("_lang") == F.lit(lang), F.lit(bound)).otherwise(limit)
+    drawn = rows.where(F.col("_draw") <= limit)
     if not languages:
         return Classifier(None, [], None)
     each = max(LEAST_LANDMARKS, LANDMARKS // len(languages))

@@ -163,6 +163,26 @@ def test_language_odd_rows(spark):
     assert language.train(docs.limit(0)).languages == []
 
 
+def test_languages_of_all_rows(spark):
+    """A language of 3 rows in 4,003 is learnt from a sample of 200, and a null or repeated id hides none."""
+    rows = [(k, f"kaka koko kiki {chr(97 + k % 26)}", "aa") for k in range(4_000)] + [(9_000, f"zuzu zozo zaza {c}", "bb") for c in "xyz"]
+    rows += [(None, "mumu mimi meme", "cc")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs, sample_rows=200)
+    assert model.languages == ["aa", "bb", "cc"]
+    wrong = language.identify(docs, model).where("lang <> lang_pred").count()
+    assert wrong == 0
+
+
+def test_bounds_of_the_sample():
+    assert language._bounds({"a": (50, 1), "b": (100, 2)}, 200) == {}
+    got = language._bounds({"a": (10, 1), "b": (10_000, 2), "c": (90_000, language.MOST_DRAW)}, 1_000)
+    assert set(got) == {"b", "c"} and got["c"] == language.MOST_DRAW
+    got = language._bounds({"a": (10, 1), "b": (10_000, 2), "c": (90_000, 3)}, 1_000)
+    taken = 10 + sum(n * got[k] / language.MOST_DRAW for k, n in (("b", 10_000), ("c", 90_000)))
+    assert 950 < taken < 1_050
+
+
 def test_presence_kernel_by_hand():
     marks = language.Landmarks(["abc", "xyz"])
     kernel, known = marks.kernel(["abc", "cab abc", None, "..."])
