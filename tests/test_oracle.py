@@ -8,7 +8,7 @@ from tests.conftest import SF_SMALL
 from tools.oracle_check import compare, duck
 
 SAMPLE = [
-    "p01_prep", "p03_classify_protocol", "p07_ip_to_host", "p08_session_id", "p16_event_routing",
+    "p01_prep", "p03_classify_protocol", "p07_ip_to_host", "p08_session_id", "p16_event_routing", "p16_event_rows",
     "f04_capture_filter", "f09_pivot_slice", "j05_post_drop_exclusion", "j06_mitigation_active", "j07_asof_port",
     "a01_scenario_summary", "a05_attacker_stats", "a08_latency", "a16_size_histogram", "a17_box_stats",
     "w01_dense_mean_rate", "w08_ewma_rate", "w09_flow_features", "w10_phase_segments", "w13_detection_state",
