@@ -1,10 +1,9 @@
-"""Operator 5, dedup over bytes by sorted suffixes of a fixed length.
+"""Operator 5, suffix-array dedup by longest previous factors.
 
 A byte goes when a ``length``-byte string over it also starts in a document of
-smaller id: where a longest-previous-factor (LPF) array, taken over earlier
-documents, would reach ``length``.  No factor lengths are built, only that
-yes or no.  A suffix array of all bytes would move every suffix's context, so
-the suffixes are first cut down, without loss:
+smaller id: where the longest-previous-factor (LPF) array, taken over earlier
+documents, reaches ``length``.  A suffix array of all bytes would move every
+suffix's context, so the suffixes are first cut down, without loss:
 
 1. Every window of ``length`` bytes picks the smallest hash of the q-grams in
    it as its anchor.  Windows that follow each other with one anchor form a
@@ -14,8 +13,10 @@ the suffixes are first cut down, without loss:
    that stands whole in an earlier block repeats in all its windows; an anchor
    whose segments are all equal is settled with that.
 3. What is left, segments of an anchor that differ, is sent as bytes.  Each
-   bucket sorts the first ``length`` bytes of the suffixes of its segments, with
-   their documents, and compares each with the head of its run of equal ones.
+   bucket puts the suffixes of its segments (to the segment's end, ``length``
+   bytes or more) in order, with the common prefixes of neighbours; the
+   nearest smaller documents before and after a suffix give its previous
+   factor, and a window repeats where that is ``length`` or longer.
 """
 
 from __future__ import annotations
@@ -194,23 +195,93 @@ def _dispute(cols: tuple[str, str], length: int, buckets: int):
     return run
 
 
-def previous_factors(text: np.ndarray, start: np.ndarray, document: np.ndarray, length: int) -> np.ndarray:
-    """For suffixes of ``text`` at ``start``, each of ``length`` bytes or more and
-    owned by a document: whether the longest factor that also begins in a
-    smaller document reaches ``length``.  In suffix order (by the first
-    ``length`` bytes, then the document) a suffix's previous smaller document
-    is the head of its run of equal factors, and no next one is smaller."""
-    n, words = len(start), -(-length // 8)
-    padded = np.zeros((n, 8 * words), np.uint8)
-    padded[:, :length] = np.lib.stride_tricks.sliding_window_view(text, length)[start]
-    factors = padded.view(">u8").astype(np.uint64)  # compare as the bytes do
-    order = np.lexsort((document, *factors.T[::-1]))
-    factors = factors[order]
-    common = np.concatenate([[False], (factors[1:] == factors[:-1]).all(axis=1)])[:n]
-    head = np.maximum.accumulate(np.where(common, 0, np.arange(n)))
-    reached = np.zeros(n, bool)
-    reached[order] = document[order] > document[order][head]
-    return reached
+def suffix_order(text: np.ndarray, start: np.ndarray, size: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``size`` bytes of ``text`` at ``start`` in the order of their
+    bytes (equal ones by document), and the length of each one's common prefix
+    with the suffix before it (0 for the first).  Eight bytes at a time, and each
+    time only suffixes whose group of equal beginnings splits there are sorted."""
+    n = len(start)
+    order, common = np.arange(n), np.zeros(n, np.int64)
+    if not n:
+        return order, common
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(text) + 1, ">u8", padded.data, strides=(1,))
+    new = np.zeros(n, bool)
+    new[0] = True
+    for at in range(0, int(size.max()), 8):
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))  # places in groups of two or more
+        if not len(tied):
+            break
+        ids = order[tied]
+        left = np.clip(size[ids] - at, 0, 8)
+        word = words[np.minimum(start[ids] + at, len(text))].astype(np.uint64)
+        word &= np.where(left > 0, ~np.uint64(0) << (8 * np.minimum(8 - left, 7)).astype(np.uint64), np.uint64(0))
+        heads = np.flatnonzero(new[tied])
+        splits = np.minimum.reduceat(word, heads) != np.maximum.reduceat(word, heads)
+        group = np.cumsum(new[tied]) - 1
+        some = splits[group]
+        places, ids, word, group = tied[some], ids[some], word[some], group[some]
+        turn = np.lexsort((word, group))
+        order[places], word = ids[turn], word[turn]
+        cut = np.flatnonzero((group[1:] == group[:-1]) & (word[1:] != word[:-1])) + 1
+        apart = word[cut] ^ word[cut - 1]
+        same = sum((apart < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))  # equal leading bytes
+        new[places[cut]] = True
+        common[places[cut]] = at + same
+    group = np.cumsum(new) - 1
+    order = order[np.lexsort((document[order], size[order], group))]
+    least = np.minimum(size[order[1:]], size[order[:-1]])
+    common[1:] = np.where(new[1:], np.minimum(common[1:], least), least)
+    return order, common
+
+
+def _reach_back(document: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place in suffix order, the common prefix with the previous place of
+    a smaller document (0 without one): the least ``common`` on the way there.
+    Places climb a tree of minima until a left neighbour's holds a smaller
+    document, and walk down in it: 2 log n steps, most places need few."""
+    n = len(document)
+    trees = [(document, common)]
+    while len(trees[-1][0]) > 1:
+        d, c = (np.append(x, x[-1:]) if len(x) % 2 else x for x in trees[-1])  # a last copy has no right neighbour
+        trees.append((np.minimum(d[0::2], d[1::2]), np.minimum(c[0::2], c[1::2])))
+    low, found = common.copy(), np.zeros(n, np.int64)
+    who = node = np.arange(n)
+    down: list[tuple[np.ndarray, np.ndarray]] = []  # by level: places that walk down, and from which node
+    for d, c in trees[:-1]:
+        odd = node % 2 == 1
+        beside = np.where(odd, node - 1, node)
+        hit = odd & (d[beside] < document[who])
+        down.append((who[hit], beside[hit]))
+        passed = odd & ~hit
+        low[who[passed]] = np.minimum(low[who[passed]], c[beside[passed]])
+        on = ~hit & (node > 1) & (low[who] > 0)
+        who, node = who[on], node[on] >> 1
+    who = node = np.zeros(0, np.int64)
+    for level in range(len(down) - 1, -1, -1):
+        if len(who):  # from the nodes of the level above: right half first
+            d, c = trees[level]
+            right = 2 * node + 1
+            right[right >= len(d)] -= 1
+            hit = d[right] < document[who]
+            low[who[~hit]] = np.minimum(low[who[~hit]], c[right[~hit]])
+            node = np.where(hit, right, 2 * node)
+        who, node = np.concatenate([who, down[level][0]]), np.concatenate([node, down[level][1]])
+    found[who] = low[who]
+    return found
+
+
+def previous_factors(text: np.ndarray, start: np.ndarray, size: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array over documents: for each suffix (``size``
+    bytes of ``text`` at ``start``) the longest beginning that a suffix of a smaller
+    document shares.  In suffix order the nearest smaller documents before and
+    after it share most, so two scans of nearest smaller values decide it."""
+    order, common = suffix_order(text, start, size, document)
+    owner = document[order]
+    back = np.append(common[:1], common[:0:-1])  # the same prefixes, read from the other end
+    lengths = np.empty(len(start), np.int64)
+    lengths[order] = np.maximum(_reach_back(owner, common), _reach_back(owner[::-1], back)[::-1])
+    return lengths
 
 
 def _decide(length: int):
@@ -235,7 +306,9 @@ def _decide(length: int):
         first = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         owner = np.repeat(np.arange(len(n)), n)
-        reached = previous_factors(np.frombuffer(b"".join(bodies), np.uint8), first[owner] + offset, np.concatenate(document)[owner], length)
+        lengths = previous_factors(np.frombuffer(b"".join(bodies), np.uint8), first[owner] + offset, (n + length - 1)[owner] - offset,
+                                   np.concatenate(document)[owner])
+        reached = lengths >= length
         bits = np.bitwise_or.reduceat(reached.astype(np.uint64) << offset.astype(np.uint64), np.cumsum(n) - n)
         ends = np.cumsum([0, *sizes])
         replies = []

@@ -2,13 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from floodlens.llm.common import read, sha256_hex
 from floodlens.llm.hashing import PIECE_BYTES
 from floodlens.llm.queries import QUERIES
-from floodlens.llm.repeats import remove_repeats
+from floodlens.llm.repeats import previous_factors, remove_repeats, suffix_order
 from floodlens.llm.windows import remove_repeated_windows
 
 SCHEMA = "doc_id bigint, text string, n_words string, block int"
@@ -134,3 +135,30 @@ def test_query_over_the_smallest_tables(spark):
     want = sorted(((d, n, r, sha256_hex(k.encode())) for d, n, r, k in brute_words(rows, 13)), key=repr)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
     assert got.where(F.col("n_removed") > 0).count() > 0
+
+
+def common_prefix(a, b):
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return k
+
+
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"a\0", b"\0", b"abc\xff\0"])
+def test_longest_previous_factors(letters):
+    """Suffix order, neighbours' common prefixes and factor lengths against all pairs; suffixes of
+    one place, empty ones, zero bytes at the end and equal documents among them."""
+    rng = random.Random(len(letters))
+    for _ in range(60):
+        text = bytes(rng.choice(letters) for _ in range(rng.randint(1, 80)))
+        start = [rng.randrange(len(text)) for _ in range(rng.randint(0, 40))]
+        size = [rng.randint(0, len(text) - k) for k in start]
+        document = [rng.randint(0, rng.choice([1, 5, 40])) for _ in start]
+        suffixes = [text[k:k + n] for k, n in zip(start, size)]
+        arrays = [np.frombuffer(text, np.uint8), *(np.array(x, np.int64) for x in (start, size, document))]
+        order, common = suffix_order(*arrays)
+        ordered = [suffixes[k] for k in order]
+        assert ordered == sorted(suffixes)
+        assert common.tolist() == [common_prefix(a, b) for a, b in zip([b"", *ordered], ordered)]
+        assert previous_factors(*arrays).tolist() == [
+            max([common_prefix(a, b) for b, e in zip(suffixes, document) if e < d], default=0) for a, d in zip(suffixes, document)]
