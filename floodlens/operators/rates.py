@@ -30,12 +30,15 @@ def session_id(src: str = "src_ip", dst: str = "dst_ip", proto: str = "protocol"
 
 
 def session_episodes(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT,
-                     chunk_s: float = DEFAULT_CHUNK_S, out: str = "_episode") -> DataFrame:
+                     chunk_s: float = DEFAULT_CHUNK_S, out: str = "_episode", sweep_s: float | None = None) -> DataFrame:
     """Stale sessions start anew: ``out`` is the session and the start of its
     episode, which ends where the session was idle longer than
     ``session_max_age_s``.  Counters, windows, smoothing and detection state
     keyed by it restart, as they do in the stream.
 
+    With ``sweep_s`` stale sessions go only at the multiples of that interval: a
+    session that comes back before the sweep that would have taken it goes on.
+
     Chunks no longer than that age can only begin an episode with their first
     row, so one row a chunk decides.  Adds ``_chunk`` where it is missing."""
     age = int(round(th.session_max_age_s * 1_000_000))
@@ -46,7 +49,8 @@ def session_episodes(df: DataFrame, key: str = "session_id", th: Thresholds = DE
     rows = df.withColumn("_part", part)
     spans = rows.groupBy(key, "_part").agg(F.min("ts_us").alias("_first"), F.max("ts_us").alias("_last"))
     w = Window.partitionBy(key).orderBy("_part")
-    starts = F.when(F.coalesce(F.col("_first") - F.lag("_last").over(w) > F.lit(age), F.lit(True)), F.col("_first"))
+    seen = F.col("_first") if sweep_s is None else last_sweep(F.col("_first"), sweep_s)
+    starts = F.when(F.coalesce(seen - F.lag("_last").over(w) > F.lit(age), F.lit(True)), F.col("_first"))
     spans = spans.withColumn("_start", starts).select(
         F.col(key).alias("_key"), F.col("_part").alias("_p"), F.last("_start", ignorenulls=True).over(w).alias("_start"))
     on = (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_p"))
@@ -54,6 +58,21 @@ def session_episodes(df: DataFrame, key: str = "session_id", th: Thresholds = DE
             .drop("_part", "_p", "_key", "_start"))
 
 
+def last_sweep(ts_us: Column, sweep_s: float) -> Column:
+    """The last sweep at or before a time, in microseconds."""
+    every = F.lit(int(round(sweep_s * 1_000_000)))
+    return ts_us - F.pmod(ts_us, every)
+
+
+def session_spans(df: DataFrame, key: str = "session_id", th: Thresholds = DEFAULT, chunk_s: float = DEFAULT_CHUNK_S,
+                  sweep_s: float | None = None) -> DataFrame:
+    """ST4: one row per episode of a session (``start_us``, ``last_us``,
+    ``packets``), counted chunk by chunk, so a hot session is no hot task."""
+    ep = session_episodes(df, key, th, chunk_s, sweep_s=sweep_s)
+    return (ep.groupBy(key, "_episode").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"),
+                                            F.count(F.lit(1)).alias("packets")).drop("_episode"))
+
+
 def _chunk_us(chunk_s: float, th: Thresholds) -> int:
     return max(int(round(chunk_s * 1_000_000)), th.window_us)
 

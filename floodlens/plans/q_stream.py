@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from floodlens.functions.numeric import q, q_sql
 from floodlens.operators.mitigate import intervals, mitigation_cycle
-from floodlens.operators.rates import session_id
+from floodlens.operators.rates import session_id, session_spans
 from floodlens.plans import eventlog
 from floodlens.plans.detector import (detector, sql_attack_slice, sql_cycle, sql_detector, sql_flows,
                                       sql_prelude, sql_rates)
@@ -32,6 +32,9 @@ V = ALL_SOURCES.victim
 # Idle gap that ends a session (reference: 300 s), scaled to the packet view's time
 SESSION_GAP_S = 5.0
 SESSION_GAP_US = int(SESSION_GAP_S * 1_000_000)
+# Interval of the sweeps that take stale sessions (reference: 120 s for an age of 300 s)
+SWEEP_S = 2.0
+SWEEP_TH = TH.with_(session_max_age_s=SESSION_GAP_S)
 # The packet view's 60 s are streamed in four slices; rows may be this much out of order
 DELAY = "2 seconds"
 
@@ -135,6 +138,29 @@ def st04_stream(spark, sf):
     return run_available_now(s, "st04")
 
 
+_SWEPT = f""",
+g AS (SELECT session_id, ts_us, pkt_id, CASE WHEN ts_us - ts_us % {int(SWEEP_S * 1e6)}
+        - lag(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us, pkt_id) <= {SESSION_GAP_US} THEN 0 ELSE 1 END AS new_session FROM fl),
+i AS (SELECT *, sum(new_session) OVER (PARTITION BY session_id ORDER BY ts_us, pkt_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT session_id, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS packets FROM i GROUP BY session_id, k"""
+
+
+@register("st04_swept_sessions", W(sql_prelude(), sql_flows()).rstrip("\n") + _SWEPT)
+def st04_swept(spark, sf):
+    """Sessions as the periodic sweep ends them: one that comes back before the
+    sweep that would have taken it goes on."""
+    fl = packets(spark, sf).filter(F.col("protocol").isin("ICMP", "TCP", "UDP")).withColumn("session_id", session_id())
+    return session_spans(fl, th=SWEEP_TH, chunk_s=CHUNK_S, sweep_s=SWEEP_S)
+
+
+@register("st04_swept_sessions_stream", W(sql_prelude(), sql_flows()).rstrip("\n") + _SWEPT)
+def st04_swept_stream(spark, sf):
+    """The same from the detector's session counters, whose state the sweeps empty."""
+    det = run_available_now(detector_stream(_flows_stream(spark, sf), SWEEP_TH, sweep_s=SWEEP_S), "st04-swept")
+    return (det.groupBy("session_id", "start_us")
+            .agg(F.max("ts_us").alias("last_us"), F.max("packet_count").alias("packets")))
+
+
 # ------------------------------------------------------------------------ ST5
 @register("st05_mitigation_enrichment_stream", "WITH RECURSIVE " + eventlog.sql_ctes(TH, WATCHED) + """
 SELECT protocol, EXISTS (SELECT 1 FROM iv WHERE pk.ts_us >= iv.start_us AND pk.ts_us < iv.end_us) AS any_mitigation,

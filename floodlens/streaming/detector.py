@@ -5,10 +5,12 @@ session.
 State per session is a few scalars plus the packets of the trailing window
 (bounded by rate x window), so it does not grow with the stream.  Rows wait in
 the state until the watermark has passed them and are then folded in (ts, id)
-order; Spark drops rows that come later still (``late_rows`` names them).  A session
+order; Spark drops rows that come later still (``late_rows`` finds them).  A session
 idle for longer than ``max_age_s`` is evicted: by the event-time timeout when
 the watermark passes, or on its next packet, whichever comes first; its next
-packet starts a fresh session (counters, window and EWMA from zero).
+packet starts a fresh session (counters, window and EWMA from zero).  With
+``sweep_s`` stale sessions go only at the multiples of that interval, all on one
+timer, and a session that comes back before its sweep goes on.
 
 With a fitted classifier the prediction (P17) is the model's: rates don't depend
 on predictions, so a session's ready rows first get their features, are then
@@ -55,11 +57,12 @@ _DTYPES = {"long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boo
 OUT_DTYPES = {c.strip().split(" ")[0]: _DTYPES[c.strip().split(" ")[1]] for c in OUT_SCHEMA.split(",")}
 
 
-def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None, model=None):
+def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None, model=None, sweep_s: float | None = None):
     W = th.window_us
     warn, attack, alpha = th.warn, th.attack, th.alpha
     confirm, delay, hard = th.confirm_us, th.delay_us, th.hard_timeout_us
     max_age = int(round(max_age_s * 1_000_000)) if max_age_s else None
+    sweep = int(round(sweep_s * 1_000_000)) if sweep_s else 1
 
     def predictions(rows: list, to_victim: int) -> list[int]:
         """P17 of the ready rows of a session: 0 below the warning rate, else the
@@ -102,7 +105,7 @@ def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None, model=None
         sg2 = sum((b - a) ** 2 for a, b in zip(ts_list, ts_list[1:]))
         rates = []  # (time, id, features ..., rate, session start, packets, whether the session is new)
         for t, pid, size in zip(times[now].tolist(), ids[now].tolist(), sizes[now].tolist()):
-            stale = max_age is not None and last_ts is not None and t - last_ts > max_age
+            stale = max_age is not None and last_ts is not None and t - t % sweep - last_ts > max_age
             if stale:
                 win.clear()
                 sb = sb2 = sg2 = 0
@@ -170,11 +173,19 @@ def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None, model=None
                 row_ws, row_afs = ws, afs
             out.append((sid, src, pid, t, k, sb_t, mean, size_std, gap_std, raw, r, pred, status, row_ws, row_afs,
                         trigger, mitigated, activation, start_t, n_t))
-        state.update(([x for x, _ in win], [s for _, s in win], ewma, ws, afs, start, n, last_ts, last_id,
-                      until, acts, src, to_victim, times[later].tolist(), ids[later].tolist(), sizes[later].tolist()))
-        wake = times[later[0]] // 1000 if len(later) else (last_ts + max_age) // 1000 if max_age is not None else None
-        if wake is not None:
-            state.setTimeoutTimestamp(int(max(wake, wm_ms)) + 1)
+        wake = None
+        if len(later):
+            wake = int(times[later[0]])
+        elif max_age is not None:  # the first sweep at which it is stale
+            wake = ((last_ts + max_age) // sweep + 1) * sweep
+        if not len(later) and wake is not None and wake <= wm_ms * 1000:  # already: all rows to come are later than that
+            if state.exists:
+                state.remove()
+        else:
+            state.update(([x for x, _ in win], [s for _, s in win], ewma, ws, afs, start, n, last_ts, last_id,
+                          until, acts, src, to_victim, times[later].tolist(), ids[later].tolist(), sizes[later].tolist()))
+            if wake is not None:
+                state.setTimeoutTimestamp(max(wake // 1000, wm_ms) + 1)
         if out:
             yield pd.DataFrame(out, columns=OUT_COLS).astype(OUT_DTYPES)
 
@@ -183,11 +194,12 @@ def _fold_fn(th: Thresholds, mitigate: bool, max_age_s: float | None, model=None
 
 def detector_stream(rows: DataFrame, th: Thresholds = DEFAULT, mitigate: bool = False,
                     max_age_s: float | None = None, key: str = "session_id", evict_idle: bool = True,
-                    model=None, victim: str | None = None) -> DataFrame:
+                    model=None, victim: str | None = None, sweep_s: float | None = None) -> DataFrame:
     """Per-packet detector rows of a packet stream (needs ``session_id``,
     ``src_ip``, ``pkt_id``, ``ts_us``, ``size`` and a watermark).  Idle
     sessions are evicted after ``max_age_s`` (default: the thresholds'
-    ``session_max_age_s``) so the state store holds live sessions only.
+    ``session_max_age_s``) so the state store holds live sessions only; with
+    ``sweep_s`` (the thresholds' own is 120 s) only at the multiples of that interval.
 
     ``model`` is a fitted ``KernelClassifier`` (a few small matrices, which go to the
     tasks with the fold), or None for the threshold rule (P17); ``victim`` sets its
@@ -198,7 +210,7 @@ def detector_stream(rows: DataFrame, th: Thresholds = DEFAULT, mitigate: bool =
     x = rows.select(F.col(key).alias("session_id"), "src_ip", "pkt_id", "ts_us", F.col("size").cast("long"),
                     to_victim.alias("to_victim"), "event_time")
     return x.groupBy("session_id").applyInPandasWithState(
-        _fold_fn(th, mitigate, max_age_s, model), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        _fold_fn(th, mitigate, max_age_s, model, sweep_s), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def activations(det: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:

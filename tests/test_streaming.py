@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodlens.operators.mitigate import mitigation_cycle
-from floodlens.operators.rates import running_session_stats, session_id
+from floodlens.operators.rates import running_session_stats, session_id, session_spans
 from floodlens.plans.detector import detector
 from floodlens.plans.fixture import ALL_SOURCES, CHUNK_S, FIXTURE_TH as TH
 from floodlens.session import checkpoint_dir
@@ -162,3 +162,50 @@ def test_idle_session_is_evicted(spark):
     assert got[5] == (5, 5)
     assert [got[k][0] for k in (11, 12, 13)] == [1, 2, 3]
     assert got[11][1] == 1
+
+
+SESSION_SCHEMA = "pkt_id long, ts_us long, session_id string, src_ip string, size int"
+
+
+def _batches(spark, parts):
+    """A stream that gets one list of rows a micro-batch."""
+    d = f"{checkpoint_dir(spark).rstrip('/')}/batches-{uuid.uuid4().hex[:8]}"
+    for k, rows in enumerate(parts):
+        if k:
+            time.sleep(1.1)
+        spark.createDataFrame(rows, SESSION_SCHEMA).coalesce(1).write.mode("append").parquet(d)
+    return (spark.readStream.schema(SESSION_SCHEMA).option("maxFilesPerTrigger", 1).parquet(d)
+            .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", "0 seconds"))
+
+
+def test_sweeps_take_stale_sessions_at_their_times(spark):
+    """Age 5 s, sweeps every 4 s: a session last seen at 2 s is stale from 7 s on but goes at 8 s;
+    one that comes back at 7.5 s goes on, one that comes back at 8 s starts anew.  Batch alike,
+    for chunks shorter and longer than the age; a tie with the age (4 + 5 > 8) is no sweep's."""
+    times = {"early": [2_000_000, 7_500_000], "at": [2_000_000, 8_000_000], "tie": [3_000_000, 8_000_000, 11_999_999],
+             "long": [1_000_000, 6_000_000, 30_000_000]}
+    rows = [(k, t, s, "10.0.0.1", 100) for k, (t, s) in enumerate(sorted((t, s) for s, ts in times.items() for t in ts))]
+    ends = [(99, 90_000_000, "end", "10.0.0.2", 100)]
+    stream = _batches(spark, [[r for r in rows if r[1] < 5_000_000], [r for r in rows if r[1] >= 5_000_000], ends])
+    det = run_available_now(detector_stream(stream, TH, max_age_s=5.0, sweep_s=4.0), "t-sweep").where("session_id != 'end'")
+    got = {tuple(r) for r in det.groupBy("session_id", "start_us").agg(F.max("ts_us"), F.max("packet_count")).collect()}
+    want = {("early", 2_000_000, 7_500_000, 2), ("at", 2_000_000, 2_000_000, 1), ("at", 8_000_000, 8_000_000, 1),
+            ("tie", 3_000_000, 11_999_999, 3), ("long", 1_000_000, 6_000_000, 2), ("long", 30_000_000, 30_000_000, 1)}
+    assert got == want
+    for chunk_s in (1.0, 60.0):
+        spans = session_spans(spark.createDataFrame(rows, SESSION_SCHEMA), th=TH.with_(session_max_age_s=5.0), chunk_s=chunk_s, sweep_s=4.0)
+        assert {tuple(r) for r in spans.select("session_id", "start_us", "last_us", "packets").collect()} == want
+
+
+def test_sweeps_bound_the_state(spark):
+    """Waves of sessions that fall idle: the state store holds the two that the watermark hasn't passed, never all."""
+    wave = 2_000
+    parts = [[(w * wave + k, 1_000_000 + w * 20_000_000, f"s{w}-{k}", "10.0.0.1", 100) for k in range(wave)] for w in range(6)]
+    stream = detector_stream(_batches(spark, [*parts, [(-1, 200_000_000, "end", "10.0.0.2", 100)]]), TH, max_age_s=5.0, sweep_s=4.0)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex[:8]}"
+    q = (stream.writeStream.option("checkpointLocation", f"{base}/c").outputMode("append")
+         .format("parquet").option("path", f"{base}/t").trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) <= 2 * wave + 1 and held[-1] <= 1
+    assert spark.read.parquet(f"{base}/t").where("session_id != 'end'").count() == 6 * wave
