@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,3 +54,42 @@ def per_batch(fn, rows: int = 1_000):
                 yield pa.RecordBatch.from_pydict(fn(batch.slice(at, rows)))
         give_back()
     return run
+
+
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let the first table of an operator have columns of any name.
+
+    Names that begin with ``_`` belong to the operators' own columns, and names with
+    a dot or a backtick mean something else in an expression: such columns go through
+    the operator under plain names and get their own back in the result.  Column
+    names among the arguments follow; column expressions are evaluated before."""
+    first = next(iter(inspect.signature(operator).parameters))
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        df = args[0] if args else kwargs[first]
+        odd = [c for c in df.columns if c.startswith("_") or "." in c or "`" in c]
+        if not odd:
+            return operator(*args, **kwargs)
+        taken = {c.lower() for c in df.columns}
+        free = (n for n in (f"carried_{k}" for k in range(len(df.columns) * 2 + len(args) + len(kwargs) + 1)) if n not in taken)
+        plain = dict(zip(odd, free))
+        made: list[str] = []
+
+        def follow(value):
+            nonlocal df
+            if isinstance(value, str):
+                return plain.get(value, value)
+            if isinstance(value, list):
+                return [follow(v) for v in value]
+            if isinstance(value, Column):
+                made.append(next(free))
+                df = df.withColumn(made[-1], value)
+                return F.col(made[-1])
+            return value
+        rest = [follow(v) for v in args[1:]]
+        named = {n: follow(v) for n, v in kwargs.items() if n != first}
+        out = operator(df.toDF(*[plain.get(c, c) for c in df.columns]), *rest, **named).drop(*made)
+        own = {new: old for old, new in plain.items()}
+        return out.toDF(*[own.get(c, c) for c in out.columns])
+    return run

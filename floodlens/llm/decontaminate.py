@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_bytes
+from .common import any_names, text_bytes
 
 #: words are runs of these bytes: ASCII digits, letters (A-Z lower-cased) and every byte of a non-ASCII character
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -76,6 +76,18 @@ class _Handle:
         return _built[self.key]
 
 
+def _union(spans: list[list[int]]) -> list[list[int]]:
+    """Maximal runs of spans [first word, end word, first byte, end byte] that overlap or touch."""
+    out: list[list[int]] = []
+    for span in sorted(spans):
+        if out and span[0] <= out[-1][1]:
+            if span[1] > out[-1][1]:
+                out[-1][1], out[-1][3] = span[1], span[3]
+        else:
+            out.append(list(span))
+    return out
+
+
 def _scanner(handle: _Handle, out: pa.Schema):
     def run(batches):
         automaton = handle.automaton()
@@ -88,7 +100,7 @@ def _scanner(handle: _Handle, out: pa.Schema):
                 spans, items = automaton.scan(words)
                 if spans:
                     at = np.array([m.span() for m in WORD.finditer(plain)])
-                    had_spans = had_spans + [[a, b, int(at[a, 0]), int(at[b - 1, 1])] for a, b in spans]
+                    had_spans = _union(had_spans + [[a, b, int(at[a, 0]), int(at[b - 1, 1])] for a, b in spans])
                 n_words.append(len(words))
                 byte_spans.append([list(s) for s in had_spans])
                 item_lists.append(sorted({*had_items, *items}))
@@ -98,6 +110,7 @@ def _scanner(handle: _Handle, out: pa.Schema):
     return run
 
 
+@any_names
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
                        window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """``docs`` with added columns: ``n_words``, ``n_hit`` (words inside an
@@ -126,7 +139,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
         listed = [(r.id, r.text.encode()) for r in part.toLocalIterator()]
         handle = _Handle(spark.sparkContext.broadcast(listed), uuid.uuid4().hex, window)
         work = work.mapInArrow(_scanner(handle, out), work.schema)
-    marks = F.expr("flatten(transform(_spans, s -> sequence(s[0], s[1] - 1)))")
-    hit = F.expr("aggregate(_spans, 0L, (n, s) -> n + s[1] - s[0])") if shards == 1 else F.size(F.array_distinct(marks)).cast("long")
+    hit = F.expr("aggregate(_spans, 0L, (n, s) -> n + s[1] - s[0])")
     return work.select(*keep, F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.col("_items").alias("items"),
                        F.col("_spans").alias("spans"), (F.size("_spans") > 0).alias("contaminated"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize
-from .common import text_bytes
+from .common import any_names, text_bytes
 from .exchange import Layout, pack, pack_sorted, slices, unpack, unpack_sorted
 from .hashing import batches, word_hashes
 
@@ -320,6 +320,7 @@ def train(coded: DataFrame, words: Words, states: int = STATES, rounds: int = RO
     return model
 
 
+@any_names
 def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None,
                 states: int = STATES, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default) with ``held_out``,

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import per_batch
+from .common import any_names, per_batch
 
 GRAMS = 3
 HASH_BITS = 16
@@ -166,6 +166,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Classifier(landmarks, languages, weights.astype(np.float32))
 
 
+@any_names
 def identify(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` (``und`` for null texts and texts without a
     letter, or where nothing was learnt) and ``score`` (0 to 1; 0 for ``und``).

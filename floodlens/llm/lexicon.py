@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import give_back, text_bytes
+from .common import any_names, give_back, text_bytes
 from .hashing import batches as text_batches
 from .token_counts import TransitionTable
 
@@ -385,6 +385,7 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text
     return compile_lexicon(zip(words, vocabulary.merge(words)))
 
 
+@any_names
 def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", carry: list[str] | None = None, lexicon_share: float = LEXICON_SHARE) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default) with ``ids`` (token
     ids, without added special tokens; special tokens in a text are encoded as

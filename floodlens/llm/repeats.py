@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_bytes
+from .common import any_names, text_bytes
 from .exchange import BLOCK_BYTES, Layout, id_ranks, pack, pack_sorted, slices, unpack, unpack_sorted
 from .hashing import PIECE_BYTES, mix, prefix_hash, rolling_hash, span_hash
 
@@ -379,6 +379,7 @@ def _merge(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([first[at], np.append(reach[at[1:] - 1], reach[-1])], axis=1)
 
 
+@any_names
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: list[str] | None = None,
                    block_bytes: int = BLOCK_BYTES, bucket_keys: int = PAIRS) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default) with ``n_bytes``,
@@ -393,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     added names are replaced.  ``length`` is at least 2.  Two segments of one
     anchor are one when their 48-bit hashes (besides the anchor's 44) are equal.
     """
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in (*ADDED, "_block")]
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
     cols = (id_col, text_col)
     layout = Layout(docs, id_col, text_col, BYTES_PER_SEGMENT, block_bytes, bucket_keys)
     blocks = docs.select(*dict.fromkeys([*carry, *cols]), layout.block(id_col).alias("_block"))

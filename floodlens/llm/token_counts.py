@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import any_names, text_bytes
 from .hashing import batches as text_batches
 
 #: texts are read in runs of about this many bytes, cut into chunks of so many characters
@@ -446,6 +446,7 @@ class TokenCounter:
 _counters: dict[str, TokenCounter] = {}
 
 
+@any_names
 def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default) with ``n_bytes`` (UTF-8)
     and ``n_tokens`` of the text, special strings in it being one token each.

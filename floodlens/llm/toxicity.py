@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, per_batch, text_bytes
+from .common import any_names, give_back, per_batch, text_bytes
 from .decontaminate import NORMAL
 from .hashing import batches, mix, prefix_hash, span_hash
 
@@ -159,6 +159,7 @@ def _scorer(broadcast, text_col: str, score_col: str):
     return score
 
 
+@any_names
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score_col``, from 0 to 1, higher for likelier toxic texts
     (a column of this name is replaced).  Null and empty texts have no

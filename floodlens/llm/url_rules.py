@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, any_names
 
 PREFIX_HEX = 8  # four bytes of the digest
 MAX_SHAPES = 100_000
@@ -63,6 +63,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
             .select("host", "path", "best.rule", "best.verdict"))
 
 
+@any_names
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict added (existing columns of
     these names are replaced).  Without a fitting rule, rule is null and the

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_bytes
+from .common import any_names, text_bytes
 from .exchange import BLOCK_BYTES, BUCKET_KEYS, Layout, id_ranks, pack_sorted, slices, unpack_sorted
 from .hashing import prefix_hash, rolling_hash, word_hashes
 
@@ -105,6 +105,7 @@ def _remove(cols: tuple[str, str], width: int, buckets: int, out: pa.Schema):
     return run
 
 
+@any_names
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, carry: list[str] | None = None,
                             block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default) with ``n_words``,
@@ -119,7 +120,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     count as earlier.  Columns of ``docs`` with the added names are replaced.
     Two windows are one when their 64-bit hashes are equal.
     """
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in (*ADDED, "_block")]
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
     cols = (id_col, text_col)
     layout = Layout(docs, id_col, text_col, BYTES_PER_WORD, block_bytes, bucket_keys)
     blocks = docs.select(*dict.fromkeys([*carry, *cols]), layout.block(id_col).alias("_block"))
