@@ -14,7 +14,7 @@ Every switch on a packet's way reports it, so rates over observations count hops
 
 Counts and maxima are running sums and maxima over ``(identity, chunk)`` with one
 carried row a chunk: an identity that floods is spread over its chunks.  In the
-stream the state of an identity is a count a switch.
+stream an identity keeps a count a switch, in the state of its hash bucket.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -55,48 +56,101 @@ def dedupe_hops(obs: DataFrame, tol_s: float, switch: str = "dpid", identity: tu
     return x.filter(new).select(*obs.columns)
 
 
-def dedupe_hops_stream(obs: DataFrame, tol_s: float, switch: str = "dpid", identity: tuple = IDENTITY) -> DataFrame:
+def _packed(frame: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as w:
+        w.write_table(pa.Table.from_pandas(frame, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _codes(frame: pd.DataFrame, columns: tuple) -> np.ndarray:
+    """A number for each distinct row of ``columns``; nulls are a value."""
+    out = np.zeros(len(frame), np.int64)
+    for c in columns:
+        code, names = pd.factorize(frame[c], use_na_sentinel=False)
+        out = pd.factorize(out * max(1, len(names)) + code)[0]
+    return out
+
+
+def _advance(counts: pd.DataFrame, ready: pd.DataFrame, identity: tuple, tol: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The observations of ``ready`` that show a new packet, and the counts after
+    all of them: for each identity and switch of its burst the count ``n``, the
+    identity's last time and its largest count."""
+    if not len(ready):
+        return ready, counts
+    k, names = len(counts), [*identity, "_switch"]
+    both = pd.concat([counts[names], ready[names]], ignore_index=True)
+    who, (switch, switches) = _codes(both, identity), pd.factorize(both["_switch"], sort=True)
+    known, last, most = (np.zeros(who.max() + 1, t) for t in (bool, np.int64, np.int64))
+    known[who[:k]], last[who[:k]], most[who[:k]] = True, counts["last"], counts["most"]
+    order = np.lexsort((switch[k:], ready["pkt_id"], ready["ts_us"], who[k:]))
+    x, w, s = ready.iloc[order], who[k:][order], switch[k:][order]
+    t = x["ts_us"].to_numpy()
+    begins, ends = np.append(True, w[1:] != w[:-1]), np.append(w[1:] != w[:-1], True)
+    fresh = np.where(begins, ~known[w] | (t - last[w] > tol), t - np.append(0, t[:-1]) > tol)
+    starts = begins | fresh
+    burst, at = np.cumsum(starts) - 1, np.flatnonzero(starts)
+    goes_on = ~fresh[at]  # from the carried counts
+    n = pd.Series(burst * len(switches) + s).groupby(burst * len(switches) + s).cumcount().to_numpy() + 1
+    held = pd.Series(counts["n"].to_numpy(), who[:k] * len(switches) + switch[:k])
+    n += np.where(goes_on[burst], held.reindex(w * len(switches) + s, fill_value=0), 0)
+    top = pd.Series(n).groupby(burst).cummax().to_numpy()
+    earlier = np.append(0, top[:-1])
+    earlier[at] = 0
+    base = np.where(goes_on, most[w[at]], 0)[burst]
+    first = x[n > np.maximum(earlier, base)]
+    met, on = np.zeros(len(known), bool), np.zeros(len(known), bool)
+    met[w], on[w[ends]] = True, goes_on[burst[ends]]
+    last[w[ends]], most[w[ends]] = t[ends], np.maximum(top, base)[ends]
+    of_last = np.isin(burst, burst[ends])
+    after = pd.concat([counts.assign(_who=who[:k])[~met[who[:k]] | on[who[:k]]], x[names].assign(n=n, _who=w)[of_last]], ignore_index=True)
+    after = after.drop_duplicates(["_who", "_switch"], keep="last")
+    return first, after.assign(last=last[after["_who"]], most=most[after["_who"]]).drop(columns="_who")
+
+
+#: groups of identities that share a state in the stream (fixed for the life of a checkpoint)
+BUCKETS = 256
+
+
+def dedupe_hops_stream(obs: DataFrame, tol_s: float, switch: str = "dpid", identity: tuple = IDENTITY, buckets: int = BUCKETS) -> DataFrame:
     """The same in a stream (with ``event_time`` and a watermark): the identity
     columns, ``pkt_id``, ``ts_us`` and the switch of each packet's first observation.
 
     Observations wait until the watermark has passed them; an identity's counts go
-    once it has been silent for longer than the tolerance."""
+    once it has been silent for longer than the tolerance.  Identities are dealt
+    into ``buckets`` by hash, so that calls and states are as many as these, not
+    as the identities; a bucket's identities are counted together, by columns."""
     tol = int(round(tol_s * 1_000_000))
     kinds = {f.name: f.dataType.simpleString() for f in obs.schema.fields}
-    out = ", ".join([f"{c} {kinds[c]}" for c in identity] + ["pkt_id long", "ts_us long", f"{switch} {kinds[switch]}"])
-    state_schema = "last long, most long, switches array<string>, counts array<long>, wait_ts array<long>, wait_id array<long>, wait_sw array<string>"
-    names = [*identity, "pkt_id", "ts_us", switch]
+    names = [*identity, "_switch"]
+    text, number = [(c, pa.string()) for c in names], lambda *cols: [(c, pa.int64()) for c in cols]
+    counted, waiting = pa.schema(text + number("n", "last", "most")), pa.schema(text + number("ts_us", "pkt_id"))
+    shown = [*identity, "pkt_id", "ts_us", "_switch"]
 
     def fold(key, pdfs, state):
         wm_ms = state.getCurrentWatermarkMs()
-        last, most, switches, counts, *waiting = state.get if state.exists else (None, 0, [], [], [], [], [])
-        count = dict(zip(switches, counts))
-        rows = list(zip(*waiting))
+        wm = wm_ms * 1000
+        counts, rows = (pa.ipc.open_stream(x).read_pandas() for x in state.get) if state.exists else (s.empty_table().to_pandas() for s in (counted, waiting))
         if not state.hasTimedOut:
-            for pdf in pdfs:
-                rows += zip(pdf["ts_us"].tolist(), pdf["pkt_id"].tolist(), pdf["_switch"].tolist())
-        rows.sort()
-        ready = int(np.searchsorted([r[0] for r in rows], wm_ms * 1000, side="right"))
-        first = []
-        for t, pid, sw in rows[:ready]:
-            if last is not None and t - last > tol:
-                most, count = 0, {}
-            count[sw] = count.get(sw, 0) + 1
-            last = t
-            if count[sw] > most:
-                most = count[sw]
-                first.append((*key, pid, t, None if sw == "\x00" else sw))
-        later = rows[ready:]
-        wake = later[0][0] if later else (last or 0) + tol + 1
-        if later or wake > wm_ms * 1000:
-            state.update((last, most, list(count), list(count.values()), *map(list, zip(*later) if later else ([], [], []))))
-            state.setTimeoutTimestamp(int(max(wake // 1000, wm_ms)) + 1)
+            rows = pd.concat([rows, *(pdf[waiting.names] for pdf in pdfs)], ignore_index=True)
+        ready = rows["ts_us"] <= wm
+        first, counts = _advance(counts, rows[ready], identity, tol)
+        later = rows[~ready]
+        who = _codes(pd.concat([counts[names], later[names]], ignore_index=True), identity)
+        busy = np.isin(who[:len(counts)], who[len(counts):])
+        counts, busy = (x[busy | (counts["last"] + tol + 1 > wm)] for x in (counts, busy))
+        if len(later) or len(counts):
+            wake = min([*later["ts_us"], *(counts["last"][~busy] + tol + 1)])
+            state.update((_packed(counts, counted), _packed(later, waiting)))
+            state.setTimeoutTimestamp(max(int(wake) // 1000, wm_ms) + 1)
         elif state.exists:
             state.remove()
-        if first:
-            pdf = pd.DataFrame(first, columns=names)
-            pdf[switch] = pdf[switch].astype("string" if kinds[switch] == "string" else "Int64")
-            yield pdf
+        if len(first):
+            yield first[shown]
 
-    x = obs.select(*identity, "pkt_id", "ts_us", F.coalesce(F.col(switch).cast("string"), F.lit("\x00")).alias("_switch"), "event_time")
-    return x.groupBy(*identity).applyInPandasWithState(fold, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    x = obs.select(*[F.col(c).cast("string").alias(c) for c in identity], "pkt_id", "ts_us", F.coalesce(F.col(switch).cast("string"), F.lit("\x00")).alias("_switch"),
+                   "event_time", F.pmod(F.xxhash64(*identity), F.lit(buckets)).alias("_bucket"))
+    out = ", ".join([f"{c} string" for c in identity] + ["pkt_id long", "ts_us long", "_switch string"])
+    first = x.groupBy("_bucket").applyInPandasWithState(fold, out, "counts binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return first.select(*[F.col(c).cast(kinds[c]).alias(c) for c in identity], "pkt_id", "ts_us",
+                        F.when(F.col("_switch") != "\x00", F.col("_switch")).cast(kinds[switch]).alias(switch))

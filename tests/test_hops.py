@@ -2,11 +2,15 @@
 chunk borders, lost observations, nulls; batch = stream is the registered twin's."""
 
 import random
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from floodlens.operators.hops import dedupe_hops
+from floodlens.operators.hops import dedupe_hops, dedupe_hops_stream
+from floodlens.session import checkpoint_dir
+from floodlens.streaming.source import run_available_now
 
 KIND = "pkt_id long, ts_us long, src_ip string, dst_ip string, protocol string, size int, dpid int, extra string"
 
@@ -42,3 +46,24 @@ def test_nulls_and_empty_tables(spark):
     assert sorted(r.pkt_id for r in out.collect()) == [1, 3]
     assert dedupe_hops(df.limit(0), 0.005).count() == 0
     assert dedupe_hops(df.withColumn("ts_us", F.col("ts_us") * 1_000_000), 0.005).count() == 3  # silence between them
+
+
+def test_stream_calls_are_as_many_as_the_buckets(spark):
+    """Hundreds of identities over three files: three states, and the rows of the batch."""
+    rng = random.Random(7)
+    packets = [(k, rng.randint(1, 3_000_000), rng.choice([None, *map(str, range(300))])) for k in range(1_500)]
+    packets += [(5_000 + k, 900_000 + 2_000 * k, "flood") for k in range(500)]  # one burst over two files
+    rows = observe(packets, [2, 1, 3]) + [(9_000 + k, 1_000 + 400 * k, "lost", None, "ICMP", None, rng.choice([None, 1, 2]), "x") for k in range(200)]
+    d = f"{checkpoint_dir(spark).rstrip('/')}/hops-{uuid.uuid4().hex[:8]}"
+    for k in range(4):  # the last file closes the stream
+        part = [r for r in rows if r[1] // 1_000_000 == k] if k < 3 else [(-1, 90_000_000, "end", "b", "ICMP", 1, 1, "x")]
+        spark.createDataFrame(part + ([r for r in rows if r[1] >= 3_000_000] if k == 2 else []), KIND).coalesce(1).write.mode("append").parquet(d)
+        time.sleep(1.1)
+    s = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(d).withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", "300 milliseconds")
+    first = dedupe_hops_stream(s, 0.005, buckets=3)
+    assert first.columns == ["src_ip", "dst_ip", "protocol", "size", "pkt_id", "ts_us", "dpid"] and dict(first.dtypes)["size"] == "int"
+    got = run_available_now(first, "t-hops")
+    want = dedupe_hops(spark.createDataFrame(rows, KIND), 0.005).select(*first.columns)
+    assert sorted(map(tuple, got.where("pkt_id >= 0").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    kept = spark.read.format("statestore").option("batchId", 2).load(f"{got.inputFiles()[0].rsplit('/table/', 1)[0]}/_checkpoint")
+    assert 1 <= kept.count() <= 3
