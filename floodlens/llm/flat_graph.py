@@ -1,12 +1,16 @@
 """Operator 2, embedding near-dedup over a robust-pruned flat graph.
 
 Vectors are dealt into overlapping shards, around the centroids of a bounded
-sample.  Each shard builds a graph: every vector's nearest candidates, pruned
-so that an edge is dropped where a kept neighbour is much closer to its end,
-plus reverse edges, pruned alike.  A vector's adjacency lists are united over
-its shards.  Every vector then searches its shards: greedily from medoids,
-then expanding each vertex in range until no new one turns up.  All pairs of
-vectors that were found together are verified in double precision.
+sample; the one of its best centroid is its home, where it is no guest.  Two
+vectors in range are both in the home of one of them, so that only the home of
+a vector builds its list and searches for it: work is a list and a search a
+vector, in however many shards it is a guest.  A list has the nearest candidates
+of the shard, pruned so that an edge is dropped where a kept neighbour is much
+closer to its end; reverse edges, pruned alike where there are many, go to
+guests too.  A vector's lists are united over its shards.  Every vector then
+searches the graph from its own vertex, expanding each vertex in range until no
+new one turns up.  All pairs of vectors that were found together are verified
+in double precision.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ DEVIATIONS = 3.5
 SAMPLE, MAX_CENTROIDS, ROUNDS = 16_384, 4_096, 5
 #: edges of a vertex in one shard, candidates for them (nearest and random), pruning slack
 DEGREE, NEAREST, RANDOM, SLACK = 24, 64, 32, 1.2
-#: vertices that a search keeps, entry vertices, queries searched at a time
+#: vertices that a search from medoids keeps, entry vertices, queries searched at a time
 BEAM, ENTRIES, QUERIES = 40, 32, 1_024
+#: vertices out of range that a search from its own vertex expands, pairs verified at a time
+STRAYS, PAIRS = 4, 1 << 21
 #: the float32 search keeps what is this little below the threshold, for the exact check
 MARGIN = 1e-4
 
@@ -88,14 +94,16 @@ def shards_of(x: np.ndarray, centres: np.ndarray, reach: float) -> list[list[int
     return [np.flatnonzero(row).tolist() for row in inside]
 
 
-def prune(x: np.ndarray, candidates: np.ndarray, degree: int = DEGREE) -> np.ndarray:
-    """Robust pruning of every vertex's candidates (a row each, padded by -1):
-    the nearest one left is kept, and those that are ``SLACK`` times closer to
-    it than to the vertex go.  Rows of ``degree``, padded by -1."""
-    out = np.full((len(x), degree), -1, np.int64)
-    for at in range(0, len(x), 512):
+def prune(x: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, whose: np.ndarray | None = None) -> np.ndarray:
+    """Robust pruning of the candidates (a row each, padded by -1) of every vertex,
+    or of the vertices ``whose``: the nearest one left is kept, and those that are
+    ``SLACK`` times closer to it than to the vertex go.  Rows of ``degree``, padded
+    by -1."""
+    whose = np.arange(len(candidates)) if whose is None else whose
+    out = np.full((len(candidates), degree), -1, np.int64)
+    for at in range(0, len(candidates) if candidates.shape[1] else 0, 512):
         rows = candidates[at:at + 512]
-        me = np.arange(at, at + len(rows))
+        me = whose[at:at + 512]
         points = x[rows]
         far = np.maximum(0, 2 - 2 * np.einsum("ncd,nd->nc", points, x[me]))
         far[(rows < 0) | (rows == me[:, None])] = np.inf
@@ -113,19 +121,22 @@ def prune(x: np.ndarray, candidates: np.ndarray, degree: int = DEGREE) -> np.nda
     return out
 
 
-def build_graph(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Adjacency rows (padded by -1) of the pruned graph of unit vectors."""
-    n = len(x)
+def build_graph(x: np.ndarray, seed: int = 0, own: int | None = None) -> np.ndarray:
+    """Adjacency rows (padded by -1) of the pruned graph of unit vectors.  With
+    ``own``, only so many first vertices look for neighbours, among all; the
+    others have the reverse edges."""
+    n, own = len(x), len(x) if own is None else own
     rng = np.random.default_rng(seed)
     near, far = min(NEAREST, n - 1), min(RANDOM, n - 1)
-    candidates = np.full((n, near + far), -1, np.int64)
-    for at in range(0, n, 512):
-        alike = x[at:at + 512] @ x.T
+    candidates = np.full((own, near + far), -1, np.int64)
+    for at in range(0, own, 512):
+        alike = x[at:min(at + 512, own)] @ x.T
         alike[np.arange(len(alike)), np.arange(at, at + len(alike))] = -9
         if near:
             candidates[at:at + 512, :near] = np.argpartition(-alike, near - 1, axis=1)[:, :near]
-    candidates[:, near:] = rng.integers(0, n, (n, far))
-    first = prune(x, candidates)
+    candidates[:, near:] = rng.integers(0, n, (own, far))
+    first = np.full((n, DEGREE), -1, np.int64)
+    first[:own] = prune(x, candidates)
     u, k = np.nonzero(first >= 0)
     v = first[u, k]
     order = np.lexsort((rng.random(len(v)), v))
@@ -134,7 +145,11 @@ def build_graph(x: np.ndarray, seed: int = 0) -> np.ndarray:
     back = np.full((n, 2 * NEAREST), -1, np.int64)
     some = turn < back.shape[1]
     back[v[some], turn[some]] = u[some]
-    return prune(x, np.hstack([first, back]), DEGREE + DEGREE // 2)
+    both, most = np.hstack([first, back]), DEGREE + DEGREE // 2
+    out = -np.sort(-both, axis=1)[:, :most]
+    many = np.flatnonzero((both >= 0).sum(axis=1) > most)
+    out[many] = prune(x, both[many], most, many)
+    return out
 
 
 def entry_points(x: np.ndarray) -> np.ndarray:
@@ -182,14 +197,52 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, entries:
         yield np.arange(at, at + len(q)), alike[:, :n] >= least
 
 
+def own_search(asking: np.ndarray, x: np.ndarray, ends: np.ndarray, around: np.ndarray, entries: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of ``asking``, vertices of the graph, and for each the vertices of
+    cosine ``least`` or more that a search from it and ``entries`` meets, as a
+    mask.  The search expands the vertex itself, the ``STRAYS`` best that it meets
+    then, and all in range.  Vertex v's list is ``around[ends[v]:ends[v + 1]]``."""
+    n = len(x)
+    for at in range(0, len(asking), QUERIES):
+        me = asking[at:at + QUERIES]
+        q = x[me]
+        alike = np.full((len(me), n), -9, np.float32)  # of vertices met
+        alike[:, entries] = q @ x[entries].T
+        alike[np.arange(len(me)), me] = 1
+        line, which = np.nonzero(alike[:, entries] >= least)
+        waiting = [(line, entries[which]), (np.arange(len(me)), me)]
+        itself = True
+        while waiting:
+            lines, front = waiting.pop()
+            if len(lines) > QUERIES:
+                waiting.append((lines[QUERIES:], front[QUERIES:]))
+                lines, front = lines[:QUERIES], front[:QUERIES]
+            many = ends[front + 1] - ends[front]
+            flat = around[np.repeat(ends[front] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            lines = np.repeat(lines, many)
+            new = alike[lines, flat] == -9
+            lines, flat = np.divmod(np.unique(lines[new] * n + flat[new]), n)
+            met = np.einsum("ij,ij->i", q[lines], x[flat])
+            alike[lines, flat] = met
+            go = met >= least
+            if itself:
+                order = np.lexsort((-met, lines))
+                go[order[np.arange(len(order)) - np.searchsorted(lines, lines) < STRAYS]] = True
+                itself = False
+            if go.any():
+                waiting.append((lines[go], flat[go]))
+        yield me, alike >= least
+
+
 def unite(root: np.ndarray, rows: np.ndarray, cols: np.ndarray, linked: np.ndarray) -> np.ndarray:
     """Components (the smallest vertex of each) after links between ``rows`` and ``cols``, a mask."""
+    u, v = np.nonzero(linked)
+    u, v = rows[u], cols[v]
     while True:
-        low = np.minimum(np.where(linked, root[cols], len(root)).min(axis=1), root[rows])
-        down = np.minimum(np.where(linked, low[:, None], len(root)).min(axis=0), root[cols])
+        low = np.minimum(root[u], root[v])
         new = root.copy()
-        np.minimum.at(new, root[rows], low)
-        np.minimum.at(new, root[cols], down)
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
         while (new[new] != new).any():
             new = new[new]
         if (new == root).all():
@@ -202,57 +255,73 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return data.flatten().to_numpy().reshape(len(data), -1)
 
 
-def _earlier(column: pa.ChunkedArray, shard: int) -> np.ndarray:
-    """Which shards before ``shard`` each vector is in, a column each."""
-    lists = column.combine_chunks()
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    home = lists.flatten().to_numpy()
-    row, home = row[home < shard], home[home < shard]
-    names, place = np.unique(home, return_inverse=True)
-    out = np.zeros((len(lists), len(names)), np.float32)
-    out[row, place] = 1
-    return out
+def _counted(table: pa.Table, shard: int):
+    """Which pairs are counted in ``shard``, as a mask: of those in a home of
+    either, those whose smallest such shard this is."""
+    home, lists = table.column("home").to_numpy(), table.column("homes").combine_chunks()
+    mine = home == shard
+    names = np.unique(home)
+    place = np.searchsorted(names, home)
+    row, at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    known = np.isin(at, names)
+    member = np.zeros((len(home), len(names)), bool)
+    member[row[known], np.searchsorted(names, at[known])] = True
+
+    def mask(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        mine_row, mine_col = mine[rows][:, None], mine[cols]
+        guest_col = mine_row & ((home[cols] > shard) | ~member[rows][:, place[cols]])
+        guest_row = mine_col & ((home[rows] > shard)[:, None] | ~member[cols][:, place[rows]].T)
+        return np.where(mine_row & mine_col, True, np.where(mine_row, guest_col, guest_row))
+    return mask
 
 
 def _build(table: pa.Table) -> pa.Table:
-    node = table.column("node").to_numpy()
-    order = np.argsort(node)
+    """The lists of the vectors that are at home in a slice of a shard, or in two, and reverse edges."""
+    node, mine = table.column("node").to_numpy(), table.column("home").to_numpy() == table.column("shard")[0].as_py()
+    order = np.lexsort((node, ~mine))
     node = node[order]
-    graph = build_graph(_matrix(table.column("vector"))[order].astype(np.float32))
-    rows = [node[row[row >= 0]] for row in graph]
-    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), pa.int64()))
-    return pa.table({"node": pa.array(node), "around": lists})
+    graph = build_graph(_matrix(table.column("vector"))[order].astype(np.float32), own=int(mine.sum()))
+    many = (graph >= 0).sum(axis=1)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(node[graph[graph >= 0]], pa.int64()))
+    some = pa.array(many > 0)
+    return pa.table({"node": pa.array(node), "around": lists}).filter(some)
+
+
+def _lists(column: pa.ChunkedArray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, around) of the lists, cut to the vertices in ``node``, as their places."""
+    lists = column.combine_chunks()
+    row, to = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    order = np.argsort(node)
+    at = order[np.minimum(np.searchsorted(node[order], to), len(node) - 1)]
+    here = node[at] == to
+    return np.append(0, np.cumsum(np.bincount(row[here], minlength=len(node)))), at[here]
 
 
 def _search(threshold: float):
-    """Links found inside one slice of a shard, or between two: a row a vector
-    with the rows linked to it (counted in the smallest shard that both are
-    in), and a row a link of a forest of them."""
+    """Links found inside one slice of a shard, or between two, by the vectors
+    at home there: a row a vector with the rows linked to it (a pair counts in
+    one shard), and a row a link of a forest of them."""
     def run(table: pa.Table) -> pa.Table:
         shard, i, j = (table.column(c)[0].as_py() for c in ("shard", "i", "j"))
         table = table.sort_by([("slice", "ascending"), ("node", "ascending")])
         node, part, copies = (table.column(c).to_numpy() for c in ("node", "slice", "copies"))
         exact = _matrix(table.column("vector"))
         x = exact.astype(np.float32)
-        place = {k: at for at, k in enumerate(node.tolist())}
-        lists = [[place[k] for k in a if k in place] for a in table.column("around").to_pylist()]
-        graph = np.full((len(node), max(1, max(map(len, lists)))), -1, np.int64)
-        for k, a in enumerate(lists):
-            graph[k, :len(a)] = a
         every = np.arange(len(node))
-        near = every.copy()
-        for rows, found in range_search(x, x, graph, entry_points(x), threshold - MARGIN):
+        near, asking = every.copy(), np.flatnonzero(table.column("home").to_numpy() == shard)
+        for rows, found in own_search(asking, x, *_lists(table.column("around"), node), entry_points(x), threshold - MARGIN) if len(asking) else ():
             near = unite(near, rows, every, found)
-        earlier = _earlier(table.column("homes"), shard)
+        counted = _counted(table, shard)
         links, root = np.zeros(len(node)), every.copy()
         order = np.argsort(near, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
-            for at in range(0, len(group) if len(group) > 1 else 0, QUERIES):  # all pairs of what was found together, exactly
-                rows = group[at:at + QUERIES]
+            step = max(1, min(QUERIES, PAIRS // len(group)))
+            for at in range(0, len(group) if len(group) > 1 else 0, step):  # all pairs of what was found together, exactly
+                rows = group[at:at + step]
                 linked = exact[rows] @ exact[group].T >= threshold
                 linked &= (rows[:, None] != group) & ((part[rows][:, None] != part[group]) | (i == j))
                 root = unite(root, rows, group, linked)
-                links[rows] += (linked & (earlier[rows] @ earlier[group].T == 0)) @ copies[group].astype(float)
+                links[rows] += (linked & counted(rows, group)) @ copies[group].astype(float)
         some = np.flatnonzero((links > 0) | (root != every))
         return pa.table({"node": pa.array(node[some]), "root": pa.array(node[root[some]]), "links": pa.array(links[some].astype(np.int64))})
     return run
@@ -284,13 +353,14 @@ def _normal(batch: pa.RecordBatch) -> dict:
 def _assigner(broadcast):
     def assign(batch: pa.RecordBatch) -> dict:
         x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
-        homes = shards_of(x.astype(np.float32), *broadcast.value)
-        return {n: batch.column(n) for n in batch.schema.names} | {"homes": pa.array(homes, pa.list_(pa.int32()))}
+        x = x.astype(np.float32)
+        homes, home = shards_of(x, *broadcast.value), (x @ broadcast.value[0].T).argmax(axis=1)
+        return {n: batch.column(n) for n in batch.schema.names} | {"homes": pa.array(homes, pa.list_(pa.int32())), "home": pa.array(home, pa.int32())}
     return assign
 
 
 def _shards(spark: SparkSession, classes: DataFrame, threshold: float) -> DataFrame:
-    """Classes of one dimension with the shards that each is in."""
+    """Classes of one dimension with the shards that each is in, and its home."""
     n = classes.count()
     draw = F.xxhash64("node", F.lit("sample"))
     sample = classes if n <= SAMPLE else classes.where(F.shiftrightunsigned(draw, 1) < F.lit(int(SAMPLE / n * (1 << 63))).cast("long"))
@@ -298,7 +368,14 @@ def _shards(spark: SparkSession, classes: DataFrame, threshold: float) -> DataFr
     drawn = np.array([r.vector for r in sorted(drawn, key=lambda r: (r.draw, r.node))], np.float32)
     centres = fit_centroids(drawn, max(1, min(MAX_CENTROIDS, -(-n * OVERLAP // SHARD))), threshold)
     shared = spark.sparkContext.broadcast((centres, overlap_reach(drawn, threshold)))
-    return classes.mapInArrow(per_batch(_assigner(shared)), classes.withColumn("homes", F.array().cast("array<int>")).schema)
+    return classes.mapInArrow(per_batch(_assigner(shared)), classes.withColumns({"homes": F.array().cast("array<int>"), "home": F.lit(0)}).schema)
+
+
+def _dealt(placed: DataFrame, size: DataFrame) -> DataFrame:
+    """Each vector in all of its shards, once for each pair of slices, ``i`` and ``j``, that its own is one of."""
+    at = placed.withColumn("shard", F.explode("homes")).join(size, "shard").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    at = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return at.withColumns({"i": F.least("slice", "k"), "j": F.greatest("slice", "k")}).drop("slices", "k")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -320,13 +397,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*")).orderBy("d").collect():
         alike = classes.where(F.size("vector") == r.d).mapInArrow(per_batch(_normal), classes.schema)
         placed = materialize(_shards(spark, materialize(alike, "unit-vectors"), threshold), "shards")
-        at = placed.select("node", "vector", "copies", "homes", F.explode("homes").alias("shard"))
         size = placed.select(F.explode("homes").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-        at = at.join(size, "shard").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-        lists = at.select("shard", "slice", "node", "vector").groupBy("shard", "slice").applyInArrow(_build, "node bigint, around array<bigint>")
+        lists = _dealt(placed.select("node", "homes", "home", F.col("vector").cast("array<float>").alias("vector")), size).drop("homes", "slice")
+        lists = lists.groupBy("shard", "i", "j").applyInArrow(_build, "node bigint, around array<bigint>")
         graph = materialize(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around")), "graph")
-        pairs = at.join(graph, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        pairs = pairs.select("shard", F.least("slice", "k").alias("i"), F.greatest("slice", "k").alias("j"), "slice", "node", "vector", "copies", "homes", "around")
+        pairs = _dealt(placed.join(graph, "node", "left").withColumn("around", F.coalesce("around", F.array().cast("array<bigint>"))), size)
         links = pairs.groupBy("shard", "i", "j").applyInArrow(_search(threshold), "node bigint, root bigint, links bigint")
         found = links if found is None else found.union(links)
     if found is None:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from floodlens.llm import flat_graph, minhash
@@ -174,6 +175,28 @@ def test_pairs_are_linked_over_many_shards(spark, monkeypatch):
     assert got.links == 5000 and got.recall >= 0.995
 
 
+def test_a_vector_is_searched_for_once_in_however_many_shards(monkeypatch):
+    """Lists and searches are one a vector; every pair is in a home of either."""
+    x, y = (v.astype(np.float32) for v in pairs_apart(2000, 0.9))
+    centres, reach = flat_graph.fit_centroids(x, 76, 0.9), flat_graph.overlap_reach(x, 0.9)
+    (a, b), (p, q) = (flat_graph.shards_of(v, centres, reach) for v in (x, y)), ((v @ centres.T).argmax(axis=1) for v in (x, y))
+    assert sum(q[k] in a[k] or p[k] in b[k] for k in range(2000)) >= 1998 and sum(map(len, a)) > 6000
+    asked = []
+    search = flat_graph.own_search
+    monkeypatch.setattr(flat_graph, "own_search", lambda asking, *rest: asked.append(len(asking)) or search(asking, *rest))
+    for shard in range(len(centres)):
+        here = [(v, m, h) for v, m, h in zip([*x, *y], a + b, [*p, *q]) if shard in m]
+        n = len(here)
+        if n:
+            cut = pa.table({"shard": pa.array([shard] * n), "node": pa.array(range(n)), "home": pa.array([int(h) for _, _, h in here]), "vector": pa.array([v.tolist() for v, _, _ in here])})
+            lists = {r["node"]: r["around"] for r in flat_graph._build(cut).to_pylist()}
+            cut = cut.append_column("homes", pa.array([m for _, m, _ in here])).append_column("around", pa.array([lists.get(k, []) for k in range(n)], pa.list_(pa.int64())))
+            for c in ("i", "j", "slice", "copies"):
+                cut = cut.append_column(c, pa.array([int(c == "copies")] * n))
+            flat_graph._search(0.9)(cut)
+    assert sum(asked) == 4000
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert flat_graph.near_duplicates(none).count() == 0
